@@ -26,7 +26,10 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
     """
     if func not in PIT_FUNCS:
         raise ValueError(f"unsupported PIT aggregate {func!r}; use one of {PIT_FUNCS}")
-    v = F.col(agg_col).cast("double")
+    # decimal inputs keep exact sums, so the result does not depend on how
+    # rows are spread over tasks; everything else is summed as double
+    exact = isinstance(df.schema[agg_col].dataType, T.DecimalType)
+    v = F.col(agg_col) if exact else F.col(agg_col).cast("double")
     aggs = {"_pit_hist": ("count", F.lit(1)), "_pit_n": ("count", v)}
     if func in ("mean", "sum", "std"):
         aggs["_pit_s"] = ("sum", v)
@@ -36,19 +39,21 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
         aggs["_pit_m"] = (func, v)
     order = [order_col, *tiebreak]
     pre = prefix_aggregate(df, order, aggs, group_cols, inclusive=False, n_buckets=n_buckets)
-    global_mean = df.agg(F.avg(v).alias("m")).first()["m"]
+    g = df.agg(F.sum(v).alias("s"), F.count(v).alias("n")).first()
+    global_mean = float(g["s"]) / g["n"] if g["n"] else None
     n = F.col("_pit_n")
+    s = F.col("_pit_s").cast("double") if func in ("mean", "sum", "std") else None
     if func == "mean":
-        val = F.col("_pit_s") / n
+        val = s / n
     elif func == "sum":
-        val = F.when(n > 0, F.col("_pit_s"))
+        val = F.when(n > 0, s)
     elif func == "count":
         val = n.cast("double")
     elif func == "std":
-        val = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0),
-                     (F.col("_pit_ss") - F.col("_pit_s") * F.col("_pit_s") / n) / (n - 1))))
+        ss = F.col("_pit_ss").cast("double")
+        val = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1))))
     else:
-        val = F.col("_pit_m")
+        val = F.col("_pit_m").cast("double")
     filled = F.when(F.col("_pit_hist") == 0, F.lit(global_mean)).otherwise(
         F.coalesce(val, F.lit(global_mean)))
     return pre.withColumn(name, filled.cast("double")).drop(*aggs)

@@ -29,9 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def round_to(c, places: int = 6):
+    """Round a double the way SQL engines do on binary values:
+    ``round(x * 10^d) / 10^d`` (Spark's own ``round`` works on the shortest
+    decimal text, which differs on values next to a tie)."""
+    x = F.col(c) if isinstance(c, str) else c
+    scale = float(10 ** places)
+    return F.round(x.cast("double") * F.lit(scale), 0) / F.lit(scale)
+
+
 def r6(c):
     """Round doubles to 6 places so both engines hash equal values."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return round_to(c, 6)
 
 
 def sql_float(x: float) -> str:

@@ -14,7 +14,7 @@ from tabsmith.functions import predicates, scalar, targets
 from tabsmith.functions.hashing import content_fingerprint, input_row_hash
 from tabsmith.operators import clean, features, joins, profile, quality, segment, synth
 from tabsmith.operators.keys import add_row_id
-from tabsmith.plans.base import r6, register, table
+from tabsmith.plans.base import r6, register, round_to, table
 from tabsmith.sources.io import NULL_TOKENS, apply_null_tokens
 
 # ---------------------------------------------------------------- cleaning
@@ -169,13 +169,13 @@ def q_fingerprint(spark, d):
 def _orders_by_day(spark, d):
     o = table(spark, d, "orders")
     return o.groupBy(F.to_date("o_orderdate").alias("day")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+        F.count(F.lit(1)).alias("n_rows"), round_to(F.sum("o_totalprice"), 2).alias("total_price"))
 
 
 def _lines_by_day(spark, d):
     li = table(spark, d, "lineitem")
     return li.groupBy(F.to_date("l_shipdate").alias("day")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+        F.count(F.lit(1)).alias("n_rows"), round_to(F.sum("l_quantity"), 2).alias("quantity"))
 
 
 _ODAY = ("SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total_price "
@@ -226,7 +226,7 @@ def _feature_sets(spark, d):
     profile_set = c.select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("acctbal"),
                            F.col("c_nationkey").alias("nationkey"))
     orders_set = o.groupBy(F.col("o_custkey").alias("custkey")).agg(
-        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total_spent"),
+        F.count(F.lit(1)).alias("n_orders"), round_to(F.sum("o_totalprice"), 2).alias("total_spent"),
         F.max("o_orderpriority").alias("acctbal"))  # overlapping name: the left copy wins
     target = c.select(F.col("c_custkey").alias("custkey"), (F.col("c_acctbal") > 5000).cast("int").alias("target"))
     return {"b_orders": orders_set, "a_profile": profile_set}, target
@@ -381,27 +381,32 @@ def q_target_transforms(spark, d):
             "t_boxcox": targets.forward(x, "boxcox", 0.5), "t_boxcox0": targets.forward(x, "boxcox", 0.0)}
     t = o.select("o_orderkey", *[v.alias(k) for k, v in cols.items()])
     return t.select("o_orderkey", *[r6(k).alias(k) for k in cols],
-                    F.round(targets.inverse("t_log1p", "log1p"), 2).alias("inv_log1p"),
-                    F.round(targets.inverse("t_sqrt", "sqrt"), 2).alias("inv_sqrt"),
-                    F.round(targets.inverse("t_boxcox", "boxcox", 0.5), 2).alias("inv_boxcox"))
+                    round_to(targets.inverse("t_log1p", "log1p"), 2).alias("inv_log1p"),
+                    round_to(targets.inverse("t_sqrt", "sqrt"), 2).alias("inv_sqrt"),
+                    round_to(targets.inverse("t_boxcox", "boxcox", 0.5), 2).alias("inv_boxcox"))
+
+
+_PIT_VALUE = "CAST(value AS DECIMAL(12, 2))"
 
 
 def _pit_sql(func: str) -> str:
     w = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    gm = "(SELECT avg(value) FROM events)"
-    val = {"mean": f"avg(value) OVER {w}", "sum": f"CASE WHEN count(value) OVER {w} > 0 THEN sum(value) OVER {w} END",
-           "min": f"min(value) OVER {w}", "max": f"max(value) OVER {w}",
-           "count": f"CAST(count(value) OVER {w} AS DOUBLE)"}[func]
+    gm = "(SELECT CAST(sum(v) AS DOUBLE) / count(v) FROM ev)"
+    val = {"mean": f"CAST(sum(v) OVER {w} AS DOUBLE) / count(v) OVER {w}",
+           "sum": f"CASE WHEN count(v) OVER {w} > 0 THEN CAST(sum(v) OVER {w} AS DOUBLE) END",
+           "min": f"CAST(min(v) OVER {w} AS DOUBLE)", "max": f"CAST(max(v) OVER {w} AS DOUBLE)",
+           "count": f"CAST(count(v) OVER {w} AS DOUBLE)"}[func]
     return f"""
+WITH ev AS (SELECT event_id, user_id, ts, {_PIT_VALUE} AS v FROM events)
 SELECT event_id, round(CASE WHEN count(*) OVER {w} = 0 THEN {gm} ELSE COALESCE({val}, {gm}) END, 6) AS feature
-FROM events
+FROM ev
 """
 
 
 for _f in ("mean", "sum", "min", "max", "count"):
     def _mkp(func):
         def q(spark, d):
-            e = table(spark, d, "events")
+            e = table(spark, d, "events").withColumn("value", F.expr(_PIT_VALUE))
             out = features.pit_feature(e, ["user_id"], "ts", "value", func, "feature", tiebreak=["event_id"])
             return out.select("event_id", r6("feature").alias("feature"))
         return q
