@@ -117,14 +117,14 @@ def psi_categorical(long_text: DataFrame) -> DataFrame:
 def ks_statistic(long_num: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """Max |F_expected - F_actual| over the pooled values (nulls dropped)."""
     c = long_num.groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == "expected").alias("e"),
-        F.count_if(F.col("side") == "actual").alias("a"))
-    pre = prefix_aggregate(c, ["value"], {"ce": ("sum", "e"), "ca": ("sum", "a")}, ["feature"],
+        F.count_if(F.col("side") == "expected").alias("n_e"),
+        F.count_if(F.col("side") == "actual").alias("n_a"))
+    pre = prefix_aggregate(c, ["value"], {"cum_e": ("sum", "n_e"), "cum_a": ("sum", "n_a")}, ["feature"],
                            inclusive=True, n_buckets=n_buckets,
-                           with_totals={"E": ("sum", "e"), "A": ("sum", "a")})
+                           with_totals={"tot_e": ("sum", "n_e"), "tot_a": ("sum", "n_a")})
     return pre.groupBy("feature").agg(
-        F.max(F.abs(F.col("ce") / F.col("E") - F.col("ca") / F.col("A"))).alias("score"),
-        F.max("E").alias("n_expected"), F.max("A").alias("n_actual"))
+        F.max(F.abs(F.col("cum_e") / F.col("tot_e") - F.col("cum_a") / F.col("tot_a"))).alias("score"),
+        F.max("tot_e").alias("n_expected"), F.max("tot_a").alias("n_actual"))
 
 
 def severity(score_col: str = "score"):

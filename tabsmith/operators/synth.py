@@ -134,11 +134,13 @@ def similarity_score(real: DataFrame, synth: DataFrame, numeric: list[str], cate
         parts.append(ks.select("feature", (1 - F.col("score")).alias("similarity")))
     if categorical:
         lt = long_form(real, synth, categorical, True)
-        cnt = lt.groupBy("feature", "value").agg(F.count_if(F.col("side") == "expected").alias("e"),
-                                                 F.count_if(F.col("side") == "actual").alias("a"))
-        tot = cnt.groupBy("feature").agg(F.sum("e").alias("E"), F.sum("a").alias("A"))
+        cnt = lt.groupBy("feature", "value").agg(F.count_if(F.col("side") == "expected").alias("n_e"),
+                                                 F.count_if(F.col("side") == "actual").alias("n_a"))
+        tot = cnt.groupBy("feature").agg(F.sum("n_e").alias("tot_e"), F.sum("n_a").alias("tot_a"))
+        # one row per feature (a schema-sized table): broadcast is bounded
         tv = cnt.join(F.broadcast(tot), "feature").groupBy("feature").agg(
-            (1 - 0.5 * F.sum(F.abs(F.col("e") / F.col("E") - F.col("a") / F.col("A")))).alias("similarity"))
+            (1 - 0.5 * F.sum(F.abs(F.col("n_e") / F.col("tot_e") - F.col("n_a") / F.col("tot_a"))))
+            .alias("similarity"))
         parts.append(tv)
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -449,8 +449,8 @@ def q_drift_all(spark, d):
 SELECT feature, round(1 - score, 6) AS similarity FROM ({' UNION ALL '.join(
     _ks_sql(c).replace('round(max(abs(ce / E - ca / A)), 6)', 'max(abs(ce / E - ca / A))') for c in ['l_quantity', 'l_discount'])})
 UNION ALL
-SELECT feature, round(1 - 0.5 * sum(abs(e / E - a / A)), 6) FROM (
-  SELECT feature, e, a, sum(e) OVER (PARTITION BY feature) AS E, sum(a) OVER (PARTITION BY feature) AS A FROM (
+SELECT feature, round(1 - 0.5 * sum(abs(e / te - a / ta)), 6) FROM (
+  SELECT feature, e, a, sum(e) OVER (PARTITION BY feature) AS te, sum(a) OVER (PARTITION BY feature) AS ta FROM (
     SELECT feature, v, count(*) FILTER (WHERE side = 'e') AS e, count(*) FILTER (WHERE side = 'a') AS a FROM (
       {' UNION ALL '.join(f"SELECT '{c}' AS feature, CASE WHEN {_EXP_SQL} THEN 'e' ELSE 'a' END AS side, CAST({c} AS VARCHAR) AS v FROM lineitem WHERE {c} IS NOT NULL" for c in _TXT)})
     GROUP BY feature, v))
