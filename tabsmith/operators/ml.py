@@ -109,7 +109,7 @@ def random_search(train_df: DataFrame, categorical: list[str], numeric: list[str
           if task == "classification" else RegressionEvaluator(labelCol=label, metricName=metric or "rmse"))
     key_hash = hash_unit_interval(F.xxhash64(*[F.col(c) for c in train_df.columns]).cast("string"), seed)
     with_folds = train_df.withColumn("_fold", F.least(F.floor(key_hash * folds), F.lit(folds - 1)).cast("int"))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="_fold",
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="_fold", numFolds=folds,
                         parallelism=parallelism, seed=seed)
     fitted = cv.fit(with_folds)
     return fitted, draws
