@@ -40,6 +40,32 @@ def predicate(column, op: str, value) -> Column:
     raise ValueError(f"unknown operator {op!r}; expected one of {OPERATORS}")
 
 
+def filter_predicate(column, op: str, value) -> Column:
+    """The same truth table as :func:`predicate` for use inside ``filter``:
+    a null result drops the row exactly like ``false`` does, so the plain
+    comparison is kept and Parquet can push it down to the scan."""
+    c = _col(column)
+    if op == "eq":
+        return c == F.lit(value)
+    if op == "neq":
+        return c.isNull() | (c != F.lit(value))
+    if op == "in":
+        vals = [v for v in value if v is not None]
+        return c.isin(vals) if vals else F.lit(False)
+    if op == "not_in":
+        vals = [v for v in value if v is not None]
+        return (c.isNull() | ~c.isin(vals)) if vals else F.lit(True)
+    if op == "gt":
+        return c > F.lit(value)
+    if op == "gte":
+        return c >= F.lit(value)
+    if op == "lt":
+        return c < F.lit(value)
+    if op == "lte":
+        return c <= F.lit(value)
+    raise ValueError(f"unknown operator {op!r}; expected one of {OPERATORS}")
+
+
 def conjunction(filters) -> Column:
     """AND of ``(column, op, value)`` triples; empty -> true."""
     out = F.lit(True)

@@ -121,10 +121,10 @@ def rule_keeps(df: DataFrame, rule: ValueRule) -> Column:
         ok = c.isin(vals) if vals else F.lit(False)
     else:
         raise ValueError(f"unknown rule operator {rule.op!r}")
-    keep = ok | c.isNull()
+    keep = ok | c.isNull()  # never null: ok is null only when c is null
     if isinstance(df.schema[rule.column].dataType, T.StringType):
         keep = keep | (c == F.lit(""))
-    return F.coalesce(keep, F.lit(False))
+    return keep
 
 
 def merge_rules(configured: list[ValueRule], defaults: list[ValueRule]) -> list[ValueRule]:

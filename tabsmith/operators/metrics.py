@@ -66,6 +66,17 @@ def classification_report(df: DataFrame, y: str, y_pred: str, group_cols=("split
                     F.col("support").cast("long").alias("support"))
 
 
+def prediction_counts(df: DataFrame, y: str, y_pred: str, prob: str | None, group_cols) -> DataFrame:
+    """The one pass over the prediction table: positives and negatives per
+    (group, score, predicted class).  Every classification metric below is
+    computed from this reduction (one shuffle, map-side combined)."""
+    yy = _col(y).cast("int")
+    keys = [*group_cols, (_col(prob).cast("double") if prob is not None else F.lit(None).cast("double")).alias("score"),
+            _col(y_pred).cast("int").alias("pred")]
+    return df.groupBy(*keys).agg(F.sum(F.when(yy == 1, 1).otherwise(0)).cast("long").alias("pos"),
+                                 F.sum(F.when(yy == 1, 0).otherwise(1)).cast("long").alias("neg"))
+
+
 def classification_metrics(df: DataFrame, y: str, y_pred: str, prob: str | None = None,
                            group_cols=("split",), threshold: float | None = None,
                            include_curves: bool = True) -> DataFrame:
@@ -77,40 +88,42 @@ def classification_metrics(df: DataFrame, y: str, y_pred: str, prob: str | None
     if not g:
         return classification_metrics(df.withColumn("_all", F.lit(0)), y, y_pred, prob, ["_all"],
                                        threshold, include_curves).drop("_all")
-    yy, pp = _col(y).cast("double"), _col(y_pred).cast("double")
+    red = prediction_counts(df, y, y_pred, prob, g)
+    pos, neg, pred, sc = F.col("pos"), F.col("neg"), F.col("pred"), F.col("score")
+    cnt = pos + neg
     aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((yy == 0) & (pp == 0)).alias("tn"),
-        F.count_if((yy == 0) & (pp == 1)).alias("fp"),
-        F.count_if((yy == 1) & (pp == 0)).alias("fn"),
-        F.count_if((yy == 1) & (pp == 1)).alias("tp"),
-        F.avg(yy).alias("positive_rate"),
-        F.avg(pp).alias("predicted_positive_rate"),
+        F.sum(cnt).alias("n"),
+        F.sum(F.when(pred == 0, neg).otherwise(0)).alias("tn"),
+        F.sum(F.when(pred == 1, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(pred == 0, pos).otherwise(0)).alias("fn"),
+        F.sum(F.when(pred == 1, pos).otherwise(0)).alias("tp"),
+        F.sum(pos).alias("_pos"),
+        F.sum(F.when(pred == 1, cnt).otherwise(0)).alias("_ppos"),
     ]
     if prob is not None:
-        p = _col(prob).cast("double")
-        pc = F.least(F.greatest(p, F.lit(EPS64)), F.lit(1 - EPS64))
+        pc = F.least(F.greatest(sc, F.lit(EPS64)), F.lit(1 - EPS64))
         aggs += [
-            (-F.avg(yy * F.log(pc) + (1 - yy) * F.log(1 - pc))).alias("_ll"),
-            F.avg((p - yy) * (p - yy)).alias("brier_score"),
+            F.sum(pos * F.log(pc) + neg * F.log(1 - pc)).alias("_ll"),
+            F.sum(pos * (sc - 1) * (sc - 1) + neg * sc * sc).alias("_br"),
         ]
-    base = df.groupBy(*g).agg(*aggs)
+    base = red.groupBy(*g).agg(*aggs)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    P, N = tp + fn, tn + fp
+    P, N, n = tp + fn, tn + fp, F.col("n")
     recall_pos = F.when(P > 0, tp / P)
     recall_neg = F.when(N > 0, tn / N)
     out = base.select(
-        *g, "n", "tn", "fp", "fn", "tp", "positive_rate", "predicted_positive_rate",
-        ((tp + tn) / F.col("n")).alias("accuracy"),
+        *g, n.cast("long").alias("n"), *[F.col(c).cast("long").alias(c) for c in ("tn", "fp", "fn", "tp")],
+        (F.col("_pos") / n).alias("positive_rate"), (F.col("_ppos") / n).alias("predicted_positive_rate"),
+        ((tp + tn) / n).alias("accuracy"),
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("precision"),
         F.when(P > 0, tp / P).otherwise(0.0).alias("recall"),
         F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"),
-        F.when(P.isNotNull() & (P > 0) & (N > 0), (recall_pos + recall_neg) / 2)
+        F.when((P > 0) & (N > 0), (recall_pos + recall_neg) / 2)
          .when(P > 0, recall_pos).otherwise(recall_neg).alias("balanced_accuracy"),
         # the confusion matrix is 2x2 only when both labels occur in y or y_pred
         F.when(((P > 0) | (tp + fp > 0)) & ((N > 0) | (tn + fn > 0)),
                F.when(N > 0, tn / N).otherwise(0.0)).alias("specificity"),
-        *([F.when((P > 0) & (N > 0), F.col("_ll")).alias("log_loss"), "brier_score"]
+        *([F.when((P > 0) & (N > 0), -F.col("_ll") / n).alias("log_loss"), (F.col("_br") / n).alias("brier_score")]
           if prob is not None else
           [F.lit(None).cast("double").alias("log_loss"), F.lit(None).cast("double").alias("brier_score")]),
     )
@@ -118,10 +131,11 @@ def classification_metrics(df: DataFrame, y: str, y_pred: str, prob: str | None
         out = out.withColumn("threshold", F.lit(float(threshold)))
     if include_curves:
         if prob is not None:
-            curves = (roc_auc(df, y, prob, g)
-                      .join(average_precision(df, y, prob, g), g, "full_outer")
-                      .join(expected_calibration_error(df, y, prob, g), g, "full_outer"))
-            out = out.join(curves, g, "left")
+            by_score = red.groupBy(*g, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            raw = df.where(_col(prob).isNotNull()).select(_col(prob).cast("double").alias("score"))
+            curve = _curve_from_counts(by_score.where(F.col("score").isNotNull()), g, None, raw)
+            ranks = curve.groupBy(*g).agg(_auc_expr(), _ap_expr())
+            out = out.join(ranks, g, "left").join(_ece_from_counts(by_score, g), g, "left")
         else:
             out = out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("roc_auc", "pr_auc", "ece")])
     return out
@@ -135,61 +149,90 @@ def score_counts(df: DataFrame, y: str, score: str, group_cols=("split",)) -> Da
         F.sum(F.when(yy == 1, 0).otherwise(1)).cast("long").alias("neg"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, group_cols=("split",), n_buckets=None) -> DataFrame:
-    """M7: Mann-Whitney on distinct scores, ties count half; one class -> null."""
+def score_curve(df: DataFrame, y: str, score: str, group_cols=("split",), n_buckets=None) -> DataFrame:
+    """One row per (group, distinct score) with positives/negatives below the
+    score and group totals -- the single prefix pass behind M7, M8 and M21.
+
+    Descending cumulative counts follow as ``total - below``.  Quantile
+    boundaries come from the raw score column, so the reduction is computed
+    once.
+    """
     g = list(group_cols)
     c = score_counts(df, y, score, g)
-    pre = prefix_aggregate(c, ["score"], {"neg_below": ("sum", "neg")}, g, inclusive=False,
-                           n_buckets=n_buckets, with_totals={"P": ("sum", "pos"), "N": ("sum", "neg")})
-    num = F.sum(F.col("pos") * (F.coalesce(F.col("neg_below"), F.lit(0)) + F.col("neg") / 2.0))
+    raw = df.where(_col(score).isNotNull()).select(_col(score).cast("double").alias("score"))
+    return _curve_from_counts(c, g, n_buckets, raw)
+
+
+def _curve_from_counts(c: DataFrame, g: list, n_buckets, raw: DataFrame) -> DataFrame:
+    return prefix_aggregate(c, ["score"], {"pos_below": ("sum", "pos"), "neg_below": ("sum", "neg")}, g,
+                            inclusive=False, n_buckets=n_buckets, bounds_from=raw,
+                            with_totals={"P": ("sum", "pos"), "N": ("sum", "neg")}) \
+        .withColumn("pos_below", F.coalesce(F.col("pos_below"), F.lit(0))) \
+        .withColumn("neg_below", F.coalesce(F.col("neg_below"), F.lit(0)))
+
+
+def _auc_expr():
+    num = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     P, N = F.max("P"), F.max("N")
-    return pre.groupBy(*g).agg(F.when((P > 0) & (N > 0), num / (P * N)).alias("roc_auc"))
+    return F.when((P > 0) & (N > 0), num / (P * N)).alias("roc_auc")
+
+
+def _ap_expr():
+    tp_cum = F.col("P") - F.col("pos_below")  # positives with score >= this one
+    fp_cum = F.col("N") - F.col("neg_below")
+    term = (F.col("pos") / F.col("P")) * (tp_cum / (tp_cum + fp_cum))
+    return F.when(F.max("P") > 0, F.sum(term)).alias("pr_auc")
+
+
+def roc_auc(df: DataFrame, y: str, score: str, group_cols=("split",), n_buckets=None) -> DataFrame:
+    """M7: Mann-Whitney on distinct scores, ties count half; one class -> null."""
+    return score_curve(df, y, score, group_cols, n_buckets).groupBy(*group_cols).agg(_auc_expr())
 
 
 def average_precision(df: DataFrame, y: str, score: str, group_cols=("split",), n_buckets=None) -> DataFrame:
     """M8: step-function average precision, Σ ΔR·P by descending score, ties merged."""
-    g = list(group_cols)
-    c = score_counts(df, y, score, g)
-    pre = prefix_aggregate(c, ["score"], {"tp_cum": ("sum", "pos"), "fp_cum": ("sum", "neg")}, g,
-                           inclusive=True, descending=True, n_buckets=n_buckets,
-                           with_totals={"P": ("sum", "pos")})
-    term = (F.col("pos") / F.col("P")) * (F.col("tp_cum") / (F.col("tp_cum") + F.col("fp_cum")))
-    return pre.groupBy(*g).agg(F.when(F.max("P") > 0, F.sum(term)).alias("pr_auc"))
+    return score_curve(df, y, score, group_cols, n_buckets).groupBy(*group_cols).agg(_ap_expr())
+
+
+def ranking_metrics(df: DataFrame, y: str, score: str, group_cols=("split",), n_buckets=None) -> DataFrame:
+    """M7 + M8 from one prefix pass."""
+    return score_curve(df, y, score, group_cols, n_buckets).groupBy(*group_cols).agg(_auc_expr(), _ap_expr())
 
 
 def roc_curve(df: DataFrame, y: str, score: str, group_cols=("split",), n_buckets=None) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first (no
     intermediate points dropped), plus the (inf, 0, 0) start point."""
     g = list(group_cols)
-    c = score_counts(df, y, score, g)
-    pre = prefix_aggregate(c, ["score"], {"tp_cum": ("sum", "pos"), "fp_cum": ("sum", "neg")}, g,
-                           inclusive=True, descending=True, n_buckets=n_buckets,
-                           with_totals={"P": ("sum", "pos"), "N": ("sum", "neg")})
-    pts = pre.select(*g, F.col("score").alias("threshold"),
-                     F.when(F.col("N") > 0, F.col("fp_cum") / F.col("N")).alias("fpr"),
-                     F.when(F.col("P") > 0, F.col("tp_cum") / F.col("P")).alias("tpr"))
-    start = c.groupBy(*g).agg(F.lit(float("inf")).alias("threshold"),
-                              F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    cur = score_curve(df, y, score, g, n_buckets)
+    pts = cur.select(*g, F.col("score").alias("threshold"),
+                     F.when(F.col("N") > 0, (F.col("N") - F.col("neg_below")) / F.col("N")).alias("fpr"),
+                     F.when(F.col("P") > 0, (F.col("P") - F.col("pos_below")) / F.col("P")).alias("tpr"))
+    start = df.groupBy(*g).agg(F.lit(float("inf")).alias("threshold"),
+                               F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
 
 
+def _ece_from_counts(by_score: DataFrame, g: list, n_bins: int = 10, include_top: bool = False) -> DataFrame:
+    edges = linspace(n_bins + 1)
+    b = bucket_of(F.col("score"), edges) - 1
+    if include_top:
+        b = F.when(b == n_bins, n_bins - 1).otherwise(b)
+    cnt = F.col("pos") + F.col("neg")
+    per_bin = by_score.groupBy(*g, b.alias("bin")).agg(
+        F.sum(cnt).alias("cnt"), F.sum("pos").alias("_p"), F.sum(F.col("score") * cnt).alias("_s"))
+    inside = (F.col("bin") >= 0) & (F.col("bin") < n_bins)
+    gap = F.abs(F.col("_p") / F.col("cnt") - F.col("_s") / F.col("cnt")) * F.col("cnt")
+    return per_bin.groupBy(*g).agg((F.sum(F.when(inside, gap).otherwise(0.0)) / F.sum("cnt")).alias("ece"))
+
+
 def expected_calibration_error(df: DataFrame, y: str, prob: str, group_cols=("split",),
                                n_bins: int = 10, include_top: bool = False) -> DataFrame:
     """Equal-width bins ``[lo, hi)``; ``p == 1.0`` lands in no bin but still
     counts in the weight denominator (reference behaviour); ``include_top``
-    puts it in the last bin instead."""
+    puts it in the last bin instead.  Rows are first reduced to distinct
+    probabilities."""
     g = list(group_cols)
-    edges = linspace(n_bins + 1)
-    p = _col(prob).cast("double")
-    b = bucket_of(p, edges) - 1
-    if include_top:
-        b = F.when(b == n_bins, n_bins - 1).otherwise(b)
-    per_bin = df.groupBy(*g, b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.avg(_col(y).cast("double")).alias("acc"), F.avg(p).alias("conf"))
-    inside = (F.col("bin") >= 0) & (F.col("bin") < n_bins)
-    return per_bin.groupBy(*g).agg(
-        (F.sum(F.when(inside, F.abs(F.col("acc") - F.col("conf")) * F.col("cnt")).otherwise(0.0))
-         / F.sum("cnt")).alias("ece"))
+    return _ece_from_counts(score_counts(df, y, prob, g), g, n_bins, include_top)
 
 
 def f1_by_threshold(df: DataFrame, y: str, prob: str, group_cols=("split",), n_points: int = 101) -> DataFrame:

@@ -150,7 +150,8 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
                      aggs: dict[str, tuple[str, Column | str]],
                      group_cols: list[str] | tuple = (), inclusive: bool = False,
                      descending: bool = False, n_buckets: int | None = None,
-                     with_totals: dict[str, tuple[str, Column | str]] | None = None) -> DataFrame:
+                     with_totals: dict[str, tuple[str, Column | str]] | None = None,
+                     bounds_from: DataFrame | None = None) -> DataFrame:
     """Add running aggregates over earlier rows of the same group.
 
     ``aggs`` maps an output name to ``(func, value)`` with func in
@@ -159,6 +160,9 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
     the order must be total); the first order column drives the buckets.
     ``inclusive`` includes the current row.  ``with_totals`` adds whole-group
     aggregates (``sum``/``count``/``min``/``max``) from the same partial pass.
+    ``bounds_from`` is a cheaper source of the ordering column (for example the
+    raw column before a reduction), so ``df`` is not computed twice; any source
+    with the same value range gives exact results.
     """
     group_cols = list(group_cols)
     spark = df.sparkSession
@@ -166,7 +170,11 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
     key = numeric_key(df, order_cols[0])
     if descending:
         key = -key
-    bounds = approx_bounds(df, key, n_buckets)
+    if bounds_from is not None:
+        src_key = numeric_key(bounds_from, order_cols[0])
+        bounds = approx_bounds(bounds_from, -src_key if descending else src_key, n_buckets)
+    else:
+        bounds = approx_bounds(df, key, n_buckets)
     data = df.withColumn(_BUCKET, bucket_of(key, bounds))
 
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.predicates import predicate
+from tabsmith.functions.predicates import filter_predicate, predicate
 
 
 def check_segment_values(df: DataFrame, filters: list[tuple]) -> None:
@@ -37,7 +37,7 @@ def apply_segmentation(df: DataFrame, filters: list[tuple], enabled: bool = True
         check_segment_values(df, filters)
     out = df
     for col, op, value in filters:
-        out = out.where(predicate(col, op, value))
+        out = out.where(filter_predicate(col, op, value))
     if not include_in_model:
         out = out.drop(*{c for c, _, _ in filters})
     return out
