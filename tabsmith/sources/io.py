@@ -19,7 +19,7 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 
 
 def read_data(spark: SparkSession, fmt: str, path: str, schema: T.StructType | None = None,
-              null_tokens: list[str] | None = None) -> DataFrame:
+              null_tokens: list[str] | None = None, multiline: bool = False) -> DataFrame:
     """One entry point for the four formats; an explicit schema avoids inference."""
     fmt = fmt.lower()
     if fmt == "parquet":
@@ -28,7 +28,8 @@ def read_data(spark: SparkSession, fmt: str, path: str, schema: T.StructType | N
     if fmt == "csv":
         return read_csv(spark, path, schema, null_tokens)
     if fmt == "json":
-        reader = spark.read.option("multiLine", True)
+        # JSON lines by default (splittable); multiLine for one document per file
+        reader = spark.read.option("multiLine", multiline)
         if schema is not None:
             reader = reader.schema(schema)
         return reader.json(path)
@@ -79,15 +80,22 @@ def read_arrow_ipc(spark: SparkSession, path: str, schema: T.StructType | None =
             raise FileNotFoundError(path)
         schema = _arrow_schema_to_spark(_open_ipc(first["path"]).schema)
     spark_schema = schema
+    names = [f.name for f in spark_schema.fields]
 
     def decode(batches):
+        # self-contained: executors need only pyarrow, not this package
+        import pyarrow.fs as pafs
+        import pyarrow.ipc as ipc
+
         for batch in batches:
             for p in batch.column("path").to_pylist():
-                reader = _open_ipc(p)
-                for rb in (reader.get_batch(i) for i in range(reader.num_record_batches)):
-                    yield pa.RecordBatch.from_arrays(
-                        [rb.column(rb.schema.get_field_index(f.name)) for f in spark_schema.fields],
-                        names=[f.name for f in spark_schema.fields])
+                uri = p if "://" in p else "file://" + p.replace("file:", "", 1)
+                fs, local = pafs.FileSystem.from_uri(uri)
+                reader = ipc.open_file(fs.open_input_file(local))
+                for i in range(reader.num_record_batches):
+                    rb = reader.get_batch(i)
+                    yield pa.RecordBatch.from_arrays([rb.column(rb.schema.get_field_index(n)) for n in names],
+                                                     names=names)
 
     return files.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(decode, spark_schema)
 
@@ -106,6 +114,38 @@ def _arrow_schema_to_spark(schema) -> T.StructType:
     return from_arrow_schema(schema)
 
 
+def write_arrow_ipc(df: DataFrame, path: str) -> DataFrame:
+    """Write each partition as one Arrow IPC file under ``path`` (shared storage).
+
+    Returns a DataFrame of the written file paths (one row per partition);
+    the write happens inside the tasks, when that DataFrame is computed.
+    """
+    import pyarrow as pa
+
+    def write(batches):
+        import uuid
+
+        import pyarrow.fs as pafs
+        import pyarrow.ipc as ipc
+
+        fs, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.replace("file:", "", 1))
+        fs.create_dir(root, recursive=True)
+        target = f"{root}/part-{uuid.uuid4().hex}.arrow"
+        it = iter(batches)
+        first = next(it, None)
+        if first is None:
+            return
+        with fs.open_output_stream(target) as sink:
+            writer = ipc.new_file(sink, first.schema)
+            writer.write_batch(first)
+            for b in it:
+                writer.write_batch(b)
+            writer.close()
+        yield pa.RecordBatch.from_pylist([{"path": target}])
+
+    return df.mapInArrow(write, "path string")
+
+
 def save_data(df: DataFrame, path: str, compression: str = "snappy", mode: str = "errorifexists",
               partition_by: list[str] | None = None) -> None:
     """Parquet sink with a validated codec."""
