@@ -23,3 +23,18 @@ def add_row_id(df: DataFrame, key_cols: list[str], name: str = "row_id",
     ranked = prefix_row_number(d, ["_rid_fp"], ["_rid_base"], name="_rid_n", n_buckets=n_buckets)
     return ranked.withColumn(name, F.concat_ws("-", "_rid_base", F.col("_rid_n").cast("string"))) \
         .drop("_rid_base", "_rid_fp", "_rid_n")
+
+
+# Which columns make the row key of each dataset (dataset name -> key columns).
+ROW_ID_POLICIES: dict[str, list[str]] = {}
+
+
+def register_row_id_policy(dataset: str, key_cols: list[str]) -> None:
+    ROW_ID_POLICIES[dataset] = list(key_cols)
+
+
+def add_row_id_for(df: DataFrame, dataset: str, name: str = "row_id") -> DataFrame:
+    """Look up the dataset's key columns; datasets without a policy are an error."""
+    if dataset not in ROW_ID_POLICIES:
+        raise KeyError(f"no row-id policy for dataset {dataset!r}")
+    return add_row_id(df, ROW_ID_POLICIES[dataset], name)

@@ -165,7 +165,7 @@ def score_curve(df: DataFrame, y: str, score: str, group_cols=("split",), n_buck
 
 def _curve_from_counts(c: DataFrame, g: list, n_buckets, raw: DataFrame) -> DataFrame:
     return prefix_aggregate(c, ["score"], {"pos_below": ("sum", "pos"), "neg_below": ("sum", "neg")}, g,
-                            inclusive=False, n_buckets=n_buckets, bounds_from=raw,
+                            inclusive=False, n_buckets=n_buckets, bounds_from=raw, skew="bucket",
                             with_totals={"P": ("sum", "pos"), "N": ("sum", "neg")}) \
         .withColumn("pos_below", F.coalesce(F.col("pos_below"), F.lit(0))) \
         .withColumn("neg_below", F.coalesce(F.col("neg_below"), F.lit(0)))
@@ -284,8 +284,9 @@ def regression_metrics(df: DataFrame, y: str, y_pred: str, group_cols=("split",)
     g = list(group_cols)
     if not g:
         return regression_metrics(df.withColumn("_all", F.lit(0)), y, y_pred, ["_all"]).drop("_all")
-    yy, pp = _col(y).cast("double"), _col(y_pred).cast("double")
-    e = yy - pp
+    from tabsmith.functions.scalar import residual
+    yy = _col(y).cast("double")
+    e = residual(y, y_pred)
     base = df.groupBy(*g).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(e)).alias("mae"),

@@ -57,7 +57,10 @@ def score(model: PipelineModel, df: DataFrame, task: str = "classification") ->
     """Prediction, and the positive-class probability for classifiers."""
     out = model.transform(df)
     if task == "classification":
-        out = out.withColumn("y_proba", vector_to_array("probability")[1])
+        arr = vector_to_array("probability")
+        # Q14: a binary classifier must expose at least two class probabilities
+        out = out.withColumn("y_proba", F.when(F.size(arr) >= 2, arr[1]).otherwise(
+            F.raise_error(F.lit("probability vector has fewer than two classes"))))
     return out
 
 
@@ -176,5 +179,6 @@ def batch_predictions(model: PipelineModel, features: DataFrame, entity_key: str
             F.lit(schema_version).alias("schema_version")]
     if task == "classification":
         arr = vector_to_array("probability")
-        cols += [arr[i].alias(f"proba_{i}") for i in range(n_classes)]
+        cols += [F.when(F.size(arr) >= 2, arr[i]).otherwise(F.raise_error(F.lit("fewer than two classes")))
+                 .alias(f"proba_{i}") for i in range(n_classes)]
     return scored.select(*cols)

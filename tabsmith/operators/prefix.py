@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BUCKETS = 512
+HOT_GROUP_ROWS = 1_000_000
+MIN_SUPPORT = 1e-4
 _BUCKET = "_pfx_bucket"
 
 
@@ -151,7 +153,7 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
                      group_cols: list[str] | tuple = (), inclusive: bool = False,
                      descending: bool = False, n_buckets: int | None = None,
                      with_totals: dict[str, tuple[str, Column | str]] | None = None,
-                     bounds_from: DataFrame | None = None) -> DataFrame:
+                     bounds_from: DataFrame | None = None, skew: str = "detect") -> DataFrame:
     """Add running aggregates over earlier rows of the same group.
 
     ``aggs`` maps an output name to ``(func, value)`` with func in
@@ -159,12 +161,79 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
     ordered by ``order_cols`` (the caller supplies a unique tie-break when
     the order must be total); the first order column drives the buckets.
     ``inclusive`` includes the current row.  ``with_totals`` adds whole-group
-    aggregates (``sum``/``count``/``min``/``max``) from the same partial pass.
+    aggregates (``sum count min max first``) from the same pass.
     ``bounds_from`` is a cheaper source of the ordering column (for example the
     raw column before a reduction), so ``df`` is not computed twice; any source
     with the same value range gives exact results.
+
+    ``skew`` decides how groups are laid out:
+
+    * ``"bucket"`` -- every group is range-bucketed (for a few large groups,
+      and always for a global prefix);
+    * ``"window"`` -- a plain window per group (groups known to be small);
+    * ``"detect"`` -- candidate heavy groups are found with a one-pass
+      frequent-items sketch over a group hash (no shuffle; at most
+      ``1/support`` candidates reach the driver); those rows take the
+      bucketed path, all other groups a plain window.  Groups below
+      ``tabsmith.prefix.hotGroupRows`` rows (default 1,000,000) are never
+      split.
     """
     group_cols = list(group_cols)
+    args = (order_cols, aggs, group_cols, inclusive, descending, n_buckets, with_totals)
+    if not group_cols or skew == "bucket":
+        return _bucketed_prefix(df, *args, bounds_from=bounds_from)
+    if skew == "window":
+        return _window_prefix(df, *args)
+    spark = df.sparkSession
+    threshold = int(spark.conf.get("tabsmith.prefix.hotGroupRows", str(HOT_GROUP_ROWS)))
+    n = df.count()
+    if n <= threshold:
+        return _window_prefix(df, *args)
+    support = min(1.0, max(threshold / n, MIN_SUPPORT))
+    gh = F.xxhash64(*[F.col(g) for g in group_cols])
+    cands = df.select(gh.alias("_gh")).stat.freqItems(["_gh"], support).first()[0]
+    if not cands:
+        return _window_prefix(df, *args)
+    hot = F.broadcast(spark.createDataFrame([(int(c),) for c in cands], "_gh long"))  # <= 1/support rows
+    tagged = df.withColumn("_gh", gh)
+    hot_rows = tagged.join(hot, "_gh", "left_semi").drop("_gh")
+    cold_rows = tagged.join(hot, "_gh", "left_anti").drop("_gh")
+    return _window_prefix(cold_rows, *args).unionByName(
+        _bucketed_prefix(hot_rows, *args, bounds_from=bounds_from))
+
+
+def _window_prefix(df: DataFrame, order_cols, aggs, group_cols, inclusive, descending, n_buckets,
+                   with_totals) -> DataFrame:
+    """Plain per-group windows, for groups small enough for one task."""
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    whole = Window.partitionBy(*group_cols)
+    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cols = []
+    for name, (func, v) in aggs.items():
+        v = F.col(v) if isinstance(v, str) else v
+        local = _local(func, v, frame)
+        cols.append((local if func != "count" else local.cast("long")).alias(name))
+    for name, (func, v) in (with_totals or {}).items():
+        v = F.col(v) if isinstance(v, str) else v
+        if func == "first":
+            cols.append(F.struct(F.first(v, ignorenulls=True).over(full).alias("v")).alias(name))
+        elif func == "count":
+            cols.append(F.count(v).over(whole).alias(name))
+        else:
+            cols.append({"sum": F.sum, "min": F.min, "max": F.max}[func](v).over(whole).alias(name))
+    return df.select("*", *cols)
+
+
+def _bucketed_prefix(df: DataFrame, order_cols: list[str],
+                     aggs: dict[str, tuple[str, Column | str]],
+                     group_cols: list[str] | tuple = (), inclusive: bool = False,
+                     descending: bool = False, n_buckets: int | None = None,
+                     with_totals: dict[str, tuple[str, Column | str]] | None = None,
+                     bounds_from: DataFrame | None = None) -> DataFrame:
+    """Bucketed prefix over ``(group, bucket)`` (see the module docstring)."""
+    group_cols = list(group_cols)
     spark = df.sparkSession
     n_buckets = min(n_buckets or default_buckets(spark), MAX_BUCKETS)
     key = numeric_key(df, order_cols[0])
@@ -210,17 +279,19 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
         *[data[c] for c in df.columns],
         *[_merge(func, _local(func, v, frame), F.col(f"_c_{name}")).alias(name)
           for name, (func, v) in values.items()],
-        *[F.col(name) for name in totals],
+        *[F.struct(F.col(name).getField("v").alias("v")).alias(name) if func in ("first", "last")
+          else F.col(name) for name, (func, _) in totals.items()],
     )
     return out
 
 
 def prefix_row_number(df: DataFrame, order_cols: list[str], group_cols=(), name: str = "row_number",
-                      n_buckets: int | None = None, with_count: str | None = None) -> DataFrame:
+                      n_buckets: int | None = None, with_count: str | None = None,
+                      skew: str = "detect") -> DataFrame:
     """0-based position of each row within its group in ``order_cols`` order."""
     totals = {with_count: ("count", F.lit(1))} if with_count else None
     return prefix_aggregate(df, order_cols, {name: ("count", F.lit(1))}, group_cols,
-                            inclusive=False, n_buckets=n_buckets, with_totals=totals)
+                            inclusive=False, n_buckets=n_buckets, with_totals=totals, skew=skew)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=(),
@@ -234,7 +305,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     group_cols = list(group_cols)
     names = names or [f"q{p}" for p in probs]
     base = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = prefix_row_number(base, ["_v"], group_cols, name="_r", n_buckets=n_buckets, with_count="_n")
+    # quantile groups are few and large (one per column or split): always bucket
+    ranked = prefix_row_number(base, ["_v"], group_cols, name="_r", n_buckets=n_buckets, with_count="_n",
+                               skew="bucket")
     pos = [(F.col("_n") - 1).cast("double") * F.lit(float(p)) for p in probs]
     lo = [F.floor(x).cast("long") for x in pos]
     hi = [F.ceil(x).cast("long") for x in pos]

@@ -37,7 +37,8 @@ def exact_split(df: DataFrame, key: str, test_size: float, val_size: float = 0.0
     u = hash_unit_interval(F.col(key), seed)
     d = df.withColumn("_u", u).withColumn("_k", F.col(key).cast("string"))
     groups = [stratify_by] if stratify_by else []
-    ranked = prefix_row_number(d, ["_u", "_k"], groups, name="_r", n_buckets=n_buckets, with_count="_n")
+    ranked = prefix_row_number(d, ["_u", "_k"], groups, name="_r", n_buckets=n_buckets, with_count="_n",
+                               skew="bucket")  # strata are few and large
     n = F.col("_n").cast("double")
     n_test = F.ceil(n * F.lit(float(test_size)))
     rem = F.col("_n") - n_test
@@ -70,7 +71,7 @@ def cv_folds(df: DataFrame, key: str, k: int, stratify_by: str | None = None, se
     if not stratify_by:
         return df.withColumn(out, F.least(F.floor(u * k), F.lit(k - 1)).cast("int"))
     d = df.withColumn("_u", u).withColumn("_k", F.col(key).cast("string"))
-    ranked = prefix_row_number(d, ["_u", "_k"], [stratify_by], name="_r", n_buckets=n_buckets)
+    ranked = prefix_row_number(d, ["_u", "_k"], [stratify_by], name="_r", n_buckets=n_buckets, skew="bucket")
     return ranked.withColumn(out, F.pmod(F.col("_r"), F.lit(k)).cast("int")).drop("_u", "_k", "_r")
 
 

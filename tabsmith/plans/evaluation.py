@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsmith.functions.hashing import hash_unit_interval
+from tabsmith.functions.scalar import residual, threshold_class
 from tabsmith.operators import drift, gates, metrics, profile, split, synth
 from tabsmith.operators.metrics import EPS64, linspace
 from tabsmith.plans.base import r6, register, round_to, sql_float, table
@@ -48,8 +49,9 @@ def _predictions(spark, d):
                   F.col("l_extendedprice").alias("score"), (F.col("l_extendedprice") / 1000).alias("y_reg"),
                   (F.col("l_quantity") * 1.5).alias("yhat_reg"))
     p = split.hash_split(p, "entity_key", TEST, VAL, SEED)
-    return p.withColumn("y_pred", (F.col("y_proba") >= 0.5).cast("int")) \
-        .withColumn("y_pred_b", (F.col("y_proba_b") >= 0.5).cast("int"))
+    t = metrics.resolve_threshold(None)  # M20: no stored threshold -> 0.5
+    return p.withColumn("y_pred", threshold_class("y_proba", t)) \
+        .withColumn("y_pred_b", threshold_class("y_proba_b", t))
 
 
 def _ge_sum(col: str, pts: list[float]) -> str:
@@ -166,7 +168,7 @@ def q_attribution_sample(spark, d):
 
 # ----------------------------------------------------------------- classification metrics
 
-@register("confusion", covers="A15", sql=f"""
+@register("confusion", covers="A15 X16 M20", sql=f"""
 WITH {PRED_CTE}
 SELECT split, count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
        count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp
@@ -212,7 +214,7 @@ def q_metrics_without_proba(spark, d):
     return m.select("split", r6("accuracy").alias("accuracy"), "roc_auc", "log_loss")
 
 
-@register("roc_auc", covers="M7", sql=f"""
+@register("roc_auc", covers="M7 W6", sql=f"""
 WITH {PRED_CTE},
 sc AS (SELECT split, score AS s, CAST(sum(y_true) AS BIGINT) AS pos, CAST(count(*) - sum(y_true) AS BIGINT) AS neg FROM ps GROUP BY 1, 2)
 SELECT split, round(CASE WHEN max(P) > 0 AND max(N) > 0 THEN
@@ -297,7 +299,7 @@ def q_best_f1(spark, d):
     return b.select("split", r6("best_threshold").alias("best_threshold"), r6("best_f1").alias("best_f1"))
 
 
-@register("regression_metrics", covers="M14 M15 M16 M17 M18", sql=f"""
+@register("regression_metrics", covers="M14 M15 M16 M17 M18 X17", sql=f"""
 WITH {PRED_CTE}
 SELECT split, count(*) AS n, round(avg(abs(y_reg - yhat_reg)), 6) AS mae,
   round(avg((y_reg - yhat_reg) * (y_reg - yhat_reg)), 6) AS mse,
@@ -423,7 +425,7 @@ def q_psi_categorical(spark, d):
     return drift.psi_categorical(drift.long_form(e, a, _TXT, True)).select("feature", r6("score").alias("score"))
 
 
-@register("ks", covers="D4", sql="\nUNION ALL\n".join(_ks_sql(c) for c in _KS))
+@register("ks", covers="D4 W5", sql="\nUNION ALL\n".join(_ks_sql(c) for c in _KS))
 def q_ks(spark, d):
     e, a = _sides(spark, d)
     return drift.ks_statistic(drift.long_form(e, a, _KS, False)).select("feature", r6("score").alias("score"))
@@ -432,7 +434,7 @@ def q_ks(spark, d):
 _SEV = "CASE WHEN score < 0.1 THEN 'low' WHEN score < 0.25 THEN 'moderate' WHEN score < 0.5 THEN 'high' ELSE 'severe' END"
 
 
-@register("drift_all", covers="D5 D6 D1 Q16", sql=f"""
+@register("drift_all", covers="D5 D6 D1 Q16 D10", sql=f"""
 SELECT feature, method, round(score, 6) AS score, {_SEV} AS severity FROM (
   {' UNION ALL '.join([f"SELECT feature, 'ks' AS method, score FROM ({_ks_sql(c).replace('round(max(abs(ce / E - ca / A)), 6)', 'max(abs(ce / E - ca / A))')})" for c in _KS]
                       + [f"SELECT feature, 'psi', score FROM ({_psi_num_sql(c).replace('round(sum((e - a) * ln(e / a)), 6)', 'sum((e - a) * ln(e / a))')})" for c in _PSI_NUM]

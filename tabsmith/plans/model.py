@@ -32,7 +32,7 @@ def q_train_score(spark, d):
                          F.col("prediction").cast("int").alias("y_pred"), "y_proba")
 
 
-@register("batch_inference", covers="L5 X12 P14 Q10")
+@register("batch_inference", covers="L5 X12 P14 Q10 Q14")
 def q_batch_inference(spark, d):
     t = _training_table(spark, d)
     model = ml.train(t.where("split = 'train'"), CAT, NUM, "label", maxIter=5, maxDepth=3)

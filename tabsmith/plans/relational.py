@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions import predicates, scalar, targets
 from tabsmith.functions.hashing import content_fingerprint, input_row_hash
 from tabsmith.operators import clean, features, joins, profile, quality, segment, synth
-from tabsmith.operators.keys import add_row_id
+from tabsmith.operators.keys import add_row_id_for, register_row_id_policy
 from tabsmith.plans.base import r6, register, round_to, table
 from tabsmith.sources.io import NULL_TOKENS, apply_null_tokens
 
@@ -122,7 +122,7 @@ def q_segment(spark, d):
 
 # ---------------------------------------------------------------- keys and hashes
 
-@register("row_id", covers="X10 W1 O3", sql="""
+@register("row_id", covers="X10 W1 O3 R4", sql="""
 WITH li AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus,
                    CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem),
 h AS (SELECT *, sha256(concat_ws('-', CAST(l_partkey AS VARCHAR), l_returnflag, l_linestatus)) AS base,
@@ -136,7 +136,8 @@ FROM h
 def q_row_id(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                             "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("l_shipdate"))
-    return add_row_id(li, ["l_partkey", "l_returnflag", "l_linestatus"]).select("l_orderkey", "l_linenumber", "row_id")
+    register_row_id_policy("lineitem", ["l_partkey", "l_returnflag", "l_linestatus"])
+    return add_row_id_for(li, "lineitem").select("l_orderkey", "l_linenumber", "row_id")
 
 
 @register("row_id_unique", covers="Q1 X10", sql="""
@@ -479,7 +480,7 @@ def _describe_sql(t: str, cols: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("profile", covers="A7 A9", sql=_describe_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"]))
+@register("profile", covers="A7 A8 A9", sql=_describe_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"]))
 def q_profile(spark, d):
     out = profile.describe(table(spark, d, "customer"))
     return out.select("column", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
@@ -673,3 +674,48 @@ def q_union_old(spark, d):
     new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"),
                                              F.col("s_acctbal").alias("c_acctbal"))
     return synth.union_old(old, new)
+
+
+@register("merge_all", covers="J3 J9 J1", sql="""
+SELECT c.c_custkey, c.c_nationkey, c.c_acctbal, n.n_name, n.n_regionkey, o.n_orders
+FROM customer c
+LEFT JOIN nation n ON c.c_nationkey IS NOT DISTINCT FROM n.n_nationkey
+LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o
+  ON c.c_custkey IS NOT DISTINCT FROM o.c_custkey
+""")
+def q_merge_all(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n_orders"))
+    # the orders aggregate shares no key with nation, so J3 puts it after customer in config order
+    return joins.merge_all([
+        {"name": "customer", "df": c, "keys": ["c_custkey", "c_nationkey"]},
+        {"name": "orders", "df": o, "keys": ["c_custkey"], "how": "left", "validate": "m:1"},
+        {"name": "nation", "df": n, "keys": ["c_nationkey"], "how": "left", "validate": "m:1"},
+    ]).select("c_custkey", "c_nationkey", "c_acctbal", "n_name", "n_regionkey", "n_orders")
+
+
+@register("eda_subsets", covers="F8 A9", sql=f"""
+SELECT count(*) FILTER (WHERE bal IS NULL) AS n_null_balance, count(*) FILTER (WHERE seg IS NULL) AS n_null_segment,
+       count(*) FILTER (WHERE bal IS NULL AND seg IS NULL) AS n_both_null,
+       count(*) FILTER (WHERE c_acctbal >= 0) AS n_non_negative
+FROM (SELECT c_acctbal, {_BAL} AS bal, {_SEG} AS seg FROM customer)
+""")
+def q_eda_subsets(spark, d):
+    c = table(spark, d, "customer").select("c_acctbal", F.expr(_BAL).alias("bal"), F.expr(_SEG).alias("seg"))
+    return c.agg(F.count_if(F.col("bal").isNull()).alias("n_null_balance"),
+                 F.count_if(F.col("seg").isNull()).alias("n_null_segment"),
+                 F.count_if(F.col("bal").isNull() & F.col("seg").isNull()).alias("n_both_null"),
+                 F.count_if(F.col("c_acctbal") >= 0).alias("n_non_negative"))
+
+
+@register("safe_numbers", covers="X19 Y5", sql=r"""
+SELECT event_id, TRY_CAST(regexp_extract(props, ':\s*([0-9]+)', 1) AS INTEGER) AS k,
+       TRY_CAST(event_type AS INTEGER) AS event_type_num
+FROM events
+""")
+def q_safe_numbers(spark, d):
+    e = table(spark, d, "events").select("event_id", F.regexp_extract("props", r":\s*([0-9]+)", 1).alias("k"),
+                                         F.col("event_type").alias("event_type_num"))
+    return synth.coerce_types(e, {"k": "int", "event_type_num": "int"})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions import scalar, targets
 from tabsmith.operators import features, segment, split
+from tabsmith.operators.prefix import prefix_aggregate
 from tabsmith.operators.prefix import exact_quantiles, prefix_row_number
 
 
@@ -34,13 +35,15 @@ def test_arrival_date(spark):
     assert got == [dt.date(2024, 2, 29), dt.date(2025, 12, 31), None, None]
 
 
-@pytest.mark.parametrize("n_buckets", [1, 3, 16])
-def test_pit_mean_reference_case(spark, n_buckets):
+@pytest.mark.parametrize("n_buckets,hot_rows", [(1, "0"), (3, "0"), (16, "0"), (16, "1000000")])
+def test_pit_mean_reference_case(spark, n_buckets, hot_rows):
+    spark.conf.set("tabsmith.prefix.hotGroupRows", hot_rows)
     df = spark.createDataFrame([("A", "2024-01-02", 20.0, 1), ("A", "2024-01-01", 10.0, 2),
                                 ("B", "2024-01-01", 30.0, 3), ("B", "2024-01-03", 50.0, 4)],
                                "hotel string, t string, adr double, id int").withColumn("t", F.to_date("t"))
     out = features.pit_feature(df, ["hotel"], "t", "adr", "mean", "f", ["id"], n_buckets=n_buckets)
     got = [r.f for r in out.orderBy("hotel", "t").collect()]
+    spark.conf.unset("tabsmith.prefix.hotGroupRows")
     assert got == [27.5, 10.0, 27.5, 30.0]
 
 
@@ -64,15 +67,20 @@ def test_fill_forward_backward_across_buckets(spark):
         assert got == expected
 
 
-def test_prefix_row_number_partition_invariant(spark):
+@pytest.mark.parametrize("skew", ["bucket", "window", "detect"])
+def test_prefix_row_number_partition_invariant(spark, skew):
     df = spark.range(0, 2000).withColumn("g", (F.col("id") % 3).cast("int")).withColumn("k", F.rand(7))
     ref = None
-    for parts in ("1", "7", "200"):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {r.id: r.rn for r in prefix_row_number(df, ["k", "id"], ["g"], name="rn").collect()}
-        ref = ref or got
-        assert got == ref
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("tabsmith.prefix.hotGroupRows", "0")  # every group counts as hot under "detect"
+    try:
+        for parts in ("1", "7", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.id: r.rn for r in prefix_row_number(df, ["k", "id"], ["g"], name="rn", skew=skew).collect()}
+            ref = ref or got
+            assert got == ref
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("tabsmith.prefix.hotGroupRows")
     assert sorted(v for k, v in ref.items() if k % 3 == 0) == list(range(667))
 
 
@@ -147,3 +155,21 @@ def test_hash_split_is_stable(spark):
     assert sorted(a.collect()) == sorted(b.collect())
     shares = {r.split: r.c for r in a.groupBy("split").count().withColumnRenamed("count", "c").collect()}
     assert 150 < shares["test"] < 250 and 50 < shares["val"] < 150
+
+
+def test_hot_group_split_matches_plain_window(spark):
+    """One key holding a third of the rows: the hot path must equal a plain window."""
+    from pyspark.sql import Window
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"),
+        (F.col("id") * 7919 % 3001).alias("t"), F.col("id").alias("id"), (F.col("id") % 11).cast("double").alias("v"))
+    spark.conf.set("tabsmith.prefix.hotGroupRows", "100")
+    try:
+        got = {r.id: (r.s, r.c) for r in prefix_aggregate(
+            df, ["t", "id"], {"s": ("sum", "v"), "c": ("count", F.lit(1))}, ["g"]).collect()}
+    finally:
+        spark.conf.unset("tabsmith.prefix.hotGroupRows")
+    w = Window.partitionBy("g").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    ref = {r.id: (r.s, r.c) for r in df.select("id", F.sum("v").over(w).alias("s"),
+                                                F.count(F.lit(1)).over(w).alias("c")).collect()}
+    assert got == ref
