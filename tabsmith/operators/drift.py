@@ -164,6 +164,18 @@ def drift_report(expected: DataFrame, actual: DataFrame, cols: list[str] | None
                       F.col("n_expected").cast("long"), F.col("n_actual").cast("long"))
 
 
+def validated(report: DataFrame) -> DataFrame:
+    """Q16 inside the plan: the query fails at execution when a score is out of
+    range, without running the report a second time."""
+    bad = (((F.col("method") == "ks") & ((F.col("score") < 0) | (F.col("score") > 1)))
+           | ((F.col("method") == "psi") & ((F.col("score") < 0) | F.isnan("score")
+                                             | (F.abs("score") == float("inf"))))
+           | F.col("score").isNull() | (F.col("n_expected") == 0) | (F.col("n_actual") == 0))
+    msg = F.concat(F.lit("invalid drift value for feature "), F.col("feature"))
+    return report.withColumn("score", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(msg))
+                             .otherwise(F.col("score")).cast("double"))
+
+
 def check_drift_values(report: DataFrame) -> None:
     """Q16: KS within [0, 1]; PSI non-negative and finite; a side with no values is an error."""
     bad = report.where(
@@ -208,6 +220,13 @@ def compare_stages(production: DataFrame, staging: DataFrame) -> DataFrame:
                     diff.alias("difference"), status.alias("status"))
 
 
+def validated_stages(cmp: DataFrame) -> DataFrame:
+    """D9 contract inside the plan: differing directions fail the query."""
+    bad = F.col("status").isin("direction_mismatch", "invalid_direction")
+    return cmp.withColumn("status", F.when(bad, F.raise_error(F.concat(F.lit("cannot compare metric "),
+                                                                      F.col("metric")))).otherwise(F.col("status")))
+
+
 def assert_stage_comparison(cmp: DataFrame) -> None:
     bad = cmp.where(F.col("status").isin("direction_mismatch", "invalid_direction")).limit(1).collect()
     if bad:

@@ -131,12 +131,14 @@ def feature_importances(model: PipelineModel, feature_names: list[str], spark, k
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str,
-                           key: str, n_buckets: int = 64, seed: int = 42) -> DataFrame:
+                           key: str, n_buckets: int | None = None, seed: int = 42) -> DataFrame:
     """L7 re-aimed: per feature, rotate its values by one position inside hash
     buckets (a ``lag`` over hash order within each bucket -- no global sort),
     re-score and report the AUC drop.  One scoring job per feature."""
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction")
     base = ev.evaluate(model.transform(df))
+    if n_buckets is None:  # rotation windows stay small as the table grows
+        n_buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     u = hash_unit_interval(F.col(key), seed)
     d = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * n_buckets))
     from pyspark.sql import Window

@@ -442,8 +442,7 @@ SELECT feature, method, round(score, 6) AS score, {_SEV} AS severity FROM (
 """)
 def q_drift_all(spark, d):
     e, a = _sides(spark, d)
-    rep = drift.drift_report(e, a, _NUM + _TXT)
-    drift.check_drift_values(rep)
+    rep = drift.validated(drift.drift_report(e, a, _NUM + _TXT))
     return rep.select("feature", "method", r6("score").alias("score"), "severity")
 
 
@@ -521,8 +520,7 @@ def q_stage_compare(spark, d):
     prod = _long_metrics(_cls_metrics(spark, d), "test").join(dirs, "metric").select("metric", "value", "direction")
     stag = _long_metrics(_cls_metrics(spark, d, "y_proba_b", "y_pred_b"), "test").join(dirs, "metric") \
         .select("metric", "value", "direction")
-    cmp = drift.compare_stages(prod, stag)
-    drift.assert_stage_comparison(cmp)
+    cmp = drift.validated_stages(drift.compare_stages(prod, stag))
     return cmp.select("metric", "direction", r6("production").alias("production"), r6("staging").alias("staging"),
                       r6("difference").alias("difference"), "status")
 

@@ -123,24 +123,30 @@ def write_arrow_ipc(df: DataFrame, path: str) -> DataFrame:
     import pyarrow as pa
 
     def write(batches):
-        import uuid
-
+        # one file per partition, named by partition id and published by an
+        # atomic rename: a retried or speculative attempt rewrites the same
+        # file instead of adding a duplicate ("_" files are hidden from readers)
         import pyarrow.fs as pafs
         import pyarrow.ipc as ipc
+        from pyspark import TaskContext
 
+        ctx = TaskContext.get()
+        pid, attempt = ctx.partitionId(), ctx.attemptNumber()
         fs, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.replace("file:", "", 1))
         fs.create_dir(root, recursive=True)
-        target = f"{root}/part-{uuid.uuid4().hex}.arrow"
+        target = f"{root}/part-{pid:05d}.arrow"
+        tmp = f"{root}/_tmp-{pid:05d}-{attempt}.arrow"
         it = iter(batches)
         first = next(it, None)
         if first is None:
             return
-        with fs.open_output_stream(target) as sink:
+        with fs.open_output_stream(tmp) as sink:
             writer = ipc.new_file(sink, first.schema)
             writer.write_batch(first)
             for b in it:
                 writer.write_batch(b)
             writer.close()
+        fs.move(tmp, target)
         yield pa.RecordBatch.from_pylist([{"path": target}])
 
     return df.mapInArrow(write, "path string")

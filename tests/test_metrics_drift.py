@@ -146,3 +146,13 @@ def test_latest_snapshot(spark):
     assert snapshots.get_latest_snapshot(cat.where(F.col("snapshot_id") != ids[2])) == ids[1]
     with pytest.raises(LookupError):
         snapshots.get_latest_snapshot(cat.where(F.lit(False)))
+
+
+def test_lazy_drift_validation_raises(spark):
+    bad = spark.createDataFrame([("f", "ks", 1.5, 10, 10)],
+                                "feature string, method string, score double, n_expected long, n_actual long")
+    with pytest.raises(Exception):
+        drift.validated(bad).collect()
+    ok = spark.createDataFrame([("f", "psi", 0.2, 10, 10)],
+                               "feature string, method string, score double, n_expected long, n_actual long")
+    assert drift.validated(ok).first().score == 0.2
