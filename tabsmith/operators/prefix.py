@@ -36,6 +36,11 @@ MIN_SUPPORT = 1e-4
 _BUCKET = "_pfx_bucket"
 
 
+def uniform_bounds(n_buckets: int) -> list[float]:
+    """Boundaries of ``n_buckets`` equal ranges of [0, 1) -- exact for a uniform hash."""
+    return [i / n_buckets for i in range(1, n_buckets)]
+
+
 def default_buckets(spark) -> int:
     """Scale the bucket count with the cluster's shuffle width."""
     try:
@@ -153,7 +158,8 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
                      group_cols: list[str] | tuple = (), inclusive: bool = False,
                      descending: bool = False, n_buckets: int | None = None,
                      with_totals: dict[str, tuple[str, Column | str]] | None = None,
-                     bounds_from: DataFrame | None = None, skew: str = "detect") -> DataFrame:
+                     bounds_from: DataFrame | None = None, skew: str = "detect",
+                     bounds: list[float] | None = None) -> DataFrame:
     """Add running aggregates over earlier rows of the same group.
 
     ``aggs`` maps an output name to ``(func, value)`` with func in
@@ -164,7 +170,8 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
     aggregates (``sum count min max first``) from the same pass.
     ``bounds_from`` is a cheaper source of the ordering column (for example the
     raw column before a reduction), so ``df`` is not computed twice; any source
-    with the same value range gives exact results.
+    with the same value range gives exact results.  ``bounds`` skips that pass
+    when the boundaries are known (e.g. a uniform hash in [0, 1)).
 
     ``skew`` decides how groups are laid out:
 
@@ -181,7 +188,7 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
     group_cols = list(group_cols)
     args = (order_cols, aggs, group_cols, inclusive, descending, n_buckets, with_totals)
     if not group_cols or skew == "bucket":
-        return _bucketed_prefix(df, *args, bounds_from=bounds_from)
+        return _bucketed_prefix(df, *args, bounds_from=bounds_from, bounds=bounds)
     if skew == "window":
         return _window_prefix(df, *args)
     spark = df.sparkSession
@@ -199,7 +206,7 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
     hot_rows = tagged.join(hot, "_gh", "left_semi").drop("_gh")
     cold_rows = tagged.join(hot, "_gh", "left_anti").drop("_gh")
     return _window_prefix(cold_rows, *args).unionByName(
-        _bucketed_prefix(hot_rows, *args, bounds_from=bounds_from))
+        _bucketed_prefix(hot_rows, *args, bounds_from=bounds_from, bounds=bounds))
 
 
 def _window_prefix(df: DataFrame, order_cols, aggs, group_cols, inclusive, descending, n_buckets,
@@ -231,7 +238,7 @@ def _bucketed_prefix(df: DataFrame, order_cols: list[str],
                      group_cols: list[str] | tuple = (), inclusive: bool = False,
                      descending: bool = False, n_buckets: int | None = None,
                      with_totals: dict[str, tuple[str, Column | str]] | None = None,
-                     bounds_from: DataFrame | None = None) -> DataFrame:
+                     bounds_from: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
     """Bucketed prefix over ``(group, bucket)`` (see the module docstring)."""
     group_cols = list(group_cols)
     spark = df.sparkSession
@@ -239,7 +246,9 @@ def _bucketed_prefix(df: DataFrame, order_cols: list[str],
     key = numeric_key(df, order_cols[0])
     if descending:
         key = -key
-    if bounds_from is not None:
+    if bounds is not None:
+        bounds = sorted(set(float(b) for b in bounds))
+    elif bounds_from is not None:
         src_key = numeric_key(bounds_from, order_cols[0])
         bounds = approx_bounds(bounds_from, -src_key if descending else src_key, n_buckets)
     else:
@@ -287,11 +296,11 @@ def _bucketed_prefix(df: DataFrame, order_cols: list[str],
 
 def prefix_row_number(df: DataFrame, order_cols: list[str], group_cols=(), name: str = "row_number",
                       n_buckets: int | None = None, with_count: str | None = None,
-                      skew: str = "detect") -> DataFrame:
+                      skew: str = "detect", bounds: list[float] | None = None) -> DataFrame:
     """0-based position of each row within its group in ``order_cols`` order."""
     totals = {with_count: ("count", F.lit(1))} if with_count else None
     return prefix_aggregate(df, order_cols, {name: ("count", F.lit(1))}, group_cols,
-                            inclusive=False, n_buckets=n_buckets, with_totals=totals, skew=skew)
+                            inclusive=False, n_buckets=n_buckets, with_totals=totals, skew=skew, bounds=bounds)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=(),
