@@ -13,11 +13,12 @@ def check_segment_values(df: DataFrame, filters: list[tuple]) -> None:
     (one aggregate for all filters)."""
     checks, earlier = [], F.lit(True)
     for i, (col, op, value) in enumerate(filters):
-        if op == "eq":
-            checks.append(F.max((earlier & predicate(col, "eq", value)).cast("int")).alias(f"c{i}"))
-        elif op == "in":
-            for j, v in enumerate(value):
-                checks.append(F.max((earlier & predicate(col, "eq", v)).cast("int")).alias(f"c{i}_{j}"))
+        if col not in df.columns:
+            raise ValueError(f"segmentation column {col} not found")
+        # like the reference: every configured value (for any operator) must occur
+        values = value if isinstance(value, (list, tuple, set)) else [value]
+        for j, v in enumerate(values):
+            checks.append(F.max((earlier & predicate(col, "eq", v)).cast("int")).alias(f"c{i}_{j}"))
         earlier = earlier & predicate(col, op, value)
     if not checks:
         return

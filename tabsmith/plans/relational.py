@@ -111,13 +111,13 @@ def q_predicates_all(spark, d):
 
 
 @register("segment", covers="F5 F6", sql="""
-SELECT c_custkey, c_name, c_acctbal FROM customer
-WHERE c_mktsegment = 'MACHINERY' AND c_nationkey IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
 """)
 def q_segment(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
-    return segment.apply_segmentation(c, [("c_mktsegment", "eq", "MACHINERY"),
-                                          ("c_nationkey", "in", list(range(1, 11)))])
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return segment.apply_segmentation(o, [("o_orderstatus", "eq", "F"),
+                                          ("o_orderpriority", "in", ["1-URGENT", "2-HIGH"])])
 
 
 # ---------------------------------------------------------------- keys and hashes
