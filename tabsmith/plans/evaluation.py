@@ -484,7 +484,7 @@ def _dir_sql() -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS metric, '{dd}' AS direction" for n, dd in DIRECTIONS)
 
 
-@register("performance_assessment", covers="D7 D8 J7", sql=f"""
+@register("performance_assessment", covers="D7 D8", sql=f"""
 WITH {PRED_CTE}, {_cls_base_sql('y_proba', 'y_pred')},
 lm AS ({_long_sql('cm')}), dirs AS ({_dir_sql()}),
 cur AS (SELECT metric, value AS current FROM lm WHERE split = 'test'),
@@ -495,8 +495,7 @@ SELECT cur.metric, dirs.direction, round(current, 6) AS current, round(expected,
 FROM cur JOIN ex ON cur.metric = ex.metric JOIN dirs ON cur.metric = dirs.metric
 """)
 def q_performance_assessment(spark, d):
-    m = _cls_metrics(spark, d)
-    lm = _long_metrics(m)
+    lm = _long_metrics(_cls_metrics(spark, d))
     cur = lm.where("split = 'test'").select("metric", F.col("value").alias("current"))
     exp = lm.where("split = 'train'").select("metric", F.col("value").alias("expected"))
     dirs = spark.createDataFrame(DIRECTIONS, "metric string, direction string")
@@ -665,3 +664,20 @@ def q_topk_importance(spark, d):
     long = e.select(F.concat(F.lit("f"), F.col("pos").cast("string")).alias("feature"), F.col("v").cast("double").alias("value"))
     imp = long.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
     return imp.orderBy(F.col("importance").desc(), "feature").limit(10).select("feature", r6("importance").alias("importance"))
+
+
+@register("ground_truth_join", covers="J7 D7 A15", sql="""
+SELECT p.split, count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
+       count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp
+FROM (SELECT o_orderkey AS entity_id, o_orderpriority AS split, CAST(o_totalprice > 250000 AS INTEGER) AS y_pred FROM orders) p
+JOIN (SELECT o_orderkey AS entity_id, CAST(o_orderstatus = 'F' AS INTEGER) AS y_true FROM orders) t ON p.entity_id = t.entity_id
+GROUP BY p.split
+""")
+def q_ground_truth_join(spark, d):
+    """Predictions carry no label; ground truth joins by the entity key (never by position)."""
+    from tabsmith.operators.joins import join_ground_truth
+    o = table(spark, d, "orders")
+    preds = o.select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderpriority").alias("split"),
+                     (F.col("o_totalprice") > 250000).cast("int").alias("y_pred"))
+    truth = o.select(F.col("o_orderkey").alias("entity_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y_true"))
+    return metrics.confusion_counts(join_ground_truth(preds, truth, "entity_id"), "y_true", "y_pred")

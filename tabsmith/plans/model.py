@@ -32,14 +32,20 @@ def q_train_score(spark, d):
                          F.col("prediction").cast("int").alias("y_pred"), "y_proba")
 
 
-@register("batch_inference", covers="L5 X12 P14 Q10 Q14")
+@register("batch_inference", covers="L5 X12 P14 Q10 Q14 S11")
 def q_batch_inference(spark, d):
     t = _training_table(spark, d)
     model = ml.train(t.where("split = 'train'"), CAT, NUM, "label", maxIter=5, maxDepth=3)
     feats = t.select("entity_key", *CAT, *NUM)
     out = ml.batch_predictions(model, feats, "entity_key", run_id="run-1", stage="staging", model_version="1")
     quality.check_prediction_columns(out)
-    return out.drop("prediction_id", "timestamp")
+    # L5 sink: partitioned by run and stage under the shared folder; S11 reads one stage back
+    from tabsmith.plans.storage import _scratch
+    from tabsmith.sources.io import load_predictions
+    path = _scratch(spark, "predictions")
+    out.write.partitionBy("run_id", "model_stage").parquet(path)
+    back = load_predictions(spark, path, "staging")
+    return back.drop("prediction_id", "timestamp")
 
 
 @register("search", covers="L3 L4 K5 A16")
@@ -48,11 +54,13 @@ def q_search(spark, d):
     fitted, draws = ml.random_search(t, CAT, NUM, "label", SPACE, n_iter=2, folds=2)
     rows = ml.cv_table(fitted, draws)
     best = draws[max(range(len(rows)), key=lambda i: rows[i][1])]
+    # L4: a second, narrow round around the broad round's best candidate
     narrow = ml.refine_space(best, {"maxDepth": [-1, 1]}, {"stepSize": [0.5, 2.0]},
                              {"maxDepth": (1, 10), "stepSize": (0.01, 1.0)})
-    out = [(i, str(draws[i]), m, s) for i, m, s in rows]
-    out.append((-1, str(narrow), None, None))
-    return spark.createDataFrame(out, "candidate int, params string, mean_score double, std_score double")
+    fitted2, draws2 = ml.random_search(t, CAT, NUM, "label", narrow, n_iter=2, folds=2, seed=43)
+    out = [("broad", i, str(draws[i]), m, s) for i, m, s in rows]
+    out += [("narrow", i, str(draws2[i]), m, s) for i, m, s in ml.cv_table(fitted2, draws2)]
+    return spark.createDataFrame(out, "round string, candidate int, params string, mean_score double, std_score double")
 
 
 @register("kmeans", covers="L8")
