@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
 
     Runs on the bucketed prefix, so a hot group is split across tasks.
     """
+    if callable(func):
+        return _pit_udf(df, group_cols, order_col, agg_col, func, name, tiebreak)
     if func not in PIT_FUNCS:
         raise ValueError(f"unsupported PIT aggregate {func!r}; use one of {PIT_FUNCS}")
     # decimal inputs keep exact sums, so the result does not depend on how
@@ -59,6 +61,19 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
     return pre.withColumn(name, filled.cast("double")).drop(*aggs)
 
 
+def _pit_udf(df: DataFrame, group_cols, order_col, agg_col, udf, name, tiebreak) -> DataFrame:
+    """R5 escape hatch: any grouped-aggregate ``pandas_udf`` over the earlier
+    rows of the group (Arrow batches, not row-at-a-time).  This path uses a
+    plain per-group window, so very large groups should prefer the built-in
+    aggregates, which are split across tasks."""
+    w = Window.partitionBy(*group_cols).orderBy(order_col, *tiebreak).rowsBetween(Window.unboundedPreceding, -1)
+    global_mean = df.agg(F.avg(F.col(agg_col).cast("double")).alias("m")).first()["m"]
+    hist = F.count(F.lit(1)).over(w)
+    val = udf(F.col(agg_col).cast("double")).over(w)
+    return df.withColumn(name, F.when(hist == 0, F.lit(global_mean))
+                         .otherwise(F.coalesce(val.cast("double"), F.lit(global_mean))))
+
+
 def fill_forward_backward(df: DataFrame, col: str, order_cols: list[str], group_cols=(),
                           out: str | None = None, n_buckets: int | None = None) -> DataFrame:
     """Forward fill then backward fill in ``order_cols`` order (global when

@@ -22,11 +22,16 @@ def _training_table(spark, d):
     return split.hash_split(t, "entity_key", 0.2, 0.1, 42)
 
 
-@register("train_score", covers="L1 L2 P15 M6 M20")
+@register("train_score", covers="L1 L2 P15 M6 M20 M22")
 def q_train_score(spark, d):
+    from tabsmith.operators import metrics
     t = _training_table(spark, d)
-    model = ml.train(t.where("split != 'test'").withColumn("is_val", F.col("split") == "val"),
-                     CAT, NUM, "label", maxIter=10, maxDepth=3, validation_col="is_val")
+    fit_rows = t.where("split != 'test'").withColumn("is_val", F.col("split") == "val")
+    # Balanced class weights from the training rows reach the learner as weightCol
+    weights = metrics.class_weights(metrics.class_stats(fit_rows.where("split = 'train'"), "label"), "balanced")
+    fit_rows = metrics.with_weights(fit_rows, "label", weights)
+    model = ml.train(fit_rows, CAT, NUM, "label", maxIter=10, maxDepth=3, validation_col="is_val",
+                     weight_col="weight")
     scored = ml.score(model, t)
     return scored.select("entity_key", "split", F.col("label").cast("int").alias("y_true"),
                          F.col("prediction").cast("int").alias("y_pred"), "y_proba")

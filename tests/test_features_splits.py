@@ -173,3 +173,16 @@ def test_hot_group_split_matches_plain_window(spark):
     ref = {r.id: (r.s, r.c) for r in df.select("id", F.sum("v").over(w).alias("s"),
                                                 F.count(F.lit(1)).over(w).alias("c")).collect()}
     assert got == ref
+
+
+def test_pit_with_pandas_aggregate(spark):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def median(v: pd.Series) -> float:
+        return float(v.median())
+
+    df = spark.createDataFrame([("A", 1, 10.0, 1), ("A", 2, 30.0, 2), ("A", 3, 20.0, 3), ("A", 4, 0.0, 4)],
+                               "g string, t int, v double, id int")
+    got = {r.id: r.f for r in features.pit_feature(df, ["g"], "t", "v", median, "f", ["id"]).collect()}
+    assert got == {1: 15.0, 2: 10.0, 3: 20.0, 4: 20.0}
