@@ -48,9 +48,22 @@ def feature_pipeline(categorical: list[str], numeric: list[str], label: str, tas
 
 
 def train(df: DataFrame, categorical: list[str], numeric: list[str], label: str,
-          task: str = "classification", **kw) -> PipelineModel:
-    """L2: fit on rows of the train split (and val rows for early stopping)."""
-    return feature_pipeline(categorical, numeric, label, task, **kw).fit(df)
+          task: str = "classification", persist_input: bool = False, **kw) -> PipelineModel:
+    """L2: fit on rows of the train split (and val rows for early stopping).
+
+    ``persist_input`` keeps the fit rows (memory, spilling to disk) only while
+    the stages fit, so the indexer and the learner do not recompute upstream
+    work; a lost block is recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+
+    if persist_input:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return feature_pipeline(categorical, numeric, label, task, **kw).fit(df)
+    finally:
+        if persist_input:
+            df.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, task: str = "classification") -> DataFrame:

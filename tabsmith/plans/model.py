@@ -26,12 +26,17 @@ def _training_table(spark, d):
 def q_train_score(spark, d):
     from tabsmith.operators import metrics
     t = _training_table(spark, d)
-    fit_rows = t.where("split != 'test'").withColumn("is_val", F.col("split") == "val")
-    # Balanced class weights from the training rows reach the learner as weightCol
-    weights = metrics.class_weights(metrics.class_stats(fit_rows.where("split = 'train'"), "label"), "balanced")
-    fit_rows = metrics.with_weights(fit_rows, "label", weights)
-    model = ml.train(fit_rows, CAT, NUM, "label", maxIter=10, maxDepth=3, validation_col="is_val",
-                     weight_col="weight")
+    from pyspark import StorageLevel
+    # kept only while fitting: class statistics, the indexer and the learner all read it
+    fit_rows = t.where("split != 'test'").withColumn("is_val", F.col("split") == "val") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # Balanced class weights from the training rows reach the learner as weightCol
+        weights = metrics.class_weights(metrics.class_stats(fit_rows.where("split = 'train'"), "label"), "balanced")
+        model = ml.train(metrics.with_weights(fit_rows, "label", weights), CAT, NUM, "label", maxIter=10,
+                         maxDepth=3, validation_col="is_val", weight_col="weight")
+    finally:
+        fit_rows.unpersist()
     scored = ml.score(model, t)
     return scored.select("entity_key", "split", F.col("label").cast("int").alias("y_true"),
                          F.col("prediction").cast("int").alias("y_pred"), "y_proba")
