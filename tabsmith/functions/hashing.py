@@ -59,6 +59,15 @@ def fingerprint_exprs(df: DataFrame) -> list[Column]:
     ]
 
 
+def portable_fingerprint(df: DataFrame) -> DataFrame:
+    """X14, reproducible outside Spark: row count and the sum of the first 60
+    bits of each row's SHA-256 (canonical text as in :func:`input_row_hash`),
+    as a decimal string.  Order-free and mergeable."""
+    text = F.concat_ws("|", *[_text(df, c, "NULL", "%.9e") for c in df.columns])
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("sum_sha"))
+
+
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """X14 as a one-row table (one aggregate pass)."""
     return df.agg(*fingerprint_exprs(df))

@@ -160,6 +160,16 @@ def q_input_hash(spark, d):
     return o.select("o_orderkey", input_row_hash(o, exclude=["o_orderkey"]).alias("input_hash"))
 
 
+@register("fingerprint_portable", covers="X14 S12 Q8", sql="""
+SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name,
+       CAST(c_nationkey AS VARCHAR), printf('%.9e', c_acctbal), c_mktsegment)), 1, 15)) AS BIGINT)) AS VARCHAR) AS sum_sha
+FROM customer
+""")
+def q_fingerprint_portable(spark, d):
+    from tabsmith.functions.hashing import portable_fingerprint
+    return portable_fingerprint(table(spark, d, "customer"))
+
+
 @register("fingerprint", covers="X14 S12")
 def q_fingerprint(spark, d):
     return content_fingerprint(table(spark, d, "customer"))

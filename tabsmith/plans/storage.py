@@ -121,7 +121,18 @@ def q_arrow_roundtrip(spark, d):
 
 # ---------------------------------------------------------------- prediction and report sinks
 
-@register("predictions_sink", covers="S5 S11 O1", sql=None)
+def _pred_sink_sql():
+    from tabsmith.plans.evaluation import PRED_CTE
+    return f"WITH {PRED_CTE}\nSELECT entity_key, split, y_true, y_pred, y_proba FROM ps WHERE split = 'test'"
+
+
+def _metrics_sql():
+    from tabsmith.plans.evaluation import q_classification_metrics  # noqa: F401  (registers it first)
+    from tabsmith.plans.base import ORACLE
+    return ORACLE["classification_metrics"]
+
+
+@register("predictions_sink", covers="S5 S11 O1", sql=_pred_sink_sql())
 def q_predictions_sink(spark, d):
     from tabsmith.plans.evaluation import _predictions
 
@@ -131,7 +142,7 @@ def q_predictions_sink(spark, d):
     return spark.read.parquet(path).where(F.col("split") == "test")
 
 
-@register("metrics_csv", covers="S6 M6", sql=None)
+@register("metrics_csv", covers="S6 M6", sql=_metrics_sql())
 def q_metrics_csv(spark, d):
     from tabsmith.plans.evaluation import q_classification_metrics
 
