@@ -89,7 +89,7 @@ def read_arrow_ipc(spark: SparkSession, path: str, schema: T.StructType | None =
 
         for batch in batches:
             for p in batch.column("path").to_pylist():
-                uri = p if "://" in p else "file://" + p.replace("file:", "", 1)
+                uri = p.replace("s3a://", "s3://", 1) if "://" in p else "file://" + p.replace("file:", "", 1)
                 fs, local = pafs.FileSystem.from_uri(uri)
                 reader = ipc.open_file(fs.open_input_file(local))
                 for i in range(reader.num_record_batches):
@@ -132,7 +132,8 @@ def write_arrow_ipc(df: DataFrame, path: str) -> DataFrame:
 
         ctx = TaskContext.get()
         pid, attempt = ctx.partitionId(), ctx.attemptNumber()
-        fs, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.replace("file:", "", 1))
+        uri = path.replace("s3a://", "s3://", 1) if "://" in path else "file://" + path.replace("file:", "", 1)
+        fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
         target = f"{root}/part-{pid:05d}.arrow"
         tmp = f"{root}/_tmp-{pid:05d}-{attempt}.arrow"

@@ -6,8 +6,6 @@ timestamp shaped ``YYYY-MM-DDTHH-MM-SS``) and optional ``name``/``version``.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,16 +40,26 @@ def latest_snapshots(catalog: DataFrame, by: list[str] | tuple = ("name", "versi
     )
 
 
-def list_snapshot_dirs(spark: SparkSession, base: str, depth: int = 3) -> DataFrame:
-    """Catalog of ``base/name/version/snapshot_id`` folders (directory metadata only)."""
+def _list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Sub-directory names through Hadoop's FileSystem (HDFS, S3, GCS, local)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
+
+
+def list_snapshot_dirs(spark: SparkSession, base: str) -> DataFrame:
+    """S9 input: catalog of ``base/name/version/snapshot_id`` folders.
+
+    Directory metadata only (one row per snapshot) is listed on the driver.
+    """
     rows = []
-    if depth == 3:
-        for name in sorted(os.listdir(base)):
-            for version in sorted(os.listdir(os.path.join(base, name))):
-                vdir = os.path.join(base, name, version)
-                for sid in sorted(os.listdir(vdir)):
-                    if os.path.isdir(os.path.join(vdir, sid)):
-                        rows.append((name, version, sid))
+    for name in _list_dirs(spark, base):
+        for version in _list_dirs(spark, f"{base.rstrip('/')}/{name}"):
+            for sid in _list_dirs(spark, f"{base.rstrip('/')}/{name}/{version}"):
+                rows.append((name, version, sid))
     return spark.createDataFrame(rows, "name string, version string, snapshot_id string")
 
 

@@ -156,3 +156,12 @@ def test_lazy_drift_validation_raises(spark):
     ok = spark.createDataFrame([("f", "psi", 0.2, 10, 10)],
                                "feature string, method string, score double, n_expected long, n_actual long")
     assert drift.validated(ok).first().score == 0.2
+
+
+def test_snapshot_directory_catalog(spark, tmp_path):
+    for name, version, sid in [("a", "v1", "2026-01-01T00-00-00_aaaa0000"), ("a", "v1", "2026-02-01T00-00-00_bbbb0000"),
+                               ("a", "v2", "bad"), ("b", "v1", "2026-03-01T00-00-00_cccc0000")]:
+        (tmp_path / name / version / sid).mkdir(parents=True)
+    cat = snapshots.list_snapshot_dirs(spark, str(tmp_path))
+    latest = {(r.name, r.version): r.latest_snapshot for r in snapshots.latest_snapshots(cat).collect()}
+    assert latest == {("a", "v1"): "2026-02-01T00-00-00_bbbb0000", ("b", "v1"): "2026-03-01T00-00-00_cccc0000"}
