@@ -126,8 +126,9 @@ def merge_all(datasets: list[dict]) -> DataFrame:
 
 def assemble_feature_sets(sets: dict[str, DataFrame], entity_key: str, validate: bool = True) -> DataFrame:
     """Feature sets sorted by name, inner 1:1 joins on the entity key,
-    overlapping columns keep the left copy.  Snapshots written with
-    ``persist_feature_snapshot(bucket_by=entity_key)`` arrive co-partitioned."""
+    overlapping columns keep the left copy.  Each join shuffles on the entity
+    key; consecutive joins on the same key reuse that partitioning, so k sets
+    cost k shuffles, not k^2."""
     names = sorted(sets)
     out = sets[names[0]]
     if validate:

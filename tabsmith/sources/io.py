@@ -181,9 +181,10 @@ def persist_feature_snapshot(df: DataFrame, store: str, name: str, version: str,
                              n_buckets: int | None = None) -> str:
     """Immutable snapshot; writing over an existing one is an error.
 
-    With ``bucket_by`` the rows are hash-partitioned by the entity key before
-    the write (sorted within files), so later 1:1 assembly joins read
-    co-partitioned inputs.
+    With ``bucket_by`` the rows are hash-partitioned by the entity key and
+    sorted within files before the write: row groups then carry tight min/max
+    statistics on the key (pruning) and compress better.  This is not a Spark
+    bucket spec (that needs a catalog table), so assembly joins still shuffle.
     """
     path = os.path.join(snapshot_path(store, name, version, snapshot_id), "features.parquet")
     out = df
