@@ -7,9 +7,10 @@ exact splits) are instead computed in four steps:
 
 1. a bounded number of range boundaries over the ordering column is taken
    from ``percentile_approx`` (one mergeable pass; at most ``n_buckets - 1``
-   numbers reach the driver);
+   numbers reach the driver, ``n_buckets`` <= 4096);
 2. every row gets ``bucket = number of boundaries <= key`` (a balanced
-   ``CASE`` tree, so it stays inside whole-stage codegen);
+   ``CASE`` tree inside whole-stage codegen, or the JVM ``Bucketizer``'s
+   binary search for more than 255 boundaries);
 3. per ``(group, bucket)`` partial aggregates are reduced with map-side
    combine, and an exclusive running combine over the buckets of each group
    gives the carry-in of every bucket (at most ``n_buckets`` rows per group);
@@ -30,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 512
+MAX_BUCKETS = 4096
+CASE_TREE_MAX = 255  # above this many boundaries the JVM Bucketizer does the search
 HOT_GROUP_ROWS = 1_000_000
 MIN_SUPPORT = 1e-4
 _BUCKET = "_pfx_bucket"
@@ -50,6 +52,24 @@ def default_buckets(spark) -> int:
     return max(16, min(MAX_BUCKETS, n))
 
 
+def with_bucket(df: DataFrame, key: Column, bounds: list[float], out: str) -> DataFrame:
+    """Add ``out`` = number of ``bounds`` <= key (null key -> 0).
+
+    Up to ``CASE_TREE_MAX`` boundaries a balanced ``CASE`` tree keeps the
+    expression inside whole-stage codegen; beyond that Spark ML's
+    ``Bucketizer`` (a JVM binary search, no Python) assigns the bucket.
+    """
+    if len(bounds) <= CASE_TREE_MAX:
+        return df.withColumn(out, bucket_of(key, bounds))
+    from pyspark.ml.feature import Bucketizer
+
+    tmp = f"{out}__key"
+    splits = [float("-inf"), *bounds, float("inf")]
+    staged = df.withColumn(tmp, F.coalesce(key.cast("double"), F.lit(float("-inf"))))
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return b.transform(staged).withColumn(out, F.col(out).cast("int")).drop(tmp)
+
+
 def numeric_key(df: DataFrame, col: str) -> Column:
     """A monotone (non-decreasing) double image of an orderable column."""
     dtype = df.schema[col].dataType
@@ -79,6 +99,7 @@ def approx_bounds(df: DataFrame, key: Column, n_buckets: int,
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
+    accuracy = max(accuracy, 10 * n_buckets)  # rank error well below one bucket
     row = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()
     vals = row["b"] if row is not None and row["b"] is not None else []
     return sorted({float(v) for v in vals if v is not None and not math.isnan(v)})
@@ -253,7 +274,7 @@ def _bucketed_prefix(df: DataFrame, order_cols: list[str],
         bounds = approx_bounds(bounds_from, -src_key if descending else src_key, n_buckets)
     else:
         bounds = approx_bounds(df, key, n_buckets)
-    data = df.withColumn(_BUCKET, bucket_of(key, bounds))
+    data = with_bucket(df, key, bounds, _BUCKET)
 
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     order_struct = ([(-numeric_key(df, c)).alias(f"_k{i}") for i, c in enumerate(order_cols)]

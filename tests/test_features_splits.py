@@ -186,3 +186,14 @@ def test_pit_with_pandas_aggregate(spark):
                                "g string, t int, v double, id int")
     got = {r.id: r.f for r in features.pit_feature(df, ["g"], "t", "v", median, "f", ["id"]).collect()}
     assert got == {1: 15.0, 2: 10.0, 3: 20.0, 4: 20.0}
+
+
+def test_many_buckets_use_bucketizer(spark):
+    """More than 255 boundaries switch to the JVM bucketizer; results stay exact."""
+    from pyspark.sql import Window
+    df = spark.range(0, 6000).select(F.col("id"), (F.col("id") * 7919 % 6007).cast("double").alias("t"),
+                                     (F.col("id") % 13).cast("double").alias("v"))
+    got = {r.id: r.s for r in prefix_aggregate(df, ["t", "id"], {"s": ("sum", "v")}, n_buckets=900).collect()}
+    w = Window.orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    ref = {r.id: r.s for r in df.select("id", F.sum("v").over(w).alias("s")).collect()}
+    assert got == ref
