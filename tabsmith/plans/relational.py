@@ -729,3 +729,24 @@ def q_safe_numbers(spark, d):
     e = table(spark, d, "events").select("event_id", F.regexp_extract("props", r":\s*([0-9]+)", 1).alias("k"),
                                          F.col("event_type").alias("event_type_num"))
     return synth.coerce_types(e, {"k": "int", "event_type_num": "int"})
+
+
+@register("footprint_documents", covers="A13 S12", sql="""
+SELECT CAST(sum(strlen(text)) + sum(strlen(lang)) + sum(strlen(source)) + 8 * count(doc_id) + 8 * count(n_chars) AS BIGINT)
+       AS logical_bytes, count(*) AS n_rows
+FROM documents
+""")
+def q_footprint_documents(spark, d):
+    """Logical size of the document table, whole texts included."""
+    return profile.footprint(table(spark, d, "documents"))
+
+
+@register("null_report_documents", covers="A9 Q15", sql="""
+SELECT 'doc_id' AS "column", CAST(count(*) - count(doc_id) AS BIGINT) AS n_null FROM documents
+UNION ALL SELECT 'text', CAST(count(*) - count(text) AS BIGINT) FROM documents
+UNION ALL SELECT 'lang', CAST(count(*) - count(lang) AS BIGINT) FROM documents
+UNION ALL SELECT 'source', CAST(count(*) - count(source) AS BIGINT) FROM documents
+UNION ALL SELECT 'n_chars', CAST(count(*) - count(n_chars) AS BIGINT) FROM documents
+""")
+def q_null_report_documents(spark, d):
+    return profile.null_report(table(spark, d, "documents"))
