@@ -85,7 +85,11 @@ def enforce_schema(df: DataFrame, spec: SchemaSpec) -> DataFrame:
             int_cols.append(n)
     out = df.select(*exprs)
     if spec.int_nulls == "drop" and int_cols:
-        out = out.dropna(subset=int_cols)
+        # explicit IS NOT NULL (rather than dropna) so Parquet receives the filter
+        keep = F.lit(True)
+        for c in int_cols:
+            keep = keep & F.col(f"`{c}`").isNotNull()
+        out = out.where(keep)
     return out
 
 

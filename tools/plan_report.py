@@ -33,7 +33,7 @@ def summarize(plan: str) -> dict:
         "broadcast": sum(1 for l in lines if "BroadcastExchange" in l),
         "nested_loop": sum(1 for l in lines if "BroadcastNestedLoopJoin" in l or "CartesianProduct" in l),
         "python": sum(1 for l in lines if re.search(r"(ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas|FlatMapGroupsInPandas)", l)),
-        "pushed": any(re.search(r"PushedFilters: \[[^\]]+\]", l) for l in lines),
+        "pushed": any(re.search(r"PushedFilters: \[(?!\])", l) for l in lines),
     }
 
 
