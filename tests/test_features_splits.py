@@ -197,3 +197,16 @@ def test_many_buckets_use_bucketizer(spark):
     w = Window.orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
     ref = {r.id: r.s for r in df.select("id", F.sum("v").over(w).alias("s")).collect()}
     assert got == ref
+
+
+def test_bucket_assignment_matches_bisect(spark):
+    import bisect
+
+    from tabsmith.operators.prefix import with_bucket
+    for n in (10, 300):  # CASE tree, then the JVM bucketizer
+        bounds = [float(i * 3) for i in range(1, n + 1)]
+        keys = [None, -5.0, 0.0, 3.0, 4.5, 6.0, float(n * 3), float(n * 3) + 1.0, 29.9999, 30.0]
+        df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k double")
+        got = {r.i: r.b for r in with_bucket(df, F.col("k"), bounds, "b").collect()}
+        exp = {i: (0 if k is None else bisect.bisect_right(bounds, k)) for i, k in enumerate(keys)}
+        assert got == exp, n
