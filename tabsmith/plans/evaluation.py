@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.functions.hashing import hash_unit_interval
-from tabsmith.functions.scalar import residual, threshold_class
-from tabsmith.operators import drift, gates, metrics, profile, split, synth
+from tabsmith.functions.scalar import threshold_class
+from tabsmith.operators import drift, gates, metrics, split, synth
 from tabsmith.operators.metrics import EPS64, linspace
-from tabsmith.plans.base import r6, register, round_to, sql_float, table
+from tabsmith.plans.base import r6, register, sql_float, table
 from tabsmith.sources import snapshots
 
 SEED = 42

@@ -1,7 +1,6 @@
 """Cleaning, keys and joins: literal cases of the reference's unit tests plus null-key cases."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tabsmith.operators import clean, joins
 from tabsmith.operators.keys import add_row_id
