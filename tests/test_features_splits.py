@@ -210,3 +210,16 @@ def test_bucket_assignment_matches_bisect(spark):
         got = {r.i: r.b for r in with_bucket(df, F.col("k"), bounds, "b").collect()}
         exp = {i: (0 if k is None else bisect.bisect_right(bounds, k)) for i, k in enumerate(keys)}
         assert got == exp, n
+
+
+def test_hot_key_rows_spread_over_buckets(spark):
+    """A key holding a third of all rows is cut into range buckets of even size."""
+    from tabsmith.operators.prefix import approx_bounds, numeric_key, with_bucket
+    n, nb = 30000, 16
+    df = spark.range(0, n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"),
+                                  (F.col("id") * 7919 % 30011).cast("double").alias("t"))
+    hot = df.where("g = 'hot'")
+    key = numeric_key(hot, "t")
+    b = with_bucket(hot, key, approx_bounds(hot, key, nb), "b")
+    sizes = [r["count"] for r in b.groupBy("b").count().collect()]
+    assert len(sizes) == nb and max(sizes) <= 2 * (n / 3) / nb
