@@ -36,11 +36,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (tests, a laptop) do we pick our own
-    folder; on a cluster the setting must point at shared storage.
+    Only in local mode (tests, a laptop), where driver and executors are one
+    process, do we pick a folder of our own; a cluster must name a shared one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,12 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    target = configured or fallback or tempfile.mkdtemp(prefix="tabsmith-ckpt-")
-    sc.setCheckpointDir(target)
+    if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tabsmith-ckpt-"))
     return sc.getCheckpointDir()
-
-
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
