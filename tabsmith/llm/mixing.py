@@ -81,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     bound = plan.select("_key", "_rem", F.lit(0).cast("long").alias("_at"), F.lit(0).cast("long").alias("_base"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = d.withColumn("_at", F.shiftright("_h", shift + BITS)).join(
+        inside = d if level == 0 else d.withColumn("_at", F.shiftright("_h", shift + BITS)).join(
             bound.select("_key", "_at"), ["_key", "_at"], "left_semi")
         hist = inside.groupBy("_key", F.shiftright("_h", shift).alias("_b")).agg(F.sum("size").alias("_words"))
         run = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)

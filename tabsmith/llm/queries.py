@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import exact_dedup, mixing, url_filter
-from tabsmith.llm.common import table
+from tabsmith.llm import bpe, exact_dedup, mixing, url_filter, wavelet
+from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,18 @@ SELECT doc_id, size, source_size, target, CAST(copies AS INTEGER) AS copies, CAS
 """)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@register("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe.read_spec(tokenizer_path("word_bpe_49k.json"))
+    return bpe.digest(table(spark, sf_dir, "documents"), spec)
+
+
+@register("op7_token_ids")
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("byte_bpe_50k.json"), "rb") as f:
+        spec = f.read()
+    path = scratch(spark, "token-ids")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, spec, end_id=2)
+    return wavelet.checksums(spark, path)
