@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, exact_dedup, mixing, url_filter, wavelet
+from tabsmith.llm import bpe, exact_dedup, minhash_join, mixing, url_filter, wavelet
 from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
     wavelet.write_shards(table(spark, sf_dir, "documents"), path, spec, end_id=2)
     return wavelet.checksums(spark, path)
+
+
+@register("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_dedup(table(spark, sf_dir, "documents"), k=2)
