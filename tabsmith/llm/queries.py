@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, exact_dedup, minhash_join, mixing, url_filter, wavelet
+from tabsmith.llm import bpe, exact_dedup, langid, minhash_join, mixing, quality, url_filter, wavelet
 from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,19 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_minhash_near_dedup")
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_dedup(table(spark, sf_dir, "documents"), k=2)
+
+
+@register("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every page; the text model comes from all labelled documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = docs.select("doc_id", none.alias("page_id"), *[c.alias(n) for n, c in langid.document_evidence(docs).items()])
+    rows = rows.unionByName(pages.select(none.alias("doc_id"), "page_id",
+                                         *[c.alias(n) for n, c in langid.page_evidence(pages).items()]))
+    return langid.identify(rows, langid.train(docs), ["doc_id", "page_id"])
