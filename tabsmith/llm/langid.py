@@ -61,15 +61,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     labelled = docs.where(F.col(lang_col).isin(names)).select(text_of(text_col).alias("t"), F.col(lang_col).alias("l"))
     sums = labelled.mapInArrow(count, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(names), CODES))
-    for r in [sums.toPandas()]:
-        counts[r["lang"], r["code"]] = r["n"]
+    r = sums.toPandas()
+    counts[r["lang"], r["code"]] = r["n"]
     counts += 0.5
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def likelihood(model: np.ndarray):
-    """A column function: text -> log likelihoods of the languages and of ``und``."""
+    """A column function: text -> log likelihoods of the languages and of ``und``, then
+    their posteriors with a flat prior."""
     table = np.concatenate([model, np.full((1, CODES), -np.log(CODES), np.float32)]).T.copy()
+    flat = np.log(np.array([(1 - OTHER_PRIOR) / len(model)] * len(model) + [OTHER_PRIOR]))
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
@@ -77,20 +79,14 @@ def likelihood(model: np.ndarray):
         for t in texts:
             codes = trigram_codes(t)
             n = len(codes)
-            out.append(table[codes].sum(axis=0, dtype=np.float64) * (min(n, EVIDENCE) / n) if n else
-                       np.zeros(table.shape[1]))
+            ll = table[codes].sum(axis=0, dtype=np.float64) * (min(n, EVIDENCE) / n) if n else np.zeros(len(flat))
+            e = np.exp(ll + flat - (ll + flat).max())
+            out.append(np.concatenate([ll, e / e.sum()]))
         return pd.Series(out, dtype=object)
 
     return run
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
-    e = [F.exp(s - top) for s in scores]
-    total = sum(e[1:], e[0])
-    return [x / total for x in e]
-
-
 def identify(rows: DataFrame, model: np.ndarray, keys: Sequence[str], text_col: str = "text",
              declared_col: str = "declared", suffix_col: str = "suffix", host_col: str = "host",
              languages: Sequence[str] = LANGUAGES) -> DataFrame:
@@ -108,9 +104,7 @@ def identify(rows: DataFrame, model: np.ndarray, keys: Sequence[str], text_col:
                     F.regexp_extract(F.lower(F.coalesce(F.col(declared_col), F.lit(""))), "^([a-z]*)", 1).alias("declared"),
                     likelihood(model)(text_of(text_col)).alias("ll"))
     d = cut(d)
-    flat = [F.lit(float(np.log(OTHER_PRIOR if c == "und" else (1 - OTHER_PRIOR) / len(languages)))) for c in names]
-    own = _softmax([F.col("ll")[k] + flat[k] for k in range(len(names))])
-    d = d.withColumns({f"p{k}": p for k, p in enumerate(own)})
+    d = d.withColumns({f"p{k}": F.col("ll")[len(names) + k] for k in range(len(names))})
     sums = [F.sum(f"p{k}").alias(f"h{k}") for k in range(len(names))]
     hosts = cut(d.groupBy("suffix", "host").agg(*sums))
     suffixes = cut(hosts.groupBy("suffix").agg(*[F.sum(f"h{k}").alias(f"s{k}") for k in range(len(names))]))
@@ -128,13 +122,15 @@ def identify(rows: DataFrame, model: np.ndarray, keys: Sequence[str], text_col:
         right = F.when(F.col("declared") == c, DECLARED_RIGHT).otherwise((1 - DECLARED_RIGHT) / (len(languages) - 1))
         said = F.when(F.col("declared").isin(list(languages)), F.log(right)).otherwise(0.0)
         score.append(F.col("ll")[k] + F.log(F.greatest(of_host, F.lit(1e-9))) + said)
-    post = _softmax(score)
-    best = lambda ps: F.sort_array(F.array(*[F.struct((-p).alias("m"), F.lit(c).alias("l")) for p, c in zip(ps, names)]))[0]
-    out = j.select("key.*", best(post).alias("_best"), best([F.col(f"p{k}") for k in range(len(names))]).alias("_own"),
-                   "declared")
-    return out.select(*keys, F.col("_best.l").alias("language"), (-F.col("_best.m")).alias("probability"),
-                      F.col("_own.l").alias("text_language"), F.nullif("declared", F.lit("")).alias("declared"),
-                      ((F.col("_best.l") != "und") & (-F.col("_best.m") >= MIN_PROBABILITY)).alias("accepted"))
+    j = j.select("key", "declared", F.array(*score).alias("score"),
+                 F.slice("ll", len(names) + 1, len(names)).alias("own"))
+    j = j.withColumn("top", F.array_max("score"))
+    first = lambda c, top: F.get(F.array(*map(F.lit, names)), F.array_position(c, top).cast("int") - 1)
+    total = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    j = j.select("key.*", first(F.col("score"), F.col("top")).alias("language"), (1 / total).alias("probability"),
+                 first(F.col("own"), F.array_max("own")).alias("text_language"),
+                 F.nullif("declared", F.lit("")).alias("declared"))
+    return j.withColumn("accepted", (F.col("language") != "und") & (F.col("probability") >= MIN_PROBABILITY))
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> dict[str, Column]:
