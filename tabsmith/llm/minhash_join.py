@@ -13,6 +13,11 @@ a large group of near copies is then one labelled class, and only rows of differ
 classes still have to be compared.  So a node of one class is done, one with a large
 class and few other rows is small, and no group is expanded into all its pairs.
 
+A large node most of whose rows resemble its pivot without being linked (far copies of
+one text) would not come apart by splitting.  Its rows are compared by blocks: two
+blocks of bounded size meet in a task, which counts all intersections at once as a
+matrix product of full sets and returns a spanning forest of the links found.
+
 Candidates must agree in a 64-nibble sketch of the signature (a pair of similarity
 0.8 fails with a probability below 1e-4) and in size, and are confirmed on the full
 sets.  Documents of equal sets are one document throughout.
@@ -23,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,8 +39,10 @@ from tabsmith.llm.components import components
 
 FUNCTIONS = 64
 TREES, BRANCHING = 4, 2
-LEAF = 32  # comparisons for each row of a node that is compared exhaustively
+LEAF = 64  # comparisons for each row of a node that is compared exhaustively
 MAX_LEVELS = 16
+BLOCK_ROWS, BLOCK_SHINGLES = 1200, 1_500_000  # of a block; two blocks meet in a task
+RESEMBLE = 40  # nibbles in which a row may differ from a pivot that it resembles (similarity about 1/3)
 #: Nibbles (of 64) that may differ: similarity 0.8 gives 12 on average, deviation 3.1.
 SKETCH_DIFFER = 25
 WORDS_KNOWN = 300_000
@@ -159,6 +167,15 @@ def _children(rows: DataFrame, sigs: DataFrame | None, level: int) -> DataFrame:
     return rows.select("tree", F.explode(F.array(*kids)).alias("node"), *POINT)
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """``id, label``: two steps towards the smallest id around.  Equal labels mean linked by
+    a path; the converse need not hold here, as labels only save comparisons."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
+    two = one.select(F.col("id").alias("label"), F.col("label").alias("next"))
+    return one.join(two, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("label", F.col("id"))
@@ -193,6 +210,59 @@ def _pivot_pairs(rows: DataFrame, stats: DataFrame, num: int, den: int) -> DataF
     return _pairs(rows.select("node", "label", *POINT), pivots, num, den)
 
 
+def _resembling(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Nodes at least half of whose rows resemble the pivot."""
+    pivots = rows.join(stats.select(F.col("node").alias("_n"), F.col("pivot").alias("_p")),
+                       (F.col("node") == F.col("_n")) & (F.col("id") == F.col("_p"))).select("node", *POINT)
+    j = rows.alias("x").join(pivots.alias("y"), F.col("x.node") == F.col("y.node"))
+    near = F.avg((_differing("x", "y") <= RESEMBLE).cast("int"))
+    return j.groupBy(F.col("x.node").alias("node")).agg(near.alias("near")).where("near >= 0.5").select("node")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links inside nodes by comparing every two blocks of a node on full sets."""
+    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    n = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_SHINGLES)).cast("int")
+    r = rows.select("node", "id", "n").join(size.select("node", n.alias("blocks")), "node")
+    r = r.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    r = r.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
+    r = r.join(sets.withColumnRenamed("doc_id", "id"), "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, sets = pdf["id"].to_numpy(), list(pdf["shingles"])
+        sizes = np.array([len(x) for x in sets], np.int64)
+        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        kept = df[column] > 1
+        row, column = row[kept], np.cumsum(df > 1)[column[kept]] - 1
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(ids), len(ids)), np.float32)
+        width = 2048
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            m = np.zeros((len(ids), width), np.float32)
+            m[row[a:b], column[a:b] - lo] = 1
+            shared += m @ m.T
+        linked = shared * (den + num) >= num * (sizes[:, None] + sizes[None, :])
+        open_, links = np.ones(len(ids), bool), []
+        for root in range(len(ids)):
+            todo = [root] if open_[root] else []
+            open_[root] = False
+            while todo:
+                u = todo.pop()
+                new = np.flatnonzero(linked[u] & open_)
+                open_[new] = False
+                todo.extend(new.tolist())
+                links.extend((u, v) for v in new.tolist())
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        x, y = ids[pairs[:, 0]], ids[pairs[:, 1]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return r.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def similarity_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Confirmed links ``a, b`` between documents of different sets: between every two
     similar ones at least a path of links."""
@@ -221,11 +291,17 @@ def similarity_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: in
         union = F.size("sa") + F.size("sb") - shared
         new = cut(both.where(shared * den >= union * num).select("a", "b"))
         links = new if links is None else links.unionByName(new)
-        if heavy.limit(1).count() == 0:
+        if heavy.isEmpty():
             return links
-        labels = components(links)
+        labels = cut(_near_labels(links))
         left = cut(_labelled(heavy.drop("label"), labels))
-        stats = _stats(left)
+        stats = cut(_stats(left))
+        tight = cut(_resembling(left, stats.where(F.col("work") > LEAF * F.col("size"))))
+        if not tight.isEmpty():
+            rows = left.join(tight, "node", "left_semi")
+            sets = cut(_sets(texts.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
+            links = links.unionByName(cut(_block_links(rows, sets, num, den)))
+            left = left.join(tight, "node", "left_anti")
         light = left.join(stats.where(F.col("work") <= LEAF * F.col("size")).select("node"), "node", "left_semi")
         split = left.join(stats.where(F.col("work") > LEAF * F.col("size")).select("node"), "node", "left_semi")
         rows = light.select("tree", "node", *POINT).unionByName(_children(split.select("tree", "node", *POINT), reps, level))
