@@ -33,19 +33,14 @@ def n_words(c: str | Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there, so that
-    it is computed once and survives the loss of any executor.
-
-    A checkpointed plan hands the constraints known of its columns on; in loops of
-    joins these multiply until planning dominates, so they are left out here."""
-    spark, name = df.sparkSession, "spark.sql.constraintPropagation.enabled"
-    ensure_checkpoint_dir(spark)
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    """Write ``df`` to a table in the shared checkpoint folder and read on from there, so
+    that it is computed once and survives the loss of any executor.
+
+    A written table also starts with the size of its files.  ``checkpoint()`` hands on
+    estimated sizes, which loops of joins multiply until planning them dominates."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
