@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, exact_dedup, langid, minhash_join, mixing, quality, url_filter, wavelet
+from tabsmith.llm import bpe, exact_dedup, langid, line_dedup, minhash_join, mixing, quality, url_filter, wavelet
 from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(pages.select(none.alias("doc_id"), "page_id",
                                          *[c.alias(n) for n, c in langid.page_evidence(pages).items()]))
     return langid.identify(rows, langid.train(docs), ["doc_id", "page_id"])
+
+
+@register("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
