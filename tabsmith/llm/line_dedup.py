@@ -32,20 +32,25 @@ def _words(line: str) -> Column:
     return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
 
 
-def _classes(lines: DataFrame) -> Column:
-    """Rarity classes by bucket, as one constant array of ``BUCKETS`` numbers."""
-    counts = (lines.select(F.explode(_words("line")).alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("id"))
+def _classes(lines: DataFrame) -> bytes:
+    """Rarity classes of the buckets, one byte each: 256 KiB whatever the input."""
+    counts = (lines.select(F.explode(_words("line")).alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket"))
               .agg(F.count(F.lit(1)).alias("c")))
-    every = lines.sparkSession.range(BUCKETS).join(counts, "id", "left")
-    cls = F.least(F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * 1.5), F.lit(62))
-    one = every.agg(F.sort_array(F.collect_list(F.struct("id", cls.alias("k")))).alias("a"))
-    return cut(one.select(F.col("a.k").alias("classes"))).scalar()
+    cls = F.least(F.floor(F.log2(F.col("c") + 1) * 1.5), F.lit(62)).cast("int")
+    table = bytearray(BUCKETS)
+    found = counts.select("bucket", cls.alias("k")).toPandas()  # at most BUCKETS rows
+    for bucket, k in zip(found["bucket"], found["k"]):
+        table[bucket] = k
+    return bytes(table)
 
 
-def _keys(lines: DataFrame, classes: Column) -> DataFrame:
+def _keys(lines: DataFrame, classes: bytes) -> DataFrame:
     low = F.lit((1 << HASH_BITS) - 1)
-    key = lambda w: F.shiftleft(F.get(classes, F.pmod(w, F.lit(BUCKETS)).cast("int")), HASH_BITS).bitwiseOR(
-        w.bitwiseAND(low))
+
+    def key(w: Column) -> Column:
+        byte = F.substring(F.lit(classes), F.pmod(w, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
+        return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), HASH_BITS).bitwiseOR(w.bitwiseAND(low))
+
     return lines.withColumn("w", _words("line")).where(F.size("w") > 0).select(
         "doc_id", "line_no", F.sort_array(F.transform("w", key)).alias("keys"))
 
