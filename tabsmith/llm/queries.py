@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, exact_dedup, langid, line_dedup, minhash_join, mixing, quality, url_filter, wavelet
+from tabsmith.llm import bpe, exact_dedup, langid, line_dedup, lm_score, minhash_join, mixing, quality, url_filter, wavelet
 from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
