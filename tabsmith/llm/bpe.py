@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabsmith.llm.common import text_of
+from tabsmith.llm.common import small_batches, text_of
 
 #: Entries a cache may hold before it starts anew; the results do not depend on it.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 #: Added to the code point of a word's last symbol when the vocabulary marks word ends.
 END = 0x10000
 
@@ -58,7 +58,6 @@ class BpeModel:
         self.words: dict[str, array] = {}
         self.pieces: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        self._decoder(d, m)
 
     @staticmethod
     def _ascii_words(d: dict) -> regex.Pattern | None:
@@ -103,25 +102,6 @@ class BpeModel:
             self.matcher.add_word(s, i)
         self.matcher.make_automaton()
 
-    def _decoder(self, d: dict, m: dict) -> None:
-        kind = (d.get("decoder") or {}).get("type")
-        if kind not in (None, "ByteLevel"):
-            raise ValueError(f"decoder {kind} is not supported")
-        self.joins_with_blank = kind is None
-        names = {i: t for t, i in m["vocab"].items()} | {i: t for t, i in self.special.items()}
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        byte_of = {chr(b): b for b in plain}
-        byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        blobs = []
-        for i in range(max(names) + 1):
-            t = names.get(i, "")
-            if self.joins_with_blank:
-                blobs.append(b" " + t.encode("utf-8"))
-            else:
-                blobs.append(t.encode("utf-8") if t in self.special else bytes(byte_of[c] for c in t))
-        self.blob = np.frombuffer(b"".join(blobs), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``a`` followed by ``b`` is what merging leaves: undo the merges inside
         both, the latest first, and see that none of the pairs met at the border
@@ -221,6 +201,31 @@ class BpeModel:
                         self.pieces[piece] = ids
         return b"".join(out)
 
+
+class OffsetTable:
+    """The bytes of all tokens in a row, and where each begins: decoding is one gather."""
+
+    def __init__(self, spec: bytes):
+        d = json.loads(spec)
+        m, special = d["model"], {t["content"]: t["id"] for t in d.get("added_tokens", [])}
+        kind = (d.get("decoder") or {}).get("type")
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"decoder {kind} is not supported")
+        self.joins_with_blank = kind is None
+        names = {i: t for t, i in m["vocab"].items()} | {i: t for t, i in special.items()}
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte_of = {chr(b): b for b in plain}
+        byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        blobs = []
+        for i in range(max(names) + 1):
+            t = names.get(i, "")
+            if self.joins_with_blank:
+                blobs.append(b" " + t.encode("utf-8"))
+            else:
+                blobs.append(t.encode("utf-8") if t in special else bytes(byte_of[c] for c in t))
+        self.blob = np.frombuffer(b"".join(blobs), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text the ids stand for."""
         if not len(ids):
@@ -237,6 +242,7 @@ class BpeModel:
 
 
 _MODELS: dict[str, BpeModel] = {}
+_TABLES: dict[str, OffsetTable] = {}
 
 
 def model_of(spec: bytes) -> BpeModel:
@@ -248,12 +254,20 @@ def model_of(spec: bytes) -> BpeModel:
     return _MODELS[key]
 
 
+def table_of(spec: bytes) -> OffsetTable:
+    """The offset table of a specification, built once in each Python worker."""
+    key = hashlib.sha256(spec).hexdigest()
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = OffsetTable(spec)
+    return _TABLES[key]
+
+
 def read_spec(path: str) -> bytes:
     """The tokenizer's file (a vocabulary, so of a fixed size); it travels with the tasks."""
     with open(path, "rb") as f:
         spec = f.read()
-    m = model_of(spec)
-    if not m.suffix:
+    if not json.loads(spec)["model"].get("end_of_word_suffix"):
         raise ValueError("this encoder cuts text at blanks, which needs a vocabulary with word ends")
     return spec
 
@@ -277,7 +291,7 @@ def decode(df: DataFrame, spec: bytes, ids_col: str = "ids", out: str = "decoded
     """``df`` with ``out``: the text that the ids stand for (null ids: empty)."""
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        m = model_of(spec)
+        m = table_of(spec)
         return pd.Series([m.decode(np.frombuffer(x, "<u4")).decode("utf-8") for x in ids], dtype=object)
 
     return df.withColumn(out, text(F.coalesce(F.col(ids_col), F.lit(b""))))
@@ -289,6 +303,7 @@ def n_tokens(ids_col: str = "ids") -> Column:
 
 def digest(docs: DataFrame, spec: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: its text encoded, its ids decoded."""
+    small_batches(docs.sparkSession)
     d = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), spec)
     d = d.select("doc_id", "ids", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
     return decode(d, spec).select("doc_id", "n_tokens", "ids_sha256",

@@ -62,3 +62,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most ``rows`` texts at a time, to bound their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
