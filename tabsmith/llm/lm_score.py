@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import cut, text_of
+from tabsmith.llm.common import cut, small_batches, text_of
 
 SLOT_BITS, CONTEXTS = 19, 4
 SLOTS = 1 << SLOT_BITS
@@ -131,7 +131,7 @@ def context_tables(training: DataFrame) -> np.ndarray:
         table = np.zeros((CONTEXTS, 2, SLOTS))
 
         def add() -> None:
-            for some in _parts(list(words)):
+            for some in _parts(list(words), 100_000):
                 x = Bits(some)
                 weight = np.repeat(np.array([words[w] for w in some], float), [len(w) + 1 for w in some])
                 for k in range(8):
@@ -170,17 +170,43 @@ def context_tables(training: DataFrame) -> np.ndarray:
     return table.reshape(CONTEXTS, 2, SLOTS).astype(np.float32)
 
 
-def _odds(table: np.ndarray, slots: list[np.ndarray], own: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Log odds of the predictors and the confidence class of the longest context.
-    ``own``: the bits themselves, where the word was counted and has to be left out."""
+def _odds(table: np.ndarray, slots: list[np.ndarray], own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Log odds of the predictors and the confidence class of the longest context, with
+    ``own``, the bits themselves, taken out of the counts of the words that they are in."""
     out = []
     for c in range(CONTEXTS):
         n0, n1 = table[c, 0][slots[c]], table[c, 1][slots[c]]
-        if own is not None:
-            n1, n0 = np.maximum(n1 - own, 0), np.maximum(n0 - (1 - own), 0)
+        n1, n0 = np.maximum(n1 - own, 0), np.maximum(n0 - (1 - own), 0)
         out.append(np.log((n1 + 0.4) / (n0 + 0.4)))
-    n = n0 + n1
-    return out, (n > 0).astype(np.int64) + (n > 2) + (n > 12)
+    return out, _sure(n0 + n1)
+
+
+def _sure(n: np.ndarray) -> np.ndarray:
+    return (n > 0).astype(np.int64) + (n > 2) + (n > 12)
+
+
+class Frozen:
+    """The tables as scoring reads them."""
+
+    def __init__(self, table: np.ndarray, weights: np.ndarray, refine: np.ndarray):
+        self.odds = np.log((table[:, 1] + np.float32(0.4)) / (table[:, 0] + np.float32(0.4)))
+        self.sure = _sure(table[CONTEXTS - 1].sum(axis=0)).astype(np.uint8)
+        self.weights, self.refine = weights, refine
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word."""
+        out = []
+        for some in _parts(words):
+            x = Bits(some)
+            total = np.zeros(len(x.byte), np.float32)
+            for k in range(8):
+                bit, slots = x.bit(k)
+                gate = x.place * 4 + self.sure[slots[-1]]
+                s = _mixed([self.odds[c][slots[c]] for c in range(CONTEXTS)], gate, self.weights)
+                p = 0.5 / (1 + np.exp(-s)) + 0.5 * self.refine[gate, _bin(s)]
+                total += np.log10(np.where(bit > 0, p, 1 - p))
+            out.append(np.add.reduceat(total.astype(np.float64), x.starts))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def _mixed(odds: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -222,23 +248,6 @@ def fit(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return weights, ((hits + 20 * centre) / (total + 20)).astype(np.float32)
 
 
-def word_scores(words: list[bytes], table: np.ndarray, weights: np.ndarray, refine: np.ndarray) -> np.ndarray:
-    """log10 probability of each word."""
-    out = []
-    for some in _parts(words):
-        x = Bits(some)
-        total = np.zeros(len(x.byte))
-        for k in range(8):
-            bit, slots = x.bit(k)
-            odds, sure = _odds(table, slots, None)
-            gate = x.place * 4 + sure
-            s = _mixed(odds, gate, weights)
-            p = 0.5 / (1 + np.exp(-s)) + 0.5 * refine[gate, _bin(s)]
-            total += np.log10(np.where(bit > 0, p, 1 - p))
-        out.append(np.add.reduceat(total, x.starts))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -247,6 +256,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     is empty and has its end as the only token.  Without training documents all counts
     are 0 and the predictors say one half.  Repeated rows come out repeated.
     """
+    small_batches(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"),
                     (fold == held_fold).alias("held_out"))
@@ -274,6 +284,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     known: dict[int, float] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frozen = Frozen(shared.value, weights, refine)
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
@@ -289,7 +300,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 new = [k for k, v in enumerate(value) if v is None]
                 if len(known) > KNOWN:
                     known.clear()
-                for k, s in zip(new, word_scores([every[where[k]] for k in new], shared.value, weights, refine)):
+                for k, s in zip(new, frozen.score([every[where[k]] for k in new])):
                     value[k] = known[int(flat[k])] = float(s)
                 model = np.add.reduceat(np.array(value)[index], starts)
                 at = np.minimum(np.searchsorted(top_h, flat), max(len(top_h) - 1, 0))
