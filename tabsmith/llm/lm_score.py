@@ -17,6 +17,7 @@ Base counts of tokens are exact.  Few tokens make up most of a text: the
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,8 @@ CHUNK = 1 << 16
 TOP = 1 << 16
 FIT_DOCS = 200  # training documents (smallest id hashes) on which the mixing weights are learned
 GATES, BINS = 16, 33
-KNOWN = 400_000
+KNOWN = 400_000  # entries of the hash cache
+SCORED = 1_000_000  # entries of the score cache
 END = b"\n"
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -51,6 +53,7 @@ def tokens(text: str) -> list[bytes]:
 
 
 _hashes: dict[bytes, int] = {}
+_scores: dict[str, dict[int, float]] = {}
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -281,10 +284,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         weights = np.frombuffer(got[0]["w"], "<f4").reshape(weights.shape)
         refine = np.frombuffer(got[0]["r"], "<f4").reshape(refine.shape)
     denominator = total + 0.5 * (kinds + 1)
-    known: dict[int, float] = {}
+    model_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = Frozen(shared.value, weights, refine)
+        if model_id not in _scores:  # kept from task to task in a worker
+            _scores.clear()
+            _scores[model_id] = {}
+        known = _scores[model_id]
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
@@ -298,7 +305,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 every = [w for ws in words for w in ws]
                 value = [known.get(x) for x in flat.tolist()]
                 new = [k for k, v in enumerate(value) if v is None]
-                if len(known) > KNOWN:
+                if len(known) > SCORED:
                     known.clear()
                 for k, s in zip(new, frozen.score([every[where[k]] for k in new])):
                     value[k] = known[int(flat[k])] = float(s)
