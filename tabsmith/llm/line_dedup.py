@@ -1,13 +1,15 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words (lower case).  Words are ordered by rarity: counts of
-2^18 word buckets, a table of fixed size, give each word a rarity class that becomes
+2^20 word buckets, a table of fixed size, give each word a rarity class that becomes
 the high bits of its 64-bit key, so sorting the keys puts the rarest words first.
 Two lines of Jaccard similarity 0.8 or more share a word among their first few
 (prefix filter); sizes and the place of the shared word must allow enough overlap
-(length and positional filters); what is left is verified on whole sets.  Lines of
-equal sets are one set throughout.  A line goes if any earlier line, by document id
-and line number, matches it, whether or not that one goes as well.
+(length and positional filters), and so must the parities of their words by 64 or 128
+bit places (each differing parity is a word that only one line has).  What is left is
+verified on whole sets.  Lines of equal sets are one set throughout.  A line goes if
+any earlier line, by document id and line number, matches it, whether or not that one
+goes as well.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from tabsmith.llm.common import WS, cut, text_of
 
 NUM, DEN = 4, 5  # similarity 0.8
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+ROW = 1 << 10  # buckets that are collected in one row
 HASH_BITS = 57  # of a key; the six bits above hold the rarity class
+WIDE = 60  # lines of more words carry 128 parities in place of 64
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,19 +32,21 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _words(line: str) -> Column:
-    words = F.filter(F.split(F.lower(F.col(line)), WS), lambda x: x != "")
+    words = F.array_remove(F.split(F.lower(F.col(line)), WS), "")
     return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
 
 
-def _classes(lines: DataFrame) -> bytes:
-    """Rarity classes of the buckets, one byte each: 256 KiB whatever the input."""
-    counts = (lines.select(F.explode(_words("line")).alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket"))
-              .agg(F.count(F.lit(1)).alias("c")))
+def _classes(docs: DataFrame, text_col: str) -> bytes:
+    """Rarity classes of the buckets, one byte each: 1 MiB whatever the input."""
+    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), WS)).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
     cls = F.least(F.floor(F.log2(F.col("c") + 1) * 1.5), F.lit(62)).cast("int")
+    found = counts.groupBy(F.floor(F.col("bucket") / ROW).alias("row")).agg(
+        F.collect_list(F.struct(F.pmod("bucket", F.lit(ROW)).cast("int").alias("b"), cls.alias("k"))).alias("all"))
     table = bytearray(BUCKETS)
-    found = counts.select("bucket", cls.alias("k")).toPandas()  # at most BUCKETS rows
-    for bucket, k in zip(found["bucket"], found["k"]):
-        table[bucket] = k
+    for r in found.select("row", "all.b", "all.k").collect():  # at most BUCKETS / ROW rows of ROW entries
+        for bucket, k in zip(r["b"], r["k"]):
+            table[r["row"] * ROW + bucket] = k
     return bytes(table)
 
 
@@ -55,49 +61,64 @@ def _keys(lines: DataFrame, classes: bytes) -> DataFrame:
         "doc_id", "line_no", F.sort_array(F.transform("w", key)).alias("keys"))
 
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that go: ``doc_id, line_no, match_id, match_line`` with the earliest matching line."""
-    lines = _lines(docs, id_col, text_col)
-    classes = _classes(lines)
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per line its size, the identity of its set, 32-bit keys of its prefix and its parities."""
     n = F.size("keys")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    narrow = cut(_keys(lines, classes).select(
+    every = F.expr("aggregate(keys, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
+    half = F.expr("aggregate(keys, 0L, (a, x) -> a ^ shiftleft((x >> 6) & 1L, cast(x & 63 as int)))")
+    return _keys(_lines(docs, id_col, text_col), _classes(docs, text_col)).select(
         "doc_id", "line_no", n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
-        F.slice("keys", F.lit(1), prefix).alias("prefix")))
-    first = cut(narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select(
-        "h1", "h2", F.col("first.doc_id").alias("first_id"), F.col("first.line_no").alias("first_line")))
-    sets = narrow.join(first, ["h1", "h2"]).where("doc_id = first_id AND line_no = first_line")
-    posts = sets.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("at", "key"))
-    p = posts.select("key", *[F.col(c).alias("a_" + c) for c in ("doc_id", "line_no", "n", "at")])
-    q = posts.select("key", *[F.col(c).alias("b_" + c) for c in ("doc_id", "line_no", "n", "at")])
-    # overlap o of sets of x and y words needs o * (NUM + DEN) >= NUM * (x + y)
+        F.transform(F.slice("keys", F.lit(1), prefix), lambda x: F.hash(x)).alias("prefix"),
+        every.alias("every"), F.when(n > WIDE, half).alias("half"))
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of set numbers that pass all filters, each once."""
+    posts = sets.select("sid", "n", "every", "half", F.posexplode("prefix").alias("at", "key"))
+    cols = ("sid", "n", "every", "half", "at")
+    p = posts.select("key", *[F.col(c).alias("a_" + c) for c in cols])
+    q = posts.select("key", *[F.col(c).alias("b_" + c) for c in cols])
+    fits = F.least("a_n", "b_n") * DEN >= F.greatest("a_n", "b_n") * NUM
+    # overlap o of sets of x and y words needs o * (NUM + DEN) >= NUM * (x + y), so x + y - 2 * o
+    # words that only one has are at most (x + y) * (DEN - NUM) / (NUM + DEN)
     most = 1 + F.least(F.col("a_n") - F.col("a_at") - 1, F.col("b_n") - F.col("b_at") - 1)
-    earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | (
-        (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_line_no") < F.col("b_line_no")))
-    fits = (F.least("a_n", "b_n") * DEN >= F.greatest("a_n", "b_n") * NUM)
     reach = (most + F.least("a_at", "b_at")) * (NUM + DEN) >= (F.col("a_n") + F.col("b_n")) * NUM
-    both = (p.key == q.key) & earlier & fits & reach
-    found = cut(p.join(q, both).select("a_doc_id", "a_line_no", "b_doc_id", "b_line_no").distinct())
+    every = F.col("a_every").bitwiseXOR(F.col("b_every"))
+    half = F.col("a_half").bitwiseXOR(F.col("b_half"))
+    differ = F.coalesce(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)), F.bit_count(every))
+    near = differ * (NUM + DEN) <= (F.col("a_n") + F.col("b_n")) * (DEN - NUM)
+    both = (p.key == q.key) & (F.col("a_sid") < F.col("b_sid")) & fits & reach & near
+    return p.join(q, both).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+
 
-    ends = found.select(F.col("a_doc_id").alias("doc_id"), F.col("a_line_no").alias("line_no")).union(
-        found.select("b_doc_id", "b_line_no")).distinct()
-    wanted = ends.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_lines"))
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines that go: ``doc_id, line_no, match_id, match_line`` with the earliest matching line."""
+    narrow = cut(_narrow(docs, id_col, text_col))
+    place = F.struct("doc_id", "line_no")
+    same = [F.first(c).alias(c) for c in ("n", "prefix", "every", "half")]  # the same in all lines of a set
+    sets = cut(narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"), *same).withColumn(
+        "sid", F.monotonically_increasing_id()))
+    found = cut(_candidates(sets))
+
+    ends = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    ends = cut(ends.join(sets.select("sid", "first"), "sid").select("sid", "first.*"))
+    wanted = cut(ends.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_lines")))
     again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(
         wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "_lines", F.posexplode(
             F.split(text_of("t"), "\n")).alias("line_no", "line")).where(F.array_contains("_lines", F.col("line_no")))
-    whole = cut(again.select("doc_id", "line_no", _words("line").alias("w")))
-    sided = lambda s: whole.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "line_no", "w")])
-    v = found.join(sided("a"), ["a_doc_id", "a_line_no"]).join(sided("b"), ["b_doc_id", "b_line_no"])
+    whole = again.select("doc_id", "line_no", _words("line").alias("w")).join(ends, ["doc_id", "line_no"])
+    whole = cut(whole.select("sid", F.struct("doc_id", "line_no").alias("at"), "w"))
+    v = found.join(whole.select(F.col("sid").alias("a"), F.col("at").alias("a_at"), F.col("w").alias("a_w")), "a")
+    v = v.join(whole.select(F.col("sid").alias("b"), F.col("at").alias("b_at"), F.col("w").alias("b_w")), "b")
     shared = F.size(F.array_intersect("a_w", "b_w"))
     v = v.where(shared * (NUM + DEN) >= (F.size("a_w") + F.size("b_w")) * NUM)
-    best = v.groupBy(F.col("b_doc_id").alias("first_id"), F.col("b_line_no").alias("first_line")).agg(
-        F.min(F.struct(F.col("a_doc_id").alias("d"), F.col("a_line_no").alias("l"))).alias("m"))
-    keep = F.least(F.coalesce("m", F.struct(F.col("first_id").alias("d"), F.col("first_line").alias("l"))),
-                   F.struct(F.col("first_id").alias("d"), F.col("first_line").alias("l")))
-    firsts = first.join(best, ["first_id", "first_line"], "left").select("h1", "h2", keep.alias("m"))
+    best = v.groupBy(F.greatest("a_at", "b_at").alias("first")).agg(F.min(F.least("a_at", "b_at")).alias("m"))
+    firsts = sets.select("h1", "h2", "first").join(best, "first", "left").select(
+        "h1", "h2", F.least("m", "first").alias("m"))
     out = narrow.select("doc_id", "line_no", "h1", "h2").join(firsts, ["h1", "h2"])
-    return out.where(F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l")) > F.col("m")).select(
-        "doc_id", "line_no", F.col("m.d").alias("match_id"), F.col("m.l").alias("match_line"))
+    return out.where(place > F.col("m")).select(
+        "doc_id", "line_no", F.col("m.doc_id").alias("match_id"), F.col("m.line_no").alias("match_line"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

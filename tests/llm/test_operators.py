@@ -144,6 +144,21 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        line = [f"t{x}" for x in rng.integers(0, 400, rng.integers(3, 150))]
+        rows.append((2 * i, " ".join(line)))
+        for j in rng.integers(0, len(line), rng.integers(0, 1 + len(line) // 6)):
+            line[j] = f"n{i}x{j}"
+        rows.append((2 * i + 1, " ".join(line)))
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    assert got == {k: int(any(5 * len(s & x) >= 4 * len(s | x) for x in sets[:k])) for k, s in enumerate(sets)}
+    assert 0 < sum(got.values()) < 60
+
+
 ODD = ["Hello  WORLD's café", "<|endoftext|> a", "ｆｕｌｌ İ ẞ\x1c!", "", None, "a" * 5000, "don't\x85stop　now"]
 
 
