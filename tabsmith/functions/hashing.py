@@ -21,7 +21,9 @@ def _text(df: DataFrame, c: str, null_token: str, float_format: str | None) -> C
     if float_format and isinstance(dtype, _FLOATS):
         txt = F.format_string(float_format, col.cast("double"))
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        txt = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+        # microseconds only where there are some, so whole seconds keep their short form
+        fine = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        txt = F.regexp_replace(fine, r"\.000000$", "")
     else:
         txt = col.cast("string")
     return F.coalesce(txt, F.lit(null_token))
@@ -61,9 +63,9 @@ def fingerprint_exprs(df: DataFrame) -> list[Column]:
 
 def portable_fingerprint(df: DataFrame) -> DataFrame:
     """X14, reproducible outside Spark: row count and the sum of the first 60
-    bits of each row's SHA-256 (canonical text as in :func:`input_row_hash`),
-    as a decimal string.  Order-free and mergeable."""
-    text = F.concat_ws("|", *[_text(df, c, "NULL", "%.9e") for c in df.columns])
+    bits of each row's SHA-256 (canonical text as in :func:`input_row_hash`,
+    but floats in their shortest exact form, which tells any two apart), as a decimal string.  Order-free and mergeable."""
+    text = F.concat_ws("|", *[_text(df, c, "NULL", None) for c in df.columns])
     h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("sum_sha"))
 

@@ -110,8 +110,10 @@ def remove_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def rule_keeps(df: DataFrame, rule: ValueRule) -> Column:
-    """A row passes when the rule holds, or the value is null, or ''."""
+    """A row passes when the rule holds, or the value is null, NaN or ''."""
     c = F.col(f"`{rule.column}`")
+    if isinstance(df.schema[rule.column].dataType, (T.FloatType, T.DoubleType)):
+        c = F.nanvl(c, F.lit(None))
     if rule.op == "gte":
         ok = c >= F.lit(rule.value)
     elif rule.op == "gt":

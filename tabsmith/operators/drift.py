@@ -208,13 +208,15 @@ def performance_assessment(current: DataFrame, expected: DataFrame, directions:
     minimize -> when current > expected; equal is acceptable.
 
     current (metric, current), expected (metric, expected), directions (metric, direction).
+    A metric without a value on either side or without a known direction fails the query.
     """
     j = current.join(expected, "metric", "full_outer").join(directions, "metric", "left")
-    status = (F.when(F.col("current").isNull() | F.col("expected").isNull(), "missing")
+    fail = lambda why: F.raise_error(F.concat(F.lit(why + " for metric "), F.col("metric"))).cast("string")
+    status = (F.when(F.col("current").isNull() | F.col("expected").isNull(), fail("no value"))
               .when((F.col("direction") == "maximize") & (F.col("current") < F.col("expected")), "degradation")
               .when((F.col("direction") == "minimize") & (F.col("current") > F.col("expected")), "degradation")
               .when(F.col("direction").isin("maximize", "minimize"), "acceptable")
-              .otherwise("invalid_direction"))
+              .otherwise(fail("no known direction")))
     return j.select("metric", "direction", "current", "expected", status.alias("status"))
 
 

@@ -1,7 +1,8 @@
 """Promotion gates (G1-G3) over long metric tables.
 
 metrics: (split, metric, value); thresholds: (split, metric, direction, threshold).
-A candidate passes a check when it beats the reference strictly by 1e-8.
+A candidate passes a check when it beats the reference strictly by 1e-8.  A metric
+without a value on either side and an unknown direction fail the query.
 """
 
 from __future__ import annotations
@@ -13,21 +14,22 @@ EPSILON = 1e-8
 
 
 def _beats(value, ref, direction):
-    return (F.when(direction == "maximize", value > ref + F.lit(EPSILON))
-            .when(direction == "minimize", value < ref - F.lit(EPSILON)))
+    where = F.concat(F.lit(" for "), F.col("metric"), F.lit(" in "), F.col("split"))
+    return (F.when(value.isNull() | ref.isNull(), F.raise_error(F.concat(F.lit("no value to compare"), where)))
+            .when(direction == "maximize", value > ref + F.lit(EPSILON))
+            .when(direction == "minimize", value < ref - F.lit(EPSILON))
+            .otherwise(F.raise_error(F.concat(F.lit("no known direction"), where))).cast("boolean"))
 
 
 def threshold_checks(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """G1 per (split, metric): value, threshold, passed, message, ord."""
     j = thresholds.join(metrics, ["split", "metric"], "left")
     passed = _beats(F.col("value"), F.col("threshold"), F.col("direction"))
-    msg = F.when(F.col("value").isNull(), F.format_string("metric '%s' is missing in set '%s'",
-                                                          F.col("metric"), F.col("split"))) \
-        .when(~F.coalesce(passed, F.lit(False)), F.format_string(
-            "metric '%s' with value %s does not meet the threshold of %s in set '%s'",
-            F.col("metric"), F.col("value").cast("string"), F.col("threshold").cast("string"), F.col("split")))
+    msg = F.when(~passed, F.format_string(
+        "%s/%s: %s is short of the threshold %s (%s)", F.col("split"), F.col("metric"), F.col("value").cast("string"),
+        F.col("threshold").cast("string"), F.col("direction")))
     return j.select("split", "metric", "direction", "value", "threshold",
-                    F.coalesce(passed, F.lit(False)).alias("passed"), msg.alias("message"),
+                    passed.alias("passed"), msg.alias("message"),
                     F.col("ord") if "ord" in thresholds.columns else F.lit(0).alias("ord"))
 
 
@@ -39,10 +41,10 @@ def production_checks(metrics: DataFrame, production: DataFrame | None, threshol
                            F.col("ord") if "ord" in keys.columns else F.lit(0).alias("ord"))
     p = production.select("split", "metric", F.col("value").alias("production"))
     j = keys.join(metrics, ["split", "metric"], "left").join(p, ["split", "metric"], "left")
-    passed = F.coalesce(_beats(F.col("value"), F.col("production"), F.col("direction")), F.lit(False))
-    msg = F.when(~passed, F.format_string("metric '%s' in set '%s' does not outperform production (%s vs %s)",
-                                          F.col("metric"), F.col("split"), F.col("value").cast("string"),
-                                          F.col("production").cast("string")))
+    passed = _beats(F.col("value"), F.col("production"), F.col("direction"))
+    msg = F.when(~passed, F.format_string(
+        "%s/%s: %s is no better than %s in production (%s)", F.col("split"), F.col("metric"),
+        F.col("value").cast("string"), F.col("production").cast("string"), F.col("direction")))
     return j.select("split", "metric", passed.alias("passed"), msg.alias("message"),
                     F.col("ord") if "ord" in keys.columns else F.lit(0).alias("ord"))
 

@@ -313,9 +313,8 @@ def regression_metrics(df: DataFrame, y: str, y_pred: str, group_cols=("split",)
 def class_stats(df: DataFrame, y: str) -> DataFrame:
     """A3: (class, n_class, n, minority_ratio); ratio = min count / n."""
     counts = df.groupBy(F.col(y).alias("class")).agg(F.count(F.lit(1)).alias("n_class"))
-    w = Window.partitionBy()
-    return counts.select("class", "n_class", F.sum("n_class").over(w).alias("n"),
-                         (F.min("n_class").over(w) / F.sum("n_class").over(w)).alias("minority_ratio"))
+    n, least = (counts.agg(f("n_class")).scalar() for f in (F.sum, F.min))
+    return counts.select("class", "n_class", n.alias("n"), (least / n).alias("minority_ratio"))
 
 
 def class_weights(stats: DataFrame, policy: str = "balanced", threshold: float = 0.2,
@@ -323,11 +322,11 @@ def class_weights(stats: DataFrame, policy: str = "balanced", threshold: float =
     """M22 on the A3 table (one row per class, so tiny): ``off`` -> no rows;
     ``if_imbalanced`` -> balanced weights only when minority ratio < threshold;
     ``balanced`` -> n / (k * count); ``ratio`` -> neg/pos on the positive class."""
-    k = F.count(F.lit(1)).over(Window.partitionBy())
+    k = stats.agg(F.count(F.lit(1))).scalar()
     if policy == "off":
         return stats.where(F.lit(False)).select("class", F.lit(1.0).alias("weight"))
     if policy == "ratio":
-        pos = F.sum(F.when(F.col("class") == positive_class, F.col("n_class"))).over(Window.partitionBy())
+        pos = stats.agg(F.sum(F.when(F.col("class") == positive_class, F.col("n_class")))).scalar()
         neg = F.col("n") - pos
         return stats.select("class", F.when(F.col("class") == positive_class, neg / pos)
                             .otherwise(1.0).alias("weight"))
@@ -340,12 +339,10 @@ def class_weights(stats: DataFrame, policy: str = "balanced", threshold: float =
     raise ValueError(f"unknown class-weight policy {policy!r}")
 
 
-def with_weights(df: DataFrame, y: str, weights: DataFrame, max_classes: int = 10_000) -> DataFrame:
+def with_weights(df: DataFrame, y: str, weights: DataFrame) -> DataFrame:
     """Attach a ``weight`` column for Spark ML's ``weightCol``.  The weight table
-    has one row per class; its size is checked before it is broadcast."""
-    if weights.limit(max_classes + 1).count() > max_classes:
-        raise ValueError("too many classes to broadcast the weight table")
-    w = F.broadcast(weights.withColumnRenamed("class", "_wc"))
+    has one row per class; whether it is broadcast is left to its measured size."""
+    w = weights.withColumnRenamed("class", "_wc")
     return df.join(w, F.col(y) == F.col("_wc"), "left").drop("_wc") \
         .withColumn("weight", F.coalesce(F.col("weight"), F.lit(1.0)))
 

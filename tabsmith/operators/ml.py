@@ -86,26 +86,15 @@ def draw_param_maps(space: dict[str, list], n_iter: int, seed: int = 42) -> list
 
 def refine_space(best: dict, int_offsets: dict[str, list[int]], float_factors: dict[str, list[float]],
                  bounds: dict[str, tuple]) -> dict[str, list]:
-    """L4: ints centre +- offsets, floats centre x factors (rounded); clipped to
-    bounds; the centre is always kept."""
-    space = {}
-    for k, offs in int_offsets.items():
+    """L4: ints centre +- offsets, floats centre x factors (rounded); values out of
+    bounds are left out; the centre is always kept."""
+    def inside(k, values) -> list:
         lo, hi = bounds.get(k, (None, None))
-        vals = {min(max(best[k] + o, lo if lo is not None else best[k] + o), hi if hi is not None else best[k] + o)
-                for o in offs}
-        space[k] = sorted(vals | {best[k]})
-    for k, factors in float_factors.items():
-        lo, hi = bounds.get(k, (None, None))
-        vals = set()
-        for f in factors:
-            v = round(best[k] * f, 6)
-            if lo is not None:
-                v = max(v, lo)
-            if hi is not None:
-                v = min(v, hi)
-            vals.add(v)
-        space[k] = sorted(vals | {best[k]})
-    return space
+        fit = {v for v in values if (lo is None or v >= lo) and (hi is None or v <= hi)}
+        return sorted(fit | {best[k]})
+
+    space = {k: inside(k, [best[k] + s * o for o in offs for s in (1, -1)]) for k, offs in int_offsets.items()}
+    return space | {k: inside(k, [round(best[k] * f, 6) for f in factors]) for k, factors in float_factors.items()}
 
 
 def random_search(train_df: DataFrame, categorical: list[str], numeric: list[str], label: str,
@@ -158,8 +147,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     w = Window.partitionBy("_b").orderBy("_u", key)
     rows = []
     for f in features:
-        rotated = d.withColumn(f, F.coalesce(F.lag(f, 1).over(w), F.last(f).over(
-            w.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+        last = F.last(f).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        rotated = d.withColumn(f, F.when(F.row_number().over(w) == 1, last).otherwise(F.lag(f, 1).over(w)))
         rows.append((f, float(base - ev.evaluate(model.transform(rotated.drop("_u", "_b"))))))
     spark = df.sparkSession
     return spark.createDataFrame(rows, "feature string, importance double")

@@ -17,7 +17,6 @@ from tabsmith.functions import scalar
 from tabsmith.operators.drift import ks_statistic, long_form
 from tabsmith.operators.profile import numeric_cols, quantile_pair
 
-BROADCAST_LIMIT = 100_000
 
 
 def shift_dates_after(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
@@ -54,12 +53,20 @@ def shift_split_dates_after(real: DataFrame, synth: DataFrame, year: str, month:
     return out.drop("_d")
 
 
+def _holding(dtype: T.DataType, *values) -> T.DataType:
+    """The type, or double where it is an integer type and a value has a fraction."""
+    fraction = any(v is not None and float(v) != int(v) for v in values)
+    return T.DoubleType() if fraction and isinstance(dtype, T.IntegralType) else dtype
+
+
 def clip_to_real_range(real: DataFrame, synth: DataFrame, cols: list[str] | None = None,
                        lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Clip numeric columns to the real 1 %-99 % range (exact quantiles)."""
+    """Clip numeric columns to the real 1 %-99 % range (exact quantiles).
+
+    An integer column with a fractional bound becomes double."""
     cols = cols or [c for c in numeric_cols(real) if c in synth.columns]
     bounds = {r["column"]: (r["q_low"], r["q_high"]) for r in quantile_pair(real, cols, lo, hi).collect()}
-    return synth.withColumns({c: scalar.clip(c, *bounds[c]).cast(synth.schema[c].dataType)
+    return synth.withColumns({c: scalar.clip(c, *bounds[c]).cast(_holding(synth.schema[c].dataType, *bounds[c]))
                               for c in cols if c in bounds})
 
 
@@ -76,15 +83,13 @@ def domain_repair(df: DataFrame, lower_bounds: dict[str, float],
 def align_categories(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
     """Values outside the real categories become null.
 
-    One distinct-value table per column; broadcast only when its size is
-    checked to be under ``BROADCAST_LIMIT`` rows, else a shuffle join.
+    One distinct-value table per column; its measured size decides how it is joined.
     """
     out = synth
     for c in cols:
         cats = real.where(F.col(c).isNotNull()).select(F.col(c).alias("_cat")).distinct()
-        small = cats.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT
         cats = cats.withColumn("_ok", F.lit(True))
-        j = out.join(F.broadcast(cats) if small else cats, F.col(c) == F.col("_cat"), "left")
+        j = out.join(cats, F.col(c) == F.col("_cat"), "left")
         out = j.withColumn(c, F.when(F.col("_ok"), F.col(c))).drop("_cat", "_ok")
     return out
 
@@ -95,11 +100,13 @@ def coerce_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def impute(df: DataFrame, numeric: list[str], text: list[str], text_token: str = "missing") -> DataFrame:
-    """Numeric -> exact median, text -> token."""
+    """Numeric -> exact median, text -> token; an integer column with a
+    fractional median becomes double.  A column without values stays null."""
     from tabsmith.operators.profile import column_medians
 
     med = {r["column"]: r["median"] for r in column_medians(df, numeric).collect()} if numeric else {}
-    filled = df.fillna({c: float(med[c]) for c in numeric if med.get(c) is not None})
+    med = {c: float(med[c]) for c in numeric if med.get(c) is not None}
+    filled = df.withColumns({c: F.col(c).cast(_holding(df.schema[c].dataType, m)) for c, m in med.items()}).fillna(med)
     return filled.fillna({c: text_token for c in text})
 
 

@@ -162,7 +162,7 @@ def q_input_hash(spark, d):
 
 @register("fingerprint_portable", covers="X14 S12 Q8", sql="""
 SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name,
-       CAST(c_nationkey AS VARCHAR), printf('%.9e', c_acctbal), c_mktsegment)), 1, 15)) AS BIGINT)) AS VARCHAR) AS sum_sha
+       CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR), c_mktsegment)), 1, 15)) AS BIGINT)) AS VARCHAR) AS sum_sha
 FROM customer
 """)
 def q_fingerprint_portable(spark, d):

@@ -95,6 +95,17 @@ def q_csv_roundtrip(spark, d):
     return io.read_data(spark, "csv", path, CUSTOMER_SCHEMA)
 
 
+@register("csv_documents_roundtrip", covers="S1 S2 S13", sql=f"""
+SELECT doc_id, CASE WHEN text IN ({", ".join(repr(t) for t in io.NULL_TOKENS)}) THEN NULL ELSE text END AS text FROM documents
+""")
+def q_csv_documents_roundtrip(spark, d):
+    """Whole texts, with line breaks and quotes, through the CSV sink and back."""
+    path = _scratch(spark, "csv-documents")
+    io.save_csv(table(spark, d, "documents").select("doc_id", "text"), path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    return io.read_data(spark, "csv", path, schema)
+
+
 @register("json_roundtrip", covers="S1", sql="""
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders
 """)

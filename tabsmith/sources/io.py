@@ -52,13 +52,16 @@ def apply_null_tokens(df: DataFrame, cols: list[str] | None = None,
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             null_tokens: list[str] | None = None) -> DataFrame:
+             null_tokens: list[str] | None = None, splittable: bool = False) -> DataFrame:
     """CSV with header; every field read as text, null tokens mapped, then cast.
 
+    Quoted fields may hold line breaks and doubled quotes, so a file is read by one
+    task; ``splittable`` is for files known to have no line breaks in fields.
+
     Spark's ``nullValue`` takes a single token, so tokens are applied as one
     projection before the typed cast (ANSI casts raise on bad input).
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.options(header=True, inferSchema=False, multiLine=not splittable, quote='"', escape='"').csv(path)
     raw = apply_null_tokens(raw, tokens=null_tokens)
     if schema is None:
         return raw
@@ -168,8 +171,9 @@ def save_data(df: DataFrame, path: str, compression: str = "snappy", mode: str =
 
 
 def save_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """S13 CSV sink (distributed: one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """S13 CSV sink (distributed: one file per partition); quotes in fields are doubled."""
+    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def snapshot_path(store: str, name: str, version: str, snapshot_id: str) -> str:
@@ -200,12 +204,9 @@ def save_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def save_metrics_csv(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Small report table as a single CSV file (size checked first)."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"report has more than {max_rows} rows; use save_csv")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def save_metrics_csv(df: DataFrame, path: str) -> None:
+    """Report table as CSV; one file, as the rows stream through one writing task."""
+    save_csv(df.repartition(1), path, "overwrite")
 
 
 def schema_table(spark: SparkSession, df: DataFrame, entity_key: str | None = None,

@@ -89,4 +89,5 @@ def resolve_snapshots(requested: DataFrame, latest: DataFrame, bindings: DataFra
         chosen = F.col("bound_snapshot")
     else:
         chosen = F.coalesce(F.col("given_snapshot"), F.col("latest_snapshot"))
-    return out.withColumn("snapshot", chosen)
+    missing = F.raise_error(F.concat(F.lit("no snapshot for "), F.col("name"), F.lit(" "), F.col("version")))
+    return out.withColumn("snapshot", F.coalesce(chosen, missing.cast("string")))

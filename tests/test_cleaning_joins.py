@@ -114,3 +114,25 @@ def test_lineage_diff_and_schema_merge(spark):
     s2 = spark.createDataFrame([("hotel", "category"), ("adr", "float")], "feature string, dtype string")
     merged = {r.feature: r.dtype for r in joins.aggregate_schema_tables([s1, s2]).collect()}
     assert merged == {"lead_time": "int", "hotel": "string", "adr": "float"}
+
+
+def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path):
+    from tabsmith.sources import io
+    rows = [(1, 'a "q" b'), (2, "line1\nline2"), (3, "x,y\r\n\\z "), (4, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    io.save_csv(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, io.read_csv(spark, str(tmp_path / "t"), df.schema).collect())) == rows
+
+
+def test_nan_and_microseconds(spark):
+    from tabsmith.functions.hashing import input_row_hash, portable_fingerprint
+    from tabsmith.operators.clean import ValueRule, rule_keeps
+    from tabsmith.operators.synth import impute
+    d = spark.sql("SELECT * FROM VALUES (double('NaN')), (1D), (5D), (null) AS t(x)")
+    assert d.where(rule_keeps(d, ValueRule("x", "lte", 2))).count() == 3
+    t = spark.sql("SELECT timestamp'2024-01-01 00:00:00.000001' AS t UNION ALL SELECT timestamp'2024-01-01 00:00:00.000002'")
+    assert t.select(input_row_hash(t)).distinct().count() == 2
+    a, b = (spark.createDataFrame([(x,)], "x double") for x in (0.1, 0.1 + 1e-14))
+    assert portable_fingerprint(a).first() != portable_fingerprint(b).first()
+    odd = impute(spark.createDataFrame([(2,), (3,), (None,)], "x int"), ["x"], [])
+    assert sorted(r.x for r in odd.collect()) == [2, 2.5, 3]

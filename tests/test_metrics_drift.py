@@ -165,3 +165,33 @@ def test_snapshot_directory_catalog(spark, tmp_path):
     cat = snapshots.list_snapshot_dirs(spark, str(tmp_path))
     latest = {(r.name, r.version): r.latest_snapshot for r in snapshots.latest_snapshots(cat).collect()}
     assert latest == {("a", "v1"): "2026-02-01T00-00-00_bbbb0000", ("b", "v1"): "2026-03-01T00-00-00_cccc0000"}
+
+
+def test_gates_and_assessment_fail_on_missing_values(spark):
+    from tabsmith.operators import drift, gates
+    metrics = spark.createDataFrame([("test", "auc", 0.9)], "split string, metric string, value double")
+    rule = lambda metric, direction: spark.createDataFrame(
+        [("test", metric, direction, 0.8)], "split string, metric string, direction string, threshold double")
+    assert gates.gate_decision(metrics, rule("auc", "maximize")).first().promote
+    for bad in (rule("f1", "maximize"), rule("auc", "up")):
+        with pytest.raises(Exception, match="for (f1|auc) in test"):
+            gates.gate_decision(metrics, bad, stage="staging").collect()
+    side = lambda name, value: spark.createDataFrame([("auc", value)], f"metric string, {name} double")
+    up = spark.createDataFrame([("auc", "maximize")], "metric string, direction string")
+    with pytest.raises(Exception, match="no value for metric auc"):
+        drift.performance_assessment(side("current", None), side("expected", 0.5), up).collect()
+
+
+def test_binding_that_lacks_a_set_fails(spark):
+    req = spark.createDataFrame([("a", "v1", None)], "name string, version string, given_snapshot string")
+    latest = spark.createDataFrame([("a", "v1", "s1")], "name string, version string, latest_snapshot string")
+    none = spark.createDataFrame([], "binding_id string, kind string, name string, version string, snapshot string")
+    assert snapshots.resolve_snapshots(req, latest).first().snapshot == "s1"
+    with pytest.raises(Exception, match="no snapshot for a v1"):
+        snapshots.resolve_snapshots(req, latest, none, "b").collect()
+
+
+def test_refined_space_stays_in_bounds():
+    from tabsmith.operators.ml import refine_space
+    space = refine_space({"depth": 9, "rate": 0.1}, {"depth": [5]}, {"rate": [0.5, 20]}, {"depth": (1, 10), "rate": (0, 1)})
+    assert space == {"depth": [4, 9], "rate": [0.05, 0.1]}
