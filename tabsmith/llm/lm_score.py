@@ -1,15 +1,20 @@
-"""LM scoring by logistic mixing of hashed-context bit predictors.
+"""LM scoring by logistic mixing of context bit predictors.
 
 A text is its words (A-Z as a-z) and one end; each token is coded byte by byte,
 closed by a blank, and each byte bit by bit.  Four predictors, for the contexts of
-the last one, two and three bytes and of the whole word so far, look up how often
-0 and 1 followed in the training texts; counts live in hashed tables of a fixed
-size, filled from all training documents by grouped sums.  Their log odds are
-combined by weights that a gate (place in the word, confidence of the longest
-context) selects, learned online; a last table refines the result by what it was
-worth.  Scoring freezes the tables, so each different word is computed once a
-worker.  ``score`` is log10 of the probability of the token sequence, so
-``-score / log10(2)`` are its total bits.
+the last one, two and three bytes and of the whole word so far, know how often 0 and
+1 followed in the training texts.  The counts are a Spark table with one row for each
+different (context, byte), keyed by the full context or its 64-bit hash: it grows with
+the vocabulary and no two contexts share a row.  A trie edge (prefix of a word, next
+byte) determines all four contexts, so each edge meets its counts once, by joins.
+
+The log odds are combined by weights that a gate (place in the word, confidence of
+the longest context) selects.  They are learned over all training documents: an edge
+stands for all its occurrences, each of which is taken out of the counts that predict
+it; tasks sum gradients and second derivatives by gate, for ``ROUNDS`` Newton steps.
+A last table refines the result by what it was worth, again over all occurrences.
+``score`` is log10 of the probability of the token sequence, so ``-score / log10(2)``
+are its total bits.
 
 Base counts of tokens are exact.  Few tokens make up most of a text: the
 ``TOP`` most frequent ones travel with the tasks, the others are joined.
@@ -17,27 +22,23 @@ Base counts of tokens are exact.  Few tokens make up most of a text: the
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import cut, small_batches, text_of
 
-SLOT_BITS, CONTEXTS = 19, 4
-SLOTS = 1 << SLOT_BITS
-CHUNK = 1 << 16
+CONTEXTS = 4
+WEIGHTS = CONTEXTS + 1
 TOP = 1 << 16
-FIT_DOCS = 200  # training documents (smallest id hashes) on which the mixing weights are learned
+ROUNDS = 4
 GATES, BINS = 16, 33
-KNOWN = 400_000  # entries of the hash cache
-SCORED = 1_000_000  # entries of the score cache
+KNOWN = 400_000  # entries of the hash cache, and of a task's words before they are handed on
 END = b"\n"
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +54,6 @@ def tokens(text: str) -> list[bytes]:
 
 
 _hashes: dict[bytes, int] = {}
-_scores: dict[str, dict[int, float]] = {}
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -74,181 +74,254 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Bits:
-    """Contexts of all bytes of some words, and their slots bit by bit."""
+def edge(parent: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """64-bit key of the trie edge that leaves the prefix ``parent`` by ``byte``."""
+    return _mix(parent.view(np.uint64) ^ (byte.astype(np.uint64) + np.uint64(1)) * _MUL).view(np.int64)
+
+
+class Places:
+    """All bytes of some words, each with its contexts."""
 
     def __init__(self, words: list[bytes]):
         raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         ends = np.flatnonzero(raw == 32)  # words have no blanks
         starts = np.concatenate([[0], ends[:-1] + 1])
-        lengths = ends + 1 - starts
-        self.byte, self.starts = raw, starts
+        self.lengths = lengths = ends + 1 - starts
+        self.byte = raw
         place = np.arange(len(raw)) - np.repeat(starts, lengths)
-        b = raw.astype(np.uint64)
-        last = [np.zeros(len(raw), np.uint64) for _ in range(3)]
+        self.last = np.zeros(len(raw), np.int32)  # the last three bytes of the word, the nearest lowest
         for j in range(3):
-            last[j][j + 1:] = b[:-(j + 1)] if len(raw) > j + 1 else b[:0]
-            last[j][place <= j] = 0
+            before = np.zeros(len(raw), np.int32)
+            before[j + 1:] = raw[:-(j + 1)] if len(raw) > j + 1 else raw[:0]
+            before[place <= j] = 0
+            self.last |= before << (8 * j)
+        b = raw.astype(np.uint64)
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(raw) - 1, _ODD)]), dtype=np.uint64)
         upto = np.concatenate([[np.uint64(0)], np.cumsum((b + np.uint64(1)) * power, dtype=np.uint64)])[:-1]
         inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(raw) - 1, _ODD_INVERSE)]), dtype=np.uint64)
         prefix = (upto - np.repeat(upto[starts], lengths)) * np.repeat(inverse[starts], lengths)
-        one = last[0]
-        two = one | last[1] << np.uint64(8)
-        three = two | last[2] << np.uint64(16)
-        self.contexts = [_mix(c + np.uint64((k + 1) << 40)) for k, c in enumerate((one, two, three, prefix))]
-        self.place = np.minimum(place, 3)
+        self.parent = _mix(prefix + place.astype(np.uint64) * _ODD).view(np.int64)
+        self.place = np.minimum(place, 3).astype(np.int32)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows or a little more."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """``h, w, c`` of some words, together ``size`` bytes or one word more."""
+    for batch in batches:
+        h, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        words = batch.column(1).to_pylist()
+        ends = np.cumsum([len(w) + 1 for w in words])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(size, ends[-1], size)) + 1, [len(words)]]))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield h[lo:hi], words[lo:hi], c[lo:hi]
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """``h, w, c``: hash, bytes and training count (0 for held-out words) of all tokens of ``text, held_out``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
 
-    def bit(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bit ``k`` of every byte (the highest first) and the slots of its contexts."""
-        node = (np.uint64(1 << k) | (self.byte.astype(np.uint64) >> np.uint64(8 - k))) * _ODD
-        slots = [((c + node) * _MUL >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c in self.contexts]
-        return (self.byte >> (7 - k) & 1).astype(np.float32), slots
+        def out() -> pa.RecordBatch:
+            words = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array(hashes(words)), pa.array(words, pa.binary()),
+                                               pa.array(list(seen.values()), pa.int64())], ["h", "w", "c"])
 
+        for batch in batches:
+            for text, held in zip(batch.column(0), batch.column(1).to_pylist()):
+                one = 0 if held else 1
+                for w in tokens(text.as_py()):
+                    seen[w] = seen.get(w, 0) + one
+                if len(seen) > KNOWN:
+                    yield out()
+                    seen.clear()
+        if seen:
+            yield out()
+
+    return cut(docs.select("text", "held_out").mapInArrow(run, "h long, w binary, c long")
+               .groupBy("h", "w").agg(F.sum("c").alias("c")))
+
+
+def edges(words: DataFrame) -> DataFrame:
+    """``parent, last, place, byte, c``: one row for each trie edge of the words, with its
+    training count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some, c in _parts(_gathered(batches)):
+            x = Places(some)
+            _, first, which = np.unique(edge(x.parent, x.byte), return_index=True, return_inverse=True)
+            total = np.bincount(which, np.repeat(c, x.lengths)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.parent[first]), pa.array(x.last[first]), pa.array(x.place[first]),
+                 pa.array(x.byte[first].astype(np.int32)), pa.array(total)], ["parent", "last", "place", "byte", "c"])
 
-def _parts(items: list, at_once: int = 20_000) -> Iterator[list]:
-    for k in range(0, len(items), at_once):
-        yield items[k:k + at_once]
+    return (words.mapInArrow(run, "parent long, last int, place int, byte int, c long")
+            .groupBy("parent", "last", "place", "byte").agg(F.sum("c").alias("c")))
 
 
-def token_counts(training: DataFrame) -> DataFrame:
-    """``h, c``: exact counts of the tokens (64-bit hashes) of all training texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                found = [hashes(tokens(t.as_py())) for t in batch.column(1).slice(k, 4000)]
-                h, c = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
-
-    return cut(training.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-
-
-def context_tables(training: DataFrame) -> np.ndarray:
-    """Counts of bits by context slot, ``[context, bit, slot]``, over all training texts.
-
-    Each task fills tables of the fixed size and emits them in compressed chunks; the
-    chunks are summed in three rounds of groups, so no task adds up more than a
-    bounded number of them.  The driver gets one table."""
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[bytes, int] = {}
-        table = np.zeros((CONTEXTS, 2, SLOTS))
-
-        def add() -> None:
-            for some in _parts(list(words), 100_000):
-                x = Bits(some)
-                weight = np.repeat(np.array([words[w] for w in some], float), [len(w) + 1 for w in some])
-                for k in range(8):
-                    bit, slots = x.bit(k)
-                    for c in range(CONTEXTS):
-                        both = np.bincount(slots[c] * 2 + bit.astype(np.int64), weight, 2 * SLOTS)
-                        table[c] += both.reshape(-1, 2).T
-            words.clear()
+def paths(counts: DataFrame, context: list[str]) -> DataFrame:
+    """The rows of ``counts`` (context columns, ``byte, c``) with ``path``: how often 0 and 1
+    followed in the context at each of the 8 bit nodes on the way to the byte, as floats."""
+    types = dict(counts.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in context) + ", byte int, c long, path binary"
 
-        for batch in batches:
-            for t in batch.column(1):
-                for w in tokens(t.as_py()):
-                    words[w] = words.get(w, 0) + 1
-                if len(words) > KNOWN:
-                    add()
-        add()
-        flat = table.reshape(-1, CHUNK).astype("<u4")
-        keep = [k for k in range(len(flat)) if flat[k].any()]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(keep, pa.int32()),
-                                          "data": pa.array([zlib.compress(flat[k].tobytes(), 1) for k in keep], pa.binary())})
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK, np.float64)
-        for d in pdf["data"]:
-            total += np.frombuffer(zlib.decompress(d), "<u4")
-        total = np.minimum(total, 2**32 - 1).astype("<u4")
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": pdf["part"].iloc[:1], "data": [zlib.compress(total.tobytes(), 1)]})
-
-    t = training.mapInArrow(fill, "chunk int, data binary").withColumn("part", F.spark_partition_id())
-    for _ in range(3):
-        t = t.withColumn("part", F.expr("part div 64").cast("int")).groupBy("chunk", "part").applyInPandas(
-            add_up, "chunk int, part int, data binary")
-    table = np.zeros((CONTEXTS * 2 * SLOTS // CHUNK, CHUNK), np.float64)
-    for r in cut(t).collect():  # of the fixed size
-        table[r["chunk"]] += np.frombuffer(zlib.decompress(r["data"]), "<u4")
-    return table.reshape(CONTEXTS, 2, SLOTS).astype(np.float32)
-
-
-def _odds(table: np.ndarray, slots: list[np.ndarray], own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Log odds of the predictors and the confidence class of the longest context, with
-    ``own``, the bits themselves, taken out of the counts of the words that they are in."""
-    out = []
-    for c in range(CONTEXTS):
-        n0, n1 = table[c, 0][slots[c]], table[c, 1][slots[c]]
-        n1, n0 = np.maximum(n1 - own, 0), np.maximum(n0 - (1 - own), 0)
-        out.append(np.log((n1 + 0.4) / (n0 + 0.4)))
-    return out, _sure(n0 + n1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, 5000):
+            lists = batch.column(len(context))
+            group = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            flat = pc.list_flatten(lists)
+            byte, c = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            order = np.argsort(group << 8 | byte, kind="stable")
+            group, byte, c = group[order], byte[order].astype(np.int64), c[order]
+            out = np.empty((len(byte), 8, 2), "<f4")
+            for k in range(8):
+                node = group << 8 | byte >> (8 - k)
+                new = np.concatenate([[True], node[1:] != node[:-1]])
+                begin, which = np.flatnonzero(new), np.cumsum(new) - 1
+                ones = np.add.reduceat(c * (byte >> (7 - k) & 1), begin)
+                out[:, k, 1] = ones[which]
+                out[:, k, 0] = (np.add.reduceat(c, begin) - ones)[which]
+            at = pa.array(group)
+            ends = pa.py_buffer((np.arange(len(byte) + 1) * 64).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k).take(at) for k in range(len(context))]
+                + [pa.array(byte.astype(np.int32)), pa.array(c),
+                   pa.Array.from_buffers(pa.binary(), len(byte), [None, ends, pa.py_buffer(out.tobytes())])],
+                [*context, "byte", "c", "path"])
+
+    return counts.groupBy(*context).agg(F.collect_list(F.struct("byte", "c")).alias("_l")).mapInArrow(run, schema)
+
+
+def inputs(words: DataFrame) -> DataFrame:
+    """``parent, place, byte, c, f`` of each trie edge; ``f`` has the paths of its contexts,
+    ``[context, bit, 0 or 1]``: last byte, two bytes, three bytes, prefix."""
+    all_edges = cut(edges(words))
+    three = cut(all_edges.groupBy("last", "byte").agg(F.sum("c").alias("c")))
+    near = paths(three, ["last"]).withColumnRenamed("path", "p3").drop("c")
+    for k, mask in ((2, 0xFFFF), (1, 0xFF)):
+        less = three.groupBy(F.col("last").bitwiseAND(F.lit(mask)).alias("l"), "byte").agg(F.sum("c").alias("c"))
+        near = near.withColumn("l", F.col("last").bitwiseAND(F.lit(mask))).join(
+            paths(less, ["l"]).withColumnRenamed("path", f"p{k}").drop("c"), ["l", "byte"]).drop("l")
+    near = cut(near.select("last", "byte", F.concat("p1", "p2", "p3").alias("near")))
+    return cut(paths(all_edges, ["parent", "last", "place"]).join(near, ["last", "byte"])
+               .select("parent", "place", "byte", "c", F.concat("near", "path").alias("f")))
 
 
 def _sure(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int64) + (n > 2) + (n > 12)
 
 
-class Frozen:
-    """The tables as scoring reads them."""
+def _bits(batch: pa.RecordBatch, weights: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each of the 8 bits of the edges: the bit, log odds of the predictors and a one,
+    gate, mixed log odds.  ``own`` takes one occurrence out of the counts."""
+    place, byte, f = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), batch.column(4)
+    begin = np.frombuffer(f.buffers()[1], np.int32)[f.offset]
+    n = np.frombuffer(f.buffers()[2], "<f4", len(f) * CONTEXTS * 16, begin).reshape(-1, CONTEXTS, 8, 2)
+    for k in range(8):
+        bit = (byte >> (7 - k) & 1).astype(np.float32)
+        n0, n1 = n[:, :, k, 0], n[:, :, k, 1]
+        if own:
+            n0, n1 = np.maximum(n0 - (1 - bit)[:, None], 0), np.maximum(n1 - bit[:, None], 0)
+        x = np.ones((len(bit), WEIGHTS), np.float32)
+        x[:, :CONTEXTS] = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
+        gate = place * 4 + _sure(n0[:, -1] + n1[:, -1])
+        yield bit, x, gate, np.clip((weights[gate] * x).sum(axis=1), -12, 12)
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray, refine: np.ndarray):
-        self.odds = np.log((table[:, 1] + np.float32(0.4)) / (table[:, 0] + np.float32(0.4)))
-        self.sure = _sure(table[CONTEXTS - 1].sum(axis=0)).astype(np.uint8)
-        self.weights, self.refine = weights, refine
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
-        out = []
-        for some in _parts(words):
-            x = Bits(some)
-            total = np.zeros(len(x.byte), np.float32)
-            for k in range(8):
-                bit, slots = x.bit(k)
-                gate = x.place * 4 + self.sure[slots[-1]]
-                s = _mixed([self.odds[c][slots[c]] for c in range(CONTEXTS)], gate, self.weights)
-                p = 0.5 / (1 + np.exp(-s)) + 0.5 * self.refine[gate, _bin(s)]
-                total += np.log10(np.where(bit > 0, p, 1 - p))
-            out.append(np.add.reduceat(total.astype(np.float64), x.starts))
-        return np.concatenate(out) if out else np.zeros(0)
 
+def _bin(s: np.ndarray) -> np.ndarray:
+    return np.rint((s + 12) * ((BINS - 1) / 24)).astype(np.int64)
 
-def _mixed(odds: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    s = weights[gate, CONTEXTS].copy()
-    for c in range(CONTEXTS):
-        s += weights[gate, c] * odds[c]
-    return np.clip(s, -12, 12)
 
+def _summed(table: DataFrame, run, size: int) -> np.ndarray:
+    """Sums over all tasks of the ``size`` numbers that ``run`` makes of a task's batches."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(run(batches))], ["k", "v"])
 
-def _bin(s: np.ndarray) -> np.ndarray:
-    return np.rint((s + 12) * ((BINS - 1) / 24)).astype(np.int64)
+    out = np.zeros(size)
+    for r in table.mapInArrow(emit, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]] = r["v"]
+    return out
 
 
-def fit(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mixing weights and the refining table, learned online over the sample, each word's
-    own occurrence taken out of the counts."""
-    weights = np.zeros((GATES, CONTEXTS + 1), np.float32)
-    weights[:, :CONTEXTS] = 0.3
-    words = [w for t in texts for w in tokens(t)]
-    hits, total = np.zeros((GATES, BINS)), np.zeros((GATES, BINS))
-    for rate in (0.02, 0.005, 0.0):  # the last round fills the refining table
-        for some in _parts(words, 256 if rate else 20_000):
-            x = Bits(some)
-            for k in range(8):
-                bit, slots = x.bit(k)
-                odds, sure = _odds(table, slots, bit)
-                gate = x.place * 4 + sure
-                s = _mixed(odds, gate, weights)
-                if rate:
-                    err = bit - 1 / (1 + np.exp(-s))
-                    scale = rate / np.maximum(np.bincount(gate, minlength=GATES), 1) * 8
-                    for c in range(CONTEXTS):
-                        weights[:, c] += scale * np.bincount(gate, err * odds[c], GATES)
-                    weights[:, CONTEXTS] += scale * np.bincount(gate, err, GATES)
-                else:
-                    np.add.at(hits, (gate, _bin(s)), bit)
-                    np.add.at(total, (gate, _bin(s)), 1)
+def learn(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixing weights, hits and totals by (gate, bin), over all training occurrences of the edges."""
+    table = table.where("c > 0")
+    start = np.full((GATES, WEIGHTS), 0.3)
+    start[:, CONTEXTS] = 0
+    weights, one = start.copy(), WEIGHTS * (WEIGHTS + 1)
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((GATES, WEIGHTS + 1, WEIGHTS))
+        for batch in _gathered(batches):
+            c = batch.column(3).to_numpy().astype(np.float64)
+            for bit, x, gate, s in _bits(batch, weights.astype(np.float32), True):
+                p = 1 / (1 + np.exp(-s.astype(np.float64)))
+                err, bend = c * (bit - p), c * p * (1 - p)
+                for g in np.unique(gate):
+                    at = np.flatnonzero(gate == g)
+                    y = x[at].astype(np.float64)
+                    out[g, 0] += err[at] @ y
+                    out[g, 1:] += (y * bend[at, None]).T @ y
+        return out.ravel()
+
+    for _ in range(ROUNDS):
+        got = _summed(table, slopes, GATES * one).reshape(GATES, WEIGHTS + 1, WEIGHTS)
+        step = np.linalg.solve(got[:, 1:] + np.eye(WEIGHTS), (got[:, 0] - (weights - start))[:, :, None])[:, :, 0]
+        weights = weights + np.clip(step, -0.5, 0.5)
+
+    def worth(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((2, GATES * BINS))
+        for batch in _gathered(batches):
+            c = batch.column(3).to_numpy().astype(np.float64)
+            for bit, _, gate, s in _bits(batch, weights.astype(np.float32), True):
+                at = gate * BINS + _bin(s)
+                out[0] += np.bincount(at, c * bit, GATES * BINS)
+                out[1] += np.bincount(at, c, GATES * BINS)
+        return out.ravel()
+
+    hits, total = _summed(table, worth, 2 * GATES * BINS).reshape(2, GATES, BINS)
+    return weights.astype(np.float32), hits, total
+
+
+def refined(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
     centre = 1 / (1 + np.exp(-(np.arange(BINS) * 24 / (BINS - 1) - 12)))
-    return weights, ((hits + 20 * centre) / (total + 20)).astype(np.float32)
+    return ((hits + 20 * centre) / (total + 20)).astype(np.float32)
+
+
+def edge_scores(table: DataFrame, weights: np.ndarray, refine: np.ndarray) -> DataFrame:
+    """``e, s``: key and log10 probability of each edge."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            total = np.zeros(batch.num_rows)
+            for bit, _, gate, s in _bits(batch, weights, False):
+                p = 0.5 / (1 + np.exp(-s)) + 0.5 * refine[gate, _bin(s)]
+                total += np.log10(np.where(bit > 0, p, 1 - p))
+            e = edge(batch.column(0).to_numpy(), batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(total)], ["e", "s"])
+
+    return table.mapInArrow(run, "e long, s double")
+
+
+def word_scores(words: DataFrame, scores: DataFrame) -> DataFrame:
+    """``h, c, s``: the words with their log10 probabilities, summed over their edges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, some, c in _parts(_gathered(batches)):
+            x = Places(some)
+            yield pa.RecordBatch.from_arrays([pa.array(edge(x.parent, x.byte)), pa.array(np.repeat(h, x.lengths)),
+                                              pa.array(np.repeat(c, x.lengths))], ["e", "h", "c"])
+
+    return cut(words.mapInArrow(run, "e long, h long, c long").join(scores, "e")
+               .groupBy("h").agg(F.min("c").alias("c"), F.sum("s").alias("s")))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
@@ -263,58 +336,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"),
                     (fold == held_fold).alias("held_out"))
-    training = d.where("NOT held_out").select("doc_id", "text")
-    counts = token_counts(training)
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    words = vocabulary(d)
+    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    table = inputs(words)
+    weights, hits, worth = learn(table)
+    counts = word_scores(words, edge_scores(table, weights, refined(hits, worth)))
     top = counts.orderBy(F.desc("c"), "h").limit(TOP).toPandas().sort_values("h")
-    top_h, top_c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64)
-    table = context_tables(training)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)  # 2 * CONTEXTS * SLOTS numbers, whatever the input
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t.as_py() for b in batches for t in b.column(1)]
-        w, r = fit(shared.value, texts)
-        yield pa.RecordBatch.from_pydict({"w": [w.astype("<f4").tobytes()], "r": [r.astype("<f4").tobytes()]})
-
-    sample = training.orderBy(F.xxhash64("doc_id"), "text").limit(FIT_DOCS).coalesce(1)
-    got = sample.mapInArrow(learn, "w binary, r binary").collect()
-    weights, refine = fit(table, [])
-    if got:
-        weights = np.frombuffer(got[0]["w"], "<f4").reshape(weights.shape)
-        refine = np.frombuffer(got[0]["r"], "<f4").reshape(refine.shape)
+    top_h, top_c, top_s = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64), top["s"].to_numpy(np.float64)
     denominator = total + 0.5 * (kinds + 1)
-    model_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = Frozen(shared.value, weights, refine)
-        if model_id not in _scores:  # kept from task to task in a worker
-            _scores.clear()
-            _scores[model_id] = {}
-        known = _scores[model_id]
+        top_log = np.log10(top_c + 0.5)
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                words = [tokens(t.as_py()) for t in part.column(1)]
-                n = np.array([len(w) for w in words], np.int64)
-                h = hashes([w for ws in words for w in ws])
+                found = [tokens(t.as_py()) for t in part.column(1)]
+                n = np.array([len(w) for w in found], np.int64)
+                h = hashes([w for ws in found for w in ws])
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
                 flat, index = np.unique(h, return_inverse=True)
-                where = np.empty(len(flat), np.int64)
-                where[index] = np.arange(len(h))
-                every = [w for ws in words for w in ws]
-                value = [known.get(x) for x in flat.tolist()]
-                new = [k for k, v in enumerate(value) if v is None]
-                if len(known) > SCORED:
-                    known.clear()
-                for k, s in zip(new, frozen.score([every[where[k]] for k in new])):
-                    value[k] = known[int(flat[k])] = float(s)
-                model = np.add.reduceat(np.array(value)[index], starts)
-                at = np.minimum(np.searchsorted(top_h, flat), max(len(top_h) - 1, 0))
-                is_top = (top_h[at] == flat) if len(top_h) else np.zeros(len(flat), bool)
-                logs = np.where(is_top, np.log10((top_c[at] if len(top_h) else 0.0) + 0.5), 0.0)
-                base = np.add.reduceat(logs[index], starts)
-                n_top = np.add.reduceat(is_top[index].astype(np.int64), starts)
+                at = np.minimum(np.searchsorted(top_h, flat), len(top_h) - 1)
+                is_top = top_h[at] == flat
+                base = np.add.reduceat(np.where(is_top, top_log[at], 0.0)[index], starts)
+                model = np.add.reduceat(np.where(is_top, top_s[at], 0.0)[index], starts)
+                n_top = np.add.reduceat((is_top & (top_c[at] > 0))[index].astype(np.int64), starts)
                 rare = ~is_top[index]
                 per = np.add.reduceat(rare.astype(np.int64), starts)
                 ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
@@ -328,11 +373,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         .withColumn("row", F.monotonically_increasing_id()))
     # the rest of the tokens meet their counts; a row's number is written with it, so it stays
     rest = (rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
-            .join(counts, "h", "left").groupBy("row").agg(
-                F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"),
+            .join(counts, "h").groupBy("row").agg(
+                F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.col("n") * F.col("s")).alias("more_s"),
                 F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_more")))
     return rows.drop("rare").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("n_more", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(denominator))).alias("base_score"),
-        F.col("model").alias("score"))
+        (F.col("model") + F.coalesce("more_s", F.lit(0.0))).alias("score"))

@@ -222,3 +222,31 @@ def test_lm_scoring(spark):
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks[i])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(toks[i]), sum(c[w] > 0 for w in toks[i]), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+
+
+def test_lm_counts_are_whole(spark):
+    """One row for each (prefix, byte), with the counts of plain Python; learning sees every occurrence."""
+    rng = np.random.default_rng(5)
+    some = ["".join("abcdefé"[x] for x in rng.integers(0, 7, rng.integers(1, 9))) for _ in range(300)]
+    rows = [(k, " ".join(some[j] for j in rng.integers(0, 300, 40)), k % 5 == 1) for k in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    words_ = lm_score.vocabulary(docs)
+    table = lm_score.inputs(words_)
+    c, seen = Counter(), set()
+    for _, text, held in rows:
+        for w in lm_score.tokens(text):
+            seen.add(w)
+            c[w] += not held
+    steps, want = {(w[:j], (w + b" ")[j]) for w in seen for j in range(len(w) + 1)}, Counter()
+    nodes = [{} for _ in range(4)]
+    for w in seen:
+        for j, byte in enumerate(w + b" "):
+            for node, context in zip(nodes, (w[max(j - 1, 0):j], w[max(j - 2, 0):j], w[max(j - 3, 0):j], w[:j])):
+                for k in range(8):
+                    node.setdefault((context, k, byte >> (8 - k)), [0, 0])[byte >> (7 - k) & 1] += c[w]
+    for prefix, byte in steps:
+        contexts = [prefix[-1:], prefix[-2:], prefix[-3:], prefix]
+        path = [nodes[x][context, k, byte >> (8 - k)] for x, context in enumerate(contexts) for k in range(8)]
+        want[byte, min(len(prefix), 3), np.array(path, "<f4").tobytes()] += 1
+    got = table.collect()
+    assert Counter((r.byte, r.place, bytes(r.f)) for r in got) == want and len(got) == len(steps)
