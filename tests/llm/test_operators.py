@@ -250,3 +250,16 @@ def test_lm_counts_are_whole(spark):
         want[byte, min(len(prefix), 3), np.array(path, "<f4").tobytes()] += 1
     got = table.collect()
     assert Counter((r.byte, r.place, bytes(r.f)) for r in got) == want and len(got) == len(steps)
+
+
+def test_lm_learns_from_every_training_document(spark):
+    rows = [(k, f"w{k} the {k * k} of", k % 5 == 1) for k in range(600)]
+    words_ = lm_score.vocabulary(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"))
+    table = lm_score.inputs(words_)
+    c = Counter(w for _, text, held in rows for w in lm_score.tokens(text) if not held)
+    seen = {w for _, text, _ in rows for w in lm_score.tokens(text)}
+    weights, hits, total = lm_score.learn(table)
+    assert total.sum() == 8 * sum(n * (len(w) + 1) for w, n in c.items())
+    assert hits.sum() == sum(n * sum(x.bit_count() for x in w + b" ") for w, n in c.items())
+    scores = lm_score.word_scores(words_, lm_score.edge_scores(table, weights, lm_score.refined(hits, total)))
+    assert all(r.s < 0 for r in scores.collect()) and scores.count() == len(seen)
