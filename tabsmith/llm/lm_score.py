@@ -13,8 +13,15 @@ the longest context) selects.  They are learned over all training documents: an
 stands for all its occurrences, each of which is taken out of the counts that predict
 it; tasks sum gradients and second derivatives by gate, for ``ROUNDS`` Newton steps.
 A last table refines the result by what it was worth, again over all occurrences.
+
+A second mixer takes that result and a fifth predictor, for the context of the
+previous word with the word so far, in the same way: its unit is an edge of the trie of
+the words that follow one word.  Two tokens in a row are scored as a pair, so the order
+of the words counts.  Weights are frozen for scoring.
+
 ``score`` is log10 of the probability of the token sequence, so ``-score / log10(2)``
-are its total bits.
+are its total bits, and ``bits_per_byte`` divides them by the coded bytes (of all
+tokens, each with its closing blank).
 
 Base counts of tokens are exact.  Few tokens make up most of a text: the
 ``TOP`` most frequent ones travel with the tasks, the others are joined.
@@ -34,7 +41,6 @@ from pyspark.sql import functions as F
 from tabsmith.llm.common import cut, small_batches, text_of
 
 CONTEXTS = 4
-WEIGHTS = CONTEXTS + 1
 TOP = 1 << 16
 ROUNDS = 4
 GATES, BINS = 16, 33
@@ -79,6 +85,11 @@ def edge(parent: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return _mix(parent.view(np.uint64) ^ (byte.astype(np.uint64) + np.uint64(1)) * _MUL).view(np.int64)
 
 
+def follows(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """64-bit key of a token ``h`` after a token ``before`` (or of a prefix after it)."""
+    return _mix(before.view(np.uint64) * _ODD + h.view(np.uint64)).view(np.int64)
+
+
 class Places:
     """All bytes of some words, each with its contexts."""
 
@@ -117,15 +128,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """``h, w, c`` of some words, together ``size`` bytes or one word more."""
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple]:
+    """``h, w, c`` (of pairs ``p, w, c, b``) of some words, together ``size`` bytes or one word more."""
     for batch in batches:
-        h, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        numbers = [batch.column(k).to_numpy() for k in range(batch.num_columns) if k != 1]
         words = batch.column(1).to_pylist()
         ends = np.cumsum([len(w) + 1 for w in words])
         cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(size, ends[-1], size)) + 1, [len(words)]]))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            yield h[lo:hi], words[lo:hi], c[lo:hi]
+            h, *more = [x[lo:hi] for x in numbers]
+            yield h, words[lo:hi], *more
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -153,6 +165,34 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                .groupBy("h", "w").agg(F.sum("c").alias("c")))
 
 
+def _before(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The token before each token; a text begins after an end."""
+    out = np.empty_like(h)
+    out[1:] = h[:-1]
+    out[starts] = hashes([END])[0]
+    return out
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """``p, w, c, b``: key, second token's bytes, training count and first token of all pairs
+    of tokens in a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, 1000):
+            found = [tokens(t.as_py()) for t in batch.column(0)]
+            n = np.array([len(w) for w in found], np.int64)
+            every = [w for ws in found for w in ws]
+            h = hashes(every)
+            b = _before(h, np.concatenate([[0], np.cumsum(n)[:-1]]))
+            flat, first, which = np.unique(follows(b, h), return_index=True, return_inverse=True)
+            trained = np.repeat(~np.array(batch.column(1).to_pylist(), bool), n)
+            c = np.bincount(which, trained, len(flat)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array([every[k] for k in first], pa.binary()),
+                                              pa.array(c), pa.array(b[first])], ["p", "w", "c", "b"])
+
+    return cut(docs.select("text", "held_out").mapInArrow(run, "p long, w binary, c long, b long")
+               .groupBy("p", "w", "b").agg(F.sum("c").alias("c")).select("p", "w", "c", "b"))
+
+
 def edges(words: DataFrame) -> DataFrame:
     """``parent, last, place, byte, c``: one row for each trie edge of the words, with its
     training count."""
@@ -217,27 +257,87 @@ def inputs(words: DataFrame) -> DataFrame:
                .select("parent", "place", "byte", "c", F.concat("near", "path").alias("f")))
 
 
+def pair_edges(all_pairs: DataFrame) -> DataFrame:
+    """``after, parent, place, byte, c``: edges of the tries of the words that follow one word.
+    ``after`` is the key of the prefix ``parent`` behind that word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some, c, b in _parts(_gathered(batches)):
+            x = Places(some)
+            after = follows(np.repeat(b, x.lengths), x.parent)
+            _, first, which = np.unique(edge(after, x.byte), return_index=True, return_inverse=True)
+            total = np.bincount(which, np.repeat(c, x.lengths)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(after[first]), pa.array(x.parent[first]), pa.array(x.place[first]),
+                 pa.array(x.byte[first].astype(np.int32)), pa.array(total)], ["after", "parent", "place", "byte", "c"])
+
+    return (all_pairs.mapInArrow(run, "after long, parent long, place int, byte int, c long")
+            .groupBy("after", "parent", "place", "byte").agg(F.sum("c").alias("c")))
+
+
+def pair_inputs(all_pairs: DataFrame, table: DataFrame, weights: np.ndarray, refine: np.ndarray) -> DataFrame:
+    """``after, place, byte, c, f`` of each edge behind a word; ``f`` has the mixed log odds of
+    the four predictors, ``[own occurrence out or in, bit]``, then the path of the context."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            out = np.empty((batch.num_rows, 2, 8), "<f4")
+            for j in range(2):
+                for k, (_, _, gate, s) in enumerate(_bits(batch, weights, j == 0)):
+                    p = _probability(gate, s, refine)
+                    out[:, j, k] = np.log(p / (1 - p))
+            ends = pa.py_buffer((np.arange(batch.num_rows + 1) * 64).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2),
+                 pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(out.tobytes())])],
+                ["parent", "byte", "mixed"])
+
+    mixed = table.mapInArrow(run, "parent long, byte int, mixed binary")
+    return cut(paths(pair_edges(all_pairs), ["after", "parent", "place"]).join(mixed, ["parent", "byte"])
+               .select("after", "place", "byte", "c", F.concat("mixed", "path").alias("f")))
+
+
 def _sure(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int64) + (n > 2) + (n > 12)
 
 
+def _floats(batch: pa.RecordBatch) -> np.ndarray:
+    f = batch.column(4)
+    begin, end = np.frombuffer(f.buffers()[1], np.int32)[[f.offset, f.offset + len(f)]]
+    return np.frombuffer(f.buffers()[2], "<f4", (end - begin) // 4, begin)
+
+
 def _bits(batch: pa.RecordBatch, weights: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """For each of the 8 bits of the edges: the bit, log odds of the predictors and a one,
     gate, mixed log odds.  ``own`` takes one occurrence out of the counts."""
-    place, byte, f = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), batch.column(4)
-    begin = np.frombuffer(f.buffers()[1], np.int32)[f.offset]
-    n = np.frombuffer(f.buffers()[2], "<f4", len(f) * CONTEXTS * 16, begin).reshape(-1, CONTEXTS, 8, 2)
+    place, byte = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+    n = _floats(batch).reshape(-1, CONTEXTS, 8, 2)
     for k in range(8):
         bit = (byte >> (7 - k) & 1).astype(np.float32)
         n0, n1 = n[:, :, k, 0], n[:, :, k, 1]
         if own:
             n0, n1 = np.maximum(n0 - (1 - bit)[:, None], 0), np.maximum(n1 - bit[:, None], 0)
-        x = np.ones((len(bit), WEIGHTS), np.float32)
+        x = np.ones((len(bit), CONTEXTS + 1), np.float32)
         x[:, :CONTEXTS] = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
         gate = place * 4 + _sure(n0[:, -1] + n1[:, -1])
         yield bit, x, gate, np.clip((weights[gate] * x).sum(axis=1), -12, 12)
 
 
+def _pair_bits(batch: pa.RecordBatch, weights: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same of edges behind a word."""
+    place, byte = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+    f = _floats(batch).reshape(-1, 32)
+    mixed, n = f[:, :16].reshape(-1, 2, 8), f[:, 16:].reshape(-1, 8, 2)
+    for k in range(8):
+        bit = (byte >> (7 - k) & 1).astype(np.float32)
+        n0, n1 = n[:, k, 0], n[:, k, 1]
+        if own:
+            n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
+        x = np.ones((len(bit), 3), np.float32)
+        x[:, 0] = mixed[:, 0 if own else 1, k]
+        x[:, 1] = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
+        gate = place * 4 + _sure(n0 + n1)
+        yield bit, x, gate, np.clip((weights[gate] * x).sum(axis=1), -12, 12)
+
+
 def _bin(s: np.ndarray) -> np.ndarray:
     return np.rint((s + 12) * ((BINS - 1) / 24)).astype(np.int64)
 
@@ -253,18 +353,18 @@ def _summed(table: DataFrame, run, size: int) -> np.ndarray:
     return out
 
 
-def learn(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def learn(table: DataFrame, bits=_bits, first: tuple[float, ...] = (0.3,) * CONTEXTS + (0.0,)
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mixing weights, hits and totals by (gate, bin), over all training occurrences of the edges."""
-    table = table.where("c > 0")
-    start = np.full((GATES, WEIGHTS), 0.3)
-    start[:, CONTEXTS] = 0
-    weights, one = start.copy(), WEIGHTS * (WEIGHTS + 1)
+    table, width = table.where("c > 0"), len(first)
+    start = np.tile(first, (GATES, 1))
+    weights, one = start.copy(), width * (width + 1)
 
     def slopes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((GATES, WEIGHTS + 1, WEIGHTS))
+        out = np.zeros((GATES, width + 1, width))
         for batch in _gathered(batches):
             c = batch.column(3).to_numpy().astype(np.float64)
-            for bit, x, gate, s in _bits(batch, weights.astype(np.float32), True):
+            for bit, x, gate, s in bits(batch, weights.astype(np.float32), True):
                 p = 1 / (1 + np.exp(-s.astype(np.float64)))
                 err, bend = c * (bit - p), c * p * (1 - p)
                 for g in np.unique(gate):
@@ -275,15 +375,15 @@ def learn(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return out.ravel()
 
     for _ in range(ROUNDS):
-        got = _summed(table, slopes, GATES * one).reshape(GATES, WEIGHTS + 1, WEIGHTS)
-        step = np.linalg.solve(got[:, 1:] + np.eye(WEIGHTS), (got[:, 0] - (weights - start))[:, :, None])[:, :, 0]
+        got = _summed(table, slopes, GATES * one).reshape(GATES, width + 1, width)
+        step = np.linalg.solve(got[:, 1:] + np.eye(width), (got[:, 0] - (weights - start))[:, :, None])[:, :, 0]
         weights = weights + np.clip(step, -0.5, 0.5)
 
     def worth(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros((2, GATES * BINS))
         for batch in _gathered(batches):
             c = batch.column(3).to_numpy().astype(np.float64)
-            for bit, _, gate, s in _bits(batch, weights.astype(np.float32), True):
+            for bit, _, gate, s in bits(batch, weights.astype(np.float32), True):
                 at = gate * BINS + _bin(s)
                 out[0] += np.bincount(at, c * bit, GATES * BINS)
                 out[1] += np.bincount(at, c, GATES * BINS)
@@ -298,13 +398,17 @@ def refined(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
     return ((hits + 20 * centre) / (total + 20)).astype(np.float32)
 
 
-def edge_scores(table: DataFrame, weights: np.ndarray, refine: np.ndarray) -> DataFrame:
+def _probability(gate: np.ndarray, s: np.ndarray, refine: np.ndarray) -> np.ndarray:
+    return 0.5 / (1 + np.exp(-s)) + 0.5 * refine[gate, _bin(s)]
+
+
+def edge_scores(table: DataFrame, weights: np.ndarray, refine: np.ndarray, bits=_bits) -> DataFrame:
     """``e, s``: key and log10 probability of each edge."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
             total = np.zeros(batch.num_rows)
-            for bit, _, gate, s in _bits(batch, weights, False):
-                p = 0.5 / (1 + np.exp(-s)) + 0.5 * refine[gate, _bin(s)]
+            for bit, _, gate, s in bits(batch, weights, False):
+                p = _probability(gate, s, refine)
                 total += np.log10(np.where(bit > 0, p, 1 - p))
             e = edge(batch.column(0).to_numpy(), batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(total)], ["e", "s"])
@@ -312,20 +416,22 @@ def edge_scores(table: DataFrame, weights: np.ndarray, refine: np.ndarray) -> Da
     return table.mapInArrow(run, "e long, s double")
 
 
-def word_scores(words: DataFrame, scores: DataFrame) -> DataFrame:
-    """``h, c, s``: the words with their log10 probabilities, summed over their edges."""
+def pair_scores(all_pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """``p, c, s``: the pairs with the log10 probabilities of the second token after the first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, some, c in _parts(_gathered(batches)):
+        for p, some, c, b in _parts(_gathered(batches)):
             x = Places(some)
-            yield pa.RecordBatch.from_arrays([pa.array(edge(x.parent, x.byte)), pa.array(np.repeat(h, x.lengths)),
-                                              pa.array(np.repeat(c, x.lengths))], ["e", "h", "c"])
+            e = edge(follows(np.repeat(b, x.lengths), x.parent), x.byte)
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(p, x.lengths)),
+                                              pa.array(np.repeat(c, x.lengths))], ["e", "p", "c"])
 
-    return cut(words.mapInArrow(run, "e long, h long, c long").join(scores, "e")
-               .groupBy("h").agg(F.min("c").alias("c"), F.sum("s").alias("s")))
+    return cut(all_pairs.mapInArrow(run, "e long, p long, c long").join(scores, "e")
+               .groupBy("p").agg(F.min("c").alias("c"), F.sum("s").alias("s")))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+    """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    bits_per_byte``.
 
     Training documents are those whose crc32 of the id in decimal digits, modulo
     ``folds``, is not ``held_fold`` (a null id counts as the empty text).  A null text
@@ -340,9 +446,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     table = inputs(words)
     weights, hits, worth = learn(table)
-    counts = word_scores(words, edge_scores(table, weights, refined(hits, worth)))
-    top = counts.orderBy(F.desc("c"), "h").limit(TOP).toPandas().sort_values("h")
-    top_h, top_c, top_s = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64), top["s"].to_numpy(np.float64)
+    all_pairs = pairs(d)
+    table = pair_inputs(all_pairs, table, weights, refined(hits, worth))
+    weights, hits, worth = learn(table, _pair_bits, (1.0, 0.3, 0.0))
+    scores = pair_scores(all_pairs, edge_scores(table, weights, refined(hits, worth), _pair_bits))
+    top = words.orderBy(F.desc("c"), "h").limit(TOP).select("h", "c").toPandas().sort_values("h")
+    top_h, top_c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64)
+    top = scores.orderBy(F.desc("c"), "p").limit(TOP).toPandas().sort_values("p")
+    top_p, top_s = top["p"].to_numpy(np.int64), top["s"].to_numpy(np.float64)
     denominator = total + 0.5 * (kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,32 +463,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 part = batch.slice(begin, 1000)
                 found = [tokens(t.as_py()) for t in part.column(1)]
                 n = np.array([len(w) for w in found], np.int64)
+                n_bytes = np.array([sum(map(len, w)) + len(w) for w in found], np.int64)
                 h = hashes([w for ws in found for w in ws])
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                flat, index = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(top_h, flat), len(top_h) - 1)
-                is_top = top_h[at] == flat
-                base = np.add.reduceat(np.where(is_top, top_log[at], 0.0)[index], starts)
-                model = np.add.reduceat(np.where(is_top, top_s[at], 0.0)[index], starts)
-                n_top = np.add.reduceat((is_top & (top_c[at] > 0))[index].astype(np.int64), starts)
-                rare = ~is_top[index]
-                per = np.add.reduceat(rare.astype(np.int64), starts)
-                ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+                arrays = [part.column(0), part.column(2), pa.array(n), pa.array(n_bytes)]
+                for key, top_key, top_value in ((h, top_h, top_log), (follows(_before(h, starts), h), top_p, top_s)):
+                    at = np.minimum(np.searchsorted(top_key, key), len(top_key) - 1)
+                    is_top = top_key[at] == key
+                    arrays.append(pa.array(np.add.reduceat(np.where(is_top, top_value[at], 0.0), starts)))
+                    if top_key is top_h:
+                        arrays.append(pa.array(np.add.reduceat((is_top & (top_c[at] > 0)).astype(np.int64), starts)))
+                    per = np.add.reduceat((~is_top).astype(np.int64), starts)
+                    ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(ends, pa.array(key[~is_top])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n), pa.array(n_top), pa.array(base), pa.array(model),
-                     pa.ListArray.from_arrays(ends, pa.array(h[rare]))],
-                    ["doc_id", "held_out", "n_tokens", "n_top", "base", "model", "rare"])
+                    arrays, ["doc_id", "held_out", "n_tokens", "n_bytes", "base", "n_top", "rare", "model", "rare_pairs"])
 
     rows = cut(d.select("doc_id", "text", "held_out").mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_top long, base double, model double, rare array<long>")
-        .withColumn("row", F.monotonically_increasing_id()))
-    # the rest of the tokens meet their counts; a row's number is written with it, so it stays
+        run, "doc_id long, held_out boolean, n_tokens long, n_bytes long, base double, n_top long, rare array<long>, "
+             "model double, rare_pairs array<long>").withColumn("row", F.monotonically_increasing_id()))
+    # the rest of the tokens and pairs meet their counts and scores; a row's number is written with it, so it stays
     rest = (rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
-            .join(counts, "h").groupBy("row").agg(
-                F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum(F.col("n") * F.col("s")).alias("more_s"),
+            .join(words.select("h", "c"), "h").groupBy("row").agg(
+                F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("more"),
                 F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_more")))
-    return rows.drop("rare").join(rest, "row", "left").select(
+    rest_pairs = (rows.select("row", F.explode("rare_pairs").alias("p")).join(scores.select("p", "s"), "p")
+                  .groupBy("row").agg(F.sum("s").alias("more_s")))
+    out = rows.drop("rare", "rare_pairs").join(rest, "row", "left").join(rest_pairs, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("n_more", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(denominator))).alias("base_score"),
-        (F.col("model") + F.coalesce("more_s", F.lit(0.0))).alias("score"))
+        (F.col("model") + F.coalesce("more_s", F.lit(0.0))).alias("score"), "n_bytes")
+    return out.withColumn("bits_per_byte", -F.col("score") / float(np.log10(2)) / F.col("n_bytes")).drop("n_bytes")

@@ -261,5 +261,14 @@ def test_lm_learns_from_every_training_document(spark):
     weights, hits, total = lm_score.learn(table)
     assert total.sum() == 8 * sum(n * (len(w) + 1) for w, n in c.items())
     assert hits.sum() == sum(n * sum(x.bit_count() for x in w + b" ") for w, n in c.items())
-    scores = lm_score.word_scores(words_, lm_score.edge_scores(table, weights, lm_score.refined(hits, total)))
-    assert all(r.s < 0 for r in scores.collect()) and scores.count() == len(seen)
+    scores = lm_score.edge_scores(table, weights, lm_score.refined(hits, total)).collect()
+    assert len(scores) == len({(w[:j], (w + b" ")[j]) for w in seen for j in range(len(w) + 1)}) and all(r.s < 0 for r in scores)
+
+
+def test_lm_score_depends_on_the_order_of_words(spark):
+    rows = [(k, "one two three four five six seven") for k in range(40)] + [(100, "six one four two seven three five"), (101, "a  b"), (102, None)]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].score > got[100].score + 1 and len({r.score for i, r in got.items() if i < 40}) == 1
+    for i, text in rows:
+        n_bytes = sum(len(w) + 1 for w in lm_score.tokens(text or ""))
+        assert math.isclose(got[i].bits_per_byte, -got[i].score / math.log10(2) / n_bytes, rel_tol=1e-12)
