@@ -2,10 +2,11 @@
 
 Each document is a set of word shingles and carries a signature of minhash values.
 Several independent trees start from all documents.  At each level a tree uses
-``branching`` fresh minhash functions; a document goes to the children (node,
-function, value) that its values name, so that similar documents keep meeting.
-With two functions a level and similarity 0.8 a pair survives in one tree with a
-probability of at least 0.93 at any depth, with four trees in more than 0.9999.
+``branching`` minhash functions; a document goes to the children (node, function,
+value) that its values name, so that similar documents keep meeting.  A node chooses
+its functions by its own hash among those not used on its path.  Simulated over 40,000
+pairs that agree in each of the 64 functions with probability 0.8: one tree keeps 0.931
+of them at depth 8 and 0.929 at depth 16, four trees keep 0.9998 and 0.9997.
 
 A node is compared exhaustively as soon as that takes few comparisons for each of
 its rows.  In the others every row is compared with one pivot, the smallest id:
@@ -152,19 +153,26 @@ def _alike(x: str, y: str, num: int, den: int) -> Column:
 
 
 POINT = ["id", "n", "s0", "s1", "s2", "s3"]
+PLACE = ["tree", "node", "used"]  # ``used`` has a bit for each function on the path to the node
 
 
-def _children(rows: DataFrame, sigs: DataFrame | None, level: int) -> DataFrame:
-    """Rows of the next level: each row to ``branching`` children.  ``rows`` has the
-    signature itself or gets it from ``sigs``."""
+def _children(rows: DataFrame, sigs: DataFrame | None) -> DataFrame:
+    """Rows of the next level: each row to ``branching`` children, by functions that the
+    node's hash chooses among those not used on its path.  ``rows`` has the signature
+    itself or gets it from ``sigs``."""
     if sigs is not None:
         rows = rows.join(sigs.select("id", "sig"), "id")
-    step = FUNCTIONS // TREES
-    kids = []
+    rows = rows.withColumn("_free", F.expr(f"filter(sequence(0, {FUNCTIONS - 1}), f -> getbit(used, f) = 0)"))
+    rows = rows.withColumn("_at", F.pmod(F.xxhash64("node"), F.size("_free")).cast("int"))
     for j in range(BRANCHING):
-        f = (F.col("tree") * step + level * BRANCHING + j) % FUNCTIONS
-        kids.append(F.xxhash64("node", F.lit(j), f, F.element_at("sig", f + 1)))
-    return rows.select("tree", F.explode(F.array(*kids)).alias("node"), *POINT)
+        f = F.get("_free", F.col("_at"))
+        rows = rows.withColumn(f"_kid{j}", F.struct(
+            F.xxhash64("node", f, F.get("sig", f)).alias("node"),
+            F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), f)).alias("used")))
+        step = F.pmod(F.xxhash64("node", F.lit(j)), F.size("_free") - 1).cast("int") + 1
+        rows = rows.withColumn("_at", F.pmod(F.col("_at") + step, F.size("_free")).cast("int"))
+    rows = rows.withColumn("_kid", F.explode(F.array(*[f"_kid{j}" for j in range(BRANCHING)])))
+    return rows.select("tree", "_kid.node", "_kid.used", *POINT)
 
 
 def _near_labels(links: DataFrame) -> DataFrame:
@@ -267,7 +275,7 @@ def similarity_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: in
     """Confirmed links ``a, b`` between documents of different sets: between every two
     similar ones at least a path of links."""
     rows = _children(reps.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(TREES)])))
-                     .withColumn("node", F.col("tree").cast("long")), None, 0)
+                     .withColumn("node", F.col("tree").cast("long")).withColumn("used", F.lit(0).cast("long")), None)
     links, labels, texts = None, None, None
     for level in range(1, MAX_LEVELS + 1):
         last = level == MAX_LEVELS
@@ -304,7 +312,7 @@ def similarity_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: in
             left = left.join(tight, "node", "left_anti")
         light = left.join(stats.where(F.col("work") <= LEAF * F.col("size")).select("node"), "node", "left_semi")
         split = left.join(stats.where(F.col("work") > LEAF * F.col("size")).select("node"), "node", "left_semi")
-        rows = light.select("tree", "node", *POINT).unionByName(_children(split.select("tree", "node", *POINT), reps, level))
+        rows = light.select(*PLACE, *POINT).unionByName(_children(split.select(*PLACE, *POINT), reps))
     return links
 
 

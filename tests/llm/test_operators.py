@@ -9,10 +9,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabsmith.llm import (bpe, exact_dedup, langid, line_dedup, lm_score, minhash_join, mixing, quality, url_filter,
                           wavelet)
-from tabsmith.llm.common import scratch, tokenizer_path
+from tabsmith.llm.common import cut, scratch, tokenizer_path
 
 WORDS = [f"w{k}x{k * 7 % 13}" for k in range(160)]
 LONG = " ".join(WORDS)
@@ -66,6 +67,23 @@ def test_near_dedup_equals_brute_force(spark, k):
     assert minhash_join.near_dedup(frame(spark, [])).count() == 0
 
 
+def test_trees_keep_similar_pairs_at_depth(spark):
+    """Pairs that agree in 80% of the functions stay together in some node of ten levels in a
+    row; functions of a node do not repeat on its path."""
+    rng, n = np.random.default_rng(11), 300
+    a = rng.integers(0, 1 << 30, (n, 64))
+    b = np.where(rng.random((n, 64)) < 0.8, a, rng.integers(0, 1 << 30, (n, 64)))
+    sigs = spark.createDataFrame([(2 * k + j, x.tolist()) for k in range(n) for j, x in enumerate((a[k], b[k]))], "id long, sig array<int>")
+    rows = sigs.selectExpr("id", "sig", "1 AS n", "0L AS s0", "0L AS s1", "0L AS s2", "0L AS s3", "explode(array(0, 1, 2, 3)) AS tree")
+    rows = rows.selectExpr("*", "CAST(tree AS long) AS node", "0L AS used").drop("sig")
+    for level in range(10):
+        rows = minhash_join._children(rows, sigs)
+        together = rows.groupBy(F.expr("id div 2").alias("pair"), "node").count().where("count = 2")
+        rows = cut(rows.withColumn("pair", F.expr("id div 2")).join(together.select("pair", "node"), ["pair", "node"], "left_semi").drop("pair"))
+        assert rows.where(F.bit_count("used") != level + 1).isEmpty()
+    assert rows.selectExpr("id div 2 AS pair").distinct().count() >= n - 2
+
+
 def test_blocks_find_all_links(spark):
     rng = np.random.default_rng(1)
     sets = {i: np.unique(rng.integers(0, 40, 30)) for i in range(60)}
