@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, exact_dedup, langid, line_dedup, lm_score, minhash_join, mixing, quality, url_filter, wavelet
+from tabsmith.llm import (bpe, decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash_join, mixing, quality,
+                          url_filter, wavelet)
 from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +140,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_lm_scoring")
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+@register("op13_decontamination", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0),
+n AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM s),
+p AS (SELECT d.rid, t.k, unnest(range(1, len(d.w) - t.k + 2)) AS i FROM d JOIN (SELECT DISTINCT k FROM n) t ON len(d.w) >= t.k),
+q AS (SELECT p.rid, p.k, p.i, array_to_string(d.w[p.i:p.i + p.k - 1], ' ') AS g FROM p JOIN d USING (rid)),
+m AS (SELECT q.rid, q.k, q.i, n.item_id FROM q JOIN n USING (k, g)),
+h AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS place FROM m) GROUP BY rid),
+o AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "binary") AS items
+       FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items,
+       sha256(coalesce(o.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN o USING (rid)
+""")
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)")
+    names = F.array_join(F.array_sort(F.expr("transform(items, i -> CAST(i AS string))")), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
