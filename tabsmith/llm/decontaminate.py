@@ -176,7 +176,7 @@ def _search(index: DataFrame, wanted: DataFrame, fn, schema: str) -> DataFrame:
     rarest = (each.join(counts, "term", "left").groupBy("window")
               .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("term").alias("t"))).alias("_r"))
               .where("_r.n > 0").select("window", F.col("_r.t").alias("term")))
-    there = index.where("term IS NOT NULL").select("block", "term").join(rarest, "term").select("block", "window")
+    there = postings.select("block", "term").join(rarest, "term").select("block", "window")
     asked = there.join(wanted, "window").select(F.col("block").alias("_block"), "item_id", "window")
     held = postings.select(index.columns).unionByName(index.where("term IS NULL"))
     return held.groupBy("block").cogroup(asked.groupBy("_block")).applyInArrow(fn, schema)

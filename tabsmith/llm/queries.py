@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm import (bpe, decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash_join, mixing, quality,
-                          url_filter, wavelet)
+                          ranked_search, url_filter, wavelet)
 from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,24 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_join(F.array_sort(F.expr("transform(items, i -> CAST(i AS string))")), ",")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@register("op11_ranked_search", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+g AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d WHERE len(w) > 0),
+q AS (SELECT iid, unnest(w) AS term FROM b),
+t AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+       FROM (SELECT term, count(*) AS df FROM t GROUP BY term), g),
+m AS (SELECT rid, doc_id, 50 + (50 * CAST(len(w) AS BIGINT) * n_docs) // n_words AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT q.iid, t.rid, CAST(sum(v.weight * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS BIGINT) AS score
+       FROM q JOIN t USING (term) JOIN v USING (term) JOIN m ON m.rid = t.rid GROUP BY q.iid, t.rid),
+r AS (SELECT s.*, doc_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+       FROM s JOIN m USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN b USING (iid) WHERE rank <= 50
+""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
