@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import (bpe, decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash_join, mixing, quality,
-                          ranked_search, url_filter, wavelet)
+from tabsmith.llm import (align, bpe, decontaminate, exact_dedup, langid, line_dedup, lm_score, minhash_join, mixing,
+                          quality, ranked_search, url_filter, wavelet)
 from tabsmith.llm.common import scratch, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,10 @@ SELECT item_id, rank, doc_id, score FROM r JOIN b USING (iid) WHERE rank <= 50
 """)
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    pair = align.load(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer_path("piece_bpe_32k.model"))
+    return align.link_counts(align.align(table(spark, sf_dir, "documents"), pair))
