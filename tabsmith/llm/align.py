@@ -5,6 +5,10 @@ block of documents, A's and B's, are sorted by start; the running maximum of the
 a start reaches it: no token reaches over that byte, so a group of tokens ends there.  Within a group
 the sorted tokens expand to the pairs that share bytes: at each start, the latest A and B token.
 
+Neither tokenizer merges over a blank that follows a character other than white space, so a text is
+cut there, and each distinct chunk of a worker's texts is tokenised and coalesced once; documents
+are put together from their chunks.
+
 Corpus-wide counts of linked id pairs are summed per block first, so that a frequent pair has one row
 a block; each block then gets the counts of its own pairs back.
 """
@@ -13,9 +17,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, partial
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,15 @@ from tabsmith.llm.common import batch_rows, cut, text_of
 from tabsmith.llm.words import blocks
 
 BLOCK_BYTES = 2 << 20   # text encoded at once; one document may be longer
-B_IDS = 1 << 32         # a pair of ids is one number, a * B_IDS + b
+B_IDS = 1 << 20         # a pair of ids is one number, a * B_IDS + b; both ids are below
+CHUNKS_AT_ONCE = 256    # chunks in one call of an encoder
+KEPT_CHUNKS = 400_000   # distinct chunks a worker remembers
+
+#: A blank and what follows up to the next blank after a character that is not white space;
+#: white space at the end goes with the last chunk.
+CHUNK = re.compile(r" (\s*+(?:\S++(?:[^\S ]\s*+)?)*+(?: \s*+\Z)?)")
+ODD_SPACE = re.compile(r"[^\S ] ")   # without it and without blanks in a row, chunks are what blanks separate
+LONG_SPACE = re.compile(r"\s{1000}")
 ALIGNED_SCHEMA = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_overlaps long, n_links long, "
                   "groups_sha256 string, pairs binary, times binary")
 
@@ -36,21 +51,29 @@ class Tokenizers:
     """The two vocabularies as the bytes of their files, opened once a worker."""
     ranks: bytes      # A: one base64 token and its id a line
     pattern: str      # A: how a text is cut before merging
+    spec: bytes       # A: the same vocabulary for the tokenizers library
     model: bytes      # B: a sentencepiece model
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("ranks", "pattern", "model")}
+        return {k: self.__dict__[k] for k in ("ranks", "pattern", "spec", "model")}
 
     @cached_property
     def _table(self) -> dict[bytes, int]:
         return {base64.b64decode(t): int(k) for t, k in map(bytes.split, self.ranks.splitlines())}
 
     @cached_property
-    def encoder_a(self):
+    def _fast_a(self):
         import tiktoken
         # no special tokens: their strings in a text are plain text
         return tiktoken.Encoding("a", pat_str=self.pattern, mergeable_ranks=self._table, special_tokens={})
 
+    @cached_property
+    def _patient_a(self):
+        from tokenizers import Tokenizer
+        out = Tokenizer.from_str(self.spec.decode("utf-8"))
+        out.encode_special_tokens = True
+        return out
+
     @cached_property
     def bytes_a(self) -> list[bytes]:
         out = [b""] * (max(self._table.values()) + 1)
@@ -59,41 +82,90 @@ class Tokenizers:
         return out
 
     @cached_property
-    def encoder_b(self):
+    def _b(self):
         import sentencepiece
         return sentencepiece.SentencePieceProcessor(model_proto=self.model)
 
     @cached_property
     def bytes_b(self) -> list[bytes]:
-        sp = self.encoder_b
+        sp = self._b
         return [bytes([int(sp.id_to_piece(k)[3:5], 16)]) if sp.is_byte(k) else
-                sp.id_to_piece(k).replace("▁", " ").encode("utf-8") for k in range(sp.get_piece_size())]
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A for blank + text and of B for the text; none where either does not give the bytes back."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        whole = (" " + text).encode("utf-8")
-        a = self.encoder_a.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
-        b = self.encoder_b.encode(text)
-        if b"".join(map(self.bytes_b.__getitem__, b)) != whole or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole:
-            return none, none
-        return a, np.array(b, np.int64)
+                sp.id_to_piece(k).replace("\u2581", " ").encode("utf-8") for k in range(sp.get_piece_size())]
 
+    @cached_property
+    def len_a(self) -> np.ndarray:
+        return np.array(list(map(len, self.bytes_a)), np.int64)
 
-def load(ranks_path: str, pattern: str, model_path: str) -> Tokenizers:
-    with open(ranks_path, "rb") as r, open(model_path, "rb") as m:
-        return Tokenizers(r.read(), pattern, m.read())
+    @cached_property
+    def len_b(self) -> np.ndarray:
+        return np.array(list(map(len, self.bytes_b)), np.int64)
 
+    @cached_property
+    def _whole_a(self) -> bool:
+        """Whether A has every byte as a token, so that its tokens always give the bytes back."""
+        return all(bytes([k]) in self._table for k in range(256))
 
-_OPEN: dict[str, Tokenizers] = {}
+    @cached_property
+    def signs(self) -> list[str]:
+        """Each id with each sign that can follow it."""
+        return [f"{k}{c}" for k in range(max(len(self.bytes_a), len(self.bytes_b))) for c in ",|;"]
 
+    @cached_property
+    def _chunked(self) -> bool:
+        """Whether no piece of B goes on with a blank, so that chunks are independent."""
+        return not any(re.search(rb"[^ ] ", p) for p in self.bytes_b)
 
-def _opened(t: Tokenizers) -> Tokenizers:
-    """The worker's copy, whose encoders are built already in later tasks."""
-    key = hashlib.sha256(t.ranks + t.model + t.pattern.encode()).hexdigest()
-    return _OPEN.setdefault(key, t)
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of blank + text, each without its first blank; none of an empty text."""
+        if not text:
+            return []
+        if not self._chunked:
+            return [text]
+        parts = text.split(" ")
+        return CHUNK.findall(" " + text) if "" in parts or ODD_SPACE.search(text) else parts
+
+    def _ids_a(self, text: str) -> list[int]:
+        if LONG_SPACE.search(text):     # tiktoken's regular expression steps back over white space and overflows
+            return self._patient_a.encode(text, add_special_tokens=False).ids
+        return self._fast_a.encode_ordinary(text)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B, one chunk after another, and per chunk how many of each it has;
+        none of either where one does not give the bytes back."""
+        found = []
+        for k in range(0, len(chunks), CHUNKS_AT_ONCE):
+            some = chunks[k:k + CHUNKS_AT_ONCE]
+            # chunks in a row keep their borders unless white space meets there
+            together = None if any(c[-1:].isspace() for c in some) else self._both(some)
+            none = np.zeros(0, np.int64)
+            found += [together] if together else [self._both([c]) or (none, none, np.zeros(1, int), np.zeros(1, int)) for c in some]
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _both(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        text = " ".join(parts)
+        raw = (" " + text).encode("utf-8")
+        borders = np.cumsum(list(map(len, map(str.encode, parts)))) + np.arange(1, len(parts) + 1)
+        ids_b = self._b.encode(text)
+        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            return None
+        ids_a = self._ids_a(" " + text)
+        if not self._whole_a and b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw:
+            return None
+        out = []
+        for ids, sizes in ((np.array(ids_a, np.int64), self.len_a), (np.array(ids_b, np.int64), self.len_b)):
+            ends = np.cumsum(sizes[ids])
+            at = np.searchsorted(ends, borders)
+            if not np.array_equal(ends[at], borders):
+                return None
+            out.append((ids, np.diff(at, prepend=-1)))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def load(ranks_path: str, pattern: str, spec_path: str, model_path: str) -> Tokenizers:
+    def read(path):
+        with open(path, "rb") as f:
+            return f.read()
+    return Tokenizers(read(ranks_path), pattern, read(spec_path), read(model_path))
 
 
 def coalesce(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray
@@ -120,66 +192,105 @@ def coalesce(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
     return of[:len(start_a)], of[len(start_a):], a[both], b[both]
 
 
-def _texts_of(groups_a: np.ndarray, groups_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, doc_of_group: np.ndarray,
-              n_docs: int, signs: np.ndarray) -> list[str]:
-    """Per document the digest of ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
-    n_groups = len(doc_of_group)
-    n_a, n_b = np.bincount(groups_a, minlength=n_groups), np.bincount(groups_b, minlength=n_groups)
-    codes = np.empty(len(ids_a) + len(ids_b), np.int64)
-    place_a = np.arange(len(ids_a)) + (np.cumsum(n_b) - n_b)[groups_a]
-    place_b = np.arange(len(ids_b)) + np.cumsum(n_a)[groups_b]
-    codes[place_a], codes[place_b] = ids_a * 3, ids_b * 3
-    ends = np.cumsum(n_a + n_b)
-    codes[place_a[np.cumsum(n_a) - 1]] += 1                # '|' after a group's last A
-    codes[ends - 1] += 2                                   # ';' after its last B
-    per_doc = np.bincount(doc_of_group, weights=n_a + n_b, minlength=n_docs).astype(np.int64)
-    upto = np.concatenate([[0], np.cumsum(per_doc)])
-    out = []
-    for d in range(n_docs):
-        if upto[d] == upto[d + 1]:
-            out.append("")
-            continue
-        digest = hashlib.sha256()
-        for k in range(upto[d], upto[d + 1], 100_000):     # parts of a long document
-            stop = min(k + 100_000, upto[d + 1])
-            raw = signs[codes[k:stop]].view(np.uint8)
-            text = raw[raw != 0].tobytes()
-            digest.update(text[:-1] if stop == upto[d + 1] else text)
-        out.append(digest.hexdigest())
-    return out
+def _group_texts(group_a: np.ndarray, group_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, owner: np.ndarray, n: int,
+                 signs: list[str]) -> list[str]:
+    """Per owner of groups ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
+    n_a, n_b = np.bincount(group_a, minlength=len(owner)), np.bincount(group_b, minlength=len(owner))
+    ids, sign = np.empty(len(ids_a) + len(ids_b), np.int64), np.zeros(len(ids_a) + len(ids_b), np.int64)
+    place_a = np.arange(len(ids_a)) + (np.cumsum(n_b) - n_b)[group_a]
+    ids[place_a], ids[np.arange(len(ids_b)) + np.cumsum(n_a)[group_b]] = ids_a, ids_b
+    sign[place_a[np.cumsum(n_a) - 1]] = 1               # after a group's last A
+    sign[np.cumsum(n_a + n_b) - 1] = 2                  # after its last B
+    parts = list(map(signs.__getitem__, (ids * 3 + sign).tolist()))
+    upto = np.concatenate([[0], np.cumsum(np.bincount(owner, n_a + n_b, minlength=n).astype(np.int64))]).tolist()
+    return ["".join(parts[i:j])[:-1] for i, j in zip(upto, upto[1:])]
+
+
+class Chunks:
+    """The distinct chunks met so far, with what their alignment gives."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers = tokenizers
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)     # a new chunk gets the next number
+        self.texts: list[str] = []
+        self.counts = np.zeros((0, 4), np.int64)    # tokens of A and B, groups, overlaps; -1 where bytes differ
+        self.pairs = np.zeros(0, np.int64)          # linked id pairs, chunk by chunk
+        self.upto = np.zeros(1, np.int64)
+
+    def add(self, new: list[str]) -> None:
+        t = self.tokenizers
+        ids_a, ids_b, n_a, n_b = t.encode(new)
+        # chunks follow each other on one line of bytes; both tokenizers cut it at their borders
+        end_a, end_b = np.cumsum(t.len_a[ids_a]), np.cumsum(t.len_b[ids_b])
+        group_a, group_b, a, b = coalesce(end_a - t.len_a[ids_a], end_a, end_b - t.len_b[ids_b], end_b)
+        chunk_a = np.repeat(np.arange(len(new)), n_a)
+        owner = chunk_a[np.flatnonzero(np.diff(group_a, prepend=-1))]
+        linked = end_a[a] == end_b[b]
+        overlaps = np.bincount(chunk_a[a], minlength=len(new))
+        a, b = a[linked], b[linked]
+        counts = np.stack([n_a, n_b, np.bincount(owner, minlength=len(new)), overlaps], axis=1)
+        counts[n_a == 0] = -1
+        self.counts = np.concatenate([self.counts, counts])
+        self.pairs = np.concatenate([self.pairs, ids_a[a] * B_IDS + ids_b[b]])
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(np.bincount(chunk_a[a], minlength=len(new)))])
+        self.texts += _group_texts(group_a, group_b, ids_a, ids_b, owner, len(new), t.signs)
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """Per text its chunks' numbers; unknown chunks are added."""
+        if len(self.number) > KEPT_CHUNKS:
+            self.forget()
+        before = len(self.number)
+        out = [list(map(self.number.__getitem__, self.tokenizers.chunks(t))) for t in texts]
+        if len(self.number) > before:
+            self.add(list(islice(self.number, before, None)))
+        return out
+
+
+_OPEN: dict[str, Chunks] = {}
+
+
+def _opened(t: Tokenizers) -> Chunks:
+    """The worker's chunks, kept for later tasks."""
+    key = hashlib.sha256(t.ranks + t.spec + t.model + t.pattern.encode()).hexdigest()
+    return _OPEN.get(key) or _OPEN.setdefault(key, Chunks(t))
+
+
+def _digest(texts: list[str], chunks: list[int]) -> str:
+    out = hashlib.sha256()
+    for k in range(0, len(chunks), 100_000):        # parts of a long document
+        out.update((";" * (k > 0) + ";".join([texts[c] for c in chunks[k:k + 100_000]])).encode("ascii"))
+    return out.hexdigest()
 
 
 def _aligned(tokenizers: Tokenizers, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = _opened(tokenizers)
-    len_a, len_b = (np.array(list(map(len, x)), np.int64) for x in (t.bytes_a, t.bytes_b))
-    width = max(len(len_a), len(len_b))
-    signs = np.array([f"{k}{c}".encode() for k in range(width) for c in ",|;"])
-    signs = signs.view(np.uint8).reshape(len(signs), -1)
+    known = _opened(tokenizers)
     for number, block in blocks(batches, 1, BLOCK_BYTES):
-        ids_a, ids_b = zip(*map(t.encode, block.column(1).to_pylist()))
-        n_a, n_b = np.array(list(map(len, ids_a))), np.array(list(map(len, ids_b)))
-        ids_a, ids_b = np.concatenate(ids_a), np.concatenate(ids_b)
-        # documents follow each other on one line of bytes; both tokenizers cut it at their borders
-        end_a, end_b = np.cumsum(len_a[ids_a]), np.cumsum(len_b[ids_b])
-        group_a, group_b, a, b = coalesce(end_a - len_a[ids_a], end_a, end_b - len_b[ids_b], end_b)
-        doc_a = np.repeat(np.arange(len(n_a)), n_a)
-        doc_of_group = doc_a[np.flatnonzero(np.diff(group_a, prepend=-1))]
-        linked = end_a[a] == end_b[b]
-        overlaps = np.bincount(doc_a[a], minlength=len(n_a))
-        a, b = a[linked], b[linked]
-        doc = doc_a[a]
-        key = np.lexsort((pair := ids_a[a] * B_IDS + ids_b[b], doc))
-        pair, at = pair[key], doc[key]
-        new = np.flatnonzero(np.diff(pair, prepend=-1).astype(bool) | np.diff(at, prepend=-1).astype(bool))
-        times = np.diff(np.append(new, len(pair)))
-        upto = np.searchsorted(at[new], np.arange(len(n_a) + 1))
-        held = [pa.Array.from_buffers(pa.binary(), len(n_a), [None, pa.py_buffer((upto * w).astype(np.int32)), pa.py_buffer(x.astype(f"<i{w}"))])
-                for x, w in ((pair[new], 8), (times, 4))]
+        docs = known.numbers(block.column(1).to_pylist())
+        n = len(docs)
+        chunk = np.fromiter((c for d in docs for c in d), np.int64, sum(map(len, docs)))
+        of = np.repeat(np.arange(n), list(map(len, docs)))
+        bad = np.unique(of[known.counts[chunk, 0] < 0])             # documents whose bytes do not come back
+        keep = ~np.isin(of, bad)
+        chunk, of = chunk[keep], of[keep]
+        sums = [np.bincount(of, known.counts[chunk, j], minlength=n).astype(np.int64) for j in range(4)]
+        n_pairs = known.upto[chunk + 1] - known.upto[chunk]
+        at = np.arange(n_pairs.sum()) + np.repeat(known.upto[chunk] - (np.cumsum(n_pairs) - n_pairs), n_pairs)
+        key = np.sort(np.repeat(of, n_pairs) << 40 | known.pairs[at])
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.diff(np.append(new, len(key)))
+        doc, pair = key[new] >> 40, key[new] & ((1 << 40) - 1)
+        upto = np.searchsorted(doc, np.arange(n + 1))
+        held = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((upto * w).astype(np.int32)), pa.py_buffer(x.astype(f"<i{w}"))])
+                for x, w in ((pair, 8), (times, 4))]
+        empty = set(bad.tolist())
         yield pa.RecordBatch.from_pydict({
-            "block": pa.array(np.full(len(n_a), number)), "doc_id": block.column(0), "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()),
-            "n_groups": pa.array(np.bincount(doc_of_group, minlength=len(n_a)), pa.int64()), "n_overlaps": pa.array(overlaps, pa.int64()),
-            "n_links": pa.array(np.bincount(doc, minlength=len(n_a)), pa.int64()),
-            "groups_sha256": pa.array(_texts_of(group_a, group_b, ids_a, ids_b, doc_of_group, len(n_a), signs), pa.string()),
+            "block": pa.array(np.full(n, number)), "doc_id": block.column(0), "n_a": pa.array(sums[0]), "n_b": pa.array(sums[1]),
+            "n_groups": pa.array(sums[2]), "n_overlaps": pa.array(sums[3]),
+            "n_links": pa.array(np.bincount(doc, times, minlength=n).astype(np.int64)),
+            "groups_sha256": pa.array([_digest(known.texts, d) if d and k not in empty else "" for k, d in enumerate(docs)], pa.string()),
             "pairs": held[0], "times": held[1]})
 
 

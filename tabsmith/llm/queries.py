@@ -191,5 +191,6 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    pair = align.load(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer_path("piece_bpe_32k.model"))
+    pair = align.load(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                      tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     return align.link_counts(align.align(table(spark, sf_dir, "documents"), pair))
