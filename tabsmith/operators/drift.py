@@ -120,7 +120,7 @@ def ks_statistic(long_num: DataFrame, n_buckets: int | None = None) -> DataFrame
         F.count_if(F.col("side") == "expected").alias("n_e"),
         F.count_if(F.col("side") == "actual").alias("n_a"))
     pre = prefix_aggregate(c, ["value"], {"cum_e": ("sum", "n_e"), "cum_a": ("sum", "n_a")}, ["feature"],
-                           inclusive=True, n_buckets=n_buckets, bounds_from=long_num.select("value"), skew="bucket",
+                           inclusive=True, n_buckets=n_buckets, bounds_from=long_num.select("feature", "value"),
                            with_totals={"tot_e": ("sum", "n_e"), "tot_a": ("sum", "n_a")})
     return pre.groupBy("feature").agg(
         F.max(F.abs(F.col("cum_e") / F.col("tot_e") - F.col("cum_a") / F.col("tot_a"))).alias("score"),

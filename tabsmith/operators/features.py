@@ -33,10 +33,10 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
     exact = isinstance(df.schema[agg_col].dataType, T.DecimalType)
     v = F.col(agg_col) if exact else F.col(agg_col).cast("double")
     aggs = {"_pit_hist": ("count", F.lit(1)), "_pit_n": ("count", v)}
-    if func in ("mean", "sum", "std"):
+    if func in ("mean", "sum"):
         aggs["_pit_s"] = ("sum", v)
     if func == "std":
-        aggs["_pit_ss"] = ("sum", v * v)
+        aggs["_pit_m"] = ("moments", v.cast("double"))
     if func in ("min", "max"):
         aggs["_pit_m"] = (func, v)
     order = [order_col, *tiebreak]
@@ -44,7 +44,7 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
     g = df.agg(F.sum(v).alias("s"), F.count(v).alias("n")).first()
     global_mean = float(g["s"]) / g["n"] if g["n"] else None
     n = F.col("_pit_n")
-    s = F.col("_pit_s").cast("double") if func in ("mean", "sum", "std") else None
+    s = F.col("_pit_s").cast("double") if func in ("mean", "sum") else None
     if func == "mean":
         val = s / n
     elif func == "sum":
@@ -52,8 +52,7 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
     elif func == "count":
         val = n.cast("double")
     elif func == "std":
-        ss = F.col("_pit_ss").cast("double")
-        val = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1))))
+        val = F.when(n > 1, F.sqrt(F.col("_pit_m")["m2"] / (n - 1)))
     else:
         val = F.col("_pit_m").cast("double")
     filled = F.when(F.col("_pit_hist") == 0, F.lit(global_mean)).otherwise(

@@ -132,7 +132,7 @@ def classification_metrics(df: DataFrame, y: str, y_pred: str, prob: str | None
     if include_curves:
         if prob is not None:
             by_score = red.groupBy(*g, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            raw = df.where(_col(prob).isNotNull()).select(_col(prob).cast("double").alias("score"))
+            raw = df.where(_col(prob).isNotNull()).select(*g, _col(prob).cast("double").alias("score"))
             curve = _curve_from_counts(by_score.where(F.col("score").isNotNull()), g, None, raw)
             ranks = curve.groupBy(*g).agg(_auc_expr(), _ap_expr())
             out = out.join(ranks, g, "left").join(_ece_from_counts(by_score, g), g, "left")
@@ -159,13 +159,13 @@ def score_curve(df: DataFrame, y: str, score: str, group_cols=("split",), n_buck
     """
     g = list(group_cols)
     c = score_counts(df, y, score, g)
-    raw = df.where(_col(score).isNotNull()).select(_col(score).cast("double").alias("score"))
+    raw = df.where(_col(score).isNotNull()).select(*g, _col(score).cast("double").alias("score"))
     return _curve_from_counts(c, g, n_buckets, raw)
 
 
 def _curve_from_counts(c: DataFrame, g: list, n_buckets, raw: DataFrame) -> DataFrame:
     return prefix_aggregate(c, ["score"], {"pos_below": ("sum", "pos"), "neg_below": ("sum", "neg")}, g,
-                            inclusive=False, n_buckets=n_buckets, bounds_from=raw, skew="bucket",
+                            inclusive=False, n_buckets=n_buckets, bounds_from=raw,
                             with_totals={"P": ("sum", "pos"), "N": ("sum", "neg")}) \
         .withColumn("pos_below", F.coalesce(F.col("pos_below"), F.lit(0))) \
         .withColumn("neg_below", F.coalesce(F.col("neg_below"), F.lit(0)))

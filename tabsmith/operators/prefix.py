@@ -2,107 +2,142 @@
 
 A window with an ``orderBy`` but no ``partitionBy`` (or with a hot group key)
 sends every row of the group to one task.  Cumulative statistics (running
-aggregates, row numbers, forward fill, ROC/PR curves, KS, exact quantiles and
-exact splits) are instead computed in four steps:
-
-1. a bounded number of range boundaries over the ordering column is taken
-   from ``percentile_approx`` (one mergeable pass; at most ``n_buckets - 1``
-   numbers reach the driver, ``n_buckets`` <= 4096);
-2. every row gets ``bucket = number of boundaries <= key`` (a balanced
-   ``CASE`` tree inside whole-stage codegen, or the JVM ``Bucketizer``'s
-   binary search for more than 255 boundaries);
-3. per ``(group, bucket)`` partial aggregates are reduced with map-side
-   combine, and an exclusive running combine over the buckets of each group
-   gives the carry-in of every bucket (at most ``n_buckets`` rows per group);
-4. the data are shuffled once by ``(group, bucket)`` -- so a hot group is
-   spread over ``n_buckets`` tasks -- and a window inside each bucket adds the
-   local running value to the carry-in.
-
-Boundaries may be approximate; results are exact because every key falls in
-exactly one bucket and buckets are contiguous in the ordering.
+aggregates, row numbers, forward fill, ROC/PR curves, KS, exact splits) are
+instead computed over range buckets of the whole ``(group, ordering)`` tuple:
+
+1. boundaries are tuples of the data themselves: a row count gives the rate of
+   a sample of about ``SAMPLED_PER_BUCKET`` rows a bucket, and the first tuple
+   of each n-th part of it becomes a boundary (fewer than ``n_buckets`` tuples
+   reach the driver).  They are constants from then on, so recomputed
+   tasks and branches agree;
+2. a row's bucket is the number of boundaries at or below its tuple, found by
+   binary search in Spark's own tuple order (nulls first, strings by bytes,
+   decimals and doubles exactly).  A group that holds a third of the rows covers
+   a third of the buckets; small groups lie whole inside one;
+3. only groups that a boundary falls into -- fewer than ``n_buckets`` -- need
+   anything from other buckets: their per-bucket partials are reduced with
+   map-side combine, and an exclusive running combine gives each bucket's
+   carry-in (at most two rows a boundary);
+4. the data are shuffled once by ``(group, bucket)``, and a window inside adds
+   the local running value to the carry-in.
+
+Boundaries are sampled; results are exact, because equal tuples fall in one
+bucket and buckets are contiguous in the ordering.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import math
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 4096
-CASE_TREE_MAX = 255  # above this many boundaries the JVM Bucketizer does the search
-HOT_GROUP_ROWS = 1_000_000
-MIN_SUPPORT = 1e-4
+SAMPLED_PER_BUCKET = 100
 _BUCKET = "_pfx_bucket"
 
 
-def uniform_bounds(n_buckets: int) -> list[float]:
-    """Boundaries of ``n_buckets`` equal ranges of [0, 1) -- exact for a uniform hash."""
-    return [i / n_buckets for i in range(1, n_buckets)]
-
-
 def default_buckets(spark) -> int:
-    """Scale the bucket count with the cluster's shuffle width."""
+    """As many buckets as the cluster's shuffles have partitions."""
     try:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     except (TypeError, ValueError):
         n = 200
-    return max(16, min(MAX_BUCKETS, n))
+    return max(16, n)
 
 
-def with_bucket(df: DataFrame, key: Column, bounds: list[float], out: str) -> DataFrame:
-    """Add ``out`` = number of ``bounds`` <= key (null key -> 0).
+# ---- boundaries and buckets -------------------------------------------------
 
-    Up to ``CASE_TREE_MAX`` boundaries a balanced ``CASE`` tree keeps the
-    expression inside whole-stage codegen; beyond that Spark ML's
-    ``Bucketizer`` (a JVM binary search, no Python) assigns the bucket.
-    """
-    if len(bounds) <= CASE_TREE_MAX:
-        return df.withColumn(out, bucket_of(key, bounds))
-    from pyspark.ml.feature import Bucketizer
-
-    tmp = f"{out}__key"
-    splits = [float("-inf"), *bounds, float("inf")]
-    staged = df.withColumn(tmp, F.coalesce(key.cast("double"), F.lit(float("-inf"))))
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(staged).withColumn(out, F.col(out).cast("int")).drop(tmp)
-
-
-def numeric_key(df: DataFrame, col: str) -> Column:
-    """A monotone (non-decreasing) double image of an orderable column."""
-    dtype = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
-                          T.FloatType, T.DoubleType, T.DecimalType)):
-        return c.cast("double")
-    if isinstance(dtype, T.BooleanType):
-        return c.cast("int").cast("double")
+def _comparable(df: DataFrame, name: str) -> Column:
+    """The column, times as whole microseconds and dates as days: same order, and exact in the driver."""
+    dtype, c = df.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        # wall-clock seconds, independent of the session time zone
-        return (F.unix_date(F.to_date(c)).cast("double") * 86400.0
-                + F.hour(c) * 3600.0 + F.minute(c) * 60.0
-                + F.date_part(F.lit("SECOND"), c).cast("double"))
-    if isinstance(dtype, T.StringType):
-        # first 6 bytes, byte order == Spark's string order
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    raise TypeError(f"cannot bucket column {col} of type {dtype}")
-
-
-def approx_bounds(df: DataFrame, key: Column, n_buckets: int,
-                  accuracy: int = 10000) -> list[float]:
-    """``n_buckets - 1`` approximate quantiles of ``key`` (distinct, sorted)."""
+        return F.unix_date(c)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        day = F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000
+        second = F.date_part(F.lit("SECOND"), c).cast("decimal(10,6)") * 1_000_000
+        return day + (F.hour(c).cast("long") * 3600 + F.minute(c) * 60) * 1_000_000 + second.cast("long")
+    return c
+
+
+def sort_key(df: DataFrame, cols: list[str]) -> Column:
+    """The ordering tuple as a struct; structs compare field by field, nulls first."""
+    return F.struct(*[_comparable(df, c).alias(f"k{i}") for i, c in enumerate(cols)])
+
+
+@dataclass
+class Bounds:
+    """Boundary tuples in ascending order; ``key_type`` is the type of the tuple."""
+    rows: list[Row]
+    key_type: T.StructType
+
+    def bucket(self, key: Column, descending: bool = False) -> Column:
+        """How many boundaries are at or below ``key``; counted from the end if ``descending``."""
+        if not self.rows:
+            return F.lit(0)
+        found = self._search(key)[1]
+        return F.lit(len(self.rows)) - found if descending else found
+
+    def _search(self, key: Column) -> tuple[Column, Column]:
+        at = _as_constant(self.rows, self.key_type)
+        steps = [1 << k for k in reversed(range(len(self.rows).bit_length()))]
+        return at, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                               lambda low, step: F.when(F.get(at, low + step - 1) <= key, low + step).otherwise(low))
+
+    def holds(self, key: Column) -> Column:
+        """Whether ``key`` is one of the boundaries."""
+        if not self.rows:
+            return F.lit(False)
+        at, found = self._search(key)
+        return F.coalesce(F.get(at, found - 1) == key, F.lit(False))
+
+    def leading(self, n: int) -> "Bounds":
+        """The distinct first ``n`` fields of the boundaries."""
+        kept = T.StructType(self.key_type.fields[:n])
+        rows = [Row(**dict(zip(kept.names, r[:n]))) for r in self.rows]
+        return Bounds(_distinct(rows), kept)
+
+
+def _json_value(v):
+    if isinstance(v, Row):
+        return {k: _json_value(x) for k, x in v.asDict().items()}
+    if isinstance(v, float) and not math.isfinite(v):
+        return "NaN" if math.isnan(v) else "Infinity" if v > 0 else "-Infinity"
+    if isinstance(v, (bytes, bytearray)):
+        return base64.b64encode(v).decode("ascii")
+    if v is None or isinstance(v, (bool, int, float, str)):
+        return v
+    return str(v)   # decimals
+
+
+def _as_constant(rows: list[Row], key_type: T.StructType) -> Column:
+    """An array of tuples as one foldable expression."""
+    text = json.dumps([_json_value(r) for r in rows])
+    return F.from_json(F.lit(text), T.ArrayType(key_type))
+
+
+def _distinct(rows: list[Row]) -> list[Row]:
+    """Rows in order, without repeats."""
+    return [r for i, r in enumerate(rows) if i == 0 or tuple(r) != tuple(rows[i - 1])]
+
+
+def range_bounds(source: DataFrame, cols: list[str], n_buckets: int) -> Bounds:
+    """Boundaries that cut ``source`` into about ``n_buckets`` even ranges of the tuple ``cols``."""
+    keys = source.select(sort_key(source, cols).alias("k"))
     if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = max(accuracy, 10 * n_buckets)  # rank error well below one bucket
-    row = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()
-    vals = row["b"] if row is not None and row["b"] is not None else []
-    return sorted({float(v) for v in vals if v is not None and not math.isnan(v)})
+        return Bounds([], keys.schema["k"].dataType)
+    n, wanted = keys.count(), SAMPLED_PER_BUCKET * n_buckets
+    # about `wanted` rows, in one task
+    some = keys if n <= wanted else keys.sample(fraction=wanted / n, seed=17)
+    tiles = some.select("k", F.ntile(n_buckets).over(Window.orderBy("k")).alias("tile"))
+    rows = [r["k"] for r in tiles.groupBy("tile").agg(F.min("k").alias("k")).orderBy("tile").collect()][1:]
+    return Bounds(_distinct(rows), keys.schema["k"].dataType)
 
 
 def bucket_of(key: Column, bounds: list[float]) -> Column:
@@ -117,46 +152,53 @@ def bucket_of(key: Column, bounds: list[float]) -> Column:
     return build(0, len(bounds))
 
 
-def _partial(func: str, value: Column, order: list[Column]) -> Column:
-    if func == "sum":
-        return F.sum(value)
-    if func == "count":
-        return F.count(value)
-    if func == "min":
-        return F.min(value)
-    if func == "max":
-        return F.max(value)
-    if func == "last":
-        return F.max(F.when(value.isNotNull(), F.struct(*order, value.alias("v"))))
-    if func == "first":
-        return F.min(F.when(value.isNotNull(), F.struct(*order, value.alias("v"))))
-    raise ValueError(f"unsupported prefix aggregate {func}")
+# ---- running aggregates ------------------------------------------------------
+
+def _moments(count: Column, mean: Column, var_pop: Column) -> Column:
+    return F.struct(count.cast("double").alias("n"), mean.alias("mean"), (var_pop * count).alias("m2"))
+
 
+def merge_moments(a: Column, b: Column) -> Column:
+    """Count, mean and squared deviations of two sets together."""
+    n = a["n"] + b["n"]
+    d = b["mean"] - a["mean"]
+    both = F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"),
+                    (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+    return F.when(a.isNull() | (F.coalesce(a["n"], F.lit(0.0)) == 0), b).when(
+        b.isNull() | (F.coalesce(b["n"], F.lit(0.0)) == 0), a).otherwise(both)
 
-def _combine(func: str, partial: Column) -> Column:
+
+def _partial(func: str, v: Column, order: Column, descending: bool) -> Column:
+    if func in ("last", "first"):
+        seen = F.when(v.isNotNull(), order)
+        return (F.max_by if (func == "last") != descending else F.min_by)(v, seen)
+    if func == "moments":
+        return _moments(F.count(v), F.avg(v), F.var_pop(v))
+    return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[func](v)
+
+
+def _combine(func: str, partial: Column, frame) -> Column:
     if func in ("sum", "count"):
-        return F.sum(partial)
-    if func == "min":
-        return F.min(partial)
-    if func in ("max", "last"):
-        return F.max(partial)
+        return F.sum(partial).over(frame)
+    if func in ("min", "max"):
+        return {"min": F.min, "max": F.max}[func](partial).over(frame)
+    if func == "last":
+        return F.last(partial, ignorenulls=True).over(frame)
     if func == "first":
-        return F.min(partial)
-    raise ValueError(func)
+        return F.first(partial, ignorenulls=True).over(frame)
+    # buckets of one group, in order; few
+    none = F.lit(None).cast("struct<n: double, mean: double, m2: double>")
+    return F.aggregate(F.collect_list(partial).over(frame), none, merge_moments)
 
 
-def _local(func: str, value: Column, frame) -> Column:
-    if func == "sum":
-        return F.sum(value).over(frame)
-    if func == "count":
-        return F.count(value).over(frame)
-    if func == "min":
-        return F.min(value).over(frame)
-    if func == "max":
-        return F.max(value).over(frame)
+def _local(func: str, v: Column, frame) -> Column:
     if func == "last":
-        return F.last(value, ignorenulls=True).over(frame)
-    raise ValueError(func)
+        return F.last(v, ignorenulls=True).over(frame)
+    if func == "first":
+        return F.first(v, ignorenulls=True).over(frame)
+    if func == "moments":
+        return _moments(F.count(v).over(frame), F.avg(v).over(frame), F.var_pop(v).over(frame))
+    return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[func](v).over(frame)
 
 
 def _merge(func: str, local: Column, carry: Column) -> Column:
@@ -165,188 +207,159 @@ def _merge(func: str, local: Column, carry: Column) -> Column:
             F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)))
     if func == "count":
         return local + F.coalesce(carry, F.lit(0)).cast("long")
-    if func == "min":
-        return F.least(local, carry)
-    if func == "max":
-        return F.greatest(local, carry)
+    if func in ("min", "max"):
+        return {"min": F.least, "max": F.greatest}[func](local, carry)
     if func == "last":
-        return F.coalesce(local, carry.getField("v"))
+        return F.coalesce(local, carry)
+    if func == "moments":
+        return merge_moments(carry, local)
     raise ValueError(func)
 
 
+AGGREGATES = ("sum", "count", "min", "max", "last", "moments")
+
+
+def _checked(aggs, allowed) -> dict[str, tuple[str, Column]]:
+    for func, _ in (aggs or {}).values():
+        if func not in allowed:
+            raise ValueError(f"unsupported prefix aggregate {func!r}; use one of {allowed}")
+    return {name: (func, F.col(v) if isinstance(v, str) else v) for name, (func, v) in (aggs or {}).items()}
+
+
 def prefix_aggregate(df: DataFrame, order_cols: list[str],
                      aggs: dict[str, tuple[str, Column | str]],
                      group_cols: list[str] | tuple = (), inclusive: bool = False,
                      descending: bool = False, n_buckets: int | None = None,
                      with_totals: dict[str, tuple[str, Column | str]] | None = None,
-                     bounds_from: DataFrame | None = None, skew: str = "detect",
-                     bounds: list[float] | None = None) -> DataFrame:
+                     bounds_from: DataFrame | None = None, uniform: bool = False) -> DataFrame:
     """Add running aggregates over earlier rows of the same group.
 
-    ``aggs`` maps an output name to ``(func, value)`` with func in
-    ``sum count min max last`` (``last`` = last non-null value).  Rows are
-    ordered by ``order_cols`` (the caller supplies a unique tie-break when
-    the order must be total); the first order column drives the buckets.
-    ``inclusive`` includes the current row.  ``with_totals`` adds whole-group
-    aggregates (``sum count min max first``) from the same pass.
-    ``bounds_from`` is a cheaper source of the ordering column (for example the
-    raw column before a reduction), so ``df`` is not computed twice; any source
-    with the same value range gives exact results.  ``bounds`` skips that pass
-    when the boundaries are known (e.g. a uniform hash in [0, 1)).
-
-    ``skew`` decides how groups are laid out:
-
-    * ``"bucket"`` -- every group is range-bucketed (for a few large groups,
-      and always for a global prefix);
-    * ``"window"`` -- a plain window per group (groups known to be small);
-    * ``"detect"`` -- candidate heavy groups are found with a one-pass
-      frequent-items sketch over a group hash (no shuffle; at most
-      ``1/support`` candidates reach the driver); those rows take the
-      bucketed path, all other groups a plain window.  Groups below
-      ``tabsmith.prefix.hotGroupRows`` rows (default 1,000,000) are never
-      split.
+    ``aggs`` maps an output name to ``(func, value)`` with func in ``sum count
+    min max last moments`` (``last`` = last non-null value, ``moments`` =
+    struct of count ``n``, ``mean`` and squared deviations ``m2``).  Rows are
+    ordered by ``order_cols``, nulls first, or the whole tuple reversed if
+    ``descending``; the caller supplies a unique tie-break when the order must
+    be total.  ``inclusive`` includes the current row.  ``with_totals`` adds
+    whole-group aggregates (``sum count min max first``) from the same pass.
+
+    ``bounds_from`` is a cheaper source of the group and ordering columns (for
+    example the raw columns before a reduction); any source gives exact results.
+    ``uniform`` says that the first ordering column is a uniform number in
+    [0, 1) and there are no groups: boundaries then need no pass at all.
     """
-    group_cols = list(group_cols)
-    args = (order_cols, aggs, group_cols, inclusive, descending, n_buckets, with_totals)
-    if not group_cols or skew == "bucket":
-        return _bucketed_prefix(df, *args, bounds_from=bounds_from, bounds=bounds)
-    if skew == "window":
-        return _window_prefix(df, *args)
-    spark = df.sparkSession
-    threshold = int(spark.conf.get("tabsmith.prefix.hotGroupRows", str(HOT_GROUP_ROWS)))
-    n = df.count()
-    if n <= threshold:
-        return _window_prefix(df, *args)
-    support = min(1.0, max(threshold / n, MIN_SUPPORT))
-    gh = F.xxhash64(*[F.col(g) for g in group_cols])
-    cands = df.select(gh.alias("_gh")).stat.freqItems(["_gh"], support).first()[0]
-    if not cands:
-        return _window_prefix(df, *args)
-    hot = F.broadcast(spark.createDataFrame([(int(c),) for c in cands], "_gh long"))  # <= 1/support rows
-    tagged = df.withColumn("_gh", gh)
-    hot_rows = tagged.join(hot, "_gh", "left_semi").drop("_gh")
-    cold_rows = tagged.join(hot, "_gh", "left_anti").drop("_gh")
-    return _window_prefix(cold_rows, *args).unionByName(
-        _bucketed_prefix(hot_rows, *args, bounds_from=bounds_from, bounds=bounds))
-
-
-def _window_prefix(df: DataFrame, order_cols, aggs, group_cols, inclusive, descending, n_buckets,
-                   with_totals) -> DataFrame:
-    """Plain per-group windows, for groups small enough for one task."""
-    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    w = Window.partitionBy(*group_cols).orderBy(*order)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    whole = Window.partitionBy(*group_cols)
-    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cols = []
-    for name, (func, v) in aggs.items():
-        v = F.col(v) if isinstance(v, str) else v
-        local = _local(func, v, frame)
-        cols.append((local if func != "count" else local.cast("long")).alias(name))
-    for name, (func, v) in (with_totals or {}).items():
-        v = F.col(v) if isinstance(v, str) else v
-        if func == "first":
-            cols.append(F.struct(F.first(v, ignorenulls=True).over(full).alias("v")).alias(name))
-        elif func == "count":
-            cols.append(F.count(v).over(whole).alias(name))
-        else:
-            cols.append({"sum": F.sum, "min": F.min, "max": F.max}[func](v).over(whole).alias(name))
-    return df.select("*", *cols)
-
-
-def _bucketed_prefix(df: DataFrame, order_cols: list[str],
-                     aggs: dict[str, tuple[str, Column | str]],
-                     group_cols: list[str] | tuple = (), inclusive: bool = False,
-                     descending: bool = False, n_buckets: int | None = None,
-                     with_totals: dict[str, tuple[str, Column | str]] | None = None,
-                     bounds_from: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
-    """Bucketed prefix over ``(group, bucket)`` (see the module docstring)."""
-    group_cols = list(group_cols)
-    spark = df.sparkSession
-    n_buckets = min(n_buckets or default_buckets(spark), MAX_BUCKETS)
-    key = numeric_key(df, order_cols[0])
-    if descending:
-        key = -key
-    if bounds is not None:
-        bounds = sorted(set(float(b) for b in bounds))
-    elif bounds_from is not None:
-        src_key = numeric_key(bounds_from, order_cols[0])
-        bounds = approx_bounds(bounds_from, -src_key if descending else src_key, n_buckets)
+    groups = list(group_cols)
+    values, totals = _checked(aggs, AGGREGATES), _checked(with_totals, ("sum", "count", "min", "max", "first"))
+    n_buckets = n_buckets or default_buckets(df.sparkSession)
+    if uniform and not groups:
+        cut = F.least(F.floor(F.col(order_cols[0]) * n_buckets), F.lit(n_buckets - 1)).cast("int")
+        data, bounds = df.withColumn(_BUCKET, F.lit(n_buckets) - cut if descending else cut), None
     else:
-        bounds = approx_bounds(df, key, n_buckets)
-    data = with_bucket(df, key, bounds, _BUCKET)
-
-    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    order_struct = ([(-numeric_key(df, c)).alias(f"_k{i}") for i, c in enumerate(order_cols)]
-                    if descending else [F.col(c) for c in order_cols])
-    values = {name: (func, F.col(v) if isinstance(v, str) else v) for name, (func, v) in aggs.items()}
-    totals = {name: (func, F.col(v) if isinstance(v, str) else v)
-              for name, (func, v) in (with_totals or {}).items()}
-
-    part_exprs = [_partial(func, v, order_struct).alias(f"_p_{name}") for name, (func, v) in values.items()]
-    part_exprs += [_partial(func, v, order_struct).alias(f"_q_{name}") for name, (func, v) in totals.items()]
-    partials = data.groupBy(*group_cols, _BUCKET).agg(*part_exprs)
-
-    gw = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
-    before = gw.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry_exprs = [_combine(func, F.col(f"_p_{name}")).over(before).alias(f"_c_{name}")
-                   for name, (func, _) in values.items()]
-    carry_exprs += [_combine(func, F.col(f"_q_{name}")).over(gw).alias(name)
-                    for name, (func, _) in totals.items()]
-    renamed = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)]
-    carries = partials.select(*renamed, F.col(_BUCKET).alias("_cb"), *carry_exprs)
-    if not group_cols:
-        # at most n_buckets rows: a proven bound, so broadcasting is safe
-        carries = F.broadcast(carries)
-
-    cond = [data[_BUCKET] == carries["_cb"]]
-    cond += [data[g].eqNullSafe(carries[f"_g{i}"]) for i, g in enumerate(group_cols)]
-    joined = data.join(carries, reduce(lambda a, b: a & b, cond), "inner")
-
-    frame = Window.partitionBy(*group_cols, _BUCKET).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    out = joined.select(
+        bounds = range_bounds(df if bounds_from is None else bounds_from, [*groups, *order_cols], n_buckets)
+        data = df.withColumn(_BUCKET, bounds.bucket(sort_key(df, [*groups, *order_cols]), descending))
+
+    # groups that a boundary falls into: at most one a boundary
+    inside = data.where(bounds.leading(len(groups)).holds(sort_key(df, groups))) if groups else data
+    order = sort_key(df, list(order_cols))
+    partials = inside.groupBy(*groups, _BUCKET).agg(
+        *[_partial(f, v, order, descending).alias(f"_p_{name}") for name, (f, v) in values.items()],
+        *[_partial(f, v, order, descending).alias(f"_q_{name}") for name, (f, v) in totals.items()])
+    gw = Window.partitionBy(*groups).orderBy(_BUCKET)
+    before = gw.rowsBetween(Window.unboundedPreceding, -1)
+    whole = gw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carries = partials.select(
+        *[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)], F.col(_BUCKET).alias("_cb"), F.lit(True).alias("_split"),
+        *[_combine(f, F.col(f"_p_{name}"), before).alias(f"_c_{name}") for name, (f, _) in values.items()],
+        *[_combine(f, F.col(f"_q_{name}"), whole).alias(f"_t_{name}") for name, (f, _) in totals.items()])
+    # at most two rows a boundary: a proven bound, so broadcasting is safe
+    carries = F.broadcast(carries)
+    cond = [data[_BUCKET] == carries["_cb"]] + [data[g].eqNullSafe(carries[f"_g{i}"]) for i, g in enumerate(groups)]
+    joined = data.join(carries, reduce(lambda a, b: a & b, cond), "left")
+
+    rows = Window.partitionBy(*groups, _BUCKET).orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order_cols])
+    frame = rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    full = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def total(name: str, func: str, v: Column) -> Column:
+        out = F.when(F.col("_split"), F.col(f"_t_{name}")).otherwise(_local(func, v, full))
+        return (F.struct(out.alias("v")) if func == "first" else out).alias(name)
+
+    return joined.select(
         *[data[c] for c in df.columns],
-        *[_merge(func, _local(func, v, frame), F.col(f"_c_{name}")).alias(name)
-          for name, (func, v) in values.items()],
-        *[F.struct(F.col(name).getField("v").alias("v")).alias(name) if func in ("first", "last")
-          else F.col(name) for name, (func, _) in totals.items()],
-    )
-    return out
+        *[_merge(f, _local(f, v, frame), F.col(f"_c_{name}")).alias(name) for name, (f, v) in values.items()],
+        *[total(name, f, v) for name, (f, v) in totals.items()])
 
 
 def prefix_row_number(df: DataFrame, order_cols: list[str], group_cols=(), name: str = "row_number",
-                      n_buckets: int | None = None, with_count: str | None = None,
-                      skew: str = "detect", bounds: list[float] | None = None) -> DataFrame:
+                      n_buckets: int | None = None, with_count: str | None = None, uniform: bool = False) -> DataFrame:
     """0-based position of each row within its group in ``order_cols`` order."""
     totals = {with_count: ("count", F.lit(1))} if with_count else None
     return prefix_aggregate(df, order_cols, {name: ("count", F.lit(1))}, group_cols,
-                            inclusive=False, n_buckets=n_buckets, with_totals=totals, skew=skew, bounds=bounds)
+                            inclusive=False, n_buckets=n_buckets, with_totals=totals, uniform=uniform)
+
+
+# ---- exact quantiles ----------------------------------------------------------
+
+_LEVELS = (42, 21, 0)   # a number's 64 bits are refined in parts of 22, 21 and 21
+
+
+def order_code(x: Column) -> Column:
+    """The bits of a double as a long of the same order; -0.0 as 0.0, NaN above all."""
+    size = F.abs(x)
+    rough = F.floor(F.log2(size)).cast("int")
+    m = size * F.pow(F.lit(2.0), -rough)      # powers of two are exact
+    power = rough + F.when(m >= 2, 1).when(m < 1, -1).otherwise(0)
+    fraction = F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m) - 1
+    bits = (power.cast("long") + 1023) * (1 << 52) + (fraction * float(1 << 52)).cast("long")
+    tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")
+    code = F.when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.0 ** -1022, tiny).otherwise(bits)
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).when(x == 0, F.lit(0)).when(x < 0, -code).otherwise(code)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols=(),
-                    names: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
+                    names: list[str] | None = None) -> DataFrame:
     """Linear-interpolated exact quantiles (numpy ``linear`` / SQL ``quantile_cont``).
 
-    Ranks come from :func:`prefix_row_number`, so no group is ever collected
-    into one task; only the (at most two per probability) rows at the needed
-    ranks survive to the final aggregate.
+    Selection by nested histograms over the bits of the numbers: counts per leading part tell
+    which part holds each wanted rank, and only those parts are counted by the next bits.  No row
+    is ranked; equal values meet in map-side combine, so a column of 11 values moves at most 11
+    rows a partition, group and level.  Nulls are left out; a group without values has no row.
     """
-    group_cols = list(group_cols)
+    groups = list(group_cols)
     names = names or [f"q{p}" for p in probs]
-    base = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    # quantile groups are few and large (one per column or split): always bucket
-    ranked = prefix_row_number(base, ["_v"], group_cols, name="_r", n_buckets=n_buckets, with_count="_n",
-                               skew="bucket")
-    pos = [(F.col("_n") - 1).cast("double") * F.lit(float(p)) for p in probs]
-    lo = [F.floor(x).cast("long") for x in pos]
-    hi = [F.ceil(x).cast("long") for x in pos]
-    wanted = F.array(*lo, *hi)
-    picked = ranked.where(F.array_contains(wanted, F.col("_r")))
-    aggs = []
-    for i, name in enumerate(names):
-        v_lo = F.max(F.when(F.col("_r") == lo[i], F.col("_v")))
-        v_hi = F.max(F.when(F.col("_r") == hi[i], F.col("_v")))
-        frac = F.max(pos[i] - lo[i])
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
-    return picked.groupBy(*group_cols).agg(*aggs)
+    held = [f"_g{i}" for i in range(len(groups))]
+    base = df.select(*[F.col(f"`{g}`").alias(h) for g, h in zip(groups, held)], F.col(value_col).cast("double").alias("_v"))
+    base = base.where(F.col("_v").isNotNull()).withColumn("_code", order_code(F.col("_v")))
+    mask = (1 << 21) - 1
+    base = base.select(*held, "_v", *[(F.shiftright("_code", s) if k == 0 else F.shiftright("_code", s).bitwiseAND(F.lit(mask)))
+                                      .alias(f"_c{k}") for k, s in enumerate(_LEVELS)])
+
+    found = None
+    for k in range(len(_LEVELS)):
+        path = [f"_c{j}" for j in range(k)]
+        rows = base
+        if found is not None:
+            parts = found.select(*[F.col(c).alias(f"{c}_") for c in held + path]).distinct()
+            same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in held + path]
+            rows = base.join(parts, reduce(lambda a, b: a & b, same), "left_semi")
+        counts = rows.groupBy(*held, *path, f"_c{k}").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"))
+        # the parts of one number range: at most 2 ** 22, as many as occur
+        w = Window.partitionBy(*held, *path).orderBy(f"_c{k}")
+        counts = counts.withColumn("_below", F.sum("_n").over(w) - F.col("_n"))
+        if found is None:
+            counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*held)))
+            at = [(F.col("_all") - 1).cast("double") * F.lit(float(p)) for p in probs]
+            ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
+            hits = counts.select("*", F.explode(ranks).alias("_rank")).withColumn("_left", F.col("_rank"))
+        else:
+            here = found.select(*[F.col(c).alias(f"{c}_") for c in held + path], "_all", "_rank", "_left")
+            hits = counts.join(here, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in held + path]))
+        hits = hits.where((F.col("_left") >= F.col("_below")) & (F.col("_left") < F.col("_below") + F.col("_n")))
+        found = hits.select(*held, *path, f"_c{k}", "_v", "_all", "_rank", (F.col("_left") - F.col("_below")).alias("_left"))
+
+    out = []
+    for p, name in zip(probs, names):
+        at = (F.col("_all") - 1).cast("double") * F.lit(float(p))
+        low = F.max(F.when(F.col("_rank") == F.floor(at), F.col("_v")))
+        high = F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v")))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return found.groupBy(*held).agg(*out).select(*[F.col(h).alias(g) for h, g in zip(held, groups)], *[F.col(f"`{x}`") for x in names])

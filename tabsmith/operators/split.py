@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.hashing import hash_unit_interval
-from tabsmith.operators.prefix import default_buckets, prefix_row_number, uniform_bounds
+from tabsmith.operators.prefix import prefix_row_number
 
 
 def hash_split(df: DataFrame, key: str, test_size: float, val_size: float = 0.0,
@@ -37,10 +37,8 @@ def exact_split(df: DataFrame, key: str, test_size: float, val_size: float = 0.0
     u = hash_unit_interval(F.col(key), seed)
     d = df.withColumn("_u", u).withColumn("_k", F.col(key).cast("string"))
     groups = [stratify_by] if stratify_by else []
-    # strata are few and large; the hash is uniform, so boundaries need no pass over the data
-    nb = n_buckets or default_buckets(df.sparkSession)
-    ranked = prefix_row_number(d, ["_u", "_k"], groups, name="_r", n_buckets=nb, with_count="_n",
-                               skew="bucket", bounds=uniform_bounds(nb))
+    # without strata the hash itself deals rows out, and boundaries need no pass over the data
+    ranked = prefix_row_number(d, ["_u", "_k"], groups, name="_r", n_buckets=n_buckets, with_count="_n", uniform=True)
     n = F.col("_n").cast("double")
     n_test = F.ceil(n * F.lit(float(test_size)))
     rem = F.col("_n") - n_test
@@ -73,9 +71,7 @@ def cv_folds(df: DataFrame, key: str, k: int, stratify_by: str | None = None, se
     if not stratify_by:
         return df.withColumn(out, F.least(F.floor(u * k), F.lit(k - 1)).cast("int"))
     d = df.withColumn("_u", u).withColumn("_k", F.col(key).cast("string"))
-    nb = n_buckets or default_buckets(df.sparkSession)
-    ranked = prefix_row_number(d, ["_u", "_k"], [stratify_by], name="_r", n_buckets=nb, skew="bucket",
-                               bounds=uniform_bounds(nb))
+    ranked = prefix_row_number(d, ["_u", "_k"], [stratify_by], name="_r", n_buckets=n_buckets)
     return ranked.withColumn(out, F.pmod(F.col("_r"), F.lit(k)).cast("int")).drop("_u", "_k", "_r")
 
 

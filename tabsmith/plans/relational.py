@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions import predicates, scalar, targets
 from tabsmith.functions.hashing import content_fingerprint, input_row_hash
-from tabsmith.operators import clean, features, joins, profile, quality, segment, synth
+from tabsmith.operators import clean, features, joins, prefix, profile, quality, segment, synth
 from tabsmith.operators.keys import add_row_id_for, register_row_id_policy
 from tabsmith.plans.base import r6, register, round_to, table
 from tabsmith.sources.io import NULL_TOKENS, apply_null_tokens
@@ -362,6 +362,34 @@ def q_fill_dates_by_user(spark, d):
         .select("event_id", "filled")
 
 
+@register("fill_by_name", covers="W3", sql="""
+SELECT c_custkey, COALESCE(
+  last_value(d IGNORE NULLS) OVER (ORDER BY c_name, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(d IGNORE NULLS) OVER (ORDER BY c_name, c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled
+FROM (SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS d FROM customer)
+""")
+def q_fill_by_name(spark, d):
+    """Names share a long prefix; the whole string decides the bucket."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.expr("CASE WHEN c_acctbal > 0 THEN c_acctbal END").alias("d"))
+    return features.fill_forward_backward(c, "d", ["c_name", "c_custkey"], out="filled").select("c_custkey", "filled")
+
+
+@register("prefix_descending", covers="W5 W6", sql="""
+SELECT c_custkey, CAST(count(*) OVER w AS BIGINT) AS n_after, CAST(sum(CAST(trunc(c_acctbal) AS BIGINT)) OVER w AS BIGINT) AS units_after,
+       last_value(CASE WHEN c_acctbal > 0 THEN c_custkey END IGNORE NULLS) OVER w AS last_positive
+FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_name DESC, c_custkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""")
+def q_prefix_descending(spark, d):
+    """Running count, sum and last value over the names of a market segment from the last to the first."""
+    c = table(spark, d, "customer").select(
+        "c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("long").alias("units"),
+        F.expr("CASE WHEN c_acctbal > 0 THEN c_custkey END").alias("positive"))
+    out = prefix.prefix_aggregate(c, ["c_name", "c_custkey"], {
+        "n_after": ("count", F.lit(1)), "units_after": ("sum", "units"), "last_positive": ("last", "positive")},
+        ["c_mktsegment"], descending=True)
+    return out.select("c_custkey", "n_after", "units_after", "last_positive")
+
+
 _A = "NULLIF(o_orderstatus, 'P')"
 _B = "CASE WHEN o_totalprice > 200000 THEN 'F' ELSE 'O' END"
 
@@ -406,7 +434,7 @@ def _pit_sql(func: str) -> str:
     val = {"mean": f"CAST(sum(v) OVER {w} AS DOUBLE) / count(v) OVER {w}",
            "sum": f"CASE WHEN count(v) OVER {w} > 0 THEN CAST(sum(v) OVER {w} AS DOUBLE) END",
            "min": f"CAST(min(v) OVER {w} AS DOUBLE)", "max": f"CAST(max(v) OVER {w} AS DOUBLE)",
-           "count": f"CAST(count(v) OVER {w} AS DOUBLE)"}[func]
+           "count": f"CAST(count(v) OVER {w} AS DOUBLE)", "std": f"stddev_samp(CAST(v AS DOUBLE)) OVER {w}"}[func]
     return f"""
 WITH ev AS (SELECT event_id, user_id, ts, {_PIT_VALUE} AS v FROM events)
 SELECT event_id, round(CASE WHEN count(*) OVER {w} = 0 THEN {gm} ELSE COALESCE({val}, {gm}) END, 6) AS feature
@@ -414,7 +442,7 @@ FROM ev
 """
 
 
-for _f in ("mean", "sum", "min", "max", "count"):
+for _f in ("mean", "sum", "min", "max", "count", "std"):
     def _mkp(func):
         def q(spark, d):
             e = table(spark, d, "events").withColumn("value", F.expr(_PIT_VALUE))

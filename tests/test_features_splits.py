@@ -35,15 +35,13 @@ def test_arrival_date(spark):
     assert got == [dt.date(2024, 2, 29), dt.date(2025, 12, 31), None, None]
 
 
-@pytest.mark.parametrize("n_buckets,hot_rows", [(1, "0"), (3, "0"), (16, "0"), (16, "1000000")])
-def test_pit_mean_reference_case(spark, n_buckets, hot_rows):
-    spark.conf.set("tabsmith.prefix.hotGroupRows", hot_rows)
+@pytest.mark.parametrize("n_buckets", [1, 3, 16])
+def test_pit_mean_reference_case(spark, n_buckets):
     df = spark.createDataFrame([("A", "2024-01-02", 20.0, 1), ("A", "2024-01-01", 10.0, 2),
                                 ("B", "2024-01-01", 30.0, 3), ("B", "2024-01-03", 50.0, 4)],
                                "hotel string, t string, adr double, id int").withColumn("t", F.to_date("t"))
     out = features.pit_feature(df, ["hotel"], "t", "adr", "mean", "f", ["id"], n_buckets=n_buckets)
     got = [r.f for r in out.orderBy("hotel", "t").collect()]
-    spark.conf.unset("tabsmith.prefix.hotGroupRows")
     assert got == [27.5, 10.0, 27.5, 30.0]
 
 
@@ -67,20 +65,18 @@ def test_fill_forward_backward_across_buckets(spark):
         assert got == expected
 
 
-@pytest.mark.parametrize("skew", ["bucket", "window", "detect"])
-def test_prefix_row_number_partition_invariant(spark, skew):
+@pytest.mark.parametrize("n_buckets", [1, 7, 64])
+def test_prefix_row_number_partition_invariant(spark, n_buckets):
     df = spark.range(0, 2000).withColumn("g", (F.col("id") % 3).cast("int")).withColumn("k", F.rand(7))
     ref = None
-    spark.conf.set("tabsmith.prefix.hotGroupRows", "0")  # every group counts as hot under "detect"
     try:
         for parts in ("1", "7", "200"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            got = {r.id: r.rn for r in prefix_row_number(df, ["k", "id"], ["g"], name="rn", skew=skew).collect()}
+            got = {r.id: r.rn for r in prefix_row_number(df, ["k", "id"], ["g"], name="rn", n_buckets=n_buckets).collect()}
             ref = ref or got
             assert got == ref
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-        spark.conf.unset("tabsmith.prefix.hotGroupRows")
     assert sorted(v for k, v in ref.items() if k % 3 == 0) == list(range(667))
 
 
@@ -163,12 +159,8 @@ def test_hot_group_split_matches_plain_window(spark):
     df = spark.range(0, 3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"),
         (F.col("id") * 7919 % 3001).alias("t"), F.col("id").alias("id"), (F.col("id") % 11).cast("double").alias("v"))
-    spark.conf.set("tabsmith.prefix.hotGroupRows", "100")
-    try:
-        got = {r.id: (r.s, r.c) for r in prefix_aggregate(
-            df, ["t", "id"], {"s": ("sum", "v"), "c": ("count", F.lit(1))}, ["g"]).collect()}
-    finally:
-        spark.conf.unset("tabsmith.prefix.hotGroupRows")
+    got = {r.id: (r.s, r.c) for r in prefix_aggregate(
+        df, ["t", "id"], {"s": ("sum", "v"), "c": ("count", F.lit(1))}, ["g"]).collect()}
     w = Window.partitionBy("g").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
     ref = {r.id: (r.s, r.c) for r in df.select("id", F.sum("v").over(w).alias("s"),
                                                 F.count(F.lit(1)).over(w).alias("c")).collect()}
@@ -188,8 +180,7 @@ def test_pit_with_pandas_aggregate(spark):
     assert got == {1: 15.0, 2: 10.0, 3: 20.0, 4: 20.0}
 
 
-def test_many_buckets_use_bucketizer(spark):
-    """More than 255 boundaries switch to the JVM bucketizer; results stay exact."""
+def test_many_buckets_equal_a_window(spark):
     from pyspark.sql import Window
     df = spark.range(0, 6000).select(F.col("id"), (F.col("id") * 7919 % 6007).cast("double").alias("t"),
                                      (F.col("id") % 13).cast("double").alias("v"))
@@ -202,24 +193,97 @@ def test_many_buckets_use_bucketizer(spark):
 def test_bucket_assignment_matches_bisect(spark):
     import bisect
 
-    from tabsmith.operators.prefix import with_bucket
-    for n in (10, 300):  # CASE tree, then the JVM bucketizer
-        bounds = [float(i * 3) for i in range(1, n + 1)]
-        keys = [None, -5.0, 0.0, 3.0, 4.5, 6.0, float(n * 3), float(n * 3) + 1.0, 29.9999, 30.0]
-        df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k double")
-        got = {r.i: r.b for r in with_bucket(df, F.col("k"), bounds, "b").collect()}
-        exp = {i: (0 if k is None else bisect.bisect_right(bounds, k)) for i, k in enumerate(keys)}
+    from pyspark.sql import Row
+
+    from tabsmith.operators.prefix import Bounds, sort_key
+    for n in (0, 1, 10, 300):
+        bounds = [float(i * 3) for i in range(1, n + 1)] + [float("inf")] * (n > 0)
+        keys = [None, float("-inf"), -5.0, 0.0, 3.0, 4.5, 6.0, float(n * 3), float(n * 3) + 1.0, 29.9999, 30.0, float("inf"), float("nan")]
+        df = spark.createDataFrame(list(enumerate(keys)), "i int, k double")
+        key = sort_key(df, ["k"])
+        made = Bounds([Row(k0=b) for b in bounds], df.select(key.alias("k")).schema["k"].dataType)
+        got = {r.i: r.b for r in df.select("i", made.bucket(key).alias("b")).collect()}
+        exp = {i: 0 if k is None else len(bounds) if k != k else bisect.bisect_right(bounds, k) for i, k in enumerate(keys)}
         assert got == exp, n
 
 
-def test_hot_key_rows_spread_over_buckets(spark):
-    """A key holding a third of all rows is cut into range buckets of even size."""
-    from tabsmith.operators.prefix import approx_bounds, numeric_key, with_bucket
+ODD = [None, "", "same prefix of many letters a", "same prefix of many letters b", "Z", "é", "日本", 'quote " and \\ and \n', "a"]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_over_strings_dates_and_decimals_equals_a_window(spark, descending):
+    """Whole tuples decide: common prefixes, nulls, decimals, times to the microsecond; also reversed."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from pyspark.sql import Window
+    rows = [(k, k % 3, ODD[k * 7 % len(ODD)], None if k % 11 == 0 else Decimal(k * 37 % 50) / 4,
+             None if k % 13 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=k * 7919 % 100),
+             None if k % 5 == 0 else float(k * 31 % 17)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id int, g int, s string, d decimal(20,3), t timestamp_ntz, v double")
+    df = df.withColumn("day", F.to_date("t")).withColumn("at", F.col("t").cast("timestamp"))
+    order = ["s", "d", "day", "t", "at", "id"]
+    aggs = {"n": ("count", F.lit(1)), "s_v": ("sum", "v"), "hi": ("max", "v"), "l": ("last", "v")}
+    sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    for groups in ([], ["g"]):
+        w = Window.partitionBy(*groups).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+        ref = df.select("id", F.count(F.lit(1)).over(w).alias("n"), F.sum("v").over(w).alias("s_v"), F.max("v").over(w).alias("hi"),
+                        F.last("v", ignorenulls=True).over(w).alias("l")).collect()
+        got = prefix_aggregate(df, order, aggs, groups, descending=descending, n_buckets=20,
+                               with_totals={"first": ("first", "v"), "all": ("sum", "v")}).select("id", *aggs).collect()
+        assert sorted(map(str, got)) == sorted(map(str, ref))
+
+
+@pytest.mark.parametrize("column", ["t", "name"])
+def test_no_bucket_exceeds_twice_the_mean(spark, column):
+    """A key holding a third of all rows, and names that share a long prefix, fall into even buckets."""
+    from tabsmith.operators.prefix import range_bounds, sort_key
     n, nb = 30000, 16
     df = spark.range(0, n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"),
-                                  (F.col("id") * 7919 % 30011).cast("double").alias("t"))
-    hot = df.where("g = 'hot'")
-    key = numeric_key(hot, "t")
-    b = with_bucket(hot, key, approx_bounds(hot, key, nb), "b")
-    sizes = [r["count"] for r in b.groupBy("b").count().collect()]
-    assert len(sizes) == nb and max(sizes) <= 2 * (n / 3) / nb
+                                  (F.col("id") * 7919 % 30011).cast("double").alias("t"),
+                                  F.format_string("Customer#%012d", F.col("id") * 7919 % 30011).alias("name"))
+    bounds = range_bounds(df, ["g", column], nb)
+    sizes = [r["count"] for r in df.groupBy(bounds.bucket(sort_key(df, ["g", column]))).count().collect()]
+    assert len(sizes) == nb and max(sizes) <= 2 * n / nb
+    hot = df.where("g = 'hot'").groupBy(bounds.bucket(sort_key(df, ["g", column]))).count()
+    assert hot.count() >= nb // 3
+
+
+def test_running_std_of_large_values(spark):
+    """Squared deviations are merged, not differences of large sums."""
+    df = spark.createDataFrame([(k, 1e9 + k % 3) for k in range(300)], "id int, v double").withColumn("g", F.lit(1))
+    import statistics
+    vals = [1e9 + k % 3 for k in range(300)]
+    for nb in (1, 16):
+        got = {r.id: r.f for r in features.pit_feature(df, ["g"], "id", "v", "std", "f", n_buckets=nb).collect()}
+        assert all(math.isclose(got[k], statistics.stdev(vals[:k]), rel_tol=1e-6) for k in range(2, 300, 17))
+
+
+def test_order_code_follows_doubles(spark):
+    import struct
+
+    from tabsmith.operators.prefix import order_code
+    rng = __import__("random").Random(4)
+    vals = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)]
+    vals = [v for v in vals if v == v] + [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308,
+                                          float("inf"), float("-inf"), 1.0, 1.9999999999999998, 2.0, 0.1, 3.0]
+    got = {r.i: r.c for r in spark.createDataFrame(list(enumerate(vals)), "i int, v double").select("i", order_code(F.col("v")).alias("c")).collect()}
+    for i, v in enumerate(vals):
+        bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        assert got[i] == (-bits if v < 0 else bits)
+
+
+def test_quantiles_of_few_values_move_few_rows(spark):
+    """An 11-value column with a hot value: exact per group, and no plan step ranks rows."""
+    import numpy as np
+    df = spark.range(0, 5000, 1, 4).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 == 0, F.lit(7.25)).otherwise(
+        (F.col("id") % 11).cast("double")).alias("v"))
+    df = df.withColumn("v", F.when(F.col("v") == 3, F.lit(None)).otherwise(-F.col("v")))
+    got = {r.g: (r.a, r.b, r.c) for r in exact_quantiles(df, "v", [0.01, 0.5, 0.99], ["g"], names=["a", "b", "c"]).collect()}
+    rows = df.collect()
+    for g in (0, 1):
+        vals = [r.v for r in rows if r.g == g and r.v is not None]
+        assert np.allclose(got[g], np.quantile(vals, [0.01, 0.5, 0.99]))
+    wide = spark.range(0, 3000).select((F.col("id") * 7919 % 3001 / 7.0 - 100).alias("v"))
+    assert np.allclose(list(exact_quantiles(wide, "v", [0.0, 0.333, 1.0]).first()),
+                       np.quantile([r.v for r in wide.collect()], [0.0, 0.333, 1.0]))
