@@ -29,6 +29,22 @@ def _text(df: DataFrame, c: str, null_token: str, float_format: str | None) -> C
     return F.coalesce(txt, F.lit(null_token))
 
 
+_TAGS = ((T.BooleanType, "b"), (T.IntegralType, "i"), (T.FractionalType, "f"), (T.StringType, "s"),
+         (T.DateType, "t"), (T.TimestampType, "t"), (T.TimestampNTZType, "t"))
+
+
+def row_text(df: DataFrame, cols: list[str] | None = None) -> Column:
+    """A row as text that no other row has: per field its kind, the length of its text and the
+    text (``s3:abc``), a null as kind and ``-``.  Doubles take their shortest exact form."""
+    parts = []
+    for c in cols or df.columns:
+        tag = next((t for kind, t in _TAGS if isinstance(df.schema[c].dataType, kind)), "x")
+        text = _text(df, c, "", None)
+        known = F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text)
+        parts.append(F.when(F.col(f"`{c}`").isNull(), F.lit(f"{tag}-")).otherwise(known))
+    return F.concat(*parts)
+
+
 def row_key_hash(df: DataFrame, cols: list[str], sep: str = "-", null_token: str = "nan") -> Column:
     """X10 base: SHA-256 of the key columns' text joined by ``sep``."""
     return F.sha2(F.concat_ws(sep, *[_text(df, c, null_token, None) for c in cols]), 256)
@@ -53,7 +69,9 @@ def hash_unit_interval(key: Column, seed: int | str = 42) -> Column:
 def fingerprint_exprs(df: DataFrame) -> list[Column]:
     """X14 aggregate expressions, order-free: row count plus two mergeable
     reductions of per-row hashes (independent of partitioning and row order)."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    # xxhash64 passes over nulls, so their places are hashed too
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+    row_hash = F.xxhash64(nulls, *[F.col(f"`{c}`") for c in df.columns])
     return [
         F.count(F.lit(1)).alias("n_rows"),
         F.bit_xor(row_hash).alias("xor_hash"),
@@ -63,11 +81,10 @@ def fingerprint_exprs(df: DataFrame) -> list[Column]:
 
 def portable_fingerprint(df: DataFrame) -> DataFrame:
     """X14, reproducible outside Spark: row count and the sum of the first 60
-    bits of each row's SHA-256 (canonical text as in :func:`input_row_hash`,
-    but floats in their shortest exact form, which tells any two apart), as a decimal string.  Order-free and mergeable."""
-    text = F.concat_ws("|", *[_text(df, c, "NULL", None) for c in df.columns])
-    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("sum_sha"))
+    bits of each row's SHA-256 (:func:`row_text`, which tells any two rows of a table apart), as a
+    decimal string.  Order-free and mergeable."""
+    h = F.conv(F.substring(F.sha2(row_text(df), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("sum_sha"))
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,52 @@ def transform_target(df: DataFrame, target: str, method: str, lam: float | None
 def inverse_transform_target(df: DataFrame, col: str, method: str, lam: float | None = None,
                              out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, inverse(col, method, lam))
+
+
+# ---- target registry (R3) ----------------------------------------------------
+
+def pass_through(name: str, dtype: str) -> Callable[[DataFrame], Column]:
+    """The column itself as the target, in the target's type; the table must have it."""
+    def build(df: DataFrame) -> Column:
+        if name not in df.columns:
+            raise ValueError(f"target {name!r} needs a column of that name")
+        return F.col(f"`{name}`").cast(dtype)
+    return build
+
+
+def from_columns(needed: tuple[str, ...], make: Callable[..., Column]) -> Callable[[DataFrame], Column]:
+    """A target computed from columns, all of which the table must have."""
+    def build(df: DataFrame) -> Column:
+        missing = [c for c in needed if c not in df.columns]
+        if missing:
+            raise ValueError(f"target needs columns {missing}")
+        return make(*needed)
+    return build
+
+
+#: (name, version) -> builder.  Names, versions and input columns are fixed values.
+TARGETS: dict[tuple[str, str], Callable[[DataFrame], Column]] = {
+    ("adr", "v1"): pass_through("adr", "double"),
+    ("lead_time", "v1"): pass_through("lead_time", "int"),
+    ("is_repeated_guest", "v1"): pass_through("is_repeated_guest", "int"),
+    ("total_of_special_requests", "v1"): pass_through("total_of_special_requests", "int"),
+    ("is_canceled", "v1"): pass_through("is_canceled", "int"),
+    ("room_upgrade", "v1"): from_columns(("reserved_room_type", "assigned_room_type"), differs_flag),
+    ("no_show", "v1"): from_columns(("reservation_status",), lambda c: equals_flag(c, "No-Show")),
+}
+
+
+def register_target(name: str, version: str, build: Callable[[DataFrame], Column]) -> None:
+    """Add a target; a version that exists already cannot change."""
+    if (name, version) in TARGETS:
+        raise KeyError(f"target {name!r} {version!r} is registered already")
+    TARGETS[(name, version)] = build
+
+
+def build_target(df: DataFrame, name: str, version: str, entity_key: str) -> DataFrame:
+    """``entity_key`` and the target, under its name; an unknown (name, version) raises."""
+    if (name, version) not in TARGETS:
+        raise KeyError(f"no target {name!r} {version!r}; known: {sorted(TARGETS)}")
+    if entity_key not in df.columns:
+        raise ValueError(f"entity key {entity_key!r} missing")
+    return df.select(F.col(f"`{entity_key}`"), TARGETS[(name, version)](df).alias(name))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabsmith.functions import scalar
 from tabsmith.operators.prefix import prefix_aggregate
+from tabsmith.operators.user_aggregate import UserAggregate, running_user_aggregate
 
 PIT_FUNCS = ("mean", "sum", "min", "max", "count", "std")
 
@@ -24,6 +25,10 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
 
     Runs on the bucketed prefix, so a hot group is split across tasks.
     """
+    if isinstance(func, UserAggregate):
+        rows = running_user_aggregate(df, group_cols, [order_col, *tiebreak], agg_col, func, n_buckets)
+        mean = df.agg(F.avg(F.col(agg_col).cast("double")).alias("m")).first()["m"]
+        return rows.withColumn(name, F.coalesce(F.when(F.col("_seen"), F.col("_result")), F.lit(mean).cast("double"))).drop("_result", "_seen")
     if callable(func):
         return _pit_udf(df, group_cols, order_col, agg_col, func, name, tiebreak)
     if func not in PIT_FUNCS:
@@ -63,8 +68,7 @@ def pit_feature(df: DataFrame, group_cols: list[str], order_col: str, agg_col: s
 def _pit_udf(df: DataFrame, group_cols, order_col, agg_col, udf, name, tiebreak) -> DataFrame:
     """R5 escape hatch: any grouped-aggregate ``pandas_udf`` over the earlier
     rows of the group (Arrow batches, not row-at-a-time).  This path uses a
-    plain per-group window, so very large groups should prefer the built-in
-    aggregates, which are split across tasks."""
+    plain per-group window; a ``UserAggregate`` does the same split across tasks."""
     w = Window.partitionBy(*group_cols).orderBy(order_col, *tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     global_mean = df.agg(F.avg(F.col(agg_col).cast("double")).alias("m")).first()["m"]
     hist = F.count(F.lit(1)).over(w)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.hashing import _text, row_key_hash
+from tabsmith.functions.hashing import row_key_hash, row_text
 from tabsmith.operators.prefix import prefix_row_number
 
 
@@ -14,11 +14,11 @@ def add_row_id(df: DataFrame, key_cols: list[str], name: str = "row_id",
     """``sha256(key text) + '-' + k`` where k counts earlier rows with the same key.
 
     Rows sharing a key hash are ordered by a SHA-256 fingerprint of the whole
-    row, so the suffix is deterministic under any partitioning.  The counter
-    uses the bucketed prefix: a key held by a third of all rows is split over
+    row (every digit of it), so the suffix does not depend on the order of rows.
+    The counter uses the bucketed prefix: a key held by a third of all rows is split over
     many tasks instead of one window partition.
     """
-    fp = F.sha2(F.concat_ws("|", *[_text(df, c, "NULL", "%.9e") for c in df.columns]), 256)
+    fp = F.sha2(row_text(df), 256)
     d = df.withColumn("_rid_base", row_key_hash(df, key_cols)).withColumn("_rid_fp", fp)
     ranked = prefix_row_number(d, ["_rid_fp"], ["_rid_base"], name="_rid_n", n_buckets=n_buckets)
     return ranked.withColumn(name, F.concat_ws("-", "_rid_base", F.col("_rid_n").cast("string"))) \

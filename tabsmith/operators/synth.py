@@ -155,3 +155,57 @@ def similarity_score(real: DataFrame, synth: DataFrame, numeric: list[str], cate
 def quality_gate(scores: DataFrame, min_score: float = 0.7) -> DataFrame:
     """Y9 gate on the mean column similarity."""
     return scores.agg(F.avg("similarity").alias("score")).withColumn("passed", F.col("score") >= min_score)
+
+
+def pair_trends(real: DataFrame, synth: DataFrame, num_cols: list[str], cat_cols: list[str], bins: int = 10) -> DataFrame:
+    """How well pairs of columns move together: ``column_a, column_b, kind, similarity``.
+
+    Two numeric columns: 1 - |difference of correlations| / 2.  Otherwise 1 - half the absolute
+    difference of the shares of value pairs, a numeric column in ``bins`` equal parts of its real
+    range.  All value pairs are counted in one reduction, all correlations in another; rows where
+    either value is null are left out."""
+    both = real.select(F.lit("r").alias("_side"), *num_cols, *cat_cols).unionByName(
+        synth.select(F.lit("s").alias("_side"), *num_cols, *cat_cols))
+    parts = []
+    pairs = [(a, b) for i, a in enumerate(num_cols) for b in num_cols[i + 1:]]
+    if pairs:
+        corr = both.groupBy("_side").agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{k}")
+                                           for k, (a, b) in enumerate(pairs)])
+        wide = corr.agg(*[(1 - F.abs(F.max(F.when(F.col("_side") == "r", F.col(f"p{k}"))) -
+                                     F.max(F.when(F.col("_side") == "s", F.col(f"p{k}")))) / 2).alias(f"p{k}") for k in range(len(pairs))])
+        stacked = ", ".join(f"'{a}', '{b}', p{k}" for k, (a, b) in enumerate(pairs))
+        parts.append(wide.selectExpr(f"stack({len(pairs)}, {stacked}) AS (column_a, column_b, similarity)").withColumn("kind", F.lit("correlation")))
+    mixed = [(a, b) for i, a in enumerate(cat_cols) for b in [*cat_cols[i + 1:], *num_cols]]
+    if mixed:
+        ranges = real.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in num_cols for n, f in (("lo", F.min), ("hi", F.max))]).first() \
+            if num_cols else {}
+
+        def binned(c: str):
+            if c in cat_cols:
+                return F.col(c).cast("string")
+            lo, hi = ranges[f"lo_{c}"], ranges[f"hi_{c}"]
+            if lo is None or hi == lo:
+                return F.when(F.col(c).isNotNull(), F.lit("0"))
+            part = F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(hi - lo) * bins)
+            return F.greatest(F.least(part, F.lit(bins - 1)), F.lit(0)).cast("string")
+
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), binned(a).alias("a"), binned(b).alias("b")) for k, (a, b) in enumerate(mixed)]))
+        counts = both.select("_side", each.alias("p")).where("p.a IS NOT NULL AND p.b IS NOT NULL").groupBy("p.k", "p.a", "p.b").agg(
+            F.count_if(F.col("_side") == "r").alias("r"), F.count_if(F.col("_side") == "s").alias("s"))
+        totals = counts.groupBy("k").agg(F.sum("r").alias("tr"), F.sum("s").alias("ts"))     # one row per pair of columns
+        far = counts.join(totals, "k").groupBy("k").agg(F.sum(F.abs(F.col("r") / F.col("tr") - F.col("s") / F.col("ts"))).alias("d"))
+        names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in mixed])
+        parts.append(far.select(names[F.col("k")]["a"].alias("column_a"), names[F.col("k")]["b"].alias("column_b"),
+                                (1 - F.col("d") / 2).alias("similarity")).withColumn("kind", F.lit("contingency")))
+    if not parts:
+        raise ValueError("no pair of columns")
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("column_a", "column_b", "kind", "similarity")
+
+
+def synthetic_quality(shapes: DataFrame, trends: DataFrame) -> DataFrame:
+    """``property, score``: mean column shape, mean pair trend, and ``overall``, the mean of both."""
+    means = shapes.agg(F.avg("similarity").alias("score")).withColumn("property", F.lit("column_shapes")).unionByName(
+        trends.agg(F.avg("similarity").alias("score")).withColumn("property", F.lit("column_pair_trends")))
+    overall = means.agg(F.avg("score").alias("score")).withColumn("property", F.lit("overall"))
+    return means.unionByName(overall).select("property", "score")

@@ -122,12 +122,19 @@ def q_segment(spark, d):
 
 # ---------------------------------------------------------------- keys and hashes
 
-@register("row_id", covers="X10 W1 O3 R4", sql="""
+def _field_sql(tag: str, c: str) -> str:
+    """A field of ``hashing.row_text``."""
+    text = f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN {c} IS NULL THEN '{tag}-' ELSE '{tag}' || CAST(length({text}) AS VARCHAR) || ':' || {text} END"
+
+
+@register("row_id", covers="X10 W1 O3 R4", sql=f"""
 WITH li AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus,
                    CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem),
 h AS (SELECT *, sha256(concat_ws('-', CAST(l_partkey AS VARCHAR), l_returnflag, l_linestatus)) AS base,
-             sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
-                    CAST(l_linenumber AS VARCHAR), l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR))) AS fp
+             sha256({_field_sql("i", "l_orderkey")} || {_field_sql("i", "l_partkey")} || {_field_sql("i", "l_suppkey")} ||
+                    {_field_sql("i", "l_linenumber")} || {_field_sql("s", "l_returnflag")} || {_field_sql("s", "l_linestatus")} ||
+                    {_field_sql("t", "l_shipdate")}) AS fp
       FROM li)
 SELECT l_orderkey, l_linenumber,
        base || '-' || CAST(row_number() OVER (PARTITION BY base ORDER BY fp) - 1 AS VARCHAR) AS row_id
@@ -160,9 +167,9 @@ def q_input_hash(spark, d):
     return o.select("o_orderkey", input_row_hash(o, exclude=["o_orderkey"]).alias("input_hash"))
 
 
-@register("fingerprint_portable", covers="X14 S12 Q8", sql="""
-SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name,
-       CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR), c_mktsegment)), 1, 15)) AS BIGINT)) AS VARCHAR) AS sum_sha
+@register("fingerprint_portable", covers="X14 S12 Q8", sql=f"""
+SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256({_field_sql("i", "c_custkey")} || {_field_sql("s", "c_name")} ||
+       {_field_sql("i", "c_nationkey")} || {_field_sql("f", "c_acctbal")} || {_field_sql("s", "c_mktsegment")}), 1, 15)) AS BIGINT)) AS VARCHAR) AS sum_sha
 FROM customer
 """)
 def q_fingerprint_portable(spark, d):

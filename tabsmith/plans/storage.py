@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.hashing import content_fingerprint, schema_fingerprint
-from tabsmith.operators import clean, features, joins, quality
+from tabsmith.operators import clean, features, integrity, joins, quality
 from tabsmith.plans.base import register, table
 from tabsmith.session import ensure_checkpoint_dir
 from tabsmith.sources import io
@@ -66,12 +66,24 @@ def q_freeze_features(spark, d):
 
 @register("file_hashes", covers="X14 Q13", sql=None)
 def q_file_hashes(spark, d):
-    """SHA-256 of every file of a written snapshot (binaryFile; one file per row)."""
+    """Hash tree of every file of a written snapshot, chunk by chunk."""
     path = _scratch(spark, "files")
     io.save_data(table(spark, d, "customer"), path, "zstd")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length",
-                        F.sha2("content", 256).alias("sha256"))
+    return integrity.file_hashes(spark, path)
+
+
+@register("feature_set_integrity", covers="Q8 Q13 X14", sql="""
+SELECT count(*) AS n_rows, TRUE AS strict_ok, CAST(0 AS BIGINT) AS n_different FROM customer
+""")
+def q_feature_set_integrity(spark, d):
+    """A stored snapshot against its stored manifest: key, schema, content and files."""
+    path, facts = _scratch(spark, "integrity"), _scratch(spark, "manifest")
+    io.save_data(table(spark, d, "customer"), path, "zstd")
+    integrity.write_manifest(spark, path, facts)
+    warnings = integrity.verify_feature_set(spark, path, facts, "c_custkey")
+    different = integrity.compare_manifest(spark, path, facts).count()
+    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.select("n_rows", F.lit(not warnings).alias("strict_ok"), F.lit(different).cast("long").alias("n_different"))
 
 
 # ---------------------------------------------------------------- format round trips

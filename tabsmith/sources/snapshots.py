@@ -91,3 +91,21 @@ def resolve_snapshots(requested: DataFrame, latest: DataFrame, bindings: DataFra
         chosen = F.coalesce(F.col("given_snapshot"), F.col("latest_snapshot"))
     missing = F.raise_error(F.concat(F.lit("no snapshot for "), F.col("name"), F.lit(" "), F.col("version")))
     return out.withColumn("snapshot", F.coalesce(chosen, missing.cast("string")))
+
+
+def read_feature_sets(spark: SparkSession, store: str, resolved: DataFrame, entity_key: str) -> DataFrame:
+    """The feature sets of :func:`resolve_snapshots`, joined one to one on the entity key."""
+    from tabsmith.operators.joins import assemble_feature_sets
+    sets = {f"{r['name']}/{r['version']}": spark.read.parquet(f"{store.rstrip('/')}/{r['name']}/{r['version']}/{r['snapshot']}/features.parquet")
+            for r in resolved.collect()}   # one row per feature set
+    if not sets:
+        raise LookupError("no feature sets requested")
+    return assemble_feature_sets(sets, entity_key)
+
+
+def drift_inputs(spark: SparkSession, store: str, requested: DataFrame, bindings: DataFrame, reference: str, actual: str,
+                 entity_key: str) -> tuple[DataFrame, DataFrame]:
+    """The features that the registered model was trained on (binding ``reference``) and those
+    bound to the inference run (binding ``actual``), two resolutions of the same request."""
+    latest = latest_snapshots(list_snapshot_dirs(spark, store))
+    return tuple(read_feature_sets(spark, store, resolve_snapshots(requested, latest, bindings, b), entity_key) for b in (reference, actual))
