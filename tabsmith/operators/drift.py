@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.operators.prefix import prefix_aggregate
+from tabsmith.session import written
 
 PSI_FLOOR = 1e-6
 KS_MIN_DISTINCT = 20
@@ -96,31 +97,45 @@ def numeric_edges(long_num: DataFrame, n_bins: int = N_BINS) -> DataFrame:
 def psi_numeric(long_num: DataFrame, n_bins: int = N_BINS) -> DataFrame:
     """Right-closed bins (lowest edge included) over the expected range;
     actual values outside it leave the actual distribution."""
-    edges = numeric_edges(long_num, n_bins)
-    j = long_num.join(F.broadcast(edges), "feature")
+    return _psi_of_numbers(_counts_of(long_num), n_bins)
+
+
+def _counts_of(long_form: DataFrame) -> DataFrame:
+    """(feature, value, n_e, n_a): equal values of both sides in one row."""
+    return long_form.groupBy("feature", "value").agg(
+        F.count_if(F.col("side") == "expected").alias("n_e"), F.count_if(F.col("side") == "actual").alias("n_a"))
+
+
+def _psi_of_numbers(counts: DataFrame, n_bins: int = N_BINS) -> DataFrame:
+    edges = numeric_edges(counts.where("n_e > 0").withColumn("side", F.lit("expected")), n_bins)
+    j = counts.join(F.broadcast(edges), "feature")  # one row per column
     v = F.col("value")
     e = [F.lit(i) * F.col("step") + F.col("lo") for i in range(n_bins)]
     b = reduce(lambda acc, x: acc + x, [(v > ei).cast("int") for ei in e]) + (v == e[0]).cast("int")
-    inside = (v >= F.col("lo")) & (v <= F.col("hi"))
-    counts = j.where(inside).groupBy("feature", b.alias("bin"), "side").agg(F.count(F.lit(1)).alias("cnt"))
+    inside = j.where((v >= F.col("lo")) & (v <= F.col("hi"))).withColumn("bin", b.cast("string"))
     # every bin exists on both sides (empty bins -> floor on both -> 0 contribution)
-    return _psi_from_counts(counts.select("feature", F.col("bin").cast("string").alias("bin"), "side", "cnt"))
+    return _psi_of_bins(inside)
+
+
+def _psi_of_bins(counts: DataFrame) -> DataFrame:
+    """(feature, bin, n_e, n_a) -> (feature, psi)."""
+    sides = counts.groupBy("feature", "bin").agg(F.sum("n_e").alias("expected"), F.sum("n_a").alias("actual"))
+    return _psi_from_counts(sides.unpivot(["feature", "bin"], ["expected", "actual"], "side", "cnt"))
 
 
 def psi_categorical(long_text: DataFrame) -> DataFrame:
     """D3: the text value is the bin."""
-    counts = long_text.groupBy("feature", F.col("value").alias("bin"), "side").agg(
-        F.count(F.lit(1)).alias("cnt"))
-    return _psi_from_counts(counts)
+    return _psi_of_bins(_counts_of(long_text).withColumnRenamed("value", "bin"))
 
 
 def ks_statistic(long_num: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """Max |F_expected - F_actual| over the pooled values (nulls dropped)."""
-    c = long_num.groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == "expected").alias("n_e"),
-        F.count_if(F.col("side") == "actual").alias("n_a"))
-    pre = prefix_aggregate(c, ["value"], {"cum_e": ("sum", "n_e"), "cum_a": ("sum", "n_a")}, ["feature"],
-                           inclusive=True, n_buckets=n_buckets, bounds_from=long_num.select("feature", "value"),
+    return _ks_of_counts(_counts_of(long_num), long_num.select("feature", "value"), n_buckets)
+
+
+def _ks_of_counts(counts: DataFrame, bounds_from: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    pre = prefix_aggregate(counts, ["value"], {"cum_e": ("sum", "n_e"), "cum_a": ("sum", "n_a")}, ["feature"],
+                           inclusive=True, n_buckets=n_buckets, bounds_from=bounds_from,
                            with_totals={"tot_e": ("sum", "n_e"), "tot_a": ("sum", "n_a")})
     return pre.groupBy("feature").agg(
         F.max(F.abs(F.col("cum_e") / F.col("tot_e") - F.col("cum_a") / F.col("tot_a"))).alias("score"),
@@ -136,45 +151,53 @@ def severity(score_col: str = "score"):
     return expr.otherwise(SEVERITY_TOP)
 
 
-def choose_methods(expected: DataFrame, cols: list[str]) -> dict[str, str]:
-    """D1 decision with a fast path: one ``approx_count_distinct`` pass over all
-    numeric columns; only columns whose estimate is below 2x the threshold (so
-    few distinct values, a cheap exact count) get an exact ``count_distinct``."""
-    num = numeric_columns(expected, cols)
-    methods = {c: "psi" for c in cols if c not in set(num)}
-    if not num:
-        return methods
-    approx = expected.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(c) for c in num]).first().asDict()
-    unsure = [c for c in num if approx[c] < 2 * KS_MIN_DISTINCT]
-    exact = expected.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in unsure]).first().asDict() if unsure else {}
-    for c in num:
-        n = exact[c] if c in exact else approx[c]
-        methods[c] = "ks" if n >= KS_MIN_DISTINCT else "psi"
-    return methods
+def value_counts(expected: DataFrame, actual: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, text, n_e, n_a) of all columns of both tables, nulls dropped: one reduction,
+    each table read once.  Numeric columns fill ``value``, all others ``text``."""
+    missing = [c for c in cols if c not in actual.columns]
+    if missing:
+        raise ValueError(f"columns missing from the actual table: {missing}")
+    num = set(numeric_columns(expected, cols))
+
+    def cells(df: DataFrame, is_expected: bool) -> DataFrame:
+        def number(c):
+            whole = F.col(f"`{c}`").cast("int") if isinstance(df.schema[c].dataType, T.BooleanType) else F.col(f"`{c}`")
+            return whole.cast("double") if c in num else F.lit(None).cast("double")
+
+        each = [F.struct(F.lit(c).alias("feature"), number(c).alias("value"),
+                         (F.lit(None) if c in num else F.col(f"`{c}`")).cast("string").alias("text")) for c in cols]
+        return df.select(F.lit(is_expected).alias("e"), F.explode(F.array(*each)).alias("cell")).select("e", "cell.*")
+
+    both = cells(expected, True).unionByName(cells(actual, False))
+    return both.where("value IS NOT NULL OR text IS NOT NULL").groupBy("feature", "value", "text").agg(
+        F.count_if("e").alias("n_e"), F.count_if(~F.col("e")).alias("n_a"))
 
 
 def drift_report(expected: DataFrame, actual: DataFrame, cols: list[str] | None = None,
                  exclude: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
     """D5 + D1 + D6: one row per feature (feature, method, score, severity).
 
-    The entity key should be passed in ``exclude`` (it is not a feature).
+    The entity key should be passed in ``exclude`` (it is not a feature).  Value counts of all
+    columns are reduced once and written; the exact distinct counts that choose the method, KS and
+    PSI all come from them.
     """
     cols = [c for c in (cols or expected.columns) if c not in set(exclude)]
-    m = choose_methods(expected, cols)  # one entry per column
+    counts = written(value_counts(expected, actual, cols), "drift-counts")
     num = numeric_columns(expected, cols)
-    ks_cols = [c for c in num if m[c] == "ks"]
-    psi_num_cols = [c for c in num if m[c] == "psi"]
+    distinct = {r["feature"]: r["n"] for r in counts.where("n_e > 0 AND value IS NOT NULL").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n")).collect()}    # one row per column
+    ks_cols = [c for c in num if distinct.get(c, 0) >= KS_MIN_DISTINCT]
+    psi_cols = [c for c in num if c not in ks_cols]
     text_cols = [c for c in cols if c not in set(num)]
     parts = []
     if ks_cols:
-        parts.append(ks_statistic(long_form(expected, actual, ks_cols, False), n_buckets)
-                     .withColumn("method", F.lit("ks")))
-    if psi_num_cols:
-        parts.append(psi_numeric(long_form(expected, actual, psi_num_cols, False))
-                     .withColumn("method", F.lit("psi")))
+        numbers = counts.where(F.col("feature").isin(ks_cols)).select("feature", "value", "n_e", "n_a")
+        parts.append(_ks_of_counts(numbers, numbers.select("feature", "value"), n_buckets).withColumn("method", F.lit("ks")))
+    if psi_cols:
+        parts.append(_psi_of_numbers(counts.where(F.col("feature").isin(psi_cols)).drop("text")).withColumn("method", F.lit("psi")))
     if text_cols:
-        parts.append(psi_categorical(long_form(expected, actual, text_cols, True))
-                     .withColumn("method", F.lit("psi")))
+        bins = counts.where(F.col("feature").isin(text_cols)).select("feature", F.col("text").alias("bin"), "n_e", "n_a")
+        parts.append(_psi_of_bins(bins).withColumn("method", F.lit("psi")))
     out = reduce(lambda a, b: a.unionByName(b), parts)
     return out.select("feature", "method", "score", severity().alias("severity"),
                       F.col("n_expected").cast("long"), F.col("n_actual").cast("long"))

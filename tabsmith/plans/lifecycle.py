@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsmith.functions import targets
-from tabsmith.operators import drift, encode, features, joins, ml, synth, trees
+from tabsmith.operators import drift, encode, features, joins, ml, steps, synth, trees
 from tabsmith.operators.user_aggregate import UserAggregate
 from tabsmith.plans.base import r6, register, round_to, table
 from tabsmith.plans.model import CAT, NUM, _training_table
@@ -96,6 +96,27 @@ def q_train_many_categories(spark, d):
     return model.score(t).select("o_orderkey", "label", F.col("y_proba").between(0.0, 1.0).alias("has_probability"))
 
 
+# ---- pipeline steps (L1) ---------------------------------------------------------------
+
+_STEP_ORDER = [("validate", ["stays_in_weekend_nights:int", "stays_in_week_nights:int", "market:string", "price:double"]),
+               ("fill", ["market"]), ("engineer", ["TotalStay"]), ("select", ["market", "price", "total_stay"])]
+
+
+@register("pipeline_steps", covers="L1 P7 P12 R2 Q6", sql="SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM orders")
+def q_pipeline_steps(spark, d):
+    """A configured pipeline, fitted, saved to the shared folder and loaded again, scores every order as before."""
+    from pyspark.ml import PipelineModel
+    o = table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 3).cast("int").alias("stays_in_weekend_nights"), (F.col("o_custkey") % 7).cast("int").alias("stays_in_week_nights"),
+        F.expr("nullif(o_orderpriority, '1-URGENT')").alias("market"), F.col("o_totalprice").alias("price"),
+        (F.dayofweek("o_orderdate") >= 5).cast("double").alias("label"))
+    model = steps.build_pipeline(_STEP_ORDER, ["market"], ["price", "total_stay"], "label", keep=["o_orderkey"], maxIter=3, maxDepth=3).fit(o)
+    path = _scratch(spark, "pipeline-model")
+    model.write().save(path)
+    again = PipelineModel.load(path)
+    return steps.scores_equal(ml.score(model, o), ml.score(again, o), "o_orderkey", "y_proba")
+
+
 # ---- attributions and staged metrics (L7, M19) -----------------------------------------
 
 def _small_model(spark, d):

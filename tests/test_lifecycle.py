@@ -217,3 +217,39 @@ def test_user_aggregate_equals_a_window_and_spreads_a_hot_group(spark):
     mean = df.agg(F.avg("v")).first()[0]
     filled = {r.id: r.f for r in features.pit_feature(df, ["g"], "t", "v", product(), "f").collect()}
     assert all(math.isclose(filled[k], mean if ref[k] is None else ref[k]) for k in ref)
+
+
+def test_pipeline_steps_in_order_saved_and_loaded(spark):
+    from pyspark.ml import PipelineModel
+
+    from tabsmith.operators import steps
+    rows = [(k, k % 3, k % 5, ["a", None, "b"][k % 3], float(k % 2)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, stays_in_weekend_nights int, stays_in_week_nights int, c string, y double").withColumn("noise", F.lit(1))
+    order = [("validate", ["c:string", "stays_in_week_nights"]), ("engineer", ["TotalStay"]), ("fill", ["c"]), ("select", ["c", "total_stay"])]
+    pipe = steps.build_pipeline(order, ["c"], ["total_stay"], "y", keep=["id"], maxIter=2, maxDepth=2)
+    model = pipe.fit(df)
+    path = folder(spark, "model")
+    model.write().save(path)
+    again = PipelineModel.load(path)
+    assert [type(s).__name__ for s in again.stages[:4]] == ["SchemaValidator", "FeatureEngineer", "CategoryFill", "FeatureSelector"]
+    assert tuple(steps.scores_equal(ml.score(model, df), ml.score(again, df), "id", "y_proba").first()) == (200, 0)
+    assert "noise" not in model.transform(df).columns and "id" in model.transform(df).columns
+    with pytest.raises(ValueError):
+        again.transform(df.drop("c"))
+    with pytest.raises(ValueError):
+        again.transform(df.withColumn("c", F.lit(1)))
+    with pytest.raises(KeyError):
+        steps.build_pipeline([("scale", ["c"])], ["c"], [], "y")
+
+
+def test_drift_of_odd_columns(spark):
+    """Nulls, a constant column, booleans, a column that is null on one side, exactly 20 distinct values."""
+    from tabsmith.operators import drift
+    one = spark.createDataFrame([(k % 20, 5.0, k % 2 == 0, "a" if k % 2 else None, float(k % 19)) for k in range(400)],
+                                "twenty int, same double, flag boolean, c string, nineteen double")
+    other = one.withColumn("c", F.coalesce("c", F.lit("b"))).withColumn("twenty", F.col("twenty") + 10)
+    got = {r.feature: (r.method, round(r.score, 6)) for r in drift.drift_report(one, other).collect()}
+    assert got["twenty"] == ("ks", 0.5) and got["same"] == ("psi", 0.0) and got["flag"] == ("psi", 0.0) and got["nineteen"] == ("psi", 0.0)
+    assert got["c"][0] == "psi" and got["c"][1] > 1
+    with pytest.raises(ValueError):
+        drift.drift_report(one, other.drop("c"))
