@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.operators.prefix import bucket_of, exact_quantiles, prefix_aggregate
+from tabsmith.session import written
 
 EPS64 = sys.float_info.epsilon
 
@@ -79,16 +80,17 @@ def prediction_counts(df: DataFrame, y: str, y_pred: str, prob: str | None, grou
 
 def classification_metrics(df: DataFrame, y: str, y_pred: str, prob: str | None = None,
                            group_cols=("split",), threshold: float | None = None,
-                           include_curves: bool = True) -> DataFrame:
+                           include_curves: bool = True, reduced: DataFrame | None = None) -> DataFrame:
     """M1-M6, M9, M10, M12 (+ M7, M8, M11 when ``include_curves``), one row per group.
 
-    Probability metrics are null when no probability column is given (M12).
+    Probability metrics are null when no probability column is given (M12).  ``reduced`` are the
+    :func:`prediction_counts` of ``df`` where they are there already; ``df`` is then not read.
     """
     g = list(group_cols)
     if not g:
         return classification_metrics(df.withColumn("_all", F.lit(0)), y, y_pred, prob, ["_all"],
                                        threshold, include_curves).drop("_all")
-    red = prediction_counts(df, y, y_pred, prob, g)
+    red = prediction_counts(df, y, y_pred, prob, g) if reduced is None else reduced
     pos, neg, pred, sc = F.col("pos"), F.col("neg"), F.col("pred"), F.col("score")
     cnt = pos + neg
     aggs = [
@@ -132,7 +134,8 @@ def classification_metrics(df: DataFrame, y: str, y_pred: str, prob: str | None
     if include_curves:
         if prob is not None:
             by_score = red.groupBy(*g, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            raw = df.where(_col(prob).isNotNull()).select(*g, _col(prob).cast("double").alias("score"))
+            raw = df.where(_col(prob).isNotNull()).select(*g, _col(prob).cast("double").alias("score")) if reduced is None \
+                else red.where(F.col("score").isNotNull()).select(*g, "score")
             curve = _curve_from_counts(by_score.where(F.col("score").isNotNull()), g, None, raw)
             ranks = curve.groupBy(*g).agg(_auc_expr(), _ap_expr())
             out = out.join(ranks, g, "left").join(_ece_from_counts(by_score, g), g, "left")
@@ -141,6 +144,20 @@ def classification_metrics(df: DataFrame, y: str, y_pred: str, prob: str | None
     return out
 
 
+def metrics_of_models(df: DataFrame, y: str, models: dict[str, tuple[str, str]], group_cols=("split",)) -> DataFrame:
+    """:func:`classification_metrics` of several models over one table, with a ``model`` column.
+
+    ``models`` maps a name to its (prediction, probability) columns.  The table is read once: the
+    model is one more group of the reduction, which is written, and so are the metrics, so gates
+    and comparisons of any number read one small table."""
+    g = list(group_cols)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), _col(pred).alias("_pred"), _col(prob).cast("double").alias("_prob"))
+                               for name, (pred, prob) in models.items()]))
+    long = df.select(*g, _col(y).alias("_y"), each.alias("m")).select(*g, "_y", "m.*")
+    red = written(prediction_counts(long, "_y", "_pred", "_prob", ["model", *g]), "prediction-counts")
+    return written(classification_metrics(long, "_y", "_pred", "_prob", ["model", *g], reduced=red), "metrics")
+
+
 def score_counts(df: DataFrame, y: str, score: str, group_cols=("split",)) -> DataFrame:
     """Reduce to one row per (group, distinct score): positives and negatives."""
     yy = _col(y).cast("int")

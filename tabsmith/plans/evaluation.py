@@ -105,6 +105,13 @@ def _cls_metrics(spark, d, prob="y_proba", pred="y_pred"):
     return metrics.classification_metrics(p, "y_true", pred, prob, ["split"])
 
 
+def _both_models(spark, d):
+    """Metrics of the production and the candidate model, from one reduction."""
+    models = {"production": ("y_pred", "y_proba"), "candidate": ("y_pred_b", "y_proba_b")}
+    both = metrics.metrics_of_models(_predictions(spark, d), "y_true", models)
+    return both.where("model = 'production'"), both.where("model = 'candidate'")
+
+
 # ----------------------------------------------------------------- splits
 
 @register("split_hash", covers="K1 K3", sql=f"""
@@ -494,7 +501,7 @@ SELECT cur.metric, dirs.direction, round(current, 6) AS current, round(expected,
 FROM cur JOIN ex ON cur.metric = ex.metric JOIN dirs ON cur.metric = dirs.metric
 """)
 def q_performance_assessment(spark, d):
-    lm = _long_metrics(_cls_metrics(spark, d))
+    lm = _long_metrics(_both_models(spark, d)[0])
     cur = lm.where("split = 'test'").select("metric", F.col("value").alias("current"))
     exp = lm.where("split = 'train'").select("metric", F.col("value").alias("expected"))
     dirs = spark.createDataFrame(DIRECTIONS, "metric string, direction string")
@@ -515,9 +522,9 @@ FROM (SELECT a.metric, dirs.direction, a.value AS production, b.value AS staging
 """)
 def q_stage_compare(spark, d):
     dirs = spark.createDataFrame(DIRECTIONS, "metric string, direction string")
-    prod = _long_metrics(_cls_metrics(spark, d), "test").join(dirs, "metric").select("metric", "value", "direction")
-    stag = _long_metrics(_cls_metrics(spark, d, "y_proba_b", "y_pred_b"), "test").join(dirs, "metric") \
-        .select("metric", "value", "direction")
+    production, candidate = _both_models(spark, d)
+    prod = _long_metrics(production, "test").join(dirs, "metric").select("metric", "value", "direction")
+    stag = _long_metrics(candidate, "test").join(dirs, "metric").select("metric", "value", "direction")
     cmp = drift.validated_stages(drift.compare_stages(prod, stag))
     return cmp.select("metric", "direction", r6("production").alias("production"), r6("staging").alias("staging"),
                       r6("difference").alias("difference"), "status")
@@ -529,8 +536,7 @@ THRESHOLDS = [("val", "accuracy", "maximize", 0.5), ("val", "roc_auc", "maximize
 
 
 def _gate_inputs(spark, d):
-    cand = _long_metrics(_cls_metrics(spark, d, "y_proba_b", "y_pred_b"))
-    prod = _long_metrics(_cls_metrics(spark, d))
+    prod, cand = map(_long_metrics, _both_models(spark, d))
     th = spark.createDataFrame([(s, m, dd, t, i) for i, (s, m, dd, t) in enumerate(THRESHOLDS)],
                                "split string, metric string, direction string, threshold double, ord int")
     return cand, prod, th
@@ -564,6 +570,41 @@ def q_gate_checks(spark, d):
     return a.unionByName(b)
 
 
+@register("gate_without_production", covers="G2 G3", sql=f"""
+WITH {_GATE_CTE}
+SELECT bool_and(passed) AS meets_thresholds, TRUE AS beats_production, bool_and(passed) AS promote,
+       coalesce(count(*) FILTER (WHERE NOT passed) > 0, FALSE) AS has_reason FROM g1
+""")
+def q_gate_without_production(spark, d):
+    """The first model of all has no production model to beat; a failed gate gives its reason."""
+    cand, _, th = _gate_inputs(spark, d)
+    out = gates.gate_decision(cand, th, None, "production")
+    return out.select("meets_thresholds", "beats_production", "promote", (F.length("reason") > 0).alias("has_reason"))
+
+
+_REG_DIRECTIONS = [("mae", "minimize"), ("rmse", "minimize"), ("r2", "maximize")]
+
+
+@register("performance_regression", covers="D7 D8 M14 M15", sql=f"""
+WITH {PRED_CTE},
+m AS (SELECT split, avg(abs(y_reg - yhat_reg)) AS mae, sqrt(avg((y_reg - yhat_reg) * (y_reg - yhat_reg))) AS rmse,
+             1 - sum((y_reg - yhat_reg) * (y_reg - yhat_reg)) / (var_pop(y_reg) * count(*)) AS r2 FROM ps GROUP BY split),
+l AS (SELECT split, unnest(['mae', 'rmse', 'r2']) AS metric, unnest([mae, rmse, r2]) AS value, unnest(['minimize', 'minimize', 'maximize']) AS direction FROM m)
+SELECT c.metric, c.direction, round(c.value, 6) AS current, round(e.value, 6) AS expected,
+  CASE WHEN c.direction = 'maximize' AND c.value < e.value THEN 'degradation'
+       WHEN c.direction = 'minimize' AND c.value > e.value THEN 'degradation' ELSE 'acceptable' END AS status
+FROM l c JOIN l e ON c.metric = e.metric WHERE c.split = 'test' AND e.split = 'train'
+""")
+def q_performance_regression(spark, d):
+    """D7 for a regression: current errors against those expected from training."""
+    m = metrics.regression_metrics(_predictions(spark, d), "y_reg", "yhat_reg", ["split"])
+    long = m.unpivot(["split"], [n for n, _ in _REG_DIRECTIONS], "metric", "value")
+    dirs = spark.createDataFrame(_REG_DIRECTIONS, "metric string, direction string")
+    out = drift.performance_assessment(long.where("split = 'test'").select("metric", F.col("value").alias("current")),
+                                       long.where("split = 'train'").select("metric", F.col("value").alias("expected")), dirs)
+    return out.select("metric", "direction", r6("current").alias("current"), r6("expected").alias("expected"), "status")
+
+
 @register("gate_decision", covers="G1 G2 G3", sql=f"""
 WITH {_GATE_CTE}
 SELECT m AS meets_thresholds, b AS beats_production, m AND b AS promote
