@@ -151,7 +151,9 @@ class BpeModel:
             else:  # nothing fits here: give up this place and shorten the token before it
                 if not out:
                     raise ValueError("a symbol is not in the vocabulary")
-                dead = (dead or set()) | {at}
+                if dead is None:
+                    dead = set()
+                dead.add(at)
                 token = out.pop()
                 at -= size[token]
                 last = out[-1] if out else -1

@@ -15,10 +15,13 @@ that Spark can open.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tabsmith.llm.align import CHUNK, LONG_SPACE, ODD_SPACE
 from tabsmith.llm.common import text_of
 
 BLOCK = 512  # bits between stored rank counts
@@ -133,6 +137,41 @@ class WaveletMatrix:
         return out
 
 
+#: The pattern of byte-level tokenizers that cut by their own regular expression.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for
+    itself, all others in order from U+0100."""
+    out, beyond = {}, 256
+    for b in range(256):
+        plain = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
+        out[chr(b if plain else beyond)] = b
+        beyond += not plain
+    return out
+
+
+def ranked_encoder(spec: bytes):
+    """A tiktoken encoder with the ids of a byte-level BPE specification, or None where merging by
+    id would differ: another kind of model, other cutting, or merges out of id order."""
+    import tiktoken
+    told = json.loads(spec)
+    model, cutter = told["model"], told.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or told.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") \
+            or not cutter.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    vocab, of = model["vocab"], _byte_alphabet()
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])):
+        return None
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    ranks = {bytes(of[c] for c in token): k for token, k in vocab.items() if token not in special}
+    if not all(bytes([b]) in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class CachedTokenizer:
     """A ``tokenizers`` tokenizer that encodes text piece by piece, each different piece once.
 
@@ -183,6 +222,82 @@ class CachedTokenizer:
         return out
 
 
+class RankedTokenizer(CachedTokenizer):
+    """The same ids for byte-level vocabularies, with each different chunk merged by tiktoken.
+
+    A chunk is a blank and what follows up to the next blank after a character that is not white
+    space; no word of the pattern reaches over its borders.  Texts with a special token or a very
+    long run of white space go the library's way."""
+
+    def __init__(self, spec: bytes, ranked):
+        super().__init__(spec)
+        self.ranked = ranked
+        self.size = np.zeros(ranked.n_vocab, np.int64)
+        for token, k in ranked._mergeable_ranks.items():
+            self.size[k] = len(token)
+        self.added = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: tuple = tuple(defaultdict(count().__next__) for _ in range(2))   # of chunks at the start, and of others
+        self.held = [(np.zeros(0, np.uint32), np.zeros(1, np.int64)) for _ in range(2)]
+
+    def _add(self, which: int, new: list[str]) -> None:
+        lead = " " * which
+        ids, counts = [], []
+        for k in range(0, len(new) if which else 0, 256):
+            some = new[k:k + 256]
+            if any(c[-1:].isspace() or not c for c in some):
+                alone = [self.ranked.encode_ordinary(lead + c) for c in some]
+                ids += alone
+                counts += map(len, alone)
+                continue
+            mine = np.array(self.ranked.encode_ordinary(" " + " ".join(some)), np.int64)
+            borders = np.cumsum(list(map(len, map(str.encode, some)))) + np.arange(1, len(some) + 1)
+            ids.append(mine)
+            counts += np.diff(np.searchsorted(np.cumsum(self.size[mine]), borders), prepend=-1).tolist()
+        if not which:
+            ids = [self.ranked.encode_ordinary(c) for c in new]
+            counts = list(map(len, ids))
+        old, upto = self.held[which]
+        flat = np.concatenate([np.asarray(i, np.uint32) for i in ids]) if ids else np.zeros(0, np.uint32)
+        self.held[which] = np.concatenate([old, flat]), np.concatenate([upto, upto[-1] + np.cumsum(counts, dtype=np.int64)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = {k for k, t in enumerate(texts) if any(a in t for a in self.added) or LONG_SPACE.search(t)}
+        slow = dict(zip(sorted(odd), super().encode([texts[k] for k in sorted(odd)]))) if odd else {}
+        if sum(map(len, self.numbers)) > CACHE_ENTRIES:
+            self.forget()
+        first, other = self.numbers
+        before = len(first), len(other)
+        codes = []
+        for k, text in enumerate(texts):
+            if not text or k in odd:
+                codes.append([])
+                continue
+            parts = text.split(" ")
+            if "" in parts or ODD_SPACE.search(text):
+                parts = CHUNK.findall(" " + text)
+            codes.append([first[parts[0]], *map(other.__getitem__, parts[1:])])
+        for which in (0, 1):
+            if len(self.numbers[which]) > before[which]:
+                self._add(which, list(islice(self.numbers[which], before[which], None)))
+        rest = np.fromiter((c for cs in codes for c in cs[1:]), np.int64, sum(len(cs) - 1 for cs in codes if cs))
+        ids, upto = self.held[1]
+        n = upto[rest + 1] - upto[rest]
+        flat = ids[np.arange(n.sum()) + np.repeat(upto[rest] - (np.cumsum(n) - n), n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [max(len(cs) - 1, 0) for cs in codes])]
+        heads, at = self.held[0]
+        out = []
+        for k, cs in enumerate(codes):
+            if k in odd:
+                out.append(slow[k])
+            else:
+                head = heads[at[cs[0]]:at[cs[0] + 1]].tobytes() if cs else b""
+                out.append(head + flat[ends[k]:ends[k + 1]].tobytes())
+        return out
+
+
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
 
 
@@ -190,7 +305,8 @@ def tokenizer_of(spec: bytes) -> CachedTokenizer:
     key = hashlib.sha256(spec).hexdigest()
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = CachedTokenizer(spec)
+        ranked = ranked_encoder(spec)
+        _TOKENIZERS[key] = CachedTokenizer(spec) if ranked is None else RankedTokenizer(spec, ranked)
     return _TOKENIZERS[key]
 
 
