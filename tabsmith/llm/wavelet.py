@@ -21,7 +21,7 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -222,6 +222,9 @@ class CachedTokenizer:
         return out
 
 
+SPACE_MEETS_BLANK = re.compile(r"\s(?: |\Z)")
+
+
 class RankedTokenizer(CachedTokenizer):
     """The same ids for byte-level vocabularies, with each different chunk merged by tiktoken.
 
@@ -241,19 +244,40 @@ class RankedTokenizer(CachedTokenizer):
     def forget(self) -> None:
         self.numbers: tuple = tuple(defaultdict(count().__next__) for _ in range(2))   # of chunks at the start, and of others
         self.held = [(np.zeros(0, np.uint32), np.zeros(1, np.int64)) for _ in range(2)]
+        self.uses = np.zeros(0, np.int64)       # of chunks that are not at the start
+
+    def trim(self) -> None:
+        """Forget chunks met once; if most were met more often, those below twice, four times as often."""
+        names, (ids, upto), uses, least = list(self.numbers[1]), self.held[1], self.uses, 2
+        while (uses >= least).sum() > CACHE_ENTRIES // 2:
+            least *= 2
+        kept = np.flatnonzero(uses >= least)
+        self.forget()
+        number = self.numbers[1]
+        for k in kept.tolist():
+            number[names[k]]
+        n = upto[kept + 1] - upto[kept]
+        at = np.arange(n.sum()) + np.repeat(upto[kept] - (np.cumsum(n) - n), n)
+        self.held[1] = ids[at], np.concatenate([[0], np.cumsum(n)])
+        self.uses = uses[kept]
 
     def _add(self, which: int, new: list[str]) -> None:
         lead = " " * which
         ids, counts = [], []
         for k in range(0, len(new) if which else 0, 256):
             some = new[k:k + 256]
-            if any(c[-1:].isspace() or not c for c in some):
+            joined = " " + " ".join(some)
+            if SPACE_MEETS_BLANK.search(joined):
                 alone = [self.ranked.encode_ordinary(lead + c) for c in some]
                 ids += alone
                 counts += map(len, alone)
                 continue
-            mine = np.array(self.ranked.encode_ordinary(" " + " ".join(some)), np.int64)
-            borders = np.cumsum(list(map(len, map(str.encode, some)))) + np.arange(1, len(some) + 1)
+            mine = np.array(self.ranked.encode_ordinary(joined), np.int64)
+            if joined.isascii():
+                sizes = list(map(len, some))
+            else:
+                sizes = list(map(len, map(str.encode, some)))
+            borders = np.cumsum(sizes) + np.arange(1, len(some) + 1)
             ids.append(mine)
             counts += np.diff(np.searchsorted(np.cumsum(self.size[mine]), borders), prepend=-1).tolist()
         if not which:
@@ -264,36 +288,41 @@ class RankedTokenizer(CachedTokenizer):
         self.held[which] = np.concatenate([old, flat]), np.concatenate([upto, upto[-1] + np.cumsum(counts, dtype=np.int64)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {k for k, t in enumerate(texts) if any(a in t for a in self.added) or LONG_SPACE.search(t)}
+        odd = {k for k, t in enumerate(texts) if any(a in t for a in self.added) or (len(t) > 1000 and LONG_SPACE.search(t))}
         slow = dict(zip(sorted(odd), super().encode([texts[k] for k in sorted(odd)]))) if odd else {}
         if sum(map(len, self.numbers)) > CACHE_ENTRIES:
-            self.forget()
+            self.trim()
         first, other = self.numbers
         before = len(first), len(other)
-        codes = []
+        starts, codes = [], []
         for k, text in enumerate(texts):
             if not text or k in odd:
-                codes.append([])
+                starts.append(-1), codes.append(())
                 continue
             parts = text.split(" ")
             if "" in parts or ODD_SPACE.search(text):
                 parts = CHUNK.findall(" " + text)
-            codes.append([first[parts[0]], *map(other.__getitem__, parts[1:])])
+            starts.append(first[parts[0]])
+            codes.append(list(map(other.__getitem__, islice(parts, 1, None))))
         for which in (0, 1):
             if len(self.numbers[which]) > before[which]:
                 self._add(which, list(islice(self.numbers[which], before[which], None)))
-        rest = np.fromiter((c for cs in codes for c in cs[1:]), np.int64, sum(len(cs) - 1 for cs in codes if cs))
+        sizes = list(map(len, codes))
+        rest = np.fromiter(chain.from_iterable(codes), np.int64, sum(sizes))
+        used = np.bincount(rest, minlength=len(other))
+        used[:len(self.uses)] += self.uses
+        self.uses = used
         ids, upto = self.held[1]
         n = upto[rest + 1] - upto[rest]
         flat = ids[np.arange(n.sum()) + np.repeat(upto[rest] - (np.cumsum(n) - n), n)]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0] + [max(len(cs) - 1, 0) for cs in codes])]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *sizes])]
         heads, at = self.held[0]
         out = []
-        for k, cs in enumerate(codes):
+        for k, c in enumerate(starts):
             if k in odd:
                 out.append(slow[k])
             else:
-                head = heads[at[cs[0]]:at[cs[0] + 1]].tobytes() if cs else b""
+                head = heads[at[c]:at[c + 1]].tobytes() if c >= 0 else b""
                 out.append(head + flat[ends[k]:ends[k + 1]].tobytes())
         return out
 
