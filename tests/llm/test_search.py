@@ -221,3 +221,31 @@ def test_alignment_equals_brute_force(spark, tokenizers, library):
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert {(r.a, r.b): r.n for r in align.pair_counts(aligned).collect()} == dict(links)
     assert align.link_counts(align.align(d.limit(0), tokenizers)).count() == 0
+
+
+def test_exact_dedup_query_with_repeated_ids(spark):
+    """An id with two texts that nobody else has comes once for each text."""
+    from tabsmith.llm.queries import QUERIES
+    path = scratch(spark, "repeats")
+    rows = [(1, "one text"), (1, "another, longer text"), (2, "shared  words"), (3, "shared words"), (3, "alone"), (None, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in QUERIES["op4_exact_dedup"](spark, path).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [("1", "1", 1, True, sha("one text")), ("1", "1", 1, True, sha("another, longer text")), ("2", "2", 2, True, sha("shared words")),
+            ("3", "2", 2, False, sha("shared words")), ("3", "3", 1, True, sha("alone")), ("4", "4", 2, True, sha("")), ("None", "4", 2, False, sha(""))]
+    assert got == sorted(want)
+
+
+def test_encoding_time_of_long_words_is_linear():
+    """Twice the letters take about twice the time, though every place is tried and given up."""
+    import time
+
+    from tabsmith.llm import bpe
+    encoder = bpe.model_of(bpe.read_spec(tokenizer_path("word_bpe_49k.json")))
+    encoder.encode("warm up")
+    spent = []
+    for n in (20_000, 40_000):
+        start = time.process_time()
+        encoder.encode("ab" * (n // 2))
+        spent.append(time.process_time() - start)
+    assert spent[1] < 3 * spent[0] + 0.05
