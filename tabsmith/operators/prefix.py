@@ -81,9 +81,13 @@ class Bounds:
         """How many boundaries are at or below ``key``; counted from the end if ``descending``."""
         if not self.rows:
             return F.lit(0)
-        found = self._search(key)[1]
+        found = self._once(key, lambda k: self._search(k)[1])
         return F.lit(len(self.rows)) - found if descending else found
 
+    def _once(self, key: Column, fn) -> Column:
+        """``fn`` of the key as a variable: the key's own expression, a hash perhaps, is computed once a row."""
+        return F.transform(F.array(key.cast(_nullable(self.key_type))), fn)[0]
+
     def _search(self, key: Column) -> tuple[Column, Column]:
         at = _as_constant(self.rows, self.key_type)
         steps = [1 << k for k in reversed(range(len(self.rows).bit_length()))]
@@ -94,8 +98,12 @@ class Bounds:
         """Whether ``key`` is one of the boundaries."""
         if not self.rows:
             return F.lit(False)
-        at, found = self._search(key)
-        return F.coalesce(F.get(at, found - 1) == key, F.lit(False))
+
+        def same(k: Column) -> Column:
+            at, found = self._search(k)
+            return F.coalesce(F.get(at, found - 1) == k, F.lit(False))
+
+        return self._once(key, same)
 
     def leading(self, n: int) -> "Bounds":
         """The distinct first ``n`` fields of the boundaries."""
@@ -104,6 +112,10 @@ class Bounds:
         return Bounds(_distinct(rows), kept)
 
 
+def _nullable(key_type: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in key_type.fields])
+
+
 def _json_value(v):
     if isinstance(v, Row):
         return {k: _json_value(x) for k, x in v.asDict().items()}
