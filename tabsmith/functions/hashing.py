@@ -16,17 +16,20 @@ _FLOATS = (T.FloatType, T.DoubleType)
 
 
 def _text(df: DataFrame, c: str, null_token: str, float_format: str | None) -> Column:
+    return F.coalesce(_raw_text(df, c, float_format), F.lit(null_token))
+
+
+def _raw_text(df: DataFrame, c: str, float_format: str | None = None) -> Column:
+    """The column as text, null where it is null."""
     dtype = df.schema[c].dataType
     col = F.col(f"`{c}`")
     if float_format and isinstance(dtype, _FLOATS):
-        txt = F.format_string(float_format, col.cast("double"))
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.when(col.isNotNull(), F.format_string(float_format, col.cast("double")))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         # microseconds only where there are some, so whole seconds keep their short form
         fine = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        txt = F.regexp_replace(fine, r"\.000000$", "")
-    else:
-        txt = col.cast("string")
-    return F.coalesce(txt, F.lit(null_token))
+        return F.regexp_replace(fine, r"\.000000$", "")
+    return col.cast("string")
 
 
 _TAGS = ((T.BooleanType, "b"), (T.IntegralType, "i"), (T.FractionalType, "f"), (T.StringType, "s"),
@@ -39,9 +42,10 @@ def row_text(df: DataFrame, cols: list[str] | None = None) -> Column:
     parts = []
     for c in cols or df.columns:
         tag = next((t for kind, t in _TAGS if isinstance(df.schema[c].dataType, kind)), "x")
-        text = _text(df, c, "", None)
+        text = _raw_text(df, c)
+        # null as a whole for a null, so the text is made once
         known = F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text)
-        parts.append(F.when(F.col(f"`{c}`").isNull(), F.lit(f"{tag}-")).otherwise(known))
+        parts.append(F.coalesce(known, F.lit(f"{tag}-")))
     return F.concat(*parts)
 
 

@@ -77,33 +77,28 @@ class Bounds:
     rows: list[Row]
     key_type: T.StructType
 
-    def bucket(self, key: Column, descending: bool = False) -> Column:
-        """How many boundaries are at or below ``key``; counted from the end if ``descending``."""
+    def add_bucket(self, df: DataFrame, cols: list[str], name: str, descending: bool = False) -> DataFrame:
+        """``df`` with the number of boundaries at or below its tuple ``cols``; counted from the end if ``descending``."""
+        low, key = free_names(df, "_pfx_low", "_pfx_key")
         if not self.rows:
-            return F.lit(0)
-        found = self._once(key, lambda k: self._search(k)[1])
-        return F.lit(len(self.rows)) - found if descending else found
-
-    def _once(self, key: Column, fn) -> Column:
-        """``fn`` of the key as a variable: the key's own expression, a hash perhaps, is computed once a row."""
-        return F.transform(F.array(key.cast(_nullable(self.key_type))), fn)[0]
-
-    def _search(self, key: Column) -> tuple[Column, Column]:
+            return df.withColumn(name, F.lit(0))
         at = _as_constant(self.rows, self.key_type)
-        steps = [1 << k for k in reversed(range(len(self.rows).bit_length()))]
-        return at, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
-                               lambda low, step: F.when(F.get(at, low + step - 1) <= key, low + step).otherwise(low))
-
-    def holds(self, key: Column) -> Column:
-        """Whether ``key`` is one of the boundaries."""
-        if not self.rows:
-            return F.lit(False)
-
-        def same(k: Column) -> Column:
-            at, found = self._search(k)
-            return F.coalesce(F.get(at, found - 1) == k, F.lit(False))
-
-        return self._once(key, same)
+        # one projection a step: each stays in generated code, and the key's own expression, a hash
+        # perhaps, is computed once a row
+        out = df.withColumn(key, sort_key(df, cols).cast(_nullable(self.key_type))).withColumn(low, F.lit(0))
+        for k in reversed(range(len(self.rows).bit_length())):
+            up = F.col(low) + (1 << k)
+            out = out.withColumn(low, F.when(F.get(at, up - 1) <= F.col(key), up).otherwise(F.col(low)))
+        found = F.lit(len(self.rows)) - F.col(low) if descending else F.col(low)
+        return out.withColumn(name, found).drop(low, key)
+
+    def members(self, df: DataFrame, cols: list[str]) -> DataFrame:
+        """The rows whose tuple ``cols`` is one of the boundaries.  These are fewer than there are
+        buckets, a proven bound, so they are broadcast."""
+        some = df.sparkSession.range(1).select(F.inline(_as_constant(self.rows, self.key_type)))
+        names = [f"_pfx_m{i}" for i in range(len(cols))]
+        same = [_comparable(df, c).eqNullSafe(F.col(n)) for c, n in zip(cols, names)]
+        return df.join(F.broadcast(some.toDF(*names)), reduce(lambda a, b: a & b, same), "left_semi")
 
     def leading(self, n: int) -> "Bounds":
         """The distinct first ``n`` fields of the boundaries."""
@@ -112,6 +107,17 @@ class Bounds:
         return Bounds(_distinct(rows), kept)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def _nullable(key_type: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in key_type.fields])
 
@@ -267,10 +273,13 @@ def prefix_aggregate(df: DataFrame, order_cols: list[str],
         data, bounds = df.withColumn(_BUCKET, F.lit(n_buckets) - cut if descending else cut), None
     else:
         bounds = range_bounds(df if bounds_from is None else bounds_from, [*groups, *order_cols], n_buckets)
-        data = df.withColumn(_BUCKET, bounds.bucket(sort_key(df, [*groups, *order_cols]), descending))
+        data = bounds.add_bucket(df, [*groups, *order_cols], _BUCKET, descending)
 
     # groups that a boundary falls into: at most one a boundary
-    inside = data.where(bounds.leading(len(groups)).holds(sort_key(df, groups))) if groups else data
+    inside = data
+    if groups:
+        inside = bounds.leading(len(groups)).members(df, groups)
+        inside = bounds.add_bucket(inside, [*groups, *order_cols], _BUCKET, descending)
     order = sort_key(df, list(order_cols))
     partials = inside.groupBy(*groups, _BUCKET).agg(
         *[_partial(f, v, order, descending).alias(f"_p_{name}") for name, (f, v) in values.items()],

@@ -83,8 +83,7 @@ def running_user_aggregate(df: DataFrame, group_cols: list[str], order_cols: lis
     """``df`` with ``_result`` (over earlier rows of the group, nulls passed over) and ``_seen``
     (whether there are earlier rows)."""
     bounds = range_bounds(df, [*group_cols, *order_cols], n_buckets or default_buckets(df.sparkSession))
-    bucket = bounds.bucket(sort_key(df, [*group_cols, *order_cols]))
-    data = df.withColumn("_b", bucket)
+    data = bounds.add_bucket(df, [*group_cols, *order_cols], "_b")
     gkey = F.to_json(sort_key(df, group_cols), {"ignoreNullFields": "false"}) if group_cols else F.lit("")
     data = data.withColumn("_g", gkey).withColumn("_key", F.concat_ws("#", F.col("_b").cast("string"), "_g")) \
         .withColumn("_v", F.col(value_col).cast("double"))
@@ -92,7 +91,7 @@ def running_user_aggregate(df: DataFrame, group_cols: list[str], order_cols: lis
     def ordered(rows: DataFrame) -> DataFrame:
         return rows.repartition("_key").sortWithinPartitions("_key", *order_cols)
 
-    inside = data.where(bounds.leading(len(group_cols)).holds(sort_key(df, group_cols))) if group_cols else data
+    inside = bounds.leading(len(group_cols)).members(data, group_cols) if group_cols else data
     states = ordered(inside).select("_key", "_v").mapInArrow(partial(_bucket_states, agg), "_key string, _state array<double>")
     at = F.split("_key", "#", 2)
     # a group's states in bucket order; at most two rows a boundary in all

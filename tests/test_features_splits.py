@@ -202,7 +202,7 @@ def test_bucket_assignment_matches_bisect(spark):
         df = spark.createDataFrame(list(enumerate(keys)), "i int, k double")
         key = sort_key(df, ["k"])
         made = Bounds([Row(k0=b) for b in bounds], df.select(key.alias("k")).schema["k"].dataType)
-        got = {r.i: r.b for r in df.select("i", made.bucket(key).alias("b")).collect()}
+        got = {r.i: r.b for r in made.add_bucket(df, ["k"], "b").select("i", "b").collect()}
         exp = {i: 0 if k is None else len(bounds) if k != k else bisect.bisect_right(bounds, k) for i, k in enumerate(keys)}
         assert got == exp, n
 
@@ -237,15 +237,16 @@ def test_prefix_over_strings_dates_and_decimals_equals_a_window(spark, descendin
 @pytest.mark.parametrize("column", ["t", "name"])
 def test_no_bucket_exceeds_twice_the_mean(spark, column):
     """A key holding a third of all rows, and names that share a long prefix, fall into even buckets."""
-    from tabsmith.operators.prefix import range_bounds, sort_key
+    from tabsmith.operators.prefix import range_bounds
     n, nb = 30000, 16
     df = spark.range(0, n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"),
                                   (F.col("id") * 7919 % 30011).cast("double").alias("t"),
                                   F.format_string("Customer#%012d", F.col("id") * 7919 % 30011).alias("name"))
     bounds = range_bounds(df, ["g", column], nb)
-    sizes = [r["count"] for r in df.groupBy(bounds.bucket(sort_key(df, ["g", column]))).count().collect()]
+    placed = bounds.add_bucket(df, ["g", column], "b")
+    sizes = [r["count"] for r in placed.groupBy("b").count().collect()]
     assert len(sizes) == nb and max(sizes) <= 2 * n / nb
-    hot = df.where("g = 'hot'").groupBy(bounds.bucket(sort_key(df, ["g", column]))).count()
+    hot = placed.where("g = 'hot'").groupBy("b").count()
     assert hot.count() >= nb // 3
 
 
