@@ -38,6 +38,15 @@ def assert_unique(df: DataFrame, keys: list[str], side: str = "table") -> None:
         raise ValueError(f"{side} is not unique on {keys}: e.g. {dup[0].asDict()}")
 
 
+def assert_each_unique(tables: dict[str, DataFrame], keys: list[str]) -> None:
+    """Every table unique on ``keys``, in one job over the key columns alone."""
+    tagged = [d.select(F.lit(name).alias("_table"), *[F.col(f"`{k}`") for k in keys]) for name, d in tables.items()]
+    dup = duplicate_keys(reduce(DataFrame.unionByName, tagged), ["_table", *keys]).limit(1).collect()
+    if dup:
+        found = dup[0].asDict()
+        raise ValueError(f"{found.pop('_table')} is not unique on {keys}: e.g. {found}")
+
+
 def check_cardinality(left: DataFrame, right: DataFrame, keys: list[str], validate: str | None) -> None:
     """Duplicates on a "1" side raise."""
     v = normalize_validate(validate)
@@ -131,20 +140,21 @@ def assemble_feature_sets(sets: dict[str, DataFrame], entity_key: str, validate:
     cost k shuffles, not k^2."""
     names = sorted(sets)
     out = sets[names[0]]
-    if validate:
-        assert_unique(out, [entity_key], names[0])
+    if validate:   # each set once: inner joins of unique keys are unique
+        assert_each_unique(sets, [entity_key])
     for n in names[1:]:
-        out = merge(out, sets[n], [entity_key], "inner", "1:1" if validate else None)
+        out = merge(out, sets[n], [entity_key], "inner")
     return out
 
 
 def join_target(features: DataFrame, target: DataFrame, entity_key: str,
-                validate: bool = True) -> DataFrame:
-    """Inner 1:1 on the entity key; colliding target columns get ``_target``."""
+                validate: bool = True, assembled: bool = False) -> DataFrame:
+    """Inner 1:1 on the entity key; colliding target columns get ``_target``.  ``assembled``
+    features have been checked by :func:`assemble_feature_sets`, so only the target is."""
     t = target.select(*[F.col(c).alias(c if c == entity_key or c not in features.columns else f"{c}_target")
                         for c in target.columns])
     if validate:
-        check_cardinality(features, t, [entity_key], "1:1")
+        check_cardinality(features, t, [entity_key], "m:1" if assembled else "1:1")
     return features.join(t, entity_key, "inner")
 
 

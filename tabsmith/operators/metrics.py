@@ -334,26 +334,30 @@ def class_stats(df: DataFrame, y: str) -> DataFrame:
     return counts.select("class", "n_class", n.alias("n"), (least / n).alias("minority_ratio"))
 
 
-def class_weights(stats: DataFrame, policy: str = "balanced", threshold: float = 0.2,
-                  positive_class=1) -> DataFrame:
-    """M22 on the A3 table (one row per class, so tiny): ``off`` -> no rows;
-    ``if_imbalanced`` -> balanced weights only when minority ratio < threshold;
-    ``balanced`` -> n / (k * count); ``ratio`` -> neg/pos on the positive class."""
-    k = stats.agg(F.count(F.lit(1))).scalar()
+def class_weights(stats: DataFrame, policy: str = "always", threshold: float = 0.2,
+                  positive_class=1, strategy: str | None = None) -> DataFrame:
+    """M22 on the A3 table (one row per class, so tiny).
+
+    ``policy`` says when: ``off`` -> no rows; ``if_imbalanced`` -> only when the minority ratio is
+    below ``threshold``; ``always``.  ``strategy`` says how: ``balanced`` -> n / (k * count);
+    ``ratio`` -> neg/pos on the positive class, 1 on others.  A strategy's name as the policy is
+    ``always`` with that strategy."""
+    if policy in ("balanced", "ratio"):
+        policy, strategy = "always", strategy or policy
+    strategy = strategy or "balanced"
+    if policy not in ("off", "if_imbalanced", "always") or strategy not in ("balanced", "ratio"):
+        raise ValueError(f"unknown class-weight policy {policy!r} or strategy {strategy!r}")
+    if strategy == "ratio":
+        pos = F.sum(F.when(F.col("class") == positive_class, F.col("n_class"))).over(Window.partitionBy("n"))
+        weight = F.when(F.col("class") == positive_class, (F.col("n") - pos) / pos).otherwise(1.0)
+    else:
+        weight = F.col("n") / (F.count(F.lit(1)).over(Window.partitionBy("n")) * F.col("n_class"))
+    weighted = stats.withColumn("weight", weight)
     if policy == "off":
-        return stats.where(F.lit(False)).select("class", F.lit(1.0).alias("weight"))
-    if policy == "ratio":
-        pos = stats.agg(F.sum(F.when(F.col("class") == positive_class, F.col("n_class")))).scalar()
-        neg = F.col("n") - pos
-        return stats.select("class", F.when(F.col("class") == positive_class, neg / pos)
-                            .otherwise(1.0).alias("weight"))
-    balanced = stats.select("class", (F.col("n") / (k * F.col("n_class"))).alias("weight"),
-                            "minority_ratio")
+        weighted = weighted.where(F.lit(False))
     if policy == "if_imbalanced":
-        return balanced.where(F.col("minority_ratio") < threshold).select("class", "weight")
-    if policy == "balanced":
-        return balanced.select("class", "weight")
-    raise ValueError(f"unknown class-weight policy {policy!r}")
+        weighted = weighted.where(F.col("minority_ratio") < threshold)
+    return weighted.select("class", "weight")
 
 
 def with_weights(df: DataFrame, y: str, weights: DataFrame) -> DataFrame:

@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.hashing import hash_unit_interval, input_row_hash
+from tabsmith.operators.metrics import class_stats, metric_choice
+from tabsmith.operators.split import cv_folds, entity_folds
+from tabsmith.session import written
 
 
 def feature_pipeline(categorical: list[str], numeric: list[str], label: str, task: str = "classification",
@@ -77,6 +80,9 @@ def score(model: PipelineModel, df: DataFrame, task: str = "classification") ->
     return out
 
 
+EVALUATORS = {"average_precision": "areaUnderPR", "roc_auc": "areaUnderROC"}
+
+
 def draw_param_maps(space: dict[str, list], n_iter: int, seed: int = 42) -> list[dict]:
     """L3: n_iter seeded draws from the value lists (without repeats)."""
     grid = [dict(zip(space, vals)) for vals in itertools.product(*space.values())]
@@ -99,8 +105,12 @@ def refine_space(best: dict, int_offsets: dict[str, list[int]], float_factors: d
 
 def random_search(train_df: DataFrame, categorical: list[str], numeric: list[str], label: str,
                   space: dict[str, list], n_iter: int = 2, folds: int = 2, seed: int = 42,
-                  task: str = "classification", parallelism: int = 2, metric: str | None = None):
-    """L3 + K5: seeded draws, hash-based fold column, Spark ML CrossValidator."""
+                  task: str = "classification", parallelism: int = 2, metric: str | None = None,
+                  entity_key: str | None = None):
+    """L3 + K5 + M23: seeded draws, folds by entity (classes spread evenly), Spark ML CrossValidator.
+
+    Without a ``metric`` M23 chooses it: average precision for a rare class, else ROC AUC; RMSE in
+    regression.  Without an ``entity_key`` each distinct row is an entity."""
     pipe = feature_pipeline(categorical, numeric, label, task)
     model = pipe.getStages()[-1]
     draws = draw_param_maps(space, n_iter, seed)
@@ -110,10 +120,20 @@ def random_search(train_df: DataFrame, categorical: list[str], numeric: list[str
         for k, v in d.items():
             b = b.baseOn((model.getParam(k), v))
         grid.extend(b.build())
-    ev = (BinaryClassificationEvaluator(labelCol=label, metricName=metric or "areaUnderROC")
-          if task == "classification" else RegressionEvaluator(labelCol=label, metricName=metric or "rmse"))
-    key_hash = hash_unit_interval(F.xxhash64(*[F.col(c) for c in train_df.columns]).cast("string"), seed)
-    with_folds = train_df.withColumn("_fold", F.least(F.floor(key_hash * folds), F.lit(folds - 1)).cast("int"))
+    if task == "classification":
+        chosen = metric or metric_choice(class_stats(train_df, label)).first()["metric"]
+        ev = BinaryClassificationEvaluator(labelCol=label, metricName=EVALUATORS.get(chosen, chosen))
+    else:
+        ev = RegressionEvaluator(labelCol=label, metricName=metric or "rmse")
+    keyed = train_df
+    if entity_key is None:
+        entity_key = "_row"
+        keyed = train_df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in train_df.columns]))
+    if task == "classification":
+        with_folds = entity_folds(keyed, entity_key, folds, label, seed, "_fold")
+    else:
+        with_folds = cv_folds(keyed, entity_key, folds, seed=seed, out="_fold")
+    with_folds = written(with_folds, "folds")   # read by every fit
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="_fold", numFolds=folds,
                         parallelism=parallelism, seed=seed)
     fitted = cv.fit(with_folds)

@@ -75,6 +75,17 @@ def cv_folds(df: DataFrame, key: str, k: int, stratify_by: str | None = None, se
     return ranked.withColumn(out, F.pmod(F.col("_r"), F.lit(k)).cast("int")).drop("_u", "_k", "_r")
 
 
+def entity_folds(df: DataFrame, key: str, k: int, stratify_by: str, seed: int = 42, out: str = "fold",
+                 n_buckets: int | None = None) -> DataFrame:
+    """K5 by entity: each key lies whole in one fold, and the keys of each class are dealt out in
+    hash order.  A key of several classes counts for its highest; null keys form one entity."""
+    entities = df.groupBy(key).agg(F.max(stratify_by).alias("_class"))
+    folds = cv_folds(entities, key, k, "_class", seed, "_dealt", n_buckets)
+    folds = folds.select(F.col(f"`{key}`").alias("_entity"), "_dealt")
+    return df.join(folds, F.col(f"`{key}`").eqNullSafe(F.col("_entity"))).withColumn(out, F.col("_dealt")) \
+        .drop("_entity", "_dealt")
+
+
 def expected_sizes(n: int, test_size: float, val_size: float = 0.0) -> tuple[int, int, int]:
     """Driver-side helper for tests: (train, val, test) sizes of the exact rule."""
     n_test = math.ceil(n * test_size)

@@ -10,12 +10,16 @@ Drift compares rows shipped before 1998 (expected) with the rest (actual).
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalar import threshold_class
 from tabsmith.operators import drift, gates, metrics, split, synth
 from tabsmith.operators.metrics import EPS64, linspace
 from tabsmith.plans.base import r6, register, sql_float, table
+from tabsmith.session import written
 from tabsmith.sources import snapshots
 
 SEED = 42
@@ -163,6 +167,20 @@ def q_cv_folds(spark, d):
     return split.cv_folds(x, "entity_key", 3, stratify_by="y", seed=SEED).select("entity_key", "fold")
 
 
+@register("entity_folds", covers="K5 L3", sql=f"""
+WITH x AS (SELECT {_KEY_SQL} AS entity_key, max(CAST(l_returnflag = 'R' AS INTEGER)) AS y, any_value({_U_SQL}) AS u
+           FROM lineitem GROUP BY 1),
+f AS (SELECT entity_key, CAST((row_number() OVER (PARTITION BY y ORDER BY u, entity_key) - 1) % 3 AS INTEGER) AS fold FROM x)
+SELECT f.entity_key, f.fold, count(*) AS n_rows FROM f JOIN lineitem ON f.entity_key = {_KEY_SQL} GROUP BY 1, 2
+""")
+def q_entity_folds(spark, d):
+    """Rows of each entity and fold; a repeated key is in one fold only."""
+    li = table(spark, d, "lineitem")
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    x = li.select(key.alias("entity_key"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return split.entity_folds(x, "entity_key", 3, "y", SEED).groupBy("entity_key", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @register("attribution_sample", covers="K4", sql=f"""
 SELECT {_KEY_SQL} AS entity_key FROM lineitem ORDER BY {_U_SQL}, entity_key LIMIT 1000
 """)
@@ -348,6 +366,23 @@ def q_class_weights(spark, d):
     return w.select("class", r6("weight").alias("weight"))
 
 
+@register("class_weight_policies", covers="M22", sql=f"""
+WITH s AS (SELECT y AS class, c, sum(c) OVER () AS n, count(*) OVER () AS k, min(c) OVER () / sum(c) OVER () AS minority,
+                  sum(c) OVER () - c AS others FROM (SELECT {_Y_SQL} AS y, count(*) AS c FROM lineitem GROUP BY 1))
+SELECT p.policy, g.strategy, s.class,
+       round(CASE WHEN g.strategy = 'balanced' THEN n / (k * c) WHEN class = 1 THEN others / c ELSE 1.0 END, 6) AS weight
+FROM s, (VALUES ('off'), ('if_imbalanced'), ('always')) p(policy), (VALUES ('balanced'), ('ratio')) g(strategy)
+WHERE p.policy = 'always' OR (p.policy = 'if_imbalanced' AND minority < 0.4)
+""")
+def q_class_weight_policies(spark, d):
+    y = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"))
+    stats = written(metrics.class_stats(y, "y"), "class-stats")
+    parts = [metrics.class_weights(stats, p, 0.4, strategy=g).select(
+        F.lit(p).alias("policy"), F.lit(g).alias("strategy"), "class", r6("weight").alias("weight"))
+        for p in ("off", "if_imbalanced", "always") for g in ("balanced", "ratio")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("metric_choice", covers="M23 A3", sql=f"""
 SELECT round(min(c) / sum(c), 6) AS minority_ratio,
        CASE WHEN min(c) / sum(c) < 0.4 THEN 'average_precision' ELSE 'roc_auc' END AS metric

@@ -262,7 +262,7 @@ def q_assemble(spark, d):
     sets, target = _feature_sets(spark, d)
     feats = joins.assemble_feature_sets(sets, "custkey")
     joins.assert_keys_in_target(feats, target, "custkey")
-    return joins.output_columns(joins.join_target(feats, target, "custkey"), "custkey", target=None)
+    return joins.output_columns(joins.join_target(feats, target, "custkey", assembled=True), "custkey", target=None)
 
 
 @register("join_coverage", covers="J8", sql="""

@@ -205,8 +205,8 @@ def save_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def save_metrics_csv(df: DataFrame, path: str) -> None:
-    """Report table as CSV; one file, as the rows stream through one writing task."""
-    save_csv(df.repartition(1), path, "overwrite")
+    """Report table as a folder of CSV files, each with a header, one per partition."""
+    save_csv(df, path, "overwrite")
 
 
 def schema_table(spark: SparkSession, df: DataFrame, entity_key: str | None = None,

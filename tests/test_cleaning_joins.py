@@ -136,3 +136,15 @@ def test_nan_and_microseconds(spark):
     assert portable_fingerprint(a).first() != portable_fingerprint(b).first()
     odd = impute(spark.createDataFrame([(2,), (3,), (None,)], "x int"), ["x"], [])
     assert sorted(r.x for r in odd.collect()) == [2, 2.5, 3]
+
+
+def test_assembly_checks_each_set_once(spark):
+    """A repeated key in any set is named; null keys are one key."""
+    s1 = spark.createDataFrame([(1, 10), (2, 20)], "id int, f1 int")
+    s2 = spark.createDataFrame([(1, 1), (1, 2)], "id int, f2 int")
+    nulls = spark.createDataFrame([(None, 1), (None, 2)], "id int, f3 int")
+    with pytest.raises(ValueError, match="set_2 is not unique"):
+        joins.assemble_feature_sets({"set_1": s1, "set_2": s2}, "id")
+    with pytest.raises(ValueError, match="set_3 is not unique"):
+        joins.assemble_feature_sets({"set_1": s1, "set_3": nulls}, "id")
+    assert joins.assemble_feature_sets({"set_1": s1, "set_2": s2}, "id", validate=False).count() == 2

@@ -288,3 +288,19 @@ def test_quantiles_of_few_values_move_few_rows(spark):
     wide = spark.range(0, 3000).select((F.col("id") * 7919 % 3001 / 7.0 - 100).alias("v"))
     assert np.allclose(list(exact_quantiles(wide, "v", [0.0, 0.333, 1.0]).first()),
                        np.quantile([r.v for r in wide.collect()], [0.0, 0.333, 1.0]))
+
+
+def test_entity_folds_keep_entities_whole_and_spread_classes(spark):
+    """Repeated keys lie in one fold, each class is dealt out evenly, order of rows does not matter."""
+    from tabsmith.operators.split import entity_folds
+    rows = [(None if k == 7 else f"e{k}", int(k % 10 == 0), r) for k in range(200) for r in range(1 + k % 3)]
+    df = spark.createDataFrame(rows, "key string, y int, r int")
+    got = entity_folds(df, "key", 4, "y").collect()
+    folds = {}
+    for r in got:
+        folds.setdefault(r.key, set()).add(r.fold)
+    assert len(got) == len(rows) and all(len(f) == 1 for f in folds.values())
+    rare = [next(iter(folds[f"e{k}"])) for k in range(0, 200, 10)]
+    assert sorted(rare.count(f) for f in range(4)) == [5, 5, 5, 5]
+    again = {(r.key, r.r): r.fold for r in entity_folds(df.repartition(5).orderBy("r"), "key", 4, "y").collect()}
+    assert again == {(r.key, r.r): r.fold for r in got}

@@ -195,3 +195,19 @@ def test_refined_space_stays_in_bounds():
     from tabsmith.operators.ml import refine_space
     space = refine_space({"depth": 9, "rate": 0.1}, {"depth": [5]}, {"rate": [0.5, 20]}, {"depth": (1, 10), "rate": (0, 1)})
     assert space == {"depth": [4, 9], "rate": [0.05, 0.1]}
+
+
+def test_class_weight_policy_and_strategy(spark):
+    """When to weigh and how are chosen apart."""
+    y = spark.createDataFrame([(int(k < 2),) for k in range(10)], "y int")
+    stats = metrics.class_stats(y, "y")
+
+    def weights(*args, **kw):
+        return {r["class"]: round(r.weight, 6) for r in metrics.class_weights(stats, *args, **kw).collect()}
+
+    assert weights("off", strategy="ratio") == {}
+    assert weights("if_imbalanced", 0.1, strategy="ratio") == {}
+    assert weights("if_imbalanced", 0.3, strategy="ratio") == {0: 1.0, 1: 4.0} == weights("ratio")
+    assert weights("always") == {0: 0.625, 1: 2.5} == weights("balanced")
+    with pytest.raises(ValueError):
+        weights("sometimes")
