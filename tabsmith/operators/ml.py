@@ -4,22 +4,27 @@ The reference trains a gradient-boosted tree library on one machine; here the
 learner is Spark ML's GBT, so scores differ while the surrounding contract
 (preprocessing fitted on train, validation for early stopping, class weights,
 batch scoring layout) is the same.
+
+Boosted trees see a number only through its bin, so the learner reads the table
+once, as weighted cells (``training_cells``): rows alike in bins, categories and label.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import random
+from collections import Counter
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.hashing import hash_unit_interval, input_row_hash
@@ -50,10 +55,101 @@ def feature_pipeline(categorical: list[str], numeric: list[str], label: str, tas
     return Pipeline(stages=stages)
 
 
+def bin_values(df: DataFrame, numeric: list[str], max_bins: int, seed: int = 42) -> dict[str, list[float]]:
+    """Per number the values that stand for its bins, at most ``max_bins``, ascending; the bins part half way.
+
+    As Spark's learner finds its splits: from a sample of ``max(max_bins ** 2, 10000)`` rows, every
+    value where they are few, else values at equal steps of rows."""
+    if not numeric:
+        return {}
+    wanted = max(max_bins ** 2, 10000)
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"n{i}") for i, c in enumerate(numeric)])
+    n = df.count()
+    if n > wanted:
+        numbers = numbers.sample(fraction=wanted / n, seed=seed)
+    rows = numbers.collect()    # about as many as wanted, whatever the table
+    out = {}
+    for i, c in enumerate(numeric):
+        counts = Counter(r[i] for r in rows if r[i] is not None and not math.isnan(r[i]))
+        values = sorted(counts)
+        if len(values) > max_bins:
+            step, seen, picked = sum(counts.values()) / max_bins, 0, []
+            for v in values:
+                # the value that holds the middle row of the next step
+                seen += counts[v]
+                if seen > step * (len(picked) + 0.5):
+                    picked.append(v)
+                    while seen > step * (len(picked) + 0.5) and len(picked) < max_bins:
+                        picked.append(v)
+            values = sorted(set(picked))
+        out[c] = values
+    return out
+
+
+def binned(c: Column, values: list[float]) -> Column:
+    """The value that stands for the bin of ``c``; a missing number goes with the highest, as in scoring."""
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(float(values[lo]))
+        mid = (lo + hi) // 2
+        return F.when(c <= F.lit((values[mid] + values[mid + 1]) / 2.0), build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return build(0, len(values) - 1) if values else F.lit(0.0)
+
+
+_CELL_WEIGHT = "_cell_weight"
+
+
+def training_cells(df: DataFrame, categorical: list[str], numeric: list[str], keys: list[str], max_bins: int,
+                   weight_col: str | None = None) -> DataFrame:
+    """``df`` as the learner sees it: one row for rows alike in text of ``categorical``, bins of
+    ``numeric`` and ``keys`` (label, folds), with their summed weight.
+
+    Never more rows than ``df``, and never more than there are bins and categories put together,
+    however long the table."""
+    values = bin_values(df, numeric, max_bins)
+    told = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("missing")).alias(c) for c in categorical],
+                     *[binned(F.col(f"`{c}`").cast("double"), values[c]).alias(c) for c in numeric],
+                     *[F.col(f"`{k}`") for k in keys],
+                     (F.col(f"`{weight_col}`").cast("double") if weight_col else F.lit(1.0)).alias(_CELL_WEIGHT))
+    held = [F.col(f"`{c}`") for c in [*categorical, *numeric, *keys]]
+    return written(told.groupBy(*held).agg(F.sum(_CELL_WEIGHT).alias(_CELL_WEIGHT), F.count(F.lit(1)).alias("_cell_rows")), "cells")
+
+
+def _by_cells(learner, label: str, categorical: list[str], numeric: list[str]) -> bool:
+    """Whether cells give the learner all it asks: not if it draws rows or counts them in a node."""
+    drawn = learner.getSubsamplingRate() < 1 or learner.getMinInstancesPerNode() > 1 or learner.getMinWeightFractionPerNode() > 0
+    return not drawn and label not in categorical + numeric
+
+
+def _fit_steps(stages: list, cells: DataFrame, categorical: list[str]) -> list:
+    """The feature steps before the learner, fitted: categories in the order of their rows."""
+    done = []
+    for stage in stages:
+        if isinstance(stage, StringIndexer):
+            counts = [cells.groupBy(F.col(f"`{c}`").alias("v")).agg(F.sum("_cell_rows").alias("n"))
+                      .orderBy(F.col("n").desc(), "v").select("v") for c in categorical]
+            stage = StringIndexerModel.from_arrays_of_labels(
+                [[r["v"] for r in x.collect()] for x in counts], inputCols=stage.getInputCols(),
+                outputCols=stage.getOutputCols(), handleInvalid=stage.getHandleInvalid())
+        elif isinstance(stage, Estimator):
+            raise TypeError(f"no step over cells for {type(stage).__name__}")
+        done.append(stage)
+    return done
+
+
+def _on_cells(learner, n_cells: int):
+    """The learner for cells: their bins are made, so it is to take each value as one and not to
+    sample cells (it samples beyond the square of ``maxBins``, a 32-bit number)."""
+    bins = min(max(learner.getMaxBins() + 1, math.isqrt(n_cells) + 1), 46340)
+    return learner.copy({learner.weightCol: _CELL_WEIGHT, learner.maxBins: bins})
+
+
 def train(df: DataFrame, categorical: list[str], numeric: list[str], label: str,
           task: str = "classification", persist_input: bool = False, **kw) -> PipelineModel:
     """L2: fit on rows of the train split (and val rows for early stopping).
 
+    The learner works on ``training_cells``; where it draws rows or counts them, on the rows.
     ``persist_input`` keeps the fit rows (memory, spilling to disk) only while
     the stages fit, so the indexer and the learner do not recompute upstream
     work; a lost block is recomputed from lineage.
@@ -63,7 +159,15 @@ def train(df: DataFrame, categorical: list[str], numeric: list[str], label: str,
     if persist_input:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return feature_pipeline(categorical, numeric, label, task, **kw).fit(df)
+        pipe = feature_pipeline(categorical, numeric, label, task, **kw)
+        *steps, learner = pipe.getStages()
+        if not _by_cells(learner, label, categorical, numeric):
+            return pipe.fit(df)
+        keys = [label] + ([kw["validation_col"]] if kw.get("validation_col") else [])
+        cells = training_cells(df, categorical, numeric, keys, learner.getMaxBins(), kw.get("weight_col"))
+        steps = _fit_steps(steps, cells, categorical)
+        fitted = _on_cells(learner, cells.count()).fit(PipelineModel(steps).transform(cells))
+        return PipelineModel([*steps, fitted])
     finally:
         if persist_input:
             df.unpersist()
@@ -110,7 +214,8 @@ def random_search(train_df: DataFrame, categorical: list[str], numeric: list[str
     """L3 + K5 + M23: seeded draws, folds by entity (classes spread evenly), Spark ML CrossValidator.
 
     Without a ``metric`` M23 chooses it: average precision for a rare class, else ROC AUC; RMSE in
-    regression.  Without an ``entity_key`` each distinct row is an entity."""
+    regression.  Without an ``entity_key`` each distinct row is an entity.  Fits and metrics work on
+    the weighted cells of each fold; rows of a cell have one score, so the metrics are those of the rows."""
     pipe = feature_pipeline(categorical, numeric, label, task)
     model = pipe.getStages()[-1]
     draws = draw_param_maps(space, n_iter, seed)
@@ -133,9 +238,18 @@ def random_search(train_df: DataFrame, categorical: list[str], numeric: list[str
         with_folds = entity_folds(keyed, entity_key, folds, label, seed, "_fold")
     else:
         with_folds = cv_folds(keyed, entity_key, folds, seed=seed, out="_fold")
-    with_folds = written(with_folds, "folds")   # read by every fit
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="_fold", numFolds=folds,
-                        parallelism=parallelism, seed=seed)
+    drawn = [c for c in draws if c.get("subsamplingRate", 1) < 1 or c.get("minInstancesPerNode", 1) > 1
+             or c.get("minWeightFractionPerNode", 0) > 0 or "maxBins" in c]
+    stages = pipe.getStages()
+    if not drawn and _by_cells(model, label, categorical, numeric):
+        with_folds = training_cells(with_folds, categorical, numeric, [label, "_fold"], model.getMaxBins())
+        steps = _fit_steps(stages[:-1], with_folds, categorical)
+        stages = [*steps, _on_cells(model, with_folds.count())]
+        ev.setWeightCol(_CELL_WEIGHT)
+    else:
+        with_folds = written(with_folds, "folds")   # read by every fit
+    cv = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=ev, foldCol="_fold",
+                        numFolds=folds, parallelism=parallelism, seed=seed)
     fitted = cv.fit(with_folds)
     return fitted, draws
 
@@ -156,20 +270,25 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
                            key: str, n_buckets: int | None = None, seed: int = 42) -> DataFrame:
     """L7 re-aimed: per feature, rotate its values by one position inside hash
     buckets (a ``lag`` over hash order within each bucket -- no global sort),
-    re-score and report the AUC drop.  One scoring job per feature."""
+    re-score and report the AUC drop.  The rotated values of all features come from
+    one shuffle and are written; one scoring job per feature."""
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction")
-    base = ev.evaluate(model.transform(df))
-    if n_buckets is None:  # rotation windows stay small as the table grows
+    if n_buckets is None:
         n_buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     u = hash_unit_interval(F.col(key), seed)
     d = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * n_buckets))
-    from pyspark.sql import Window
     w = Window.partitionBy("_b").orderBy("_u", key)
+    # the bucket's last row by a frame of the whole bucket: one value a bucket.  A frame from the
+    # current row on is summed up anew for every row, the square of the bucket
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rotated = [F.when(F.row_number().over(w) == 1, F.last(f).over(whole)).otherwise(F.lag(f, 1).over(w)).alias(f"_rotated_{i}")
+               for i, f in enumerate(features)]
+    d = written(d.select(*df.columns, *rotated), "rotated")
+    base = ev.evaluate(model.transform(d.select(*df.columns)))
     rows = []
-    for f in features:
-        last = F.last(f).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        rotated = d.withColumn(f, F.when(F.row_number().over(w) == 1, last).otherwise(F.lag(f, 1).over(w)))
-        rows.append((f, float(base - ev.evaluate(model.transform(rotated.drop("_u", "_b"))))))
+    for i, f in enumerate(features):
+        told = d.withColumn(f, F.col(f"_rotated_{i}")).select(*df.columns)
+        rows.append((f, float(base - ev.evaluate(model.transform(told)))))
     spark = df.sparkSession
     return spark.createDataFrame(rows, "feature string, importance double")
 
