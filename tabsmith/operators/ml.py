@@ -15,10 +15,14 @@ import itertools
 import math
 import random
 from collections import Counter
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -241,13 +245,12 @@ def random_search(train_df: DataFrame, categorical: list[str], numeric: list[str
     drawn = [c for c in draws if c.get("subsamplingRate", 1) < 1 or c.get("minInstancesPerNode", 1) > 1
              or c.get("minWeightFractionPerNode", 0) > 0 or "maxBins" in c]
     stages = pipe.getStages()
+    with_folds = written(with_folds.select(*dict.fromkeys([*categorical, *numeric, label, "_fold"])), "folds")
     if not drawn and _by_cells(model, label, categorical, numeric):
         with_folds = training_cells(with_folds, categorical, numeric, [label, "_fold"], model.getMaxBins())
         steps = _fit_steps(stages[:-1], with_folds, categorical)
         stages = [*steps, _on_cells(model, with_folds.count())]
         ev.setWeightCol(_CELL_WEIGHT)
-    else:
-        with_folds = written(with_folds, "folds")   # read by every fit
     cv = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=ev, foldCol="_fold",
                         numFolds=folds, parallelism=parallelism, seed=seed)
     fitted = cv.fit(with_folds)
@@ -293,19 +296,103 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row its nearest centre (the first on ties) and the squared distance."""
+    near = np.argmin((centers * centers).sum(1) - 2 * (x @ centers.T), axis=1)
+    return near, ((x - centers[near]) ** 2).sum(1)
+
+
+def _arrow_matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+
+
+def _cluster_sums(sets: dict[int, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows against every set of centres: per set and centre rows, cost and coordinate sums."""
+    found = {k: np.zeros((len(c), c.shape[1] + 2)) for k, c in sets.items()}
+    for batch in batches:
+        all_x = _arrow_matrix(batch)
+        for x in (all_x[i:i + 8192] for i in range(0, len(all_x), 8192)):
+            for k, centers in sets.items():
+                near, cost = _nearest(x, centers)
+                for j, v in enumerate([np.ones(len(x)), cost, *x.T]):
+                    found[k][:, j] += np.bincount(near, v, len(centers))
+    rows = [(k, i, row.tolist()) for k, m in found.items() for i, row in enumerate(m)]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                      pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["k", "i", "sums"])
+
+
+def _drawn_rows(centers: np.ndarray, rate: float, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows drawn with a chance of ``rate`` times their cost; a task run again draws the same."""
+    rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+    for batch in batches:
+        x = _arrow_matrix(batch)
+        drawn = x[rng.random(len(x)) < rate * _nearest(x, centers)[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(drawn.tolist(), pa.list_(pa.float64()))], names=["x"])
+
+
+def _seeded_centers(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ over weighted candidates; fewer than ``k`` where they are not more."""
+    rng = np.random.default_rng([seed, k])
+    chosen = [candidates[rng.choice(len(weights), p=weights / weights.sum())]]
+    while len(chosen) < k:
+        chance = weights * _nearest(candidates, np.array(chosen))[1]
+        if not chance.sum() > 0:
+            break
+        chosen.append(candidates[rng.choice(len(weights), p=chance / chance.sum())])
+    return np.array(chosen)
+
+
 def kmeans_elbow(df: DataFrame, cols: list[str], k_values=range(2, 21), seed: int = 42,
-                 centers_for: int = 4):
-    """Inertia for each k on complete numeric rows; centres for one k."""
-    complete = df.select(*cols).dropna()
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(complete).select("features").cache()
-    costs, centers = [], None
-    for k in k_values:
-        m = KMeans(k=k, seed=seed, featuresCol="features").fit(vec)
-        costs.append((int(k), float(m.summary.trainingCost)))
-        if k == centers_for:
-            centers = [list(map(float, c)) for c in m.clusterCenters()]
-    vec.unpersist()
-    return costs, centers
+                 centers_for: int = 4, max_iter: int = 20, tol: float = 1e-4, init_rounds: int = 2):
+    """Inertia for each k on complete numeric rows; centres for one k.
+
+    Spark ML's algorithm (k-means|| starts, Lloyd steps until no centre moves by more than ``tol``,
+    at most ``max_iter``), for all k in the same passes: a fit a k would read the table some 25
+    times for each.  A pass sends one row a centre and task.  Rows are written evenly dealt, so
+    a file of few row groups does not hold them in few tasks.  Each inertia is of its final centres."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    complete = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+    x = written(complete.repartition(parts), "points")
+    mean = x.agg(F.count(F.lit(1)), *[F.avg(c) for c in x.columns]).first()
+    if not mean[0]:
+        raise ValueError("no complete rows to cluster")
+    shift = np.array(mean[1:], float)       # distances are taken around the mean, where they lose no digits
+    x = x.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(x.columns, shift)])
+
+    def passed(sets: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        sums = x.mapInArrow(partial(_cluster_sums, sets), "k int, i int, sums array<double>")
+        n = len(cols) + 2
+        rows = sums.groupBy("k", "i").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(n)]).alias("s")).collect()
+        out = {k: np.zeros((len(c), n)) for k, c in sets.items()}
+        for r in rows:
+            out[r.k][r.i] = r.s
+        return out
+
+    ks = [int(k) for k in k_values]
+    candidates = np.array([x.first()], float)
+    for r in range(init_rounds):
+        cost = passed({0: candidates})[0][:, 1].sum()
+        if not cost > 0:
+            break
+        drawn = x.mapInArrow(partial(_drawn_rows, candidates, 2 * max(ks) / cost, seed + r), "x array<double>").collect()
+        candidates = np.unique(np.vstack([candidates, *[np.array([d.x]) for d in drawn]]), axis=0)
+    weights = passed({0: candidates})[0][:, 0]
+    centers = {k: _seeded_centers(candidates, weights, k, seed) for k in ks}
+    moving = dict(centers)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for k, m in passed(moving).items():
+            old, held = centers[k], m[:, :1] > 0
+            centers[k] = np.where(held, m[:, 2:] / np.maximum(m[:, :1], 1), old)     # a centre without rows stays
+            moving[k] = centers[k]
+            if (((centers[k] - old) ** 2).sum(1) <= tol * tol).all():
+                del moving[k]
+    last = passed(centers)
+    costs = [(k, float(last[k][:, 1].sum())) for k in ks]
+    told = [list(map(float, c)) for c in centers[centers_for] + shift] if centers_for in centers else None
+    return costs, told
 
 
 def batch_predictions(model: PipelineModel, features: DataFrame, entity_key: str, run_id: str,

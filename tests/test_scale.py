@@ -80,3 +80,34 @@ def test_permutation_frames_end_with_the_bucket(spark):
     got = {r.feature: r.importance for r in ml.permutation_importance(model, df, ["p", "q"], "y", "id", n_buckets=1).collect()}
     assert time.time() - began < 30
     assert got["p"] > 0.3 and abs(got["q"]) < 1e-9
+
+
+def test_elbow_reads_the_points_once_for_all_k(spark, monkeypatch):
+    """All k share their passes, and few row groups do not hold the rows in few tasks."""
+    passes = []
+    monkeypatch.setattr(ml, "partial", lambda f, *a: passes.append(f.__name__) or __import__("functools").partial(f, *a))
+    rng = np.random.default_rng(7)
+    spots = np.array([[0, 0, 1e6], [9, 0, 1e6], [0, 9, 1e6], [9, 9, 1e6 + 40]])
+    points = np.vstack([rng.normal(c, 0.1, (500, 3)) for c in spots])
+    df = spark.createDataFrame([*map(tuple, points.tolist()), (None, 1.0, 2.0)], "a double, b double, c double").coalesce(1)
+    costs, centers = ml.kmeans_elbow(df, ["a", "b", "c"], range(2, 9))
+    assert len(passes) <= 2 * 2 + 1 + 20 + 1
+    assert [k for k, _ in costs] == list(range(2, 9))
+    by_place = sorted(centers, key=lambda c: [round(v) for v in c])
+    assert np.allclose(by_place, sorted(spots.tolist()), atol=0.05)
+    best = sum(((points[i * 500:(i + 1) * 500] - points[i * 500:(i + 1) * 500].mean(0)) ** 2).sum() for i in range(4))
+    assert abs(dict(costs)[4] - best) < 1e-6 * best
+
+
+def test_elbow_matches_the_learner(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(3000, 2))], "a double, b double")
+    costs, _ = ml.kmeans_elbow(df, ["a", "b"], [2, 5, 10])
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    for k, cost in costs:
+        theirs = KMeans(k=k, seed=42).fit(vec).summary.trainingCost
+        assert cost < theirs * 1.1
+    same, told = ml.kmeans_elbow(df.limit(1).unionByName(df.limit(1)), ["a", "b"], [2, 4])
+    assert [c for _, c in same] == [0.0, 0.0] and len(told) == 1
