@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.session import written
+
 SAMPLED_PER_BUCKET = 100
 _BUCKET = "_pfx_bucket"
 
@@ -320,6 +322,7 @@ def prefix_row_number(df: DataFrame, order_cols: list[str], group_cols=(), name:
 
 # ---- exact quantiles ----------------------------------------------------------
 
+_FEW_PARTS = 100_000    # parts that are broadcast: some MB
 _LEVELS = (42, 21, 0)   # a number's 64 bits are refined in parts of 22, 21 and 21
 
 
@@ -354,13 +357,15 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     base = base.select(*held, "_v", *[(F.shiftright("_code", s) if k == 0 else F.shiftright("_code", s).bitwiseAND(F.lit(mask)))
                                       .alias(f"_c{k}") for k, s in enumerate(_LEVELS)])
 
-    found = None
+    found, few = None, False
     for k in range(len(_LEVELS)):
         path = [f"_c{j}" for j in range(k)]
         rows = base
         if found is not None:
             parts = found.select(*[F.col(c).alias(f"{c}_") for c in held + path]).distinct()
             same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in held + path]
+            if few:
+                parts = F.broadcast(parts)
             rows = base.join(parts, reduce(lambda a, b: a & b, same), "left_semi")
         counts = rows.groupBy(*held, *path, f"_c{k}").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"))
         # the parts of one number range: at most 2 ** 22, as many as occur
@@ -376,6 +381,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
             hits = counts.join(here, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in held + path]))
         hits = hits.where((F.col("_left") >= F.col("_below")) & (F.col("_left") < F.col("_below") + F.col("_n")))
         found = hits.select(*held, *path, f"_c{k}", "_v", "_all", "_rank", (F.col("_left") - F.col("_below")).alias("_left"))
+        if k < len(_LEVELS) - 1:
+            # a few rows a group; counted, so that rows are met where they lie: a shuffle by these
+            # parts would sort all rows of a part (of one common value) in one task
+            found = written(found, "parts")
+            few = found.count() <= _FEW_PARTS
 
     out = []
     for p, name in zip(probs, names):

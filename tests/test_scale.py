@@ -111,3 +111,21 @@ def test_elbow_matches_the_learner(spark):
         assert cost < theirs * 1.1
     same, told = ml.kmeans_elbow(df.limit(1).unionByName(df.limit(1)), ["a", "b"], [2, 4])
     assert [c for _, c in same] == [0.0, 0.0] and len(told) == 1
+
+
+def test_quantiles_do_not_shuffle_rows_by_their_parts(spark):
+    """Rows of one common value must not meet in one task of a join."""
+    from tabsmith.operators.prefix import exact_quantiles
+    df = spark.range(20000).selectExpr("id % 2 as g", "case when id % 10 < 8 then 7.5D else cast(id as double) end as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = exact_quantiles(df, "v", [0.5, 0.99], ["g"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+        assert not any("SortMergeJoin" in x and "LeftSemi" in x for x in plan.splitlines())
+        got = {r.g: (r["q0.5"], r["q0.99"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for g in (0, 1):
+        v = [7.5 if i % 10 < 8 else float(i) for i in range(20000) if i % 2 == g]
+        assert np.allclose(got[g], np.quantile(v, [0.5, 0.99]))
