@@ -362,8 +362,8 @@ def class_weights(stats: DataFrame, policy: str = "always", threshold: float = 0
 
 def with_weights(df: DataFrame, y: str, weights: DataFrame) -> DataFrame:
     """Attach a ``weight`` column for Spark ML's ``weightCol``.  The weight table
-    has one row per class; whether it is broadcast is left to its measured size."""
-    w = weights.withColumnRenamed("class", "_wc")
+    has one row per class, so it is broadcast: a join by class would put all rows of a class in one task."""
+    w = F.broadcast(weights.withColumnRenamed("class", "_wc"))
     return df.join(w, F.col(y) == F.col("_wc"), "left").drop("_wc") \
         .withColumn("weight", F.coalesce(F.col("weight"), F.lit(1.0)))
 

@@ -129,3 +129,15 @@ def test_quantiles_do_not_shuffle_rows_by_their_parts(spark):
     for g in (0, 1):
         v = [7.5 if i % 10 < 8 else float(i) for i in range(20000) if i % 2 == g]
         assert np.allclose(got[g], np.quantile(v, [0.5, 0.99]))
+
+
+def test_class_weights_do_not_shuffle_rows_by_class(spark):
+    from tabsmith.operators import metrics
+    df = spark.range(1000).selectExpr("id", "cast(id % 10 = 0 as double) as y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = metrics.with_weights(df, "y", metrics.class_weights(metrics.class_stats(df, "y"), "balanced"))
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert abs(out.agg(F.sum("weight")).first()[0] - 1000) < 1e-6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
