@@ -117,7 +117,9 @@ def training_cells(df: DataFrame, categorical: list[str], numeric: list[str], ke
                      *[F.col(f"`{k}`") for k in keys],
                      (F.col(f"`{weight_col}`").cast("double") if weight_col else F.lit(1.0)).alias(_CELL_WEIGHT))
     held = [F.col(f"`{c}`") for c in [*categorical, *numeric, *keys]]
-    return written(told.groupBy(*held).agg(F.sum(_CELL_WEIGHT).alias(_CELL_WEIGHT), F.count(F.lit(1)).alias("_cell_rows")), "cells")
+    cells = told.groupBy(*held).agg(F.sum(_CELL_WEIGHT).alias(_CELL_WEIGHT), F.count(F.lit(1)).alias("_cell_rows"))
+    # dealt evenly: merged shuffle partitions would leave the learner two or three tasks
+    return written(cells.repartition(df.sparkSession.sparkContext.defaultParallelism), "cells")
 
 
 def _by_cells(learner, label: str, categorical: list[str], numeric: list[str]) -> bool:

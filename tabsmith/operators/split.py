@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.hashing import hash_unit_interval
 from tabsmith.operators.prefix import prefix_row_number
+from tabsmith.session import written
 
 
 def hash_split(df: DataFrame, key: str, test_size: float, val_size: float = 0.0,
@@ -79,9 +80,9 @@ def entity_folds(df: DataFrame, key: str, k: int, stratify_by: str, seed: int =
                  n_buckets: int | None = None) -> DataFrame:
     """K5 by entity: each key lies whole in one fold, and the keys of each class are dealt out in
     hash order.  A key of several classes counts for its highest; null keys form one entity."""
-    entities = df.groupBy(key).agg(F.max(stratify_by).alias("_class"))
-    folds = cv_folds(entities, key, k, "_class", seed, "_dealt", n_buckets)
-    folds = folds.select(F.col(f"`{key}`").alias("_entity"), "_dealt")
+    # ranking reads the entities several times: grouped once
+    entities = written(df.groupBy(F.col(f"`{key}`").alias("_entity")).agg(F.max(stratify_by).alias("_class")), "entities")
+    folds = cv_folds(entities, "_entity", k, "_class", seed, "_dealt", n_buckets).select("_entity", "_dealt")
     return df.join(folds, F.col(f"`{key}`").eqNullSafe(F.col("_entity"))).withColumn(out, F.col("_dealt")) \
         .drop("_entity", "_dealt")
 
