@@ -16,9 +16,9 @@ from tabsmith.llm.common import WORD, WS, cut, text_of
 COMMON_WORDS = 16
 MIN_WORDS, MIN_CHARS = 50, 200  # shorter documents are not judged by divergence
 MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.40, 0.30
-SYMBOLS = r"[#*$%&|<>]"
 #: Character classes in the order in which they are taken out of the text; the rest is the last class.
 CLASSES = ("[a-z]+", WS, "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", r"[^\x00-\x7F]+")
+BLANKS, SYMBOLS = 1, 4  # places of two of them
 
 
 def language_key(c: str) -> Column:
@@ -29,38 +29,46 @@ def language_key(c: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, WS), lambda x: x != "")
+    return F.array_remove(F.split(text, WS), "")
 
 
-def repeated_words(words: str) -> Column:
-    """Words inside 3-word windows that occur twice or more (the column must be there)."""
-    w = F.transform(F.col(words), lambda x: F.xxhash64(x))
-    n = F.size(words)
-    pair = F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.xxhash64(a, b))
-    tri = F.zip_with(pair, F.slice(w, 3, n - 2), lambda a, b: F.xxhash64(a, b))
+def _windows(h: str) -> Column:
+    """Hashes of the 3-word windows of a column of word hashes."""
+    n = F.size(h)
+    pair = F.zip_with(F.slice(h, 1, n - 2), F.slice(h, 2, n - 2), lambda a, b: F.xxhash64(a, b))
+    tri = F.zip_with(pair, F.slice(h, 3, n - 2), lambda a, b: F.xxhash64(a, b))
     return F.when(n >= 3, tri).otherwise(F.array().cast("array<bigint>"))
 
 
-def _covered(tri: str) -> Column:
-    n = F.size(tri)
+def _placed(tri: str) -> Column:
+    """Windows with their places, equal ones side by side; null where all differ."""
     placed = F.sort_array(F.transform(F.col(tri), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(tri)) < F.size(tri), placed)
+
+
+def _covered(placed: str) -> Column:
+    """Words inside windows that occur twice or more."""
+    n = F.size(placed)
     same = F.zip_with(F.slice(placed, 1, n - 1), F.slice(placed, 2, n - 1),
                       lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     starts = F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))
     inside = F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2))))
-    return F.when(F.size(F.array_distinct(F.col(tri))) < n, F.size(inside)).otherwise(0).cast("long")
+    return F.when(F.col(placed).isNotNull(), F.size(inside)).otherwise(0).cast("long")
 
 
 def base_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Words, repeated lines, words in repeated windows; each array is a column of its own, as
+    Spark evaluates what stands inside array functions once for each mention."""
     d = docs.select(F.col(id_col).alias("doc_id"), language_key(lang_col).alias("lang_key"),
                     text_of(text_col).alias("t"))
-    d = d.withColumn("w", words_of(F.col("t"))).withColumn("tri", repeated_words("w"))
+    d = d.withColumn("w", words_of(F.col("t"))).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return d.select("doc_id", "lang_key", "t", F.size("w").cast("long").alias("n_words"),
-                    (F.length("t") - F.regexp_count("t", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-                    F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-                    (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-                    _covered("tri").alias("n_repeat_words"))
+    d = d.select("doc_id", "lang_key", "t", F.size("w").cast("long").alias("n_words"), lines.alias("lines"),
+                 _windows("h").alias("tri"))
+    d = d.withColumn("placed", _placed("tri"))
+    return d.select("doc_id", "lang_key", "t", "n_words",
+                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+                    _covered("placed").alias("n_repeat_words"))
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str, k: int = COMMON_WORDS) -> DataFrame:
@@ -117,8 +125,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         d = d.withColumn(f"r{k}", F.regexp_replace(rest, pattern, ""))
         sizes.append((F.length(rest) - F.length(f"r{k}")).cast("long"))
         rest = F.col(f"r{k}")
-    narrow = cut(d.select("doc_id", "lang_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                          "hits", F.array(*sizes).alias("classes"), F.length("t").cast("long").alias("n_chars")))
+    narrow = cut(d.select("doc_id", "lang_key", "n_words", "n_dup_lines", "n_repeat_words", "hits",
+                          F.array(*sizes).alias("classes"), F.length("t").cast("long").alias("n_chars")))
+    narrow = narrow.withColumn("word_chars", F.col("n_chars") - F.col("classes")[BLANKS]).withColumn(
+        "n_symbols", F.col("classes")[SYMBOLS])
     sums = [F.sum(F.col("classes")[k]) for k in range(len(CLASSES))]
     chars = narrow.groupBy("lang_key").agg(F.array(*sums).alias("c"), F.sum("n_chars").alias("n")).select(
         "lang_key", _shares(F.col("c"), F.col("n")).alias("char_ref"))
