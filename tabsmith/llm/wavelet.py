@@ -51,19 +51,19 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
-        ids = np.ascontiguousarray(ids, np.uint32 if bits > 16 else np.uint16)
-        zeros, planes, ranks = [], [], []
+        ids = pa.array(np.ascontiguousarray(ids, np.uint32 if bits > 16 else np.uint16))
+        zeros, planes, ranks, n = [], [], [], len(ids)
         for level in range(bits - 1, -1, -1):
-            bit = ((ids >> level) & 1).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            ones = np.add.reduceat(bit, np.arange(0, max(len(bit), 1), BLOCK), dtype=np.uint32) if len(bit) else \
-                np.zeros(0, np.uint32)
-            ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
+            values = ids.to_numpy()
+            packed = np.packbits(values & values.dtype.type(1 << level) != 0, bitorder="little")
+            ones = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK // 8)))).reshape(-1, BLOCK // 8)
+            ranks.append(np.concatenate([[0], np.cumsum(ones.sum(axis=1, dtype=np.int64))]).astype("<u4").tobytes())
             planes.append(packed.tobytes())
-            low, high = ids[~bit], ids[bit]
+            low, high = (ids.filter(pa.BooleanArray.from_buffers(pa.bool_(), n, [None, pa.py_buffer(mask)]))
+                         for mask in (~packed, packed))
             zeros.append(len(low))
-            ids = np.concatenate([low, high])
-        return cls(len(ids), zeros, planes, ranks)
+            ids = pa.concat_arrays([low, high])
+        return cls(n, zeros, planes, ranks)
 
     def _rank1(self, level: int, at: int) -> int:
         """Ones of the plane before place ``at``."""
@@ -223,6 +223,20 @@ class CachedTokenizer:
 
 
 SPACE_MEETS_BLANK = re.compile(r"\s(?: |\Z)")
+SPACES_IN_A_ROW = re.compile(r"\s{4}")
+ASCII_ODD_SPACES = [c + " " for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+
+
+def odd_space(text: str) -> bool:
+    """Whether ``ODD_SPACE`` is in the text."""
+    if text.isascii():
+        return any(x in text for x in ASCII_ODD_SPACES)
+    return ODD_SPACE.search(text) is not None
+
+
+def long_space(text: str) -> bool:
+    """Whether ``LONG_SPACE`` is in the text: of 1000 characters in a row, four stand at multiples of 250."""
+    return len(text) >= 1000 and SPACES_IN_A_ROW.search(text[::250]) is not None and LONG_SPACE.search(text) is not None
 
 
 class RankedTokenizer(CachedTokenizer):
@@ -288,7 +302,7 @@ class RankedTokenizer(CachedTokenizer):
         self.held[which] = np.concatenate([old, flat]), np.concatenate([upto, upto[-1] + np.cumsum(counts, dtype=np.int64)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {k for k, t in enumerate(texts) if any(a in t for a in self.added) or (len(t) > 1000 and LONG_SPACE.search(t))}
+        odd = {k for k, t in enumerate(texts) if any(a in t for a in self.added) or long_space(t)}
         slow = dict(zip(sorted(odd), super().encode([texts[k] for k in sorted(odd)]))) if odd else {}
         if sum(map(len, self.numbers)) > CACHE_ENTRIES:
             self.trim()
@@ -300,7 +314,7 @@ class RankedTokenizer(CachedTokenizer):
                 starts.append(-1), codes.append(())
                 continue
             parts = text.split(" ")
-            if "" in parts or ODD_SPACE.search(text):
+            if "" in parts or odd_space(text):
                 parts = CHUNK.findall(" " + text)
             starts.append(first[parts[0]])
             codes.append(list(map(other.__getitem__, islice(parts, 1, None))))
@@ -438,7 +452,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     docs = shards.mapInArrow(expand, "shard int, doc_id long, begin long, n_tokens long, ids binary")
-    return docs.join(shard_starts(shards), "shard").select(
+    return docs.join(F.broadcast(shard_starts(shards)), "shard").select(  # two numbers a shard: the ids stay where they are
         "doc_id", (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids")
 
 

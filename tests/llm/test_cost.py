@@ -27,3 +27,25 @@ def test_quality_evaluates_each_array_once(spark):
     rows = {r["doc_id"]: (r["n_words"], r["n_dup_lines"], r["n_repeat_words"])
             for r in quality.base_counts(docs, "doc_id", "text", "lang").collect()}
     assert rows == {1: (6, 0, 6), 2: (0, 0, 0)}
+
+
+def test_ids_of_shards_are_not_shuffled(spark):
+    path = scratch(spark, "cost-shards")
+    with open(tokenizer_path("byte_bpe_50k.json"), "rb") as f:
+        spec = f.read()
+    docs = spark.createDataFrame([(k, f"text {k} of some") for k in range(20)], "doc_id long, text string")
+    wavelet.write_shards(docs, path, spec, shard_bytes=100)
+    plan = _joins_shuffled(spark, lambda: wavelet.read_documents(spark, path))
+    assert "SortMergeJoin" not in plan.split("MapInArrow")[0].split("BroadcastExchange")[0]
+    assert sorted(r[0] for r in wavelet.checksums(spark, path).select("doc_id").collect()) == list(range(20))
+
+
+def test_quick_tests_of_white_space_agree_with_the_patterns():
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    for c in spaces + ["a", "\x00", "\u200b"]:
+        for text in (f"x{c} y", f"x {c}y", f"{c} ", c, f"é{c} y"):
+            assert wavelet.odd_space(text) == bool(wavelet.ODD_SPACE.search(text)), (c, text)
+        for n in (998, 999, 1000, 1001, 1250):
+            for lead in (0, 1, 249, 250, 251, 733):
+                text = "b" * lead + c * (n // 2) + " " * (n - n // 2) + "b" * (lead % 7)
+                assert wavelet.long_space(text) == bool(wavelet.LONG_SPACE.search(text)), (c, n, lead)
