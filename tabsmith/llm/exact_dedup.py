@@ -10,7 +10,7 @@ third of the rows arrives as one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import cut, free, one_space
@@ -68,9 +68,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, all columns unchanged; rows that
     repeat an id and its text come once."""
-    sha, gone_id, gone_sha = free(docs, "_sha", "_gone_id", "_gone_sha")
-    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(
-        F.col("doc_id").alias(gone_id), F.col("sha256").alias(gone_sha))
-    return (docs.withColumn(sha, full_hash(text_col))
-            .join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
-            .dropDuplicates([id_col, sha]).drop(sha))
+    sha, out = free(docs, "_sha", "_out")
+    marks = exact_dedup(docs, id_col, text_col).where("NOT kept").select(
+        F.col("doc_id").alias(id_col), F.col("sha256").alias(sha), F.lit(True).alias(out))
+    # rows and marks meet in one shuffle of the texts; a mark comes first in its group
+    rows = docs.withColumn(sha, full_hash(text_col)).withColumn(out, F.lit(False)).unionByName(
+        marks, allowMissingColumns=True)
+    (at,) = free(rows, "_at")
+    order = Window.partitionBy(id_col, sha).orderBy(F.col(out).desc())
+    return rows.withColumn(at, F.row_number().over(order)).where((F.col(at) == 1) & ~F.col(out)).drop(sha, out, at)

@@ -40,6 +40,18 @@ def test_ids_of_shards_are_not_shuffled(spark):
     assert sorted(r[0] for r in wavelet.checksums(spark, path).select("doc_id").collect()) == list(range(20))
 
 
+def test_exact_dedup_shuffles_texts_once(spark):
+    docs = spark.createDataFrame([(1, "a  b", 1), (2, "a b", 2), (None, "a b", 3), (None, "x", 4), (None, "x ", 5), (3, "c", 6),
+                                  (3, "c", 6), (4, None, 7), (5, "", 8)], "doc_id long, text string, extra int")
+    plan = _joins_shuffled(spark, lambda: exact_dedup.keep_first(docs))
+    texts = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_sha#" in x]
+    assert len(texts) == 1, texts
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted(kept.select("doc_id", "extra").collect(), key=lambda r: r["extra"]) == [
+        (1, 1), (None, 4), (None, 5), (3, 6), (4, 7)]
+
+
 def test_quick_tests_of_white_space_agree_with_the_patterns():
     spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
     for c in spaces + ["a", "\x00", "\u200b"]:
