@@ -30,12 +30,34 @@ from tokenizers import Tokenizer
 
 from tabsmith.llm.common import small_batches, text_of
 
-#: Entries a cache may hold before it starts anew; the results do not depend on it.
+#: Entries a cache may hold; the results do not depend on it.
 CACHE_ENTRIES = 250_000
 #: Added to the code point of a word's last symbol when the vocabulary marks word ends.
 END = 0x10000
 
 
+class Recent:
+    """A bounded cache of two halves.  New entries and those found in the older half go to the
+    newer one; when that is full it becomes the older one, so what is met often stays."""
+
+    def __init__(self) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= CACHE_ENTRIES // 2:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class BpeModel:
     """A ``tokenizers`` specification of kind BPE, whose ids follow the order of its merges."""
 
@@ -55,8 +77,7 @@ class BpeModel:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.special_mark = os.path.commonprefix(longest_first) if self.special else "\0" * 9
-        self.words: dict[str, array] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(), Recent()  # word -> ids (array), piece -> ids (bytes)
         self.pairs: dict[int, bool] = {}
 
     @staticmethod
@@ -163,9 +184,7 @@ class BpeModel:
     def _word_ids(self, word: str) -> array:
         inner = word[:-1] + chr(ord(word[-1]) + END) if self.suffix else word
         ids = array("I", self.encode_word(inner))
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        self.words[word] = ids
+        self.words.put(word, ids)
         return ids
 
     def _part_words(self, part: str) -> list[str]:
@@ -178,29 +197,29 @@ class BpeModel:
         """Ids of a piece of text without blanks, special tokens in it included."""
         out = array("I")
         parts = self.special_pattern.split(piece) if self.special_mark in piece else [piece]
-        known = self.words
+        known = self.words.get
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(self.special[part])
             elif part:
                 for word in self._part_words(part):
-                    out += known.get(word) or self._word_ids(word)
+                    out += known(word) or self._word_ids(word)
         return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers.  Words never span
         blanks in the supported specifications with word ends."""
         pieces = text.replace("\n", " ").split(" ")
-        out = list(map(self.pieces.get, pieces))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    piece = pieces[k]
-                    out[k] = ids = self.piece_ids(piece)
-                    if len(piece) < 256:
-                        if len(self.pieces) > CACHE_ENTRIES:
-                            self.pieces.clear()
-                        self.pieces[piece] = ids
+        cache = self.pieces
+        out = list(map(cache.new.get, pieces))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            piece = pieces[k]
+            ids = cache.get(piece)
+            if ids is None:
+                ids = self.piece_ids(piece)
+                if len(piece) < 256:
+                    cache.put(piece, ids)
+            out[k] = ids
         return b"".join(out)
 
 

@@ -52,6 +52,25 @@ def test_exact_dedup_shuffles_texts_once(spark):
         (1, 1), (None, 4), (None, 5), (3, 6), (4, 7)]
 
 
+def test_frequent_words_stay_in_the_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 64)
+    m = bpe.BpeModel(bpe.read_spec(tokenizer_path("word_bpe_49k.json")))
+    common, asked, encode_word = ["house", "river", "stone"], [], m.encode_word
+
+    def counted(word):
+        asked.append(word)
+        return encode_word(word)
+
+    monkeypatch.setattr(m, "encode_word", counted)
+    texts = [" ".join(common + [f"w{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}q{chr(97 + k // 676)}"] * 2) for k in range(400)]
+    for t in texts:
+        m.encode(t)
+    assert sum(any(w.startswith(c[:-1]) for c in common) for w in asked) == 3
+    assert len(m.pieces.new) + len(m.pieces.old) <= 64
+    fresh = bpe.BpeModel(bpe.read_spec(tokenizer_path("word_bpe_49k.json")))
+    assert [m.encode(t) for t in texts] == [fresh.encode(t) for t in texts]
+
+
 def test_quick_tests_of_white_space_agree_with_the_patterns():
     spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
     for c in spaces + ["a", "\x00", "\u200b"]:
