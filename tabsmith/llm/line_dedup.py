@@ -10,6 +10,10 @@ bit places (each differing parity is a word that only one line has).  What is le
 verified on whole sets.  Lines of equal sets are one set throughout.  A line goes if
 any earlier line, by document id and line number, matches it, whether or not that one
 goes as well.
+
+Near copies are not compared pair by pair.  Sets that share two neighbouring words of
+their prefixes are compared with the earliest of them first; what a set then has found
+bounds what it is still compared with: sets of documents not after that of its match.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ BUCKETS = 1 << 20
 ROW = 1 << 10  # buckets that are collected in one row
 HASH_BITS = 57  # of a key; the six bits above hold the rarity class
 WIDE = 60  # lines of more words carry 128 parities in place of 64
+MARKS = 2  # neighbouring pairs of a prefix by which near copies meet
+SLOTS = 1 << 23  # bits that tell where to look for wanted lines
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -36,29 +42,50 @@ def _words(line: str) -> Column:
     return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
 
 
-def _classes(docs: DataFrame, text_col: str) -> bytes:
-    """Rarity classes of the buckets, one byte each: 1 MiB whatever the input."""
-    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), WS)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
-    cls = F.least(F.floor(F.log2(F.col("c") + 1) * 1.5), F.lit(62)).cast("int")
-    found = counts.groupBy(F.floor(F.col("bucket") / ROW).alias("row")).agg(
-        F.collect_list(F.struct(F.pmod("bucket", F.lit(ROW)).cast("int").alias("b"), cls.alias("k"))).alias("all"))
+def _table(found: DataFrame) -> bytes:
+    """The bytes ``k`` (below 128) of the buckets ``b``, one each: 1 MiB whatever the input."""
+    rows = found.groupBy(F.floor(F.col("b") / ROW).alias("row")).agg(
+        F.collect_list(F.struct(F.pmod("b", F.lit(ROW)).cast("int").alias("b"), F.col("k").cast("int").alias("k"))).alias("all"))
     table = bytearray(BUCKETS)
-    for r in found.select("row", "all.b", "all.k").collect():  # at most BUCKETS / ROW rows of ROW entries
+    for r in rows.select("row", "all.b", "all.k").collect():  # at most BUCKETS / ROW rows of ROW entries
         for bucket, k in zip(r["b"], r["k"]):
             table[r["row"] * ROW + bucket] = k
     return bytes(table)
 
 
+def _byte(table: bytes, bucket: Column) -> Column:
+    return F.ascii(F.substring(F.lit(table), bucket.cast("int") + 1, F.lit(1)).cast("string"))
+
+
+def _classes(docs: DataFrame, text_col: str) -> bytes:
+    """Rarity classes of the buckets."""
+    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), WS)).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return _table(counts.select("b", F.least(F.floor(F.log2(F.col("c") + 1) * 1.5), F.lit(62)).alias("k")))
+
+
+def _marked(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
+    """The rows whose ``cols`` have their bit set by a row of ``wanted``: all that are there, and few others.
+    The bits are SLOTS in all whatever the input, a row of 4 KiB for each 2^15."""
+    slot = F.pmod(F.xxhash64(*cols), F.lit(SLOTS))
+    bits = wanted.select(slot.alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_k")).where(
+        F.call_function("getbit", byte, at.bitwiseAND(F.lit(7))) == 1).drop("_k", "_bits")
+
+
 def _keys(lines: DataFrame, classes: bytes) -> DataFrame:
     low = F.lit((1 << HASH_BITS) - 1)
 
     def key(w: Column) -> Column:
-        byte = F.substring(F.lit(classes), F.pmod(w, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
-        return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), HASH_BITS).bitwiseOR(w.bitwiseAND(low))
+        of = _byte(classes, F.pmod(w, F.lit(BUCKETS)))
+        return F.shiftleft(of.cast("long"), HASH_BITS).bitwiseOR(w.bitwiseAND(low))
 
-    return lines.withColumn("w", _words("line")).where(F.size("w") > 0).select(
-        "doc_id", "line_no", F.sort_array(F.transform("w", key)).alias("keys"))
+    # out of an array of one: a column that the filter and the keys read, in place of splitting the line for each
+    words = lines.select("doc_id", "line_no", F.explode(F.array(_words("line"))).alias("w")).where(F.size("w") > 0)
+    return words.select("doc_id", "line_no", F.sort_array(F.transform("w", key)).alias("keys"))
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,48 +100,87 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         every.alias("every"), F.when(n > WIDE, half).alias("half"))
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of set numbers that pass all filters, each once."""
-    posts = sets.select("sid", "n", "every", "half", F.posexplode("prefix").alias("at", "key"))
-    cols = ("sid", "n", "every", "half", "at")
-    p = posts.select("key", *[F.col(c).alias("a_" + c) for c in cols])
-    q = posts.select("key", *[F.col(c).alias("b_" + c) for c in cols])
+def _near() -> Column:
+    """Whether sizes and parities allow the overlap."""
     fits = F.least("a_n", "b_n") * DEN >= F.greatest("a_n", "b_n") * NUM
     # overlap o of sets of x and y words needs o * (NUM + DEN) >= NUM * (x + y), so x + y - 2 * o
     # words that only one has are at most (x + y) * (DEN - NUM) / (NUM + DEN)
-    most = 1 + F.least(F.col("a_n") - F.col("a_at") - 1, F.col("b_n") - F.col("b_at") - 1)
-    reach = (most + F.least("a_at", "b_at")) * (NUM + DEN) >= (F.col("a_n") + F.col("b_n")) * NUM
     every = F.col("a_every").bitwiseXOR(F.col("b_every"))
     half = F.col("a_half").bitwiseXOR(F.col("b_half"))
     differ = F.coalesce(F.bit_count(half) + F.bit_count(every.bitwiseXOR(half)), F.bit_count(every))
-    near = differ * (NUM + DEN) <= (F.col("a_n") + F.col("b_n")) * (DEN - NUM)
-    both = (p.key == q.key) & (F.col("a_sid") < F.col("b_sid")) & fits & reach & near
-    return p.join(q, both).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    return fits & (differ * (NUM + DEN) <= (F.col("a_n") + F.col("b_n")) * (DEN - NUM))
 
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that go: ``doc_id, line_no, match_id, match_line`` with the earliest matching line."""
-    narrow = cut(_narrow(docs, id_col, text_col))
-    place = F.struct("doc_id", "line_no")
-    same = [F.first(c).alias(c) for c in ("n", "prefix", "every", "half")]  # the same in all lines of a set
-    sets = cut(narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"), *same).withColumn(
-        "sid", F.monotonically_increasing_id()))
-    found = cut(_candidates(sets))
+def _first_candidates(sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that pass the filters of sets with the earliest one that has a mark of theirs,
+    a hash of two neighbours in the prefix: as many as marks at most."""
+    marks = F.array(*[F.when(F.size("prefix") > i + 1, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1))))
+                      for i in range(MARKS)])
+    cols = ("sid", "n", "every", "half")
+    rows = sets.select("first", *cols, F.explode(F.array_compact(marks)).alias("mark"))
+    heads = rows.groupBy("mark").agg(F.min(F.struct("first", *cols)).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    heads = heads.select("mark", *[F.col("h." + c).alias("a_" + c) for c in cols])
+    both = heads.join(rows.select("mark", *[F.col(c).alias("b_" + c) for c in cols]), "mark")
+    return both.where((F.col("a_sid") != F.col("b_sid")) & _near()).select(
+        F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of set numbers that pass all filters, each once, if one may be a match of the other
+    that is earlier than what that has: in a document ``doc`` not after its ``upto`` (null: as ``doc``)."""
+    posts = sets.select("sid", "n", "every", "half", "doc", "upto", F.posexplode("prefix").alias("at", "key"))
+    cols = ("sid", "n", "every", "half", "at", "doc", "upto")
+    p = posts.select("key", *[F.col(c).alias("a_" + c) for c in cols])
+    q = posts.select("key", *[F.col(c).alias("b_" + c) for c in cols])
+    most = 1 + F.least(F.col("a_n") - F.col("a_at") - 1, F.col("b_n") - F.col("b_at") - 1)
+    reach = (most + F.least("a_at", "b_at")) * (NUM + DEN) >= (F.col("a_n") + F.col("b_n")) * NUM
+    earlier = (F.col("a_doc") <= F.coalesce("b_upto", "b_doc")) | (F.col("b_doc") <= F.coalesce("a_upto", "a_doc"))
+    both = (p.key == q.key) & (F.col("a_sid") < F.col("b_sid")) & _near() & reach & earlier
+    return p.join(q, both).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+
 
+def _whole(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, found: DataFrame,
+           known: DataFrame | None = None) -> DataFrame:
+    """``sid, at, w``: place and words of all sets in the pairs ``found``; of those in ``known`` from there.
+    Only texts that may hold a wanted line are split, only lines that may be wanted into words."""
     ends = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    if known is not None:
+        ends = ends.join(known.select("sid"), "sid", "left_anti")
     ends = cut(ends.join(sets.select("sid", "first"), "sid").select("sid", "first.*"))
-    wanted = cut(ends.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_lines")))
-    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(
-        wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "_lines", F.posexplode(
-            F.split(text_of("t"), "\n")).alias("line_no", "line")).where(F.array_contains("_lines", F.col("line_no")))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    again = _marked(_lines(_marked(texts, ends, "doc_id"), "doc_id", "t"), ends, "doc_id", "line_no")
     whole = again.select("doc_id", "line_no", _words("line").alias("w")).join(ends, ["doc_id", "line_no"])
     whole = cut(whole.select("sid", F.struct("doc_id", "line_no").alias("at"), "w"))
+    return whole if known is None else known.unionByName(whole)
+
+
+def _verified(found: DataFrame, whole: DataFrame) -> DataFrame:
+    """``sid, m``: the sets that match an earlier one of their pairs, with the place of the earliest."""
     v = found.join(whole.select(F.col("sid").alias("a"), F.col("at").alias("a_at"), F.col("w").alias("a_w")), "a")
     v = v.join(whole.select(F.col("sid").alias("b"), F.col("at").alias("b_at"), F.col("w").alias("b_w")), "b")
     shared = F.size(F.array_intersect("a_w", "b_w"))
-    v = v.where(shared * (NUM + DEN) >= (F.size("a_w") + F.size("b_w")) * NUM)
-    best = v.groupBy(F.greatest("a_at", "b_at").alias("first")).agg(F.min(F.least("a_at", "b_at")).alias("m"))
-    firsts = sets.select("h1", "h2", "first").join(best, "first", "left").select(
+    v = v.where((shared * (NUM + DEN) >= (F.size("a_w") + F.size("b_w")) * NUM) & (F.col("a_at") != F.col("b_at")))
+    later = F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b"))
+    return cut(v.groupBy(later.alias("sid")).agg(F.min(F.least("a_at", "b_at")).alias("m")))
+
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines that go: ``doc_id, line_no, match_id, match_line`` with the earliest matching line."""
+    narrow = cut(_narrow(docs, id_col, text_col))
+    place = F.struct("doc_id", "line_no")
+    same = [F.first(c).alias(c) for c in ("n", "prefix", "every", "half")]  # the same in all lines of a set
+    sets = cut(narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"), *same).withColumn(
+        "sid", F.monotonically_increasing_id()))
+    found = cut(_first_candidates(sets))
+    whole = _whole(docs, id_col, text_col, sets, found)
+    near = _verified(found, whole)
+    bound = sets.join(near, "sid", "left").select(
+        "sid", "n", "prefix", "every", "half", F.col("first.doc_id").alias("doc"),
+        F.col("m.doc_id").alias("upto"))
+    found = cut(_candidates(bound))
+    rest = _verified(found, _whole(docs, id_col, text_col, sets, found, whole))
+    best = near.unionByName(rest).groupBy("sid").agg(F.min("m").alias("m"))
+    firsts = sets.select("sid", "h1", "h2", "first").join(best, "sid", "left").select(
         "h1", "h2", F.least("m", "first").alias("m"))
     out = narrow.select("doc_id", "line_no", "h1", "h2").join(firsts, ["h1", "h2"])
     return out.where(place > F.col("m")).select(

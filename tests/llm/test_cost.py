@@ -1,7 +1,7 @@
 """What the operators do once, seen in their plans and counters; results are compared elsewhere."""
 
-from tabsmith.llm import bpe, exact_dedup, quality, wavelet
-from tabsmith.llm.common import scratch, tokenizer_path
+from tabsmith.llm import bpe, exact_dedup, line_dedup, quality, wavelet
+from tabsmith.llm.common import cut, scratch, tokenizer_path
 
 
 def _plan(df) -> str:
@@ -80,3 +80,21 @@ def test_quick_tests_of_white_space_agree_with_the_patterns():
             for lead in (0, 1, 249, 250, 251, 733):
                 text = "b" * lead + c * (n // 2) + " " * (n - n // 2) + "b" * (lead % 7)
                 assert wavelet.long_space(text) == bool(wavelet.LONG_SPACE.search(text)), (c, n, lead)
+
+
+def test_near_copies_of_a_line_are_not_paired(spark, monkeypatch):
+    pairs = []
+
+    def counted(df):
+        out = cut(df)
+        if set(df.columns) == {"a", "b"}:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:i % 50 + 5] + [f"own{i}"] + base[i % 50 + 6:])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.match_id, r.match_line) for r in line_dedup.matches(docs).collect()}
+    assert got == {i: (0, 0) for i in range(1, 200)}
+    assert sum(pairs) < 10 * len(rows)
