@@ -61,6 +61,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+SLOTS = 1 << 23  # bits that tell where to look for wanted rows
+
+
+def marked(rows: DataFrame, wanted: DataFrame, *cols: str, slots: int = SLOTS) -> DataFrame:
+    """The rows whose ``cols`` have their bit set by a row of ``wanted``: all that are there, and few others.
+    The bits are ``slots`` in all whatever the input, a row of 4 KiB for each 2^15."""
+    slot = F.pmod(F.xxhash64(*cols), F.lit(slots))
+    bits = wanted.select(slot.alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_k")).where(
+        F.call_function("getbit", byte, at.bitwiseAND(F.lit(7))) == 1).drop("_k", "_bits")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

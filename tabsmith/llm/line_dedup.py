@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import WS, cut, text_of
+from tabsmith.llm.common import WS, cut, marked, text_of
 
 NUM, DEN = 4, 5  # similarity 0.8
 BUCKETS = 1 << 20
@@ -29,7 +29,6 @@ ROW = 1 << 10  # buckets that are collected in one row
 HASH_BITS = 57  # of a key; the six bits above hold the rarity class
 WIDE = 60  # lines of more words carry 128 parities in place of 64
 MARKS = 2  # neighbouring pairs of a prefix by which near copies meet
-SLOTS = 1 << 23  # bits that tell where to look for wanted lines
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,18 +63,6 @@ def _classes(docs: DataFrame, text_col: str) -> bytes:
     return _table(counts.select("b", F.least(F.floor(F.log2(F.col("c") + 1) * 1.5), F.lit(62)).alias("k")))
 
 
-def _marked(rows: DataFrame, wanted: DataFrame, *cols: str) -> DataFrame:
-    """The rows whose ``cols`` have their bit set by a row of ``wanted``: all that are there, and few others.
-    The bits are SLOTS in all whatever the input, a row of 4 KiB for each 2^15."""
-    slot = F.pmod(F.xxhash64(*cols), F.lit(SLOTS))
-    bits = wanted.select(slot.alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
-    at = F.bitmap_bit_position(slot).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
-    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_k")).where(
-        F.call_function("getbit", byte, at.bitwiseAND(F.lit(7))) == 1).drop("_k", "_bits")
-
-
 def _keys(lines: DataFrame, classes: bytes) -> DataFrame:
     low = F.lit((1 << HASH_BITS) - 1)
 
@@ -148,7 +135,7 @@ def _whole(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, found:
         ends = ends.join(known.select("sid"), "sid", "left_anti")
     ends = cut(ends.join(sets.select("sid", "first"), "sid").select("sid", "first.*"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    again = _marked(_lines(_marked(texts, ends, "doc_id"), "doc_id", "t"), ends, "doc_id", "line_no")
+    again = marked(_lines(marked(texts, ends, "doc_id"), "doc_id", "t"), ends, "doc_id", "line_no")
     whole = again.select("doc_id", "line_no", _words("line").alias("w")).join(ends, ["doc_id", "line_no"])
     whole = cut(whole.select("sid", F.struct("doc_id", "line_no").alias("at"), "w"))
     return whole if known is None else known.unionByName(whole)

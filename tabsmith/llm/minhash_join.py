@@ -22,6 +22,9 @@ matrix product of full sets and returns a spanning forest of the links found.
 Candidates must agree in a 64-nibble sketch of the signature (a pair of similarity
 0.8 fails with a probability below 1e-4) and in size, and are confirmed on the full
 sets.  Documents of equal sets are one document throughout.
+
+Texts are not shuffled: a bitmap of the wanted documents, of a fixed size, picks them
+where they lie, and only the sets of those in a candidate pair move.
 """
 
 from __future__ import annotations
@@ -29,13 +32,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import cut, scratch, text_of
+from tabsmith.llm.common import cut, marked, scratch, small_batches, text_of
 from tabsmith.llm.components import components
 
 FUNCTIONS = 64
@@ -47,6 +49,8 @@ RESEMBLE = 40  # nibbles in which a row may differ from a pivot that it resemble
 #: Nibbles (of 64) that may differ: similarity 0.8 gives 12 on average, deviation 3.1.
 SKETCH_DIFFER = 25
 WORDS_KNOWN = 300_000
+SLOTS = 1 << 26  # bits that tell which documents are wanted: 8 MiB
+LESS = 4  # texts are written anew when the wanted ones are fewer than those written by this factor
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,7 +165,7 @@ def _children(rows: DataFrame, sigs: DataFrame | None) -> DataFrame:
     node's hash chooses among those not used on its path.  ``rows`` has the signature
     itself or gets it from ``sigs``."""
     if sigs is not None:
-        rows = rows.join(sigs.select("id", "sig"), "id")
+        rows = rows.join(marked(sigs.select("id", "sig"), rows, "id", slots=SLOTS), "id")
     rows = rows.withColumn("_free", F.expr(f"filter(sequence(0, {FUNCTIONS - 1}), f -> getbit(used, f) = 0)"))
     rows = rows.withColumn("_at", F.pmod(F.xxhash64("node"), F.size("_free")).cast("int"))
     for j in range(BRANCHING):
@@ -190,9 +194,13 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _stats(rows: DataFrame) -> DataFrame:
-    """Of nodes with rows of different labels: rows, comparisons left, largest class, pivot."""
-    per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
+def _stats(rows: DataFrame, own: bool = False) -> DataFrame:
+    """Of nodes with rows of different labels: rows, comparisons left, largest class, pivot.
+    ``own``: each row has a label of its own."""
+    if own:
+        per = rows.select("node", "label", F.lit(1).cast("long").alias("c"), F.col("id").alias("first"))
+    else:
+        per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
     return (per.groupBy("node").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("sq"),
                                     F.max(F.struct("c", "label")).alias("top"), F.min("first").alias("pivot"))
             .withColumn("work", (F.col("size") * F.col("size") - F.col("sq")) / 2).where("work > 0"))
@@ -237,15 +245,18 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     r = r.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
     r = r.join(sets.withColumnRenamed("doc_id", "id"), "id")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets = pdf["id"].to_numpy(), list(pdf["shingles"])
-        sizes = np.array([len(x) for x in sets], np.int64)
-        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(ids)), sizes)
-        kept = df[column] > 1
-        row, column = row[kept], np.cumsum(df > 1)[column[kept]] - 1
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
+    def compare(part: pa.Table) -> pa.Table:
+        ids, sets = part["id"].to_numpy(), part["shingles"].combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        flat = sets.flatten().to_numpy()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        del flat
+        df = np.diff(begin, append=len(order))
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order][np.repeat(df > 1, df)]
+        column = np.repeat(np.arange((df > 1).sum(), dtype=np.int32), df[df > 1])
+        del order
         shared = np.zeros((len(ids), len(ids)), np.float32)
         width = 2048
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
@@ -266,9 +277,17 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
                 links.extend((u, v) for v in new.tolist())
         pairs = np.array(links, np.int64).reshape(-1, 2)
         x, y = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return r.select("node", "i", "j", "id", "shingles").groupBy("node", "i", "j").applyInArrow(
+        compare, "a long, b long").distinct()
+
 
-    return r.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of ``wanted`` and few others, written."""
+    path = scratch(docs.sparkSession, "near-texts")
+    marked(docs, wanted, "doc_id", slots=SLOTS).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
 def similarity_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -276,23 +295,22 @@ def similarity_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: in
     similar ones at least a path of links."""
     rows = _children(reps.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(TREES)])))
                      .withColumn("node", F.col("tree").cast("long")).withColumn("used", F.lit(0).cast("long")), None)
-    links, labels, texts = None, None, None
+    links, labels, texts, held = None, None, docs, None
     for level in range(1, MAX_LEVELS + 1):
         last = level == MAX_LEVELS
         rows = cut(_labelled(rows, labels)) if level > 1 else _labelled(rows, labels)
-        stats = cut(_stats(rows))
+        stats = cut(_stats(rows, level == 1))
         small = F.lit(True) if last else F.col("work") <= LEAF * F.col("size")
         heavy_stats = stats.where(~small)
         heavy = cut(rows.join(heavy_stats.select("node"), "node", "left_semi"))
         found = _leaf_pairs(rows, stats.where(small), num, den)
         found = cut(found.unionByName(_pivot_pairs(heavy, heavy_stats, num, den)).distinct())
-        if texts is None:  # later levels meet documents of heavy nodes only
-            wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).union(heavy.select("id")).distinct()
-            path = scratch(docs.sparkSession, "near-texts")
-            docs.join(wanted, "doc_id", "left_semi").write.option("compression", "zstd").parquet(path)
-            texts = docs.sparkSession.read.schema(docs.schema).parquet(path)
-        need = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-        sets = cut(_sets(texts.join(need, "doc_id", "left_semi"), k))
+        need = cut(found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct())
+        wanted = cut(need.union(heavy.select("id")).distinct())  # later levels meet documents of heavy nodes only
+        n = wanted.count()
+        if held is None or n * LESS < held:
+            texts, held = _texts(texts, wanted), n
+        sets = cut(_sets(marked(texts, need, "doc_id", slots=SLOTS), k))
         both = (found.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
                 .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"))
         shared = F.size(F.array_intersect("sa", "sb"))
@@ -307,7 +325,8 @@ def similarity_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: in
         tight = cut(_resembling(left, stats.where(F.col("work") > LEAF * F.col("size"))))
         if not tight.isEmpty():
             rows = left.join(tight, "node", "left_semi")
-            sets = cut(_sets(texts.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
+            need = rows.select(F.col("id").alias("doc_id"))
+            sets = cut(_sets(marked(texts, need, "doc_id", slots=SLOTS), k))
             links = links.unionByName(cut(_block_links(rows, sets, num, den)))
             left = left.join(tight, "node", "left_anti")
         light = left.join(stats.where(F.col("work") <= LEAF * F.col("size")).select("node"), "node", "left_semi")
@@ -331,12 +350,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     sig = cut(signed(d, k))
     able = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     groups = cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = cut(able.join(groups.withColumnRenamed("digest", "_d"),
-                         (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d")))
-               .select(F.col("doc_id").alias("id"), "n", "sig", "s0", "s1", "s2", "s3").dropDuplicates(["id"]))
+    # an id that stands for several sets is compared with one of them
+    one = groups.groupBy(F.col("rep").alias("_id")).agg(F.min("digest").alias("_d"))
+    reps = cut(able.join(one, (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_d")))
+               .dropDuplicates(["doc_id", "digest"])
+               .select(F.col("doc_id").alias("id"), "n", "sig", "s0", "s1", "s2", "s3"))
     links = similarity_links(d, reps, k, num, den)
     member = able.select("doc_id", "digest").distinct().join(groups, "digest").select("doc_id", "rep")
     # an id that stands for several sets ties their groups together

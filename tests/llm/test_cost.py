@@ -1,6 +1,6 @@
 """What the operators do once, seen in their plans and counters; results are compared elsewhere."""
 
-from tabsmith.llm import bpe, exact_dedup, line_dedup, quality, wavelet
+from tabsmith.llm import bpe, exact_dedup, line_dedup, minhash_join, quality, wavelet
 from tabsmith.llm.common import cut, scratch, tokenizer_path
 
 
@@ -98,3 +98,26 @@ def test_near_copies_of_a_line_are_not_paired(spark, monkeypatch):
     got = {r.doc_id: (r.match_id, r.match_line) for r in line_dedup.matches(docs).collect()}
     assert got == {i: (0, 0) for i in range(1, 200)}
     assert sum(pairs) < 10 * len(rows)
+
+
+def test_near_dedup_shuffles_no_texts(spark, monkeypatch):
+    plans, sets = [], minhash_join._sets
+
+    def seen(docs, k):
+        plans.append(_joins_shuffled(spark, lambda: docs))
+        return sets(docs, k)
+
+    monkeypatch.setattr(minhash_join, "_sets", seen)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(words[i % 10 * 2:] + [f"own{i // 10}"])) for i in range(40)] + [(None, "w1 w2"), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_join.near_dedup(docs, k=1).collect()}
+    shingles = {i: set(t.split()) for i, t in rows if i is not None and t}
+    label = {i: i for i in shingles}
+    for _ in shingles:
+        for a in shingles:
+            for b in shingles:
+                if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+                    label[a] = min(label[a], label[b])
+    assert got == {**label, None: None, 50: 50}
+    assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
