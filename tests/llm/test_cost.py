@@ -1,6 +1,6 @@
 """What the operators do once, seen in their plans and counters; results are compared elsewhere."""
 
-from tabsmith.llm import bpe, exact_dedup, line_dedup, minhash_join, quality, wavelet
+from tabsmith.llm import bpe, exact_dedup, line_dedup, minhash_join, quality, url_filter, wavelet
 from tabsmith.llm.common import cut, scratch, tokenizer_path
 
 
@@ -121,3 +121,17 @@ def test_near_dedup_shuffles_no_texts(spark, monkeypatch):
                     label[a] = min(label[a], label[b])
     assert got == {**label, None: None, 50: 50}
     assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+
+
+def test_tokens_of_urls_are_not_broadcast(spark, monkeypatch):
+    urls = spark.range(5000).selectExpr("id AS page_id", "concat('http://a', id % 7, '.example.net/en/casino/page-', id) AS url")
+    rules = url_filter.rule_table(spark, [url_filter.listed_rule("net/", "block"), url_filter.listed_rule("example.net/en/", "allow")]
+                                  + [url_filter.word_rule(w) for w in url_filter.SPAM_WORDS])
+    found = []
+    for most in (url_filter.FEW_RULES, 1):  # the rules travel, or both sides are shuffled
+        monkeypatch.setattr(url_filter, "FEW_RULES", most)
+        out = url_filter.judge_urls(urls, rules)
+        joins = [x for x in _plan(out).splitlines() if "Join [_token#" in x and "Inner" in x]
+        assert len(joins) == 1 and ("BuildRight" in joins[0] or "SortMergeJoin" in joins[0]), joins
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] and len(found[0]) == 5000
