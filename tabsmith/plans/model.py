@@ -49,9 +49,9 @@ def q_batch_inference(spark, d):
         quality.check_prediction_columns(out)
     # L5 sink: partitioned by run and stage under the shared folder; S11 reads a stage back
     from tabsmith.plans.storage import _scratch
-    from tabsmith.sources.io import load_predictions
+    from tabsmith.sources.io import load_predictions, save_inference
     path = _scratch(spark, "predictions")
-    each[0].unionByName(each[1]).write.partitionBy("run_id", "model_stage").parquet(path)
+    save_inference(each[0].unionByName(each[1]), path)
     back = [load_predictions(spark, path, s) for s, _, _ in runs]
     return back[0].unionByName(back[1]).drop("prediction_id", "timestamp")
 

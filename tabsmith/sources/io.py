@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 FORMATS = ("parquet", "csv", "json", "arrow")
 CODECS = ("snappy", "gzip", "lz4", "zstd", "none", "brotli")
 
+INFERENCE_WRITERS = 8  # files that a task of the inference sink keeps open; rows of further partitions are sorted
+
 # pandas' default missing-value tokens for CSV input, plus the
 # empty string; any of them reads as null.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -204,6 +206,21 @@ def save_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
+def save_inference(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """L5 sink: one write partitioned by run and stage.
+
+    Hashes and ids as hex are most of a row; zstd brings them to about half, snappy leaves them as they
+    are.  Files of a task's partitions are open side by side: else Spark sorts all rows of a task by
+    partition first, and spills what does not fit in memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(max(INFERENCE_WRITERS, int(before))))
+    try:
+        df.write.mode(mode).option("compression", "zstd").partitionBy("run_id", "model_stage").parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def save_metrics_csv(df: DataFrame, path: str) -> None:
     """Report table as a folder of CSV files, each with a header, one per partition."""
     save_csv(df, path, "overwrite")

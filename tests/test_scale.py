@@ -141,3 +141,30 @@ def test_class_weights_do_not_shuffle_rows_by_class(spark):
         assert abs(out.agg(F.sum("weight")).first()[0] - 1000) < 1e-6
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_inference_sink_is_packed_and_not_sorted(spark, monkeypatch):
+    from pyarrow import parquet
+    from pyspark.sql import DataFrameWriter
+
+    from tabsmith.plans.registry import QUERIES
+
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+
+    def spied(self, path, *a, **kw):
+        if "/predictions/" in path:
+            seen.append((path, int(spark.conf.get(name))))
+        return write(self, path, *a, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    before = spark.conf.get(name)
+    out = QUERIES["batch_inference"](spark, "/root/testdata/sf0.001")
+    (path, writers), = seen
+    assert writers >= 2 and spark.conf.get(name) == before  # with fewer, the rows of a task are sorted by partition
+    files = [f.replace("file:", "", 1) for f in spark.read.parquet(path).inputFiles()]
+    assert {x.split("model_stage=")[1].split("/")[0] for x in files} == {"production", "staging"}
+    for f in files:
+        meta = parquet.ParquetFile(f).metadata
+        assert {meta.row_group(0).column(i).compression for i in range(meta.num_columns)} == {"ZSTD"}
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert {r["model_stage"]: r["count"] for r in out.groupBy("model_stage").count().collect()} == {"production": n, "staging": n}
