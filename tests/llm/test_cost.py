@@ -1,6 +1,8 @@
 """What the operators do once, seen in their plans and counters; results are compared elsewhere."""
 
-from tabsmith.llm import bpe, exact_dedup, line_dedup, minhash_join, quality, url_filter, wavelet
+import os
+
+from tabsmith.llm import bpe, exact_dedup, line_dedup, lm_score, minhash_join, quality, url_filter, wavelet
 from tabsmith.llm.common import cut, scratch, tokenizer_path
 
 
@@ -135,3 +137,14 @@ def test_tokens_of_urls_are_not_broadcast(spark, monkeypatch):
         assert len(joins) == 1 and ("BuildRight" in joins[0] or "SortMergeJoin" in joins[0]), joins
         found.append(sorted(map(str, out.collect())))
     assert found[0] == found[1] and len(found[0]) == 5000
+
+
+def test_lm_scoring_writes_no_row_for_each_bit_or_edge(spark):
+    def written() -> int:
+        top = spark.sparkContext.getCheckpointDir().replace("file:", "", 1)
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+
+    docs, before = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), written()
+    assert lm_score.score(docs).count() == docs.count()
+    text = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert written() - before < 8 * text

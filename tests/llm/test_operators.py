@@ -290,3 +290,83 @@ def test_lm_score_depends_on_the_order_of_words(spark):
     for i, text in rows:
         n_bytes = sum(len(w) + 1 for w in lm_score.tokens(text or ""))
         assert math.isclose(got[i].bits_per_byte, -got[i].score / math.log10(2) / n_bytes, rel_tol=1e-12)
+
+
+def test_lm_chunks_agree_with_one(spark, monkeypatch):
+    """The words of few chunks or of many, pairs in few rows or in many: same edges, same scores."""
+    rng = np.random.default_rng(9)
+    some = ["".join("abcdefé"[x] for x in rng.integers(0, 7, rng.integers(1, 9))) for _ in range(300)] + ["\x01", "a\x1b", "x" * 70]
+    rows = [(k, " ".join(some[j] for j in rng.integers(0, 303, 40))) for k in range(150)] + [(None, "a b"), (7, None), (7, "abc abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "doc_id % 5 = 1 AS held_out").na.fill(False)
+    found = []
+    for chunk, flush, pairs, often in ((20_000, 2_000_000, 100_000, 1 << 40), (7, 500, 40, 30)):
+        for name, n in (("CHUNK", chunk), ("FLUSH", flush), ("PAIRS", pairs), ("BUCKET", flush), ("HOT", pairs), ("FREQUENT", often)):
+            monkeypatch.setattr(lm_score, name, n)
+        edges = lm_score.inputs(lm_score.vocabulary(held)).collect()
+        got = lm_score.score(docs).collect()
+        found.append((Counter((r.parent, r.place, r.byte, r.c, bytes(r.f)) for r in edges),
+                      sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in got)))
+    assert found[0] == found[1] and len(found[0][1]) == len(rows)
+    assert lm_score.score(docs.limit(0)).count() == 0
+
+
+def test_lm_pair_scores_are_those_of_each_bit(spark):
+    """The score of a text, bit by bit in plain Python, from the learned weights."""
+    rng = np.random.default_rng(3)
+    some = ["".join("abc"[x] for x in rng.integers(0, 3, rng.integers(1, 5))) for _ in range(40)]
+    rows = [(k, " ".join(some[j] for j in rng.integers(0, 40, 12)), k % 5 == 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    known = lm_score.Vocabulary(lm_score.vocabulary(docs))
+    weights, hits, worth = lm_score.learn(known.table, known.edges())
+    first = weights, lm_score.refined(hits, worth)
+    frequent = lm_score.Frequent(docs, lm_score.vocabulary(docs))
+    table = lm_score.pair_paths(lm_score.pairs(docs, 3, frequent), known, frequent, 3)
+    w2, hits, worth = lm_score.learn_pairs(table, known, *first)
+    train = Counter((b, w) for _, text, held in rows if not held for b, w in zip([b"\n"] + lm_score.tokens(text), lm_score.tokens(text)))
+    assert worth.sum() == 8 * sum(n * (len(w) + 1) for (_, w), n in train.items())
+    refine = lm_score.refined(hits, worth)
+    got = {r.doc_id: r for r in lm_score.text_sums(table, known, first, (w2, refine)).collect()}
+    words_ = Counter()
+    for (_, w), n in train.items():
+        words_[w] += n
+
+    def nodes(counts):
+        out = Counter()
+        for w, n in counts:
+            for j, byte in enumerate(w + b" "):
+                for k in range(8):
+                    out[w[:j], k, byte >> (7 - k)] += n
+        return out
+
+    near = Counter()
+    for w, n in words_.items():
+        for j, byte in enumerate(w + b" "):
+            for m in (1, 2, 3):
+                for k in range(8):
+                    near[m, w[max(j - m, 0):j], k, byte >> (7 - k)] += n
+    whole, after = nodes(words_.items()), {b: nodes((w, n) for (x, w), n in train.items() if x == b) for b in {b for b, _ in train}}
+
+    def mixed(s, gate, table):
+        s = max(min(s, 12), -12)
+        return 0.5 / (1 + math.exp(-s)) + 0.5 * table[gate, round((s + 12) * 32 / 24)]
+
+    def sure(n):
+        return (n > 0) + (n > 2) + (n > 12)
+
+    for i, text, _ in rows[:10]:
+        total, b = 0.0, b"\n"
+        for w in lm_score.tokens(text):
+            for j, byte in enumerate(w + b" "):
+                for k in range(8):
+                    bit, zero = byte >> (7 - k) & 1, byte >> (7 - k) & ~1
+                    n = [[near[m, w[max(j - m, 0):j], k, zero | x] for x in (0, 1)] for m in (1, 2, 3)] + [[whole[w[:j], k, zero | x] for x in (0, 1)]]
+                    x = [math.log((n1 + .4) / (n0 + .4)) for n0, n1 in n] + [1]
+                    gate = min(j, 3) * 4 + sure(sum(n[3]))
+                    p = mixed(float(np.dot(first[0][gate], x)), gate, first[1])
+                    n0, n1 = [after.get(b, Counter())[w[:j], k, zero | x] for x in (0, 1)]
+                    gate = min(j, 3) * 4 + sure(n0 + n1)
+                    p = mixed(float(np.dot(w2[gate], [math.log(p / (1 - p)), math.log((n1 + .4) / (n0 + .4)), 1])), gate, refine)
+                    total += math.log10(p if bit else 1 - p)
+            b = w
+        assert math.isclose(got[i].score, total, rel_tol=2e-3), (got[i].score, total)
